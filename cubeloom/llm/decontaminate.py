@@ -53,10 +53,10 @@ def sketches(items: DataFrame, id_column: str, text_column: str, threshold: floa
     return sets.select("item_id", "_item", n.alias("_n"), (n - F.ceil(n * F.lit(threshold) - 1e-9).cast("int") + 1).alias("_k"), F.posexplode("_set").alias("_at", "_hash")).withColumn("_sketch", F.col("_at") < F.col("_k"))
 
 
-def contained_items(
+def containments(
     docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD
 ) -> DataFrame:
-    """One row for each document and item that it contains: doc_id, item_id, n_shingles, n_shared."""
+    """One row for each document text (_doc) and item text that it contains: doc_id, item_id, _n and n_shared."""
     sketch = materialize(sketches(items, item_id, item_text, threshold))
     small = sketch.count() <= BROADCAST_SHINGLES
     bound = F.broadcast if small else (lambda x: x)
@@ -69,7 +69,18 @@ def contained_items(
     candidates = met.where("_sketched").join(bound(probe), "_hash").select("doc_id", "_doc", "item_id", "_item", "_n").distinct()
     # exact containment of each candidate: the shared shingles, counted
     held = met.join(bound(sketch.select("_item", "_hash")), "_hash").groupBy("_doc", "_item").agg(F.count("*").alias("n_shared"))
-    found = candidates.join(held, ["_doc", "_item"]).where(F.col("n_shared") >= F.ceil(F.col("_n") * F.lit(threshold) - 1e-9))
+    return candidates.join(held, ["_doc", "_item"]).where(F.col("n_shared") >= F.ceil(F.col("_n") * F.lit(threshold) - 1e-9))
+
+
+def contained_items(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+    """One row for each document and item that it contains: doc_id, item_id, n_shingles, n_shared."""
+    found = containments(docs, items, **options)
     return found.groupBy("doc_id", "item_id").agg(F.max_by(F.struct(F.col("_n").cast("bigint").alias("n"), "n_shared"), F.struct(F.col("n_shared") / F.col("_n"), "_n")).alias("best")).select(
         "doc_id", "item_id", F.col("best.n").alias("n_shingles"), F.col("best.n_shared").alias("n_shared")
     )
+
+
+def clean(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
+    """``docs`` without the rows that contain a test item."""
+    dirty = materialize(containments(docs, items, id_column, text_column, **options).select(F.col("_doc").alias("__cubeloom_doc")).distinct())
+    return docs.join(dirty, F.xxhash64(F.col(f"`{id_column}`"), F.col(f"`{text_column}`")) == F.col("__cubeloom_doc"), "left_anti")

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, huffman, lines, packing, pii, quality, tokens, toxicity
+from . import decontaminate, huffman, jaccard, lines, packing, pii, quality, substrings, tokens, toxicity
 from .common import shared_dir, table
 
 #: The key of the registered query only; a caller gives its own.
@@ -54,6 +54,16 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = lines.drop_recurring_lines(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
@@ -103,9 +113,31 @@ FROM documents LEFT JOIN per_doc USING (doc_id)
 """
 
 
+OP7_SQL = f"""
+WITH w AS (SELECT doc_id, coalesce({_WORDS.format(text="text")}, []) AS w FROM documents),
+win AS MATERIALIZED (SELECT doc_id, unnest(range(1, len(w) - 33)) AS i, w FROM w WHERE len(w) >= 35),
+keyed AS MATERIALIZED (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS s FROM win),
+again AS (SELECT s FROM keyed GROUP BY 1 HAVING count(*) > 1),
+hit AS (SELECT DISTINCT doc_id, i + k AS p FROM keyed SEMI JOIN again USING (s), range(0, 35) AS r(k)),
+places AS (SELECT doc_id, p FROM (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p FROM w)),
+kept AS (SELECT doc_id, string_agg(w[p], ' ' ORDER BY p) AS t, count(*) AS n FROM (SELECT * FROM places ANTI JOIN hit USING (doc_id, p)) JOIN w USING (doc_id) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+OP8_SQL = f"""
+WITH RECURSIVE s AS MATERIALIZED ({_shingles("documents", "doc_id")}),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+pairs AS MATERIALIZED (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS MATERIALIZED (SELECT x, y FROM pairs JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * o >= 75 * (nx.n + ny.n - o)),
+reach AS (SELECT doc_id, doc_id AS other FROM n UNION SELECT reach.doc_id, y FROM reach JOIN links ON x = other)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(c, d.doc_id) AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(other) AS c FROM reach GROUP BY 1) USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontamination": OP6_SQL, "op9_line_dedup": OP9_SQL}
+    return {"op6_decontamination": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op8_ngram_jaccard": OP8_SQL, "op9_line_dedup": OP9_SQL}
