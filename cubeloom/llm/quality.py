@@ -27,11 +27,11 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: The test of a bad vote, and of a good one.
 RULES: dict[str, tuple[str, str]] = {
-    "symbols": ("n_symbols > 0.10 * word_chars", "n_symbols < 0.02 * word_chars"),
+    "symbols": ("n_symbols > 0.04 * word_chars", "n_symbols < 0.02 * word_chars"),
     "shouting": ("n_upper > 0.40 * word_chars", "n_upper < 0.15 * word_chars"),
     "bangs": ("n_bangs > 0.30 * n_words", "n_bangs < 0.05 * n_words"),
-    "lines": ("n_dup_lines > 0.30 * n_lines", "n_dup_lines <= 0.05 * n_lines"),
-    "windows": ("n_repeat_words > 0.25 * n_words", "n_repeat_words < 0.08 * n_words"),
+    "lines": ("n_dup_lines > 0.60 * n_lines", "n_dup_lines <= 0.05 * n_lines"),
+    "windows": ("n_repeat_words > 0.40 * n_words", "n_repeat_words < 0.08 * n_words"),
     "variety": ("n_distinct < 0.25 * n_words", "n_distinct > 0.40 * n_words"),
     "word_length": ("word_chars < 2.5 * n_words or word_chars > 15 * n_words", "word_chars between 3.2 * n_words and 10 * n_words"),
 }
@@ -79,42 +79,45 @@ def features(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     return flat.select("*", failed.alias("base_failed"), *votes)
 
 
+#: Prior belief: of the votes on good texts this share is bad, as sure as if all texts had shown it.
+FALSE_ALARMS = 0.005
+
+
 def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200) -> tuple[float, list[dict[int, float]]]:
-    """EM over (votes, count): log prior odds, and each rule's log-likelihood ratio by vote."""
-    rules = len(RULES)
-    total = sum(n for _, n in patterns)
-    if not total:
-        return 0.0, [{-1: -1.0, 0: 0.0, 1: 1.0} for _ in range(rules)]
-    # a bad vote is rarer and says more than a good one: start from that
-    posterior = [1.0 / (1.0 + math.exp(-(sum(1 if x > 0 else -2 if x < 0 else 0 for x in v)))) for v, _ in patterns]
-    prior, ratio = 0.0, []
+    """EM over (votes, count): log prior odds, and each rule's log-likelihood ratio by vote.
+
+    A rule has a rate of bad votes among its votes on good texts, with a
+    prior, and one on bad texts; abstaining says nothing.  EM starts from the
+    belief that a text with a bad vote is bad, and finds how far each rule
+    deserves it.
+    """
+    rules, total = len(RULES), sum(n for _, n in patterns)
+    posterior = [0.1 if min(v) < 0 else 0.95 for v, _ in patterns]
+    odds, ratio = 0.0, []
     for _ in range(rounds):
         good = sum(p * n for p, (_, n) in zip(posterior, patterns))
-        prior = math.log((good + 1.0) / (total - good + 1.0))
+        odds = math.log((good + 1.0) / (total - good + 1.0))
         ratio = []
         for r in range(rules):
-            table = {}
-            for vote in (-1, 0, 1):
-                a = sum(p * n for p, (v, n) in zip(posterior, patterns) if v[r] == vote)
-                b = sum((1 - p) * n for p, (v, n) in zip(posterior, patterns) if v[r] == vote)
-                table[vote] = math.log(((a + 1.0) / (good + 3.0)) / ((b + 1.0) / (total - good + 3.0)))
+            votes = {(vote, side): sum((p if side else 1 - p) * n for p, (v, n) in zip(posterior, patterns) if v[r] == vote) for vote in (-1, 1) for side in (True, False)}
+            alarm = (votes[-1, True] + FALSE_ALARMS * total + 1e-9) / (votes[-1, True] + votes[1, True] + total + 1e-9)
+            hit = (votes[-1, False] + 1.0) / (votes[-1, False] + votes[1, False] + 2.0)
             # a rule never turns against its own votes
-            table[-1], table[1] = min(table[-1], 0.0), max(table[1], 0.0)
-            ratio.append(table)
-        new = [1.0 / (1.0 + math.exp(-max(-500.0, min(500.0, prior + sum(ratio[r][v[r]] for r in range(rules)))))) for v, _ in patterns]
+            ratio.append({-1: min(math.log(alarm / hit), 0.0), 0: 0.0, 1: max(math.log((1 - alarm) / (1 - hit)), 0.0)})
+        new = [1.0 / (1.0 + math.exp(-max(-500.0, min(500.0, odds + sum(ratio[r][v[r]] for r in range(rules)))))) for v, _ in patterns]
         moved = max((abs(a - b) for a, b in zip(new, posterior)), default=0.0)
         posterior = new
         if moved < 1e-9:
             break
-    return prior, ratio
+    return odds, ratio
 
 
 def judge(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Counts, base_failed, the votes, ``posterior`` and ``kept`` of every row."""
     rows = materialize(features(docs, id_column, text_column))
     names = [f"vote_{r}" for r in RULES]
-    # at most 3 ** len(RULES) patterns reach the driver
-    counted = rows.groupBy(*names).count().collect()
+    # what fails the base rule is decided; of the rest, at most 3 ** len(RULES) patterns reach the driver
+    counted = rows.where("not base_failed").groupBy(*names).count().collect()
     prior, ratio = fit(sorted((tuple(r[c] for c in names), r["count"]) for r in counted))
     logit = F.lit(prior)
     for name, table in zip(names, ratio):
