@@ -1,11 +1,334 @@
-"""All registered queries of the engine's own operators, and their SQL."""
+"""All registered queries of the engine's own operators, and their SQL oracles.
+
+Every query runs an operator of the library over the projected cube or over
+whole tables; each oracle is written for itself in SQL.  Doubles are rounded
+to six places on both sides.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import predicates as P
+from .functions import scalars as S
+from .functions import scorers as G
+from .functions import tables as R
+from .operators import adaptive, compare, confidence, design, effect, inventory, resolve, retrieval, routing
+from .plans import explorer as X
+from .plans import projection
+from .plans.cube import Cube, no_error, projected
+from .plans.pipeline import Pipeline
+from .plans.query import ExecutionQuery
+from .sources import benchmarks
+from .streaming import monitor
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+CTES = projection.ctes()
+M, SC = "alpha", "exact"
+CLEAN = "qs AS MATERIALIZED (SELECT e.config_id, e.query_id, e.model, v.scorer, v.score FROM evaluations v JOIN executions e USING (execution_id) WHERE coalesce(e.error, '') = '' AND v.score IS NOT NULL)"
+ONE = f"{CLEAN}, s AS MATERIALIZED (SELECT * FROM qs WHERE model = '{M}' AND scorer = '{SC}')"
+MEANS = f"{ONE}, pm AS MATERIALIZED (SELECT config_id, name AS predicate_name, value AS predicate_value, avg(score) AS m, count(*) AS n FROM s JOIN predicates USING (query_id) GROUP BY ALL)"
+ALL = f"a AS MATERIALIZED (SELECT e.*, v.eval_id, v.score, v.metrics FROM evaluations v JOIN executions e USING (execution_id) WHERE model = '{M}' AND scorer = '{SC}')"
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.select(*(F.round(F.col(f"`{c}`"), 6).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes))
+
+
+def on_cube(name: str, run: Callable[[Cube], DataFrame], sql: str | None = None) -> None:
+    """Register a query on the projected cube; ``sql`` follows the cube's CTEs."""
+    _QUERIES[name] = lambda spark, sf_dir: rounded(run(projected(spark, sf_dir)))
+    if sql is not None:
+        _SQL[name] = f"{CTES}{', ' if ' AS MATERIALIZED (' in sql.split('SELECT')[0] or sql.split('SELECT')[0].strip() else ''} {sql}"
+
+
+def on_tables(name: str, run: Callable[[Callable[[str], DataFrame]], DataFrame], sql: str | None = None) -> None:
+    """Register a query on the plain tables."""
+    _QUERIES[name] = lambda spark, sf_dir: rounded(run(lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")))
+    if sql is not None:
+        _SQL[name] = sql
+
+
+def at(c: str) -> Column:
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+
+
+AT = "strftime({0}, '%Y-%m-%d %H:%M:%S') AS {0}"
+
+# -- views and scans ----------------------------------------------------------
+on_cube("view_query_scores", lambda c: c.query_scores(), f"{CLEAN} SELECT * FROM qs")
+on_cube("view_scored_executions", lambda c: c.scored_executions(M, SC, "lang"), f"{ONE} SELECT s.*, name AS predicate_name, value AS predicate_value FROM s JOIN predicates USING (query_id) WHERE name = 'lang'")
+on_cube("view_predicate_means", lambda c: c.per_config_predicate_means(), f"{CLEAN} SELECT config_id, model, scorer, name AS predicate_name, value AS predicate_value, round(avg(score), 6) AS avg_score, count(*) AS n FROM qs JOIN predicates USING (query_id) GROUP BY ALL")
+on_cube("view_feature_effect", lambda c: c.feature_effect().groupBy("canonical_id", "task", "dataset", "model", "scorer").agg(F.count("*").alias("n"), F.avg("score").alias("avg_score")),
+        "SELECT canonical_id, task, dataset, model, scorer, count(*) AS n, round(avg(score), 6) AS avg_score FROM evaluations v JOIN executions e USING (execution_id) JOIN config_features USING (config_id) JOIN features USING (feature_id) JOIN queries q ON q.query_id = e.query_id GROUP BY ALL")
+on_cube("view_label_effect", lambda c: c.feature_label_effect().groupBy("label_id", "qtype", "scorer").agg(F.count("*").alias("n"), F.avg("score").alias("avg_score")),
+        "SELECT label_id, qtype, scorer, count(*) AS n, round(avg(score), 6) AS avg_score FROM evaluations v JOIN executions e USING (execution_id) JOIN config_features USING (config_id) JOIN features USING (feature_id) JOIN queries q ON q.query_id = e.query_id GROUP BY ALL")
+on_cube("view_label_predicate_effect", lambda c: c.feature_label_predicate_effect().where("predicate_name = 'quality'").groupBy("label_id", "predicate_value").agg(F.count("*").alias("n"), F.avg("score").alias("avg_score")),
+        "SELECT label_id, value AS predicate_value, count(*) AS n, round(avg(score), 6) AS avg_score FROM evaluations v JOIN executions e USING (execution_id) JOIN config_features USING (config_id) JOIN features USING (feature_id) JOIN predicates p ON p.query_id = e.query_id WHERE name = 'quality' GROUP BY ALL")
+_NODE = "SELECT func_id, params->>'$.parent_id' AS parent_id, {} FROM funcs WHERE func_type = 'insert_node' AND params->>'$.node_type' = '{}'"
+on_cube("view_section", lambda c: c.section_view().select("func_id", "parent_id", "title", "ordinal"), _NODE.format("params->>'$.payload.title' AS title, params->>'$.payload.ordinal' AS ordinal", "section"))
+on_cube("view_rule", lambda c: c.rule_view(), _NODE.format("params->>'$.payload.content' AS content, params->>'$.payload.ordinal' AS ordinal", "rule"))
+on_cube("view_input_field", lambda c: c.input_field_view(), _NODE.format("params->>'$.payload.name' AS name, params->>'$.payload.description' AS description", "input_field"))
+on_cube("view_output_field", lambda c: c.output_field_view(), _NODE.format("params->>'$.payload.name' AS name, params->>'$.payload.description' AS description", "output_field"))
+
+# -- the query builder --------------------------------------------------------
+_IDS = ("execution_id", "config_id", "query_id", "model")
+_E = "SELECT execution_id, config_id, query_id, model FROM executions e WHERE "
+
+
+def _builder(name: str, build: Callable[[ExecutionQuery], ExecutionQuery], where: str) -> None:
+    on_cube(f"query_{name}", lambda c: build(ExecutionQuery(c)).columns(_IDS).df(), _E + where)
+
+
+_builder("phase", lambda q: q.phase("final").config(2), "list_contains(string_split(phases, ','), 'final') AND config_id = 2")
+_builder("phases", lambda q: q.phases(["p0", "p2"]).config(3), "list_has_any(string_split(phases, ','), ['p0', 'p2']) AND config_id = 3")
+_builder("config_model", lambda q: q.configs([1, 5]).models(["beta"]).configs([]), "config_id IN (1, 5) AND model = 'beta'")
+_builder("queries", lambda q: q.queries(["3", "7", "11"]), "query_id IN ('3', '7', '11')")
+_builder("has_all_funcs", lambda q: q.has_all_funcs(["fa", "fb"]).model(M), "config_id IN (SELECT config_id FROM configs WHERE list_has_all(string_split(funcs, ','), ['fa', 'fb'])) AND model = 'alpha'")
+_builder("has_any_func", lambda q: q.has_any_func(["fc"]).model(M), "config_id IN (SELECT config_id FROM configs WHERE list_contains(string_split(funcs, ','), 'fc')) AND model = 'alpha'")
+_builder("has_feature", lambda q: q.has_feature("feat_a").has_feature("feat_b").model(M), "config_id IN (SELECT config_id FROM config_features JOIN features USING (feature_id) WHERE canonical_id IN ('feat_a', 'feat_b') GROUP BY 1 HAVING count(*) = 2) AND model = 'alpha'")
+_builder("has_any_feature", lambda q: q.has_any_feature(["feat_a", "feat_c"]).model(M), "config_id IN (SELECT config_id FROM config_features JOIN features USING (feature_id) WHERE canonical_id IN ('feat_a', 'feat_c')) AND model = 'alpha'")
+_builder("predicate", lambda q: q.predicate("lang", "fr").predicate("quality").config(1), "config_id = 1 AND EXISTS (FROM predicates p WHERE p.query_id = e.query_id AND name = 'lang' AND value = 'fr') AND EXISTS (FROM predicates p WHERE p.query_id = e.query_id AND name = 'quality')")
+_builder("errors", lambda q: q.with_error(), "coalesce(error, '') <> ''")
+_builder("no_errors", lambda q: q.without_error().config(4), "coalesce(error, '') = '' AND config_id = 4")
+on_cube("query_where_score", lambda c: ExecutionQuery(c).scorer("soft").where_score(">=", 0.9).columns([*_IDS, "score"]).df(), "SELECT execution_id, config_id, query_id, model, round(score, 6) AS score FROM executions JOIN evaluations USING (execution_id) WHERE scorer = 'soft' AND score >= 0.9")
+on_cube("query_scorer_left_join", lambda c: ExecutionQuery(c).scorer(SC).config(1).columns(["execution_id", "score"]).df(), f"SELECT e.execution_id, score FROM executions e LEFT JOIN evaluations v ON v.execution_id = e.execution_id AND scorer = '{SC}' WHERE config_id = 1")
+on_cube("query_order_limit", lambda c: ExecutionQuery(c).model(M).columns(["execution_id", "latency_ms"]).order_by("latency_ms DESC", "execution_id").limit(25).df(), f"SELECT execution_id, latency_ms FROM executions WHERE model = '{M}' ORDER BY latency_ms DESC, execution_id LIMIT 25")
+on_cube("query_count", lambda c: ExecutionQuery(c).phase("p1").count_df(), "SELECT count(*) AS n FROM executions WHERE list_contains(string_split(phases, ','), 'p1')")
+on_cube("query_agg_avg", lambda c: ExecutionQuery(c).model(M).scorer(SC).agg(["config_id"]), f"{ALL} SELECT e.config_id, round(avg(v.score), 6) AS avg_score, count(*) AS n FROM executions e LEFT JOIN evaluations v ON v.execution_id = e.execution_id AND scorer = '{SC}' WHERE model = '{M}' GROUP BY 1")
+on_cube("query_agg_global", lambda c: ExecutionQuery(c).agg([], "max", "latency_ms"), "SELECT max(latency_ms) AS max_latency_ms, count(*) AS n FROM executions")
+on_cube("query_agg_count", lambda c: ExecutionQuery(c).agg(["model", "config_id"], "count", "*"), "SELECT model, config_id, count(*) AS count_all, count(*) AS n FROM executions GROUP BY ALL")
+on_cube("call_cache_uncached", lambda c: inventory.uncached(c, 2, M), f"SELECT query_id FROM queries WHERE query_id NOT IN (SELECT query_id FROM executions WHERE config_id = 2 AND model = '{M}')")
+on_cube("unevaluated", lambda c: inventory.unevaluated(c, SC), f"SELECT execution_id, config_id, query_id, model FROM executions WHERE execution_id NOT IN (SELECT execution_id FROM evaluations WHERE scorer = '{SC}')")
+
+# -- inventories --------------------------------------------------------------
+on_cube("scores_by_config", lambda c: inventory.scores_by_config(c, M, SC), f"{ALL} SELECT config_id, count(*) AS n, round(avg(score), 6) AS avg_score, min(score) AS min_score, max(score) AS max_score FROM a GROUP BY 1")
+on_cube("scores_by_config_dataset", lambda c: inventory.scores_by_config(c, M, SC, dataset="src0"), f"{ALL} SELECT config_id, count(*) AS n, round(avg(score), 6) AS avg_score, min(score) AS min_score, max(score) AS max_score FROM a JOIN queries USING (query_id) WHERE dataset = 'src0' GROUP BY 1")
+on_cube("stats", inventory.stats, " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n FROM {t}" for n, t in (("func", "funcs"), ("query", "queries"), ("config", "configs"), ("execution", "executions"), ("evaluation", "evaluations"), ("predicate", "predicates"))))
+on_cube("config_progress", lambda c: inventory.config_progress(c, M), f"SELECT config_id, coalesce(d, 0) AS done, t AS total, t - coalesce(d, 0) AS remaining FROM configs LEFT JOIN (SELECT config_id, count(DISTINCT query_id) AS d FROM executions WHERE model = '{M}' GROUP BY 1) USING (config_id), (SELECT count(*) AS t FROM queries)")
+on_cube("list_models", lambda c: inventory.list_models(c).select("model", "n", at("first_at"), at("last_at")), f"SELECT model, n, {AT.format('first_at')}, {AT.format('last_at')} FROM (SELECT model, count(*) AS n, min(created_at) AS first_at, max(created_at) AS last_at FROM executions GROUP BY 1)")
+on_cube("list_scorers", inventory.list_scorers, "SELECT scorer, count(*) AS n, round(avg(score), 6) AS avg_score FROM evaluations GROUP BY 1")
+on_cube("list_phases", lambda c: inventory.list_phases(c).select("phase", "n", at("first_at"), at("last_at"), F.array_join("models", ",").alias("models")), f"SELECT phase, n, {AT.format('first_at')}, {AT.format('last_at')}, models FROM (SELECT phase, count(*) AS n, min(created_at) AS first_at, max(created_at) AS last_at, string_agg(DISTINCT model, ',' ORDER BY model) AS models FROM (SELECT unnest(string_split(phases, ',')) AS phase, created_at, model FROM executions) GROUP BY 1)")
+on_cube("list_datasets", lambda c: inventory.list_datasets(c).select("dataset", "n_queries", F.array_join(F.transform(F.map_entries("splits"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias("splits")),
+        "SELECT dataset, sum(n)::BIGINT AS n_queries, string_agg(concat(split, '=', n), ',' ORDER BY split) AS splits FROM (SELECT dataset, coalesce(split, '') AS split, count(*) AS n FROM queries GROUP BY ALL) GROUP BY 1")
+on_cube("list_predicates", inventory.list_predicates, "SELECT name, count(DISTINCT value) AS n_values, count(DISTINCT query_id) AS n_queries FROM predicates GROUP BY 1")
+on_cube("list_features", lambda c: inventory.list_features(c, "text_qa").select("feature_id", "canonical_id", "task"), "SELECT feature_id, canonical_id, task FROM features WHERE task = 'text_qa'")
+on_cube("list_configs", lambda c: inventory.list_configs(c).select("config_id", "kind", "canonical_id", "n_funcs"), "SELECT config_id, kind, canonical_id, len(string_split(funcs, ','))::INT AS n_funcs FROM configs")
+on_cube("list_configs_features", lambda c: inventory.list_configs_with_features(c).select("config_id", F.array_join("features", ",").alias("features")), "SELECT config_id, coalesce(f, '') AS features FROM configs LEFT JOIN (SELECT config_id, string_agg(canonical_id, ',' ORDER BY feature_id) AS f FROM config_features JOIN features USING (feature_id) GROUP BY 1) USING (config_id)")
+on_cube("list_configs_func_types", inventory.list_configs_with_func_types, "SELECT config_id, func_type, count(*) AS n FROM (SELECT config_id, unnest(string_split(funcs, ',')) AS func_id FROM configs) JOIN funcs USING (func_id) GROUP BY ALL")
+on_cube("configs_detailed", lambda c: X.list_configs_detailed(c, SC).select("config_id", "label", "n_executions", "n_queries", "models", "features", "avg_score", at("first_at")),
+        f"""SELECT config_id, coalesce(nullif(features, ''), kind) AS label, n_executions, n_queries, models, features, round(avg_score, 6) AS avg_score, {AT.format("first_at")} FROM configs
+        LEFT JOIN (SELECT config_id, count(*) AS n_executions, count(DISTINCT query_id) AS n_queries, string_agg(DISTINCT model, ',' ORDER BY model) AS models, min(created_at) AS first_at FROM executions GROUP BY 1) USING (config_id)
+        LEFT JOIN (SELECT config_id, avg(score) AS avg_score FROM evaluations JOIN executions USING (execution_id) WHERE scorer = '{SC}' GROUP BY 1) USING (config_id)
+        LEFT JOIN (SELECT config_id, string_agg(canonical_id, ',' ORDER BY canonical_id) AS features FROM config_features JOIN features USING (feature_id) GROUP BY 1) USING (config_id)""")
+on_cube("predicate_fields", X.predicate_fields, "SELECT name, count(DISTINCT query_id) AS n_queries, count(DISTINCT value) AS n_values, array_to_string(list_sort(list(DISTINCT value))[1:8], '|') AS samples FROM predicates GROUP BY 1")
+on_tables("meta_fields", lambda t: X.meta_fields(t("events"), "props").select("key", "n_rows", F.array_join("samples", "|").alias("samples")), "SELECT key, count(*) AS n_rows, array_to_string(list_sort(list(DISTINCT left(v, 80)))[1:8], '|') AS samples FROM (SELECT unnest(json_keys(props)) AS key, props FROM events), LATERAL (SELECT props->>key AS v) GROUP BY 1")
+on_cube("dataset_scope", lambda c: X.dataset_scope(c, True), f"{CLEAN} SELECT dataset, CASE WHEN coalesce(split, '') = '' THEN '(no split)' ELSE split END AS split, count(*) AS n_queries FROM queries WHERE query_id IN (SELECT query_id FROM qs) GROUP BY ALL")
+
+# -- comparison ---------------------------------------------------------------
+_PAIR = f"{ONE}, p AS (SELECT a.query_id, a.score AS a, b.score AS b FROM (SELECT * FROM s WHERE config_id = 1) a FULL JOIN (SELECT * FROM s WHERE config_id = 2) b USING (query_id))"
+on_cube("score_diff", lambda c: compare.score_diff(c, 1, 2, M, SC),
+        f"""{ONE}, x AS (SELECT query_id, score AS a FROM s WHERE config_id = 1), y AS (SELECT query_id, score AS b FROM s WHERE config_id = 2), j AS (SELECT * FROM x JOIN y USING (query_id))
+        SELECT (SELECT count(*) FROM x) AS n_a, (SELECT count(*) FROM y) AS n_b, count(*) AS n_shared, round(avg(a), 6) AS avg_a, round(avg(b), 6) AS avg_b, round(avg(b - a), 6) AS avg_delta, count(*) FILTER (b > a) AS n_up, count(*) FILTER (b < a) AS n_down, count(*) FILTER (a = b) AS n_agree FROM j""")
+_J = f"{ONE}, j AS (SELECT t.config_id, query_id, b.score AS base_score, t.score AS target_score FROM s t JOIN s b USING (query_id) WHERE b.config_id = 1 AND t.config_id <> 1)"
+on_cube("flips_many", lambda c: compare.flips(c, 1, [2, 3, 5], M, SC), f"{_J} SELECT config_id AS target_config_id, query_id, base_score, target_score, CASE WHEN target_score > base_score THEN 'up' ELSE 'down' END AS direction FROM j WHERE config_id IN (2, 3, 5) AND base_score <> target_score")
+_SAID = f"(SELECT query_id, max(prediction) FILTER (config_id = 1) AS base_prediction, max(prediction) FILTER (config_id = 2) AS target_prediction FROM executions WHERE model = '{M}' AND config_id IN (1, 2) GROUP BY 1)"
+for _way, _f in (("down", compare.harm_cases), ("up", compare.help_cases)):
+    on_cube(f"{'harm' if _way == 'down' else 'help'}_cases", lambda c, f=_f: f(c, 1, 2, M, SC), f"{_J} SELECT config_id AS target_config_id, query_id, base_score, target_score, '{_way}' AS direction, base_prediction, target_prediction, dataset FROM j JOIN {_SAID} USING (query_id) JOIN queries USING (query_id) WHERE config_id = 2 AND target_score {'<' if _way == 'down' else '>'} base_score")
+on_cube("add_one_deltas", lambda c: compare.add_one_deltas(c, 1, M, SC), f"{_J} SELECT c.config_id, canonical_id, count(j.query_id) AS n_shared, round(coalesce(avg(target_score - base_score), 0), 6) AS avg_delta, count(*) FILTER (target_score > base_score) AS n_up, count(*) FILTER (target_score < base_score) AS n_down FROM configs c LEFT JOIN j USING (config_id) WHERE kind = 'add_one_feature' GROUP BY ALL")
+on_cube("feature_effect_ranking", lambda c: compare.feature_effect_ranking(c, M, SC), f"{ALL} SELECT canonical_id, round(avg(score), 6) AS avg_score, count(*) AS n FROM a JOIN config_features USING (config_id) JOIN features USING (feature_id) GROUP BY 1")
+on_cube("predicate_slice", lambda c: compare.predicate_slice(c, M, SC, "lang", [1, 2]), f"{MEANS} SELECT config_id, '{M}' AS model, '{SC}' AS scorer, predicate_name, predicate_value, round(m, 6) AS avg_score, n FROM pm WHERE predicate_name = 'lang' AND config_id IN (1, 2)")
+
+# -- explorer -----------------------------------------------------------------
+on_cube("slice_scores", lambda c: X.slice_scores(c, M, SC, ["qtype", "split"], base=1, limit=None),
+        f"""{ONE}, g AS (SELECT config_id, qtype, CASE WHEN coalesce(split, '') = '' THEN '(no split)' ELSE split END AS split, count(*) AS n, avg(score) AS m, count(*) FILTER (score = 1) AS n_correct, count(*) FILTER (score = 0) AS n_wrong FROM s JOIN queries USING (query_id) GROUP BY ALL)
+        SELECT config_id, qtype, split, n, round(m, 6) AS avg_score, n_correct, n_wrong, round(m - max(CASE WHEN config_id = 1 THEN m END) OVER (PARTITION BY qtype, split), 6) AS delta FROM g""")
+on_cube("slice_by_predicate", lambda c: X.slice_scores(c, M, SC, ["predicate.is_long"], filters=[("predicate.lang", "in", ["en", "de"]), ("predicate.n_chars", ">", 800)], config_ids=[2, 3], base=1, limit=None),
+        f"""{ONE}, f AS (SELECT s.*, l.value AS v FROM s JOIN predicates l ON l.query_id = s.query_id AND l.name = 'is_long' JOIN predicates g ON g.query_id = s.query_id AND g.name = 'lang' AND g.value IN ('en', 'de') JOIN predicates n ON n.query_id = s.query_id AND n.name = 'n_chars' AND n.value::DOUBLE > 800),
+        g AS (SELECT config_id, v AS predicate_is_long, count(*) AS n, avg(score) AS m, count(*) FILTER (score = 1) AS n_correct, count(*) FILTER (score = 0) AS n_wrong FROM f WHERE config_id IN (1, 2, 3) GROUP BY ALL),
+        d AS (SELECT *, m - max(CASE WHEN config_id = 1 THEN m END) OVER (PARTITION BY predicate_is_long) AS delta FROM g)
+        SELECT config_id, predicate_is_long, n, round(m, 6) AS avg_score, n_correct, n_wrong, round(delta, 6) AS delta FROM d WHERE config_id <> 1""")
+on_cube("label_analysis", lambda c: X.label_analysis(c, M, SC, 1), f"{ALL}, r AS (SELECT DISTINCT label_id, config_id, query_id, score FROM a JOIN config_features USING (config_id) JOIN features USING (feature_id)), b AS (SELECT avg(score) AS m FROM a WHERE config_id = 1) SELECT label_id, 'implements' AS role, count(DISTINCT config_id) AS n_configs, count(DISTINCT query_id) AS n_queries, count(*) AS n, round(avg(score), 6) AS avg_score, round(any_value(m), 6) AS base_avg, round(avg(score) - any_value(m), 6) AS delta FROM r, b GROUP BY 1")
+on_cube("compare_configs", lambda c: X.compare_configs(c, 1, 3, M, SC, [("dataset", "!=", "src1"), ("score", ">=", 0)]), f"{ONE} SELECT query_id, dataset, a.score AS base_score, b.score AS target_score, CASE WHEN b.score > a.score THEN 'up' WHEN b.score < a.score THEN 'down' ELSE 'same' END AS direction FROM s a JOIN s b USING (query_id) JOIN queries USING (query_id) WHERE a.config_id = 1 AND b.config_id = 3 AND dataset <> 'src1'")
+_CE = f"{ONE}, j AS (SELECT query_id, dataset, a.score AS base_score, b.score AS target_score, CASE WHEN b.score > a.score THEN 'up' WHEN b.score < a.score THEN 'down' ELSE 'same' END AS direction FROM s a JOIN s b USING (query_id) JOIN queries USING (query_id) WHERE a.config_id = 1 AND b.config_id = 2)"
+on_cube("comparison_examples", lambda c: X.comparison_examples(c, 1, 2, M, SC, "down", 20), f"{_CE} SELECT * FROM j WHERE direction = 'down' ORDER BY query_id LIMIT 20")
+on_cube("comparison_examples_compat", lambda c: X.comparison_examples(c, 1, 2, M, SC, "down", 20, compat=True), f"{_CE} SELECT * FROM (SELECT * FROM j ORDER BY query_id LIMIT 20) WHERE direction = 'down'")
+on_cube("examples", lambda c: X.examples(c, M, SC, [("split", "is_not_empty")]), f"{ALL} SELECT config_id, query_id, score, prediction, CASE WHEN length(raw_response) > 80 THEN left(raw_response, 80) || '...' ELSE raw_response END AS response FROM a JOIN queries USING (query_id) WHERE coalesce(split, '') <> '' ORDER BY score NULLS FIRST, config_id, query_id LIMIT 50")
+on_cube("execution_artifact", lambda c: X.execution_artifact(c, 42), "SELECT e.execution_id, config_id, query_id, model, dataset, prediction, error, arg_min(scorer, eval_id) AS scorer, round(arg_min(coalesce(score, -1), eval_id), 6) AS score FROM executions e JOIN queries USING (query_id) JOIN evaluations USING (execution_id) WHERE e.execution_id = 42 GROUP BY ALL")
+on_cube("diagnostics", lambda c: X.diagnostics(c, M, SC),
+        f"""{ALL}, x AS (SELECT score, unnest([['ecr', coalesce(nullif(metrics->>'$."ECR@1"', ''), '(missing)')], ['output_mode', coalesce(metrics->>'$.output_mode', '(missing)')], ['error_state', CASE WHEN coalesce(error, '') = '' THEN 'ok' ELSE 'error' END],
+        ['response_pattern', CASE WHEN coalesce(error, '') <> '' THEN 'error' WHEN trim(raw_response) = '' THEN 'empty' WHEN raw_response LIKE 'Final Answer%' THEN 'bare_final_answer_line' WHEN raw_response LIKE 'print(%' THEN 'prints_final_answer' ELSE 'other' END]]) AS p FROM a)
+        SELECT p[1] AS histogram, p[2] AS bucket, count(*) AS n, round(avg(score), 6) AS avg_score FROM x GROUP BY ALL""")
+on_cube("plan_delete", lambda c: X.plan_delete(c, [M], [2], [("dataset", "=", "src3")]), f"SELECT count(DISTINCT e.execution_id) AS n_executions, count(eval_id) AS n_evaluations, count(DISTINCT query_id) AS n_queries FROM executions e JOIN queries USING (query_id) LEFT JOIN evaluations v ON v.execution_id = e.execution_id WHERE model = '{M}' AND config_id = 2 AND dataset = 'src3'")
+on_cube("recent", X.recent, "SELECT execution_id, config_id, query_id, model FROM executions ORDER BY created_at DESC, execution_id DESC LIMIT 20")
+on_cube("recent_errors", X.errors, "SELECT execution_id, config_id, query_id, model, error FROM executions WHERE coalesce(error, '') <> '' ORDER BY created_at DESC, execution_id DESC LIMIT 20")
+
+# -- effects ------------------------------------------------------------------
+_LIFT = f"{MEANS}, lift AS MATERIALIZED (SELECT c.canonical_id, t.predicate_name, t.predicate_value, t.m AS target_mean, b.m AS base_mean, t.m - b.m AS lift, t.n AS n_target, coalesce(b.n, 0) AS n_base FROM pm t JOIN configs c USING (config_id) LEFT JOIN pm b ON b.config_id = 1 AND b.predicate_name = t.predicate_name AND b.predicate_value = t.predicate_value WHERE c.kind = 'add_one_feature')"
+_DID = f"{_LIFT}, ref AS (SELECT predicate_name, min(predicate_value) AS reference FROM lift GROUP BY 1 HAVING count(DISTINCT predicate_value) = 2), dd AS MATERIALIZED (SELECT l.*, reference, lift - max(CASE WHEN predicate_value = reference THEN lift END) OVER (PARTITION BY canonical_id, l.predicate_name) AS did FROM lift l LEFT JOIN ref USING (predicate_name))"
+_NO_N = "predicate_name <> 'n_chars'"
+_lift = lambda c: effect.lift_simple(c, 1, M, SC).where(_NO_N)
+on_cube("lift_simple", _lift, f"{_LIFT} SELECT canonical_id, predicate_name, predicate_value, round(target_mean, 6) AS target_mean, round(base_mean, 6) AS base_mean, round(lift, 6) AS lift, n_target, n_base FROM lift WHERE {_NO_N}")
+on_cube("lift_marginal", lambda c: effect.lift_marginal(c, M, SC, "lang"),
+        f"""{MEANS}, h AS (SELECT f.canonical_id, pm.*, EXISTS (FROM config_features k WHERE k.config_id = pm.config_id AND k.feature_id = f.feature_id) AS has FROM pm, features f WHERE predicate_name = 'lang'),
+        g AS (SELECT canonical_id, predicate_name, predicate_value, avg(m) FILTER (has) AS t, avg(m) FILTER (NOT has) AS b, count(*) FILTER (has) AS n_target, count(*) FILTER (NOT has) AS n_base FROM h GROUP BY ALL)
+        SELECT canonical_id, predicate_name, predicate_value, round(t, 6) AS target_mean, round(b, 6) AS base_mean, n_target, n_base, round(t - b, 6) AS lift FROM g WHERE n_target > 0 AND n_base > 0""")
+on_cube("did", lambda c: effect.did(_lift(c)).select("canonical_id", "predicate_name", "predicate_value", "reference", "lift", "did"), f"{_DID} SELECT canonical_id, predicate_name, predicate_value, reference, round(lift, 6) AS lift, round(did, 6) AS did FROM dd WHERE {_NO_N}")
+on_cube("did_given_reference", lambda c: effect.did(_lift(c), {"lang": "en"}).where("predicate_name = 'lang'").select("canonical_id", "predicate_value", "did"), f"{_LIFT} SELECT canonical_id, predicate_value, round(lift - max(CASE WHEN predicate_value = 'en' THEN lift END) OVER (PARTITION BY canonical_id), 6) AS did FROM lift WHERE predicate_name = 'lang'")
+on_cube("rank_effects", lambda c: effect.rank(_lift(c), sort_by="lift", top_k=6, min_effect=0.01, require_sign="positive").select("canonical_id", "predicate_name", "predicate_value", "lift"), f"{_LIFT} SELECT canonical_id, predicate_name, predicate_value, round(lift, 6) AS lift FROM lift WHERE {_NO_N} AND lift > 0 AND abs(lift) >= 0.01 ORDER BY lift DESC, canonical_id, predicate_name, predicate_value LIMIT 6")
+on_cube("rank_pair_gate", lambda c: effect.rank(_lift(c), min_lift_in_pair=0.02).select("canonical_id", "predicate_name", "predicate_value", "lift"), f"{_LIFT}, w AS (SELECT *, max(lift) OVER (PARTITION BY canonical_id, predicate_name) AS t FROM lift) SELECT canonical_id, predicate_name, predicate_value, round(lift, 6) AS lift FROM w WHERE {_NO_N} AND t > 0.02")
+on_cube("feature_profile", lambda c: effect.feature_profile(effect.did(_lift(c))).drop("top_predicate"),
+        f"""{_DID}, f AS (SELECT * FROM dd WHERE {_NO_N}), g AS (SELECT canonical_id, avg(lift) AS mean_lift, max(lift) AS max_lift, min(lift) AS min_lift, count(*) FILTER (lift >= 0.05) AS n_up, count(*) FILTER (lift <= -0.05) AS n_down, count(*) AS n_cells, max(abs(did)) AS max_abs_did FROM f GROUP BY 1)
+        SELECT canonical_id, round(mean_lift, 6) AS mean_lift, round(max_lift, 6) AS max_lift, round(min_lift, 6) AS min_lift, n_up, n_down, n_cells, round(max_abs_did, 6) AS max_abs_did,
+        CASE WHEN n_up > 0 AND n_down > 0 THEN 'mixed' WHEN coalesce(max_abs_did, 0) > 0.05 THEN 'selective' WHEN n_up = n_cells OR n_down = n_cells THEN 'broad' ELSE 'null' END AS label FROM g""")
+on_cube("predicate_overlap", lambda c: effect.predicate_overlap(c, 0.2), "p AS (SELECT DISTINCT * FROM predicates), z AS (SELECT name, value, count(*) AS k FROM p GROUP BY ALL), j AS (SELECT a.name AS name_a, a.value AS value_a, b.name AS name_b, b.value AS value_b, count(*) AS n_shared FROM p a JOIN p b ON a.query_id = b.query_id AND a.name < b.name GROUP BY ALL) SELECT name_a, value_a, name_b, value_b, n_shared, round(n_shared / (x.k + y.k - n_shared), 6) AS jaccard FROM j JOIN z x ON x.name = name_a AND x.value = value_a JOIN z y ON y.name = name_b AND y.value = value_b WHERE n_shared / (x.k + y.k - n_shared) >= 0.2")
+on_cube("predicate_kinds", effect.predicate_kinds, "SELECT name, CASE WHEN bool_and(try_cast(value AS DOUBLE) IS NOT NULL) THEN 'numeric' ELSE 'categorical' END AS kind, count(DISTINCT value) AS n_values FROM predicates GROUP BY 1")
+on_cube("paired_bootstrap", lambda c: confidence.attach_ci(_lift(c).where("predicate_name in ('lang', 'is_long')"), c, 1, M, SC).select("canonical_id", "predicate_name", "predicate_value", "lift", "ci_lo", "ci_hi", "p_gt_zero"))
+
+
+def _deltas_for_bootstrap(c: Cube) -> DataFrame:
+    rows = c.scored_executions(M, SC, "is_long")
+    base = rows.where("config_id = 1").select("query_id", F.col("score").alias("b"))
+    return rows.where("config_id = 2").join(base, "query_id").select("predicate_value", "query_id", (F.col("score") - F.col("b")).alias("delta"))
+
+
+on_cube("hashed_bootstrap", lambda c: confidence.hashed_bootstrap(_deltas_for_bootstrap(c), ["predicate_value"], resamples=40),
+        f"""{ONE}, d AS MATERIALIZED (SELECT p.value AS predicate_value, t.query_id, t.score - b.score AS delta, row_number() OVER (PARTITION BY p.value ORDER BY t.query_id) - 1 AS i FROM s t JOIN s b USING (query_id) JOIN predicates p USING (query_id) WHERE t.config_id = 2 AND b.config_id = 1 AND p.name = 'is_long'),
+        z AS (SELECT predicate_value, count(*) AS n FROM d GROUP BY 1), k AS (SELECT predicate_value, n, b.range AS b, k.range AS k FROM z, range(40) b, range(100000) k WHERE k.range < n),
+        m AS (SELECT k.predicate_value, b, avg(delta) AS m FROM k JOIN d ON d.predicate_value = k.predicate_value AND d.i = ('0x' || substr(md5(concat(b, ':', k)), 1, 8))::UBIGINT % n GROUP BY ALL)
+        SELECT predicate_value, round(quantile_cont(m, 0.05), 6) AS ci_lo, round(quantile_cont(m, 0.95), 6) AS ci_hi, round(avg((m > 0)::INT), 6) AS p_gt_zero FROM m GROUP BY 1""")
+_QUERIES["pipeline_effects"] = lambda spark, sf: rounded(Pipeline(projected(spark, sf)).source(M, SC).scope(1).effect().filter(min_effect=0.01).rank("lift", 10).run().select("canonical_id", "predicate_name", "predicate_value", "lift", "did"))
+_SQL["pipeline_effects"] = f"{CTES}, {_DID} SELECT canonical_id, predicate_name, predicate_value, round(lift, 6) AS lift, round(did, 6) AS did FROM dd WHERE {_NO_N} AND abs(lift) >= 0.01 ORDER BY lift DESC, canonical_id, predicate_name, predicate_value LIMIT 10"
+
+# -- matching of sets ---------------------------------------------------------
+on_cube("find_config_by_features", lambda c: resolve.find_config_by_features(c, ["feat_a", "feat_b"]), "SELECT config_id FROM config_features JOIN features USING (feature_id) GROUP BY 1 HAVING count(*) = 2 AND bool_and(canonical_id IN ('feat_a', 'feat_b'))")
+on_cube("configs_containing_features", resolve.configs_containing_features, "SELECT f.canonical_id, c.config_id FROM features f, configs c WHERE list_has_all(string_split(c.funcs, ','), string_split(f.funcs, ','))")
+on_cube("simple_effect_configs", lambda c: resolve.simple_effect_configs(c, 1), "SELECT * FROM (VALUES ('feat_a', 2::BIGINT, 1), ('feat_b', 3, 1), ('feat_c', 4, 1)) AS t(canonical_id, config_id, way)")
+on_cube("base_like_features", lambda c: resolve.base_like_features(c, 5), "SELECT f.canonical_id FROM features f, configs c WHERE c.config_id = 5 AND list_has_all(string_split(c.funcs, ','), string_split(f.funcs, ','))")
+on_cube("equal_func_sets", lambda c: resolve.same_funcs(c).select("n", "first_config"), "SELECT count(*) AS n, min(config_id) AS first_config FROM configs GROUP BY list_sort(string_split(funcs, ','))")
+
+# -- adaptive -----------------------------------------------------------------
+_NAMES = ["lang", "is_long"]
+_D = f"{ALL}, w AS (SELECT q.query_id, coalesce(max(value) FILTER (name = 'lang'), '') AS lang, coalesce(max(value) FILTER (name = 'is_long'), '') AS is_long FROM queries q LEFT JOIN predicates p ON p.query_id = q.query_id GROUP BY 1), pr AS (SELECT config_id, array_to_string(list_sort(list_filter(string_split(funcs, ','), lambda x: x <> 'f0')), '+') AS primitive_id FROM configs WHERE config_id <> 1), d AS MATERIALIZED (SELECT t.query_id, primitive_id, t.config_id, b.score AS baseline_score, t.score AS primitive_score, t.score - b.score AS delta, w.lang, w.is_long FROM a t JOIN pr USING (config_id) JOIN a b ON b.query_id = t.query_id AND b.config_id = 1 JOIN w ON w.query_id = t.query_id)"
+_delta = lambda c: adaptive.build_delta_table(c, 1, M, SC, _NAMES)
+on_cube("predicate_table", lambda c: adaptive.predicate_table(c, ["lang", "quality"]), "SELECT q.query_id, coalesce(max(value) FILTER (name = 'lang'), '') AS lang, coalesce(max(value) FILTER (name = 'quality'), '') AS quality FROM queries q LEFT JOIN predicates p ON p.query_id = q.query_id GROUP BY 1")
+on_cube("delta_table", _delta, f"{_D} SELECT * FROM d")
+on_cube("delta_predicate_types", lambda c: adaptive.predicate_types(_delta(c).join(adaptive.predicate_table(c, ["n_chars"]), "query_id"), ["lang", "n_chars"]), "SELECT * FROM (VALUES ('lang', 'categorical'), ('n_chars', 'numerical')) AS t(name, type)")
+_CELLS = f"{_D}, l AS (SELECT primitive_id, delta, unnest(['lang', 'is_long']) AS predicate_name, unnest([lang, is_long]) AS predicate_value FROM d), tt AS (SELECT primitive_id, count(*) AS n_total FROM d GROUP BY 1), cells AS MATERIALIZED (SELECT primitive_id, predicate_name, predicate_value, count(*) AS n, avg(delta) AS mean, stddev_samp(delta) AS std, any_value(n_total) AS n_total FROM l JOIN tt USING (primitive_id) WHERE predicate_value <> '' GROUP BY ALL)"
+on_cube("summarize_cells", lambda c: adaptive.summarize_cells(_delta(c), _NAMES), f"{_CELLS} SELECT primitive_id, predicate_name, predicate_value, n, round(mean, 6) AS mean, round(std, 6) AS std, round(CASE WHEN n > 1 THEN std / sqrt(n) ELSE 'inf'::DOUBLE END, 6) AS se, round(n / n_total, 6) AS coverage FROM cells")
+on_cube("classify_primitives", lambda c: adaptive.classify_primitives(adaptive.summarize_cells(_delta(c), _NAMES)),
+        f"""{_CELLS}, f AS (SELECT primitive_id, n >= 30 AS sure, n >= 30 AND mean - 1.96 * std / sqrt(n) > 0 AND mean >= 0.05 AS up, n >= 30 AND mean + 1.96 * std / sqrt(n) < 0 AND mean <= -0.05 AS down FROM cells),
+        g AS (SELECT primitive_id, count(*) FILTER (sure) AS n_sure, count(*) FILTER (up) AS n_up, count(*) FILTER (down) AS n_down FROM f GROUP BY 1)
+        SELECT *, CASE WHEN n_sure = 0 THEN 'undetermined' WHEN n_up > 0 AND n_down > 0 THEN 'gated' WHEN n_up > 0 AND n_up < n_sure THEN 'gated' WHEN n_up > 0 THEN 'always_on' WHEN n_down > 0 THEN 'always_off' ELSE 'undetermined' END AS kind FROM g""")
+on_cube("pick_target_cells", lambda c: adaptive.pick_target_cells(adaptive.summarize_cells(_delta(c), _NAMES), min_n=1000).select("primitive_id", "predicate_name", "predicate_value", "n", "priority"), f"{_CELLS} SELECT primitive_id, predicate_name, predicate_value, n, round(abs(mean) + std / sqrt(n), 6) AS priority FROM cells ORDER BY round(abs(mean) + std / sqrt(n), 12) DESC, 1, 2, 3 LIMIT 10")
+on_cube("regression_on_predicate", lambda c: adaptive.regressions(adaptive.build_delta_table(c, 1, M, SC, ["n_chars"]), "n_chars").select("primitive_id", "n", (F.col("slope") * 1e6).alias("slope_e6"), (F.col("se") * 1e6).alias("se_e6")),
+        f"""{_D}, x AS (SELECT primitive_id, n_chars::DOUBLE AS x, delta AS y FROM d JOIN queries USING (query_id)), g AS (SELECT primitive_id, count(*) AS n, regr_sxx(y, x) AS sxx, regr_sxy(y, x) AS sxy, regr_syy(y, x) AS syy FROM x GROUP BY 1)
+        SELECT primitive_id, n, round(sxy / sxx * 1e6, 6) AS slope_e6, round(sqrt((syy - sxy * sxy / sxx) / (n - 2) / sxx) * 1e6, 6) AS se_e6 FROM g""")
+on_cube("stratified_sample", lambda c: adaptive.stratified_sample(c.query.select("query_id", "dataset"), "dataset", "query_id", 100, 7), "z AS (SELECT dataset, greatest(1, floor(100 * count(*) / (SELECT count(*) FROM queries)))::BIGINT AS quota FROM queries GROUP BY 1), r AS (SELECT query_id, dataset, row_number() OVER (PARTITION BY dataset ORDER BY md5('7:' || query_id), query_id) AS r FROM queries) SELECT query_id, dataset FROM r JOIN z USING (dataset) WHERE r <= quota")
+on_cube("targeted_plan", lambda c: adaptive.targeted_plan(c, c.spark.createDataFrame([("fa", "lang", "de"), ("fb", "is_long", "true")], "primitive_id string, predicate_name string, predicate_value string"), M, c.spark.createDataFrame([("fa", 2), ("fb", 3)], "primitive_id string, config_id bigint"), 5),
+        f"""cells AS (SELECT * FROM (VALUES ('fa', 'lang', 'de', 2::BIGINT), ('fb', 'is_long', 'true', 3)) AS t(primitive_id, predicate_name, predicate_value, config_id)), w AS (SELECT cells.*, query_id FROM cells JOIN predicates p ON p.name = predicate_name AND p.value = predicate_value WHERE NOT EXISTS (FROM executions e WHERE e.config_id = cells.config_id AND e.query_id = p.query_id AND model = '{M}')),
+        r AS (SELECT *, row_number() OVER (PARTITION BY primitive_id, predicate_name, predicate_value ORDER BY md5('0:' || query_id), query_id) AS r FROM w) SELECT primitive_id, config_id, predicate_name, predicate_value, query_id FROM r WHERE r <= 5""")
+on_cube("trim_plan", lambda c: adaptive.trim_plan(c.config.select("config_id", (F.col("config_id") * 10).alias("size")), "config_id", "size", 75).select("config_id", "granted"), "b AS (SELECT config_id, config_id * 10 AS size, coalesce(sum(config_id * 10) OVER (ORDER BY config_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM configs) SELECT config_id, least(size, 75 - before)::BIGINT AS granted FROM b WHERE before < 75")
+on_cube("cohorts", lambda c: adaptive.cohorts(c, ["lang", "quality"], min_size=5, max_queries=8), "w AS (SELECT query_id, max(value) FILTER (name = 'lang') || '|' || max(value) FILTER (name = 'quality') AS cohort FROM predicates GROUP BY 1), z AS (SELECT cohort FROM w WHERE cohort IS NOT NULL GROUP BY 1 HAVING count(*) >= 5), r AS (SELECT cohort, query_id, row_number() OVER (PARTITION BY cohort ORDER BY md5('0:' || query_id), query_id) AS r FROM w JOIN z USING (cohort)) SELECT cohort, query_id FROM r WHERE r <= 8")
+on_cube("cross_plan", lambda c: adaptive.cross_plan(c.config.select("config_id", F.when(F.col("config_id") % 2 == 0, "en").otherwise("fr").alias("cohort")), adaptive.cohorts(c, ["lang"])), "SELECT cohort, config_id, query_id FROM (SELECT config_id, CASE WHEN config_id % 2 = 0 THEN 'en' ELSE 'fr' END AS cohort FROM configs) JOIN (SELECT value AS cohort, query_id FROM predicates WHERE name = 'lang') USING (cohort)")
+on_cube("routing_oracle_gain", lambda c: routing.oracle_gain(_delta(c)), f"{_D}, b AS (SELECT query_id, max(delta) AS m FROM d GROUP BY 1) SELECT round(avg(greatest(0, m)), 6) AS oracle_gain, count(*) AS n_queries FROM b")
+on_cube("routing_gain", lambda c: routing.evaluate_routing(routing.fit_routing(_delta(c), _NAMES, leaf=20), _delta(c)))
+on_cube("design_frame", lambda c: design.to_frame(c.spark, design.generate("add_one", base=["f0"], items=["fa", "fb", "fc"])).select("config_id", "label", F.array_join("func_ids", ",").alias("funcs")), "SELECT * FROM (VALUES (1::BIGINT, 'base', 'f0'), (2, 'add:fa', 'f0,fa'), (3, 'add:fb', 'f0,fb'), (4, 'add:fc', 'f0,fc')) AS t(config_id, label, funcs)")
+
+# -- predicates and scalar functions ------------------------------------------
+_BENCH = "lower(coalesce(text, ''))"
+
+
+def _all_predicates(t) -> DataFrame:
+    return P.extract(t("benchmark"), "item_id", {n: f(F.col("text")) for n, f in P.EXTRACTORS.items()} | {"asks_list": F.when(P.matches(F.col("text"), P.TASK_PATTERNS["sql"]["q_asks_list"]), "true").otherwise("false")})
+
+
+_FLAGS = {**P.INTENTS, "is_count": P.COUNT, "asks_list": P.TASK_PATTERNS["sql"]["q_asks_list"]}
+on_tables("question_predicates", _all_predicates,
+          "WITH b AS (SELECT item_id, text, " + _BENCH + " AS t FROM benchmark) "
+          + " UNION ALL ".join(f"SELECT item_id, '{n}' AS name, CASE WHEN regexp_matches(t, '{p}') THEN 'true' ELSE 'false' END AS value FROM b" for n, p in _FLAGS.items())
+          + f" UNION ALL SELECT item_id, 'operation_type', CASE WHEN regexp_matches(t, '{P.COUNT}') THEN 'count' WHEN regexp_matches(t, '{P.INTENTS['has_superlative']}') THEN 'superlative' WHEN regexp_matches(t, '{P.INTENTS['has_arithmetic']}') THEN 'arithmetic' WHEN regexp_matches(t, '{P.INTENTS['has_comparison']}') THEN 'comparison' WHEN regexp_matches(t, '{P.INTENTS['has_aggregation']}') THEN 'aggregation' ELSE 'lookup' END FROM b"
+          + " UNION ALL SELECT item_id, 'question_length', CASE WHEN n < 8 THEN 'short' WHEN n < 16 THEN 'medium' ELSE 'long' END FROM (SELECT item_id, len(list_filter(regexp_split_to_array(text, '[ \t\r\n]+'), lambda w: w <> '')) AS n FROM b)")
+on_tables("normalize_answer", lambda t: t("benchmark").select("item_id", S.normalize_answer(F.col("text")).alias("answer")), r"SELECT item_id, array_to_string(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[!-/:-@\[-`{-~]', '', 'g'), '[ \t\r\n]+'), lambda w: w NOT IN ('', 'a', 'an', 'the')), ' ') AS answer FROM benchmark")
+on_tables("text_preview", lambda t: t("documents").select("doc_id", S.preview(F.col("text"), 60).alias("preview")), "SELECT doc_id, CASE WHEN length(text) > 60 THEN left(text, 60) || '...' ELSE text END AS preview FROM documents")
+on_tables("split_answers", lambda t: t("part").select("p_partkey", F.array_join(S.split_answers(F.concat_ws(",", "p_name", "p_brand")), "/").alias("answers")), "SELECT p_partkey, array_to_string(list_filter(list_transform(string_split(concat_ws(',', p_name, p_brand), ','), lambda x: trim(x)), lambda x: x <> ''), '/') AS answers FROM part")
+on_tables("sql_error_kinds", lambda t: t("events").select("event_id", S.sql_error_kind(F.when(F.col("event_type") == "error", "no such column: x").when(F.col("event_type") == "click", "near x: syntax error").otherwise("")).alias("kind")), "SELECT event_id, CASE event_type WHEN 'error' THEN 'missing_column' WHEN 'click' THEN 'syntax' ELSE 'none' END AS kind FROM events")
+on_tables("trigram_similarity", lambda t: t("nation").alias("a").join(t("nation").alias("b"), F.col("a.n_regionkey") == F.col("b.n_regionkey")).select(F.col("a.n_nationkey").alias("x"), F.col("b.n_nationkey").alias("y"), S.trigram_similarity(F.col("a.n_name"), F.col("b.n_name")).alias("similarity")),
+          "WITH g AS (SELECT n_nationkey, n_regionkey, list_distinct(list_transform(range(1, length('  ' || n_name || ' ') - 1), lambda i: substr('  ' || lower(n_name) || ' ', i, 3))) AS t FROM nation) SELECT a.n_nationkey AS x, b.n_nationkey AS y, round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))), 6) AS similarity FROM g a JOIN g b USING (n_regionkey)")
+on_tables("hash_line_table", lambda t: t("benchmark").select("item_id", R.hash_lines(F.translate("text", ",", "#")).alias("t")).select("item_id", F.size("t.header").alias("n_cols"), F.size("t.rows").alias("n_rows")), "WITH l AS (SELECT item_id, list_filter(string_split(replace(text, ',', '#'), chr(10)), lambda x: trim(x) <> '') AS l FROM benchmark) SELECT item_id, len(string_split(l[1], '#'))::INT AS n_cols, (len(l) - 1)::INT AS n_rows FROM l")
+
+
+def _nation_table(t) -> DataFrame:
+    rows = t("nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.array(F.lpad(F.col("n_nationkey").cast("string"), 2, "0"), "n_name"))).alias("rows"))
+    return rows.select("n_regionkey", F.struct(F.array(F.lit("key"), F.lit("name")).alias("header"), F.col("rows").alias("rows")).alias("t"))
+
+
+_NATION = "WITH r AS (SELECT n_regionkey, list_sort(list([lpad(n_nationkey::VARCHAR, 2, '0'), n_name])) AS r FROM nation GROUP BY 1) "
+on_tables("table_markdown", lambda t: _nation_table(t).select("n_regionkey", R.markdown(F.col("t")).alias("md")), _NATION + "SELECT n_regionkey, '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || array_to_string(list_transform(r, lambda x: '| ' || x[1] || ' | ' || x[2] || ' |'), chr(10)) AS md FROM r")
+on_tables("table_csv", lambda t: _nation_table(t).select("n_regionkey", R.csv(F.col("t")).alias("csv")), _NATION + "SELECT n_regionkey, 'key,name' || chr(10) || array_to_string(list_transform(r, lambda x: x[1] || ',' || x[2]), chr(10)) AS csv FROM r")
+on_tables("table_html", lambda t: _nation_table(t).select("n_regionkey", R.html(F.col("t")).alias("html")), _NATION + "SELECT n_regionkey, '<table><tr><th>key</th><th>name</th></tr>' || array_to_string(list_transform(r, lambda x: '<tr><td>' || x[1] || '</td><td>' || x[2] || '</td></tr>'), '') || '</table>' AS html FROM r")
+on_tables("table_structure", lambda t: _nation_table(t).select("n_regionkey", *(c.alias(n) for n, c in P.table_structure(F.col("t.rows"), F.col("t.header")).items())), _NATION + "SELECT n_regionkey, len(r)::INT AS n_rows, 2 AS n_cols, 1 AS n_numeric_cols, 'true' AS has_numeric_cols, CASE WHEN 2 / len(r) > 0.5 THEN 'wide' WHEN 2 / len(r) < 0.1 THEN 'tall' ELSE 'square' END AS t_shape FROM r")
+on_tables("table_annotate_types", lambda t: _nation_table(t).select("n_regionkey", F.array_join(R.annotate_types(F.col("t"))["header"], ",").alias("header")), "SELECT DISTINCT n_regionkey, 'key (integer),name (text)' AS header FROM nation")
+
+# -- scorers ------------------------------------------------------------------
+_GOLD = "SELECT e.execution_id, prediction, CAST(doc_id % 10 AS VARCHAR) AS gold, raw_response FROM executions e WHERE model = 'alpha' AND config_id = 2"
+_gold = lambda c: c.execution.where("model = 'alpha' and config_id = 2").select("execution_id", "prediction", (F.col("query_id").cast("bigint") % 10).cast("string").alias("gold"), "raw_response")
+on_cube("score_exact_match", lambda c: _gold(c).select("execution_id", G.exact_match(F.col("prediction"), F.col("gold")).alias("score")), f"g AS ({_GOLD}) SELECT execution_id, (prediction = gold)::DOUBLE AS score FROM g")
+on_cube("score_denotation", lambda c: _gold(c).select("execution_id", G.denotation(F.concat_ws("|", "prediction", "gold"), F.concat_ws("|", "gold", "prediction", "gold")).alias("score")), f"g AS ({_GOLD}) SELECT execution_id, 1.0::DOUBLE AS score FROM g")
+on_cube("score_close_number", lambda c: _gold(c).select("execution_id", G.close_number(F.col("prediction"), F.col("gold")).alias("score")), f"g AS ({_GOLD}) SELECT execution_id, (abs(prediction::DOUBLE - gold::DOUBLE) <= 0.1 * abs(gold::DOUBLE))::INT::DOUBLE AS score FROM g")
+on_tables("score_fact", lambda t: t("lineitem").select("l_orderkey", "l_linenumber", G.fact_accuracy(F.when(F.col("l_returnflag") == "R", "Refuted.").when(F.col("l_returnflag") == "A", "yes").otherwise("maybe"), F.when(F.col("l_linestatus") == "F", 1).otherwise(0)).alias("score")), "SELECT l_orderkey, l_linenumber, (CASE l_returnflag WHEN 'R' THEN l_linestatus <> 'F' WHEN 'A' THEN l_linestatus = 'F' ELSE false END)::INT::DOUBLE AS score FROM lineitem")
+on_tables("score_token_f1", lambda t: t("part").select("p_partkey", G.token_f1(F.col("p_name"), F.col("p_type")).alias("f1")),
+          r"WITH n AS (SELECT p_partkey, list_filter(regexp_split_to_array(regexp_replace(lower(p_name), '[!-/:-@\[-`{-~]', '', 'g'), '[ \t\r\n]+'), lambda w: w NOT IN ('', 'a', 'an', 'the')) AS p, list_filter(regexp_split_to_array(regexp_replace(lower(p_type), '[!-/:-@\[-`{-~]', '', 'g'), '[ \t\r\n]+'), lambda w: w NOT IN ('', 'a', 'an', 'the')) AS g FROM part) SELECT p_partkey, round(CASE WHEN len(p) = 0 OR len(g) = 0 THEN (len(p) = len(g))::INT::DOUBLE ELSE 2.0 * coalesce(list_sum(list_transform(list_distinct(p), lambda w: least(len(list_filter(p, lambda x: x = w)), len(list_filter(g, lambda x: x = w))))), 0) / (len(p) + len(g)) END, 6) AS f1 FROM n")
+
+
+def _baskets(t) -> DataFrame:
+    return t("lineitem").groupBy("l_orderkey").agg(F.collect_set((F.col("l_partkey") % 5).cast("string")).alias("found"), F.collect_set((F.col("l_suppkey") % 5).cast("string")).alias("gold"))
+
+
+_BASKETS = "WITH b AS (SELECT l_orderkey, list(DISTINCT (l_partkey % 5)::VARCHAR) AS found, list(DISTINCT (l_suppkey % 5)::VARCHAR) AS gold FROM lineitem GROUP BY 1) "
+on_tables("score_retrieval", lambda t: _baskets(t).select("l_orderkey", *(c.alias(n) for n, c in G.retrieval(F.col("found"), F.col("gold")).items())), _BASKETS + "SELECT l_orderkey, list_has_all(found, gold)::INT::DOUBLE AS score, round(len(list_intersect(gold, found)) / len(gold), 6) AS recall FROM b")
+on_tables("score_schema_link", lambda t: _baskets(t).select("l_orderkey", *(c.alias(n) for n, c in G.schema_link(F.col("found"), F.col("gold")).items())), _BASKETS + "SELECT l_orderkey, round(h / len(found), 6) AS precision, round(h / len(gold), 6) AS recall, round(CASE WHEN h = 0 THEN 0 ELSE 2 * (h / len(found)) * (h / len(gold)) / (h / len(found) + h / len(gold)) END, 6) AS f1 FROM (SELECT *, len(list_intersect(found, gold)) AS h FROM b)")
+on_tables("score_privacy", lambda t: t("customer").select("c_custkey", *(c.alias(n) for n, c in G.privacy(F.col("c_name"), F.col("c_name"), F.array(F.lit("0001"), F.col("c_mktsegment"))).items())), "SELECT c_custkey, contains(c_name, '0001') OR contains(lower(c_name), lower(c_mktsegment)) AS leaked, (NOT (contains(c_name, '0001') OR contains(lower(c_name), lower(c_mktsegment))))::INT::DOUBLE AS score FROM customer")
+on_tables("score_execution_match", lambda t: G.same_rows(t("nation").select("n_regionkey", "n_name"), t("nation").where("n_regionkey <> 2").select("n_regionkey", "n_name")), "SELECT count(*) FILTER (n_regionkey = 2) AS left_only, 0::BIGINT AS right_only FROM nation")
+on_cube("failed_predictions", lambda c: benchmarks.failed_predictions([c], SC), f"SELECT query_id, prediction AS wrong, count(*) AS n, string_agg(DISTINCT model, ',' ORDER BY model) AS models FROM executions JOIN evaluations USING (execution_id) WHERE scorer = '{SC}' AND score = 0 GROUP BY ALL")
+on_tables("score_rouge_l", lambda t: t("benchmark").select("item_id", G.rouge_l(F.col("text"), F.reverse(F.col("text"))).alias("score")))
+
+# -- retrieval, windows and sources -------------------------------------------
+on_tables("bm25", lambda t: retrieval.bm25(t("documents").select("doc_id", "text"), t("benchmark").select(F.col("item_id").alias("query_id"), "text")).select("query_id", "doc_id", "rank"),
+          """WITH tk AS MATERIALIZED (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '') AS t FROM documents), z AS (SELECT count(*) AS nd, avg(len(t)) AS al FROM tk),
+          q AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS term FROM benchmark),
+          p AS (SELECT term, doc_id, l, count(*) AS tf FROM (SELECT doc_id, len(t) AS l, unnest(t) AS term FROM tk) WHERE term IN (SELECT term FROM q) GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+          s AS (SELECT query_id, doc_id, round(sum(ln(1 + (nd - df + 0.5) / (df + 0.5)) * tf * 1.9 / (tf + 0.9 * (1 - 0.4 + 0.4 * l / al))), 6) AS score FROM q JOIN p USING (term) JOIN f USING (term), z GROUP BY ALL),
+          r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) SELECT query_id, doc_id, rank::INT AS rank FROM r WHERE rank <= 7""")
+on_tables("knn", lambda t: retrieval.knn(t("embeddings"), t("embeddings").where("vec_id % 100 = 0")).select("probe", "neighbour", "rank"),
+          "WITH s AS (SELECT p.vec_id AS probe, v.vec_id AS neighbour, round(list_sum(list_transform(range(1, len(p.embedding) + 1), lambda i: p.embedding[i]::DOUBLE * v.embedding[i]::DOUBLE)), 6) AS score FROM embeddings p, embeddings v WHERE p.vec_id % 100 = 0 AND p.vec_id <> v.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY score DESC, neighbour) AS rank FROM s) SELECT probe, neighbour, rank::INT AS rank FROM r WHERE rank <= 3")
+on_tables("example_mmr", lambda t: retrieval.sample_examples(t("embeddings"), t("embeddings").where("vec_id % 100 = 0")))
+on_tables("overlap_similarity", lambda t: t("part").select("p_partkey", retrieval.hybrid(retrieval.overlap_similarity(F.array(F.col("p_size").cast("double"), F.lit(10.0)), F.array(F.lit(20.0), F.col("p_retailprice"))), F.lit(0.5)).alias("score")), "SELECT p_partkey, round(0.5 * (least(p_size, 20) + least(10, p_retailprice)) / (greatest(p_size, 20) + greatest(10, p_retailprice)) + 0.25, 6) AS score FROM part")
+on_tables("random_examples", lambda t: retrieval.random_examples(t("nation").select(F.col("n_nationkey").alias("example_id")), t("region").select(F.col("r_regionkey").alias("query_id")), 3, 5), "WITH r AS (SELECT r_regionkey AS query_id, n_nationkey AS example_id, row_number() OVER (PARTITION BY r_regionkey ORDER BY md5('5:' || r_regionkey || ':' || n_nationkey), n_nationkey) AS rank FROM region, nation) SELECT query_id, example_id, rank::INT AS rank FROM r WHERE rank <= 3")
+on_tables("conversation_history", lambda t: benchmarks.with_history(t("conversations"), "conv_id", "turn", "role", "text").select("conv_id", "turn", F.size("history").alias("n"), F.array_join(F.transform("history", lambda h: h["question"]), ",").alias("roles")), "SELECT c.conv_id, c.turn, count(p.conv_id)::INT AS n, coalesce(string_agg(p.role, ',' ORDER BY p.turn), '') AS roles FROM conversations c LEFT JOIN conversations p ON p.conv_id = c.conv_id AND p.turn < c.turn GROUP BY ALL")
+on_tables("reservoir", lambda t: benchmarks.reservoir(t("orders").select("o_orderkey"), 50, "o_orderkey", 3), "SELECT o_orderkey FROM (SELECT o_orderkey FROM orders ORDER BY md5('3:' || o_orderkey), o_orderkey LIMIT 50) ORDER BY 1")
+on_tables("query_ids", lambda t: t("benchmark").select("item_id", benchmarks.query_key(F.lit("bench"), F.lit("c"), F.col("text")).alias("query_id")), "SELECT item_id, substr(sha256('bench:c:' || trim(text, ' ')), 1, 16) AS query_id FROM benchmark")
+
+# -- monitoring ---------------------------------------------------------------
+_QUERIES["monitor_overall"] = lambda spark, sf: rounded(monitor.overall(monitor.events(spark, sf)).select("n", "avg_score", at("first_at"), at("last_at")))
+_SQL["monitor_overall"] = "SELECT count(*) AS n, round(avg(value), 6) AS avg_score, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_at, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_at FROM events"
+on_cube("monitor_by_config", lambda c: inventory.progress_by_config(c, SC, 1000), f"SELECT config_id, model, count(*) AS done, round(100.0 * count(*) / 1000, 6) AS pct, count(*) FILTER (coalesce(error, '') <> '') AS errors, round(avg(score), 6) AS avg_score FROM executions e LEFT JOIN evaluations v ON v.execution_id = e.execution_id AND scorer = '{SC}' GROUP BY ALL")
+_DAILY = "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type AS config, count(*) AS n, round(avg(value), 6) AS avg_score FROM events GROUP BY ALL"
+_QUERIES["monitor_daily"] = lambda spark, sf: rounded(monitor.daily(monitor.events(spark, sf)))
+_SQL["monitor_daily"] = _DAILY
+_QUERIES["stream_daily"] = lambda spark, sf: rounded(monitor.run_to_end(monitor.daily(monitor.events(spark, sf, stream=True)), f"daily_{abs(hash(sf)) % 10**9}"))
+_SQL["stream_daily"] = _DAILY
+_QUERIES["stream_by_config"] = lambda spark, sf: rounded(monitor.run_to_end(monitor.by_config(monitor.events(spark, sf, stream=True)), f"configs_{abs(hash(sf)) % 10**9}"))
+_SQL["stream_by_config"] = "SELECT event_type AS config, count(*) AS n, round(avg(value), 6) AS avg_score FROM events GROUP BY 1"
+
 
-def queries():
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
-def oracle_sql():
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
