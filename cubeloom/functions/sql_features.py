@@ -1,0 +1,105 @@
+"""Features of SQL text: structure flags, table names, error hints and close names.
+
+Flags come from Spark's own parser on the driver for a few statements, and
+from patterns over whole columns.
+"""
+
+from __future__ import annotations
+
+import difflib
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .scalars import sql_text
+
+# The patterns of each structural flag, over normalized SQL.
+FLAGS: dict[str, str] = {
+    "wrong_has_join": r"\bjoin\b", "wrong_has_left_join": r"\bleft (outer )?join\b", "wrong_has_subquery": r"\( *select\b", "wrong_has_group_by": r"\bgroup by\b", "wrong_has_order_by": r"\border by\b",
+    "wrong_has_having": r"\bhaving\b", "wrong_has_limit": r"\blimit\b", "wrong_has_distinct": r"\bdistinct\b", "wrong_has_union": r"\bunion\b", "wrong_has_intersect": r"\bintersect\b", "wrong_has_except": r"\bexcept\b",
+    "wrong_has_case": r"\bcase when\b", "wrong_has_like": r"\blike\b", "wrong_has_between": r"\bbetween\b", "wrong_has_in": r"\bin *\(", "wrong_has_exists": r"\bexists *\(", "wrong_has_not": r"\bnot\b", "wrong_has_null": r"\bis (not )?null\b",
+    "wrong_has_count": r"\bcount *\(", "wrong_has_aggregate": r"\b(sum|avg|min|max|count) *\(", "wrong_has_cast": r"\bcast *\(", "wrong_has_cte": r"^with\b",
+}
+
+
+def flags(sql: Column) -> dict[str, Column]:
+    """Structural flags of a SQL column, 'yes' or 'no'."""
+    t = F.coalesce(sql_text(sql), F.lit(""))
+    yes = lambda test: F.when(test, "yes").otherwise("no")
+    count = lambda pattern: F.size(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)))
+    out = {name: yes(t.rlike(p)) for name, p in FLAGS.items()}
+    out["wrong_multi_join"] = yes(count(r"\bjoin\b") >= 2)
+    out["wrong_multi_table"] = yes(count(r"\b(from|join) +[a-z_`\"]") >= 3)
+    out["wrong_many_conditions"] = yes(count(r"\b(and|or)\b") >= 2)
+    out["wrong_wide_select"] = yes(F.size(F.split(F.regexp_extract(t, r"^select (.*?) from ", 1), ",")) >= 5)
+    return out
+
+
+def parses(spark: SparkSession, sql: str) -> bool:
+    """Whether Spark's parser accepts the statement."""
+    try:
+        spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    except Exception:  # noqa: BLE001  any parse failure is a no
+        return False
+    return True
+
+
+def tables_of(sql: Column) -> Column:
+    """Names after FROM and JOIN, sorted and distinct."""
+    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(sql_text(sql), F.lit(r"\b(?:from|join) +[`\"]?([a-z_][a-z0-9_]*)"), F.lit(1)), lambda x: x)))
+
+
+def ddl_tables(ddl: str) -> dict[str, list[str]]:
+    """Columns of each CREATE TABLE block."""
+    out = {}
+    for name, body in re.findall(r'(?is)create\s+table\s+[`"\[]?(\w+)[`"\]]?\s*\((.*?)\)\s*(?:;|$)', ddl):
+        lines = [x.strip() for x in re.split(r",(?![^()]*\))", body)]
+        out[name] = [m[1] for x in lines if (m := re.match(r'[`"\[]?(\w+)', x)) and m[1].lower() not in ("primary", "foreign", "unique", "constraint", "check")]
+    return out
+
+
+def foreign_neighbours(ddl: str) -> dict[str, set[str]]:
+    out: dict[str, set[str]] = {}
+    for name, body in re.findall(r'(?is)create\s+table\s+[`"\[]?(\w+)[`"\]]?\s*\((.*?)\)\s*(?:;|$)', ddl):
+        for other in re.findall(r'(?i)references\s+[`"\[]?(\w+)', body):
+            out.setdefault(name.lower(), set()).add(other.lower())
+            out.setdefault(other.lower(), set()).add(name.lower())
+    return out
+
+
+def focus_schema(ddl: str, sql: str) -> str:
+    """The CREATE blocks of the tables that the SQL names, and of their foreign-key neighbours; all when it names none."""
+    named = {t.lower() for t in re.findall(r'(?i)\b(?:from|join)\s+[`"\[]?(\w+)', sql)}
+    wanted = named | {n for t in named for n in foreign_neighbours(ddl).get(t, ())}
+    blocks = [b for b in re.split(r"(?i)(?=create\s+table)", ddl) if b.strip()]
+    kept = [b for b in blocks if (m := re.match(r'(?i)create\s+table\s+[`"\[]?(\w+)', b.strip())) and m[1].lower() in wanted]
+    return "".join(kept) if kept else ddl
+
+
+def error_hint(message: str, ddl: str) -> str:
+    """What to do about a missing table, a missing column or a syntax error."""
+    tables = ddl_tables(ddl)
+    if m := re.search(r"no such table: (\S+)", message):
+        close = difflib.get_close_matches(m[1], tables, 3, 0.1)
+        return f"Table {m[1]} does not exist." + (f" Close: {', '.join(close)}." if close else "")
+    if m := re.search(r"no such column: (\S+)", message):
+        column = m[1].split(".")[-1]
+        holders = sorted(t for t, cs in tables.items() if column.lower() in (c.lower() for c in cs))
+        if holders:
+            return f"Column {column} is in {', '.join(holders)}."
+        close = difflib.get_close_matches(column, sorted({c for cs in tables.values() for c in cs}), 3, 0.1)
+        return f"Column {column} does not exist." + (f" Close: {', '.join(close)}." if close else "")
+    if m := re.search(r'near "([^"]*)": syntax error', message):
+        return f"The syntax is wrong near {m[1]}."
+    return message
+
+
+def catalog_flags(spark: SparkSession, tables: list[DataFrame]) -> dict[str, str]:
+    """Flags of a database given as tables: size of the schema and of the data."""
+    columns = sum(len(t.columns) for t in tables)
+    rows = [t.count() for t in tables]
+    yes = lambda test: "yes" if test else "no"
+    return {
+        "complex_schema": yes(len(tables) >= 10), "deep_schema": yes(columns >= 55), "wide_tables": yes(any(len(t.columns) >= 8 for t in tables)), "data_large": yes(sum(rows) >= 100_000), "giant_table": yes(max(rows, default=0) >= 50_000),
+    }
