@@ -100,7 +100,7 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200) -> tuple
         ratio = []
         for r in range(rules):
             votes = {(vote, side): sum((p if side else 1 - p) * n for p, (v, n) in zip(posterior, patterns) if v[r] == vote) for vote in (-1, 1) for side in (True, False)}
-            alarm = (votes[-1, True] + FALSE_ALARMS * total + 1e-9) / (votes[-1, True] + votes[1, True] + total + 1e-9)
+            alarm = (votes[-1, True] + FALSE_ALARMS * (total + 1)) / (votes[-1, True] + votes[1, True] + total + 1)
             hit = (votes[-1, False] + 1.0) / (votes[-1, False] + votes[1, False] + 2.0)
             # a rule never turns against its own votes
             ratio.append({-1: min(math.log(alarm / hit), 0.0), 0: 0.0, 1: max(math.log((1 - alarm) / (1 - hit)), 0.0)})
