@@ -148,3 +148,28 @@ def cohorts(cube: Cube, names: list[str], min_size: int = 1, max_queries: int |
         return rows
     order = Window.partitionBy("cohort").orderBy(portable_order(seed, "query_id"), "query_id")
     return rows.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= max_queries).drop("_r")
+
+
+def seed_plan(cube: Cube, configs: DataFrame, stratum: str, per_config: int, seed: int = 0) -> DataFrame:
+    """(config_id, query_id): the same stratified sample of queries for every configuration."""
+    sample = stratified_sample(cube.query.select("query_id", stratum), stratum, "query_id", per_config, seed)
+    return configs.select("config_id").join(F.broadcast(sample.select("query_id")))
+
+
+def make_analyzer(base: int, model: str, scorer: str, names: list[str], configs: DataFrame, per_cell: int = 20, top_k: int = 10, seed: int = 0):
+    """A function of a cube: deltas, cells, classes, targets, and the next plan, or None for the plan when all is run."""
+
+    def analyze(cube: Cube) -> dict[str, DataFrame | None]:
+        deltas = build_delta_table(cube, base, model, scorer, names)
+        cells = summarize_cells(deltas, names)
+        targets = pick_target_cells(cells, top_k)
+        plan = targeted_plan(cube, targets, model, configs, per_cell, seed)
+        return {"deltas": deltas, "cells": cells, "classes": classify_primitives(cells), "targets": targets, "plan": None if plan.isEmpty() else plan}
+
+    return analyze
+
+
+def insights(classes: DataFrame) -> list[str]:
+    """A sentence for each classified edit."""
+    said = {"always_on": "helps wherever it was measured", "always_off": "harms and never helps", "gated": "helps only for some queries", "undetermined": "needs more runs"}
+    return [f"{r['primitive_id']} {said[r['kind']]}." for r in classes.orderBy("primitive_id").collect()]
