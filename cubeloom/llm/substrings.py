@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import chunks, column_of, gram_hashes, materialize, mix, split_words, word_hashes
 
 WINDOW = 35
-GRAM = 5
+GRAM = 3
 CHUNK = 8 << 20
 #: Grams in the table of frequent ones, and occurrences in one chunk that make a gram a candidate.
 FREQUENT = 1 << 16
@@ -90,8 +90,8 @@ def super_kmers(hashes: np.ndarray, starts: np.ndarray, frequent: np.ndarray, wi
     return first[heads], np.diff(np.append(heads, len(first))), grams[lead[heads]]
 
 
-_PACKED = pa.schema([("minimiser", pa.int64()), ("packed", pa.binary()), ("n", pa.int64()), ("places", pa.binary())])
-_PLACE = np.dtype([("id", "<i8"), ("h", "<i8"), ("start", "<i8")])
+_PACKED = pa.schema([("minimiser", pa.int64()), ("packed", pa.binary()), ("places", pa.binary())])
+_PLACE = np.dtype([("id", "<i8"), ("h", "<i8"), ("start", "<i4")])
 
 
 def _pack(frequent):
@@ -120,7 +120,6 @@ def _pack(frequent):
             out = [
                 pa.array(minimiser[leads].view(np.int64)),
                 pa.array([strings[i] for i in leads.tolist()], pa.binary()),
-                pa.array(n[leads]),
                 pa.array([places[order[a:b]].tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())], pa.binary()),
             ]
             whole = pa.RecordBatch.from_arrays(out, schema=_PACKED)
@@ -165,7 +164,7 @@ def repeated_windows(strings: list[bytes], weights: np.ndarray) -> tuple[np.ndar
 
 
 def _ranges(places: np.ndarray, a, b) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(places["id"].copy()), pa.array(places["h"].copy()), pa.array(places["start"] + a), pa.array(places["start"] + b)], names=["id", "h", "a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array(places["id"].copy()), pa.array(places["h"].copy()), pa.array(places["start"].astype(np.int64) + a), pa.array(places["start"].astype(np.int64) + b)], names=["id", "h", "a", "b"])
 
 
 def _covered(string: np.ndarray, window: np.ndarray, places: list[bytes | None]):
@@ -235,7 +234,7 @@ def _count(batches):
     group: dict[bytes, list] = {}
     group_size = 0
     for batch in batches:
-        for minimiser, packed, n, places in zip(*(column_of(batch, c).to_pylist() for c in ("minimiser", "packed", "n", "places"))):
+        for minimiser, packed, places in zip(*(column_of(batch, c).to_pylist() for c in ("minimiser", "packed", "places"))):
             if minimiser != now:
                 if scratch:
                     scratch.add([(s, *v) for s, v in group.items()])
@@ -252,13 +251,13 @@ def _count(batches):
             times = len(places) // _PLACE.itemsize
             if known is None:
                 if times > 1:
-                    yield _whole(n, places)
+                    yield _whole(packed, places)
                 group[packed] = [min(times, 2), places if times == 1 else None]
                 group_size += len(packed) + 200
             else:
                 if known[1] is not None:
-                    yield _whole(n, known[1])
-                yield _whole(n, places)
+                    yield _whole(packed, known[1])
+                yield _whole(packed, places)
                 known[0], known[1] = 2, None
             if group_size > HELD_BYTES:
                 scratch = scratch or _Scratch()
@@ -272,8 +271,9 @@ def _count(batches):
     yield from count()
 
 
-def _whole(n: int, places: bytes) -> pa.RecordBatch:
-    return _ranges(np.frombuffer(places, _PLACE), 0, n + WINDOW - 1)
+def _whole(packed: bytes, places: bytes) -> pa.RecordBatch:
+    """All words of a string; each is followed by a space."""
+    return _ranges(np.frombuffer(places, _PLACE), 0, packed.count(b" "))
 
 
 def _joined(batches, rows: int = 20_000):
@@ -315,7 +315,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
         F.coalesce(F.col(f"`{id_column}`").cast("bigint"), F.lit(NO_ID)).alias("id"), F.xxhash64(F.col(f"`{text_column}`")).alias("h"), F.coalesce(F.col(f"`{text_column}`"), F.lit("")).alias("text")
     )
     frequent = spark.sparkContext.broadcast(frequent_grams(one.select("text")))
-    packed = one.mapInArrow(_pack(frequent), "minimiser bigint, packed binary, n bigint, places binary")
+    packed = one.mapInArrow(_pack(frequent), "minimiser bigint, packed binary, places binary")
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * one.rdd.getNumPartitions())
     counted = packed.repartition(buckets, "minimiser").sortWithinPartitions("minimiser").mapInArrow(lambda b: _joined(_count(b)), "id bigint, h bigint, a bigint, b bigint")
     ranges = materialize(counted).groupBy("id", "h").agg(F.collect_set(F.struct("a", "b")).alias("r")).select("id", "h", F.col("r.a").alias("a"), F.col("r.b").alias("b"))
