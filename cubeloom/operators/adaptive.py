@@ -112,7 +112,7 @@ def stratified_sample(frame: DataFrame, stratum: str, key: str, n: int, seed: in
     total = frame.agg(F.count("*").alias("_total"))
     quota = sizes.join(F.broadcast(total)).withColumn("_quota", F.greatest(F.lit(1), F.floor(F.lit(n) * F.col("_size") / F.col("_total"))))
     order = Window.partitionBy(stratum).orderBy(portable_order(seed, key), key)
-    return frame.join(F.broadcast(quota.select(stratum, "_quota")), stratum).withColumn("_r", F.row_number().over(order)).where("_r <= _quota").drop("_quota", "_r")
+    return frame.join(quota.select(stratum, "_quota"), stratum).withColumn("_r", F.row_number().over(order)).where("_r <= _quota").drop("_quota", "_r")
 
 
 def targeted_plan(cube: Cube, cells: DataFrame, model: str, configs: DataFrame, per_cell: int, seed: int = 0) -> DataFrame:
@@ -143,7 +143,7 @@ def cohorts(cube: Cube, names: list[str], min_size: int = 1, max_queries: int |
         wide = wide.where(F.col(n) != "")
     rows = wide.select(F.concat_ws("|", *names).alias("cohort"), "query_id")
     sizes = rows.groupBy("cohort").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_size).select("cohort")
-    rows = rows.join(F.broadcast(sizes), "cohort", "left_semi")
+    rows = rows.join(sizes, "cohort", "left_semi")
     if max_queries is None:
         return rows
     order = Window.partitionBy("cohort").orderBy(portable_order(seed, "query_id"), "query_id")

@@ -55,7 +55,7 @@ def did(effects: DataFrame, references: dict[str, str] | None = None) -> DataFra
     if references:
         given = effects.sparkSession.createDataFrame(list(references.items()), "predicate_name string, reference string")
         chosen = given.unionByName(chosen.join(given, "predicate_name", "left_anti"))
-    rows = effects.join(F.broadcast(chosen), "predicate_name", "left")
+    rows = effects.join(chosen, "predicate_name", "left")
     pair = Window.partitionBy("canonical_id", "predicate_name")
     at = F.max(F.when(F.col("predicate_value") == F.col("reference"), F.col("lift"))).over(pair)
     return rows.withColumn("did", F.col("lift") - at)
@@ -123,7 +123,7 @@ def predicate_overlap(cube: Cube, threshold: float = 0.95) -> DataFrame:
     a, b = (slots.select("query_id", F.col("n").alias(f"name_{s}"), F.col("v").alias(f"value_{s}")) for s in "ab")
     shared = a.join(b, "query_id").where("name_a < name_b").groupBy("name_a", "value_a", "name_b", "value_b").agg(F.count("*").alias("n_shared"))
     for s in "ab":
-        shared = shared.join(F.broadcast(sizes.select(F.col("n").alias(f"name_{s}"), F.col("v").alias(f"value_{s}"), F.col("size").alias(f"size_{s}"))), [f"name_{s}", f"value_{s}"])
+        shared = shared.join(sizes.select(F.col("n").alias(f"name_{s}"), F.col("v").alias(f"value_{s}"), F.col("size").alias(f"size_{s}")), [f"name_{s}", f"value_{s}"])
     out = shared.withColumn("jaccard", F.col("n_shared") / (F.col("size_a") + F.col("size_b") - F.col("n_shared")))
     return out.where(F.col("jaccard") >= threshold).select("name_a", "value_a", "name_b", "value_b", "n_shared", "jaccard")
 

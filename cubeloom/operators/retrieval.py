@@ -56,8 +56,13 @@ def normalized(v: Column) -> Column:
 
 
 def knn(vectors: DataFrame, probes: DataFrame, k: int = 3) -> DataFrame:
-    """Exact nearest vectors by dot product: a stated probe set against all rows, partial top-k before the shuffle."""
-    pairs = vectors.select(F.col("vec_id").alias("neighbour"), "embedding").join(F.broadcast(probes.select(F.col("vec_id").alias("probe"), F.col("embedding").alias("q"))))
+    """Exact nearest vectors by dot product: a stated probe set against all rows.
+
+    Spark broadcasts the probes while they are below its threshold and joins
+    block by block beyond; the rank filter keeps k rows a probe and task
+    before the shuffle.
+    """
+    pairs = vectors.select(F.col("vec_id").alias("neighbour"), "embedding").crossJoin(probes.select(F.col("vec_id").alias("probe"), F.col("embedding").alias("q")))
     scored = pairs.where("probe <> neighbour").select("probe", "neighbour", F.round(dot(F.col("q"), F.col("embedding")), 6).alias("score"))
     order = Window.partitionBy("probe").orderBy(F.desc("score"), "neighbour")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -102,6 +107,6 @@ def hybrid(a: Column, b: Column, alpha: float = 0.5) -> Column:
 
 def random_examples(examples: DataFrame, queries: DataFrame, k: int, seed: int = 0) -> DataFrame:
     """k examples a query in an order that only the seed and the two ids decide."""
-    pairs = examples.join(F.broadcast(queries))
+    pairs = examples.crossJoin(queries)
     order = Window.partitionBy("query_id").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), "query_id", "example_id")), "example_id")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "example_id", "rank")
