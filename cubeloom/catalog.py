@@ -19,7 +19,7 @@ from .functions import tables as R
 from .operators import adaptive, compare, confidence, design, effect, inventory, resolve, retrieval, routing
 from .plans import explorer as X
 from .plans import projection
-from .plans.cube import Cube, no_error, projected
+from .plans.cube import Cube, projected
 from .plans.pipeline import Pipeline
 from .plans.query import ExecutionQuery
 from .sources import benchmarks
