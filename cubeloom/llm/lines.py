@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, WORD_CLASS, materialize, only
+from .common import SPACE_CLASS, materialize, only
 
 DEPTH = 3
 SIMILARITY = 0.7
