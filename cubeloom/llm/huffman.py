@@ -30,7 +30,7 @@ from .ids import encoder
 LONGEST = 20
 CHECKPOINT = 128
 BLOCK_IDS = 1 << 17
-CHUNK = 24 << 20
+CHUNK = 12 << 20
 
 
 def code_lengths(counts: np.ndarray, longest: int = LONGEST) -> np.ndarray:
@@ -83,13 +83,17 @@ def canonical(lengths: np.ndarray) -> np.ndarray:
 
 def encode_bits(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[bytes, np.ndarray]:
     """The bits of all ids, and the bit offset of every checkpoint."""
-    n = lengths[ids]
-    ends = np.cumsum(n)
-    starts = ends - n
+    n = lengths[ids].astype(np.int32)
+    ends = np.cumsum(n, dtype=np.int64)
     total = int(ends[-1]) if len(ends) else 0
-    back = np.repeat(ends, n) - np.arange(total) - 1  # bits after this one in its code
-    bits = (np.repeat(codes[ids], n) >> back) & 1
-    return np.packbits(bits.astype(np.uint8)).tobytes(), starts[::CHECKPOINT]
+    # the bits after each bit in its code; a block is far below 2 ** 31 bits but for one enormous document
+    place = np.int32 if total < 2**31 else np.int64
+    back = np.repeat(ends.astype(place), n)
+    back -= np.arange(1, total + 1, dtype=place)
+    bits = np.repeat(codes[ids].astype(np.uint32), n)
+    bits >>= back.astype(np.uint32)
+    bits &= np.uint32(1)
+    return np.packbits(bits.astype(np.uint8)).tobytes(), (ends - n)[::CHECKPOINT]
 
 
 class Decoder:

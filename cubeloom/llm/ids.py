@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces a worker remembers before it starts anew.
-KNOWN = 1 << 20
+KNOWN = 600_000
 
 
 class Encoder:
@@ -26,6 +26,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.by_word = by_word
+        self.lowers = by_word and "Lowercase" in str(self.tokenizer.normalizer)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._forget()
         self.cut = re.compile(r"(?= [^\s])")
@@ -107,12 +108,18 @@ class Encoder:
         for s in self.special:
             whole |= np.asarray(pc.match_substring(texts, s, ignore_case=True))
         plain = pc.if_else(pa.array(whole), pa.scalar("", pa.large_string()), texts)
+        if self.lowers:
+            plain = pc.ascii_lower(plain)  # as the tokenizer would: fewer distinct pieces
         pieces, n = self._pieces(plain)
         coded = pieces.dictionary_encode()
         codes = self._lookup(coded.dictionary.to_pylist())[np.asarray(coded.indices)]
         begin = self.first[codes]
         times = self.first[codes + 1] - begin
-        ids = self.pool[np.repeat(begin - (np.cumsum(times) - times), times) + np.arange(times.sum())]
+        total = int(times.sum())
+        small = np.int32 if max(total, len(self.pool)) < 2**31 else np.int64
+        at = np.repeat((begin - (np.cumsum(times) - times)).astype(small), times)
+        at += np.arange(total, dtype=small)
+        ids = self.pool[at]
         piece_ends = np.concatenate([[0], np.cumsum(times)])
         starts = piece_ends[np.concatenate([[0], np.cumsum(n)])]
         if whole.any():
