@@ -57,6 +57,18 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_kept: tuple | None = None
+
+
+def kept(key, make):
+    """What a Python worker keeps between tasks: one thing at a time, so that operators that follow each other don't add up."""
+    global _kept
+    if _kept is None or _kept[0] != key:
+        _kept = None
+        _kept = (key, make())
+    return _kept[1]
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -85,6 +97,7 @@ def chunks(batches, column: str = "text", limit: int = CHUNK_BYTES):
             total += int(size)
         if start < len(sizes):
             yield batch.slice(start)
+        pa.default_memory_pool().release_unused()
 
 
 def column_of(batch: pa.RecordBatch, name: str) -> pa.Array:

@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import kept
+
 #: Pieces a worker remembers before it starts anew.
 KNOWN = 600_000
 
@@ -131,11 +133,6 @@ class Encoder:
         return ids, starts
 
 
-_encoders: dict[tuple[str, bool], Encoder] = {}
-
-
 def encoder(path: str, by_word: bool) -> Encoder:
     """The worker's encoder of a vocabulary file."""
-    if (path, by_word) not in _encoders:
-        _encoders[path, by_word] = Encoder(path, by_word)
-    return _encoders[path, by_word]
+    return kept(("ids", path, by_word), lambda: Encoder(path, by_word))

@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import chunks, column_of, only
+from .common import chunks, column_of, kept, only
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -119,16 +119,11 @@ class UnigramCounter:
         return out[0], out[1]
 
 
-_counters: dict[str, UnigramCounter] = {}
-
-
 def token_counts(docs: DataFrame, model_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``id_column``, n_tokens and best_score of every row, in one pass without a shuffle."""
 
     def run(batches):
-        if model_path not in _counters:
-            _counters[model_path] = UnigramCounter(vocabulary(model_path))
-        counter = _counters[model_path]
+        counter = kept(("tokens", model_path), lambda: UnigramCounter(vocabulary(model_path)))
         for part in chunks(batches, text_column):
             n, score = counter.count(column_of(part, text_column))
             yield pa.RecordBatch.from_arrays([column_of(part, id_column), pa.array(n, pa.int64()), pa.array(score.astype(np.float64))], names=[id_column, "n_tokens", "best_score"])

@@ -18,6 +18,7 @@ Repeated labels of a document count once, as toxic if any says so.
 from __future__ import annotations
 
 import math
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, column_of, only, split_words
+from .common import chunks, column_of, kept, only, split_words
 
 #: Labelled rows learnt from, of each class; documented bound.
 MAX_LABELLED = 40_000
@@ -38,6 +39,8 @@ STEMS = (4, 5, 6)
 PRIOR_MASS = 20.0
 #: A feature counts when the root of its log-likelihood ratio is this high.
 SIGNIFICANT = 5.0
+#: Words whose weights a worker remembers.
+KNOWN_WORDS = 200_000
 #: Part of the labelled rows that only calibrate.
 CALIBRATE_OF = 3
 
@@ -69,23 +72,25 @@ class Model:
     slope: float = 1.0
 
     def __post_init__(self):
-        self.known: dict[str, float] = {}
-
-    def __getstate__(self):
-        return {**self.__dict__, "known": {}}
-
-    def word_weight(self, word: str) -> float:
-        found = self.known.get(word)
-        if found is None:
-            if not word:
-                return float(self.base)
-            at = features_of(word)
-            best = max(at, key=lambda i: self.certainty[i])
-            found = float(self.weight[best]) if self.certainty[best] >= SIGNIFICANT else float(self.base)
-            if len(self.known) >= 1 << 20:
-                self.known.clear()
-            self.known[word] = found
-        return found
+        self.stamp = zlib.crc32(self.certainty.tobytes(), zlib.crc32(self.weight.tobytes()))
+
+    def word_weights(self, words: list[str]) -> np.ndarray:
+        """Weights of distinct words; a worker remembers those of ``KNOWN_WORDS`` words."""
+        known = kept(("toxicity", self.stamp), dict)
+        if len(known) > KNOWN_WORDS:
+            known.clear()
+        out = np.full(len(words), self.base)
+        for i, word in enumerate(words):
+            found = known.get(word)
+            if found is None:
+                if not word:
+                    continue
+                best = max(features_of(word), key=self.certainty.__getitem__)
+                found = float(self.weight[best]) if self.certainty[best] >= SIGNIFICANT else self.base
+                if len(known) <= KNOWN_WORDS:
+                    known[word] = found
+            out[i] = found
+        return out
 
     #: Weight of a word that says nothing: passages end where such words pile up.
     base: float = -0.25
@@ -121,7 +126,7 @@ class Model:
 def _weights_by_text(model: Model, texts: pa.Array):
     words, starts = split_words(texts)
     distinct, codes = _clean(words)
-    each = np.array([model.word_weight(w) for w in distinct], dtype=np.float64)[codes] if len(distinct) else np.zeros(0)
+    each = model.word_weights(distinct)[codes]
     for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
         yield each[a:b]
 
