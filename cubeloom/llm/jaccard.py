@@ -315,6 +315,6 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     kept = found.groupBy("_group").agg(F.min(F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), F.col("_h").alias("h"))).alias("k")).select("k.id", "k.h").distinct()
     keyed = docs.withColumn("__cubeloom_h", F.xxhash64(F.col(f"`{text_column}`")))
     left = keyed.join(kept, keyed[id_column].eqNullSafe(kept["id"]) & (keyed["__cubeloom_h"] == kept["h"]), "left_semi")
-    worded = F.translate(F.coalesce(F.col(f"`{text_column}`"), F.lit("")), " \t\n\x0b\x0c\r", "") != ""
+    worded = F.coalesce(F.col(f"`{text_column}`").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     once = left.where(worded).dropDuplicates([id_column, "__cubeloom_h"])
     return once.unionByName(left.where(~worded)).drop("__cubeloom_h")
