@@ -28,7 +28,7 @@ from .common import chunks, column_of, materialize, only
 from .ids import encoder
 
 BLOCKS = 256
-CHUNK = 24 << 20
+CHUNK = 12 << 20
 
 
 def cut_lengths(n: int, capacity: int) -> list[int]:
