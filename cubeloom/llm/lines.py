@@ -42,21 +42,21 @@ def _line_rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
 
 
 def _keys(rows: DataFrame) -> DataFrame:
-    n = F.char_length("_m") - F.char_length(F.translate("_m", " ", "")) + 1
+    n = F.octet_length("_m") - F.octet_length(F.replace("_m", F.lit(" "), F.lit(""))) + 1
     return rows.select("*", n.cast("int").alias("_n")).select(
         "*", F.xxhash64("_n", F.substring_index("_m", " ", DEPTH)).alias("_leaf"), F.md5("_m").alias("_h")
     )
 
 
-def recurring(keyed: DataFrame, texts, min_docs: int = MIN_DOCS) -> DataFrame:
-    """_h of the lines of recurring templates; ``texts()`` gives keyed rows with the masked text."""
+def recurring(keyed: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """_h of the lines of recurring templates."""
     variants = keyed.groupBy("_leaf", "_h", "_doc").agg(F.lit(1).alias("one")).groupBy("_leaf", "_h").agg(F.count("*").alias("docs"))
     variants = materialize(variants)
     leaves = variants.groupBy("_leaf").agg(F.sum("docs").alias("total"), F.max(F.struct("docs", "_h")).alias("top"), F.count("*").alias("kinds")).where(F.col("total") >= min_docs)
     inside = materialize(variants.join(leaves, "_leaf").select("_leaf", "_h", "docs", "kinds", F.col("top._h").alias("_top")))
     # only leaves with several lines need the tokens; each variant's text travels once
     several = inside.where("kinds > 1").select("_leaf", "_h")
-    words = texts().join(several, ["_leaf", "_h"], "left_semi").groupBy("_h").agg(F.first("_m").alias("_m"))
+    words = keyed.select("_leaf", "_h", "_m").join(several, ["_leaf", "_h"], "left_semi").groupBy("_h").agg(F.first("_m").alias("_m"))
     words = materialize(words.select("_h", F.split("_m", " ").alias("_t")))
     of_template = words.select(F.col("_h").alias("_top"), F.col("_t").alias("_template"))
     agree = F.size(F.filter(F.zip_with("_t", "_template", lambda a, b: a == b), lambda x: x))
@@ -70,15 +70,16 @@ def recurring(keyed: DataFrame, texts, min_docs: int = MIN_DOCS) -> DataFrame:
 
 def drop_recurring_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """``docs`` with recurring lines gone from ``text_column``, and n_lines, n_removed of each row."""
-    texts = lambda: _keys(_line_rows(docs, id_column, text_column))
-    keyed = materialize(texts().select("_doc", "_pos", "_n", "_leaf", "_h"))
-    gone = recurring(keyed, texts, min_docs)
+    # written with the masked text: its column is read again only for leaves of several lines
+    keyed = materialize(_keys(_line_rows(docs, id_column, text_column)))
+    gone = recurring(keyed, min_docs)
+    keyed = keyed.drop("_m", "_leaf")
     marked = keyed.join(gone.withColumn("_gone", F.lit(True)), ["_h"], "left")
     per_doc = marked.dropDuplicates(["_doc", "_pos"]).groupBy("_doc").agg(
         F.sum(F.when(F.col("_gone"), F.col("_n")).otherwise(0)).alias("_words_gone"), F.sum("_n").alias("_words"), F.collect_list(F.when(F.col("_gone"), F.col("_pos"))).alias("__line_places")
     )
     per_doc = per_doc.where((F.col("_words_gone") > 0) & (F.col("_words_gone") <= COPY_SHARE * F.col("_words"))).select(F.col("_doc").alias("__line_key"), "__line_places")
-    joined = docs.join(per_doc, F.xxhash64(F.col(id_column), F.col(text_column)) == F.col("__line_key"), "left")
+    joined = docs.join(per_doc.hint("shuffle_hash"), F.xxhash64(F.col(id_column), F.col(text_column)) == F.col("__line_key"), "left")
     lines = F.split(text_column, "\n")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__line_places")), lambda i: F.get(lines, i))
     n_removed = F.coalesce(F.size("__line_places"), F.lit(0))

@@ -21,9 +21,8 @@ from pyspark.sql import functions as F
 from .common import let, materialize, only, words_column
 
 MIN_WORDS = 50
-BLANK = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+BLANK, VISIBLE = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]"
+SYMBOLS, UPPER, BANGS = r"[#*$%&|<>]+", r"[A-Z]+", r"!+"
 
 #: The test of a bad vote, and of a good one.
 RULES: dict[str, tuple[str, str]] = {
@@ -53,8 +52,8 @@ def _repeat_words(w: Column) -> Column:
 def measures(text: Column) -> Column:
     """A struct of the counts of one text."""
     text = F.coalesce(text, F.lit(""))
-    strip = lambda marks: (F.char_length(text) - F.char_length(F.translate(text, marks, ""))).cast("bigint")
-    lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, BLANK, "") != "")
+    strip = lambda marks: (F.char_length(text) - F.char_length(F.regexp_replace(text, marks, ""))).cast("bigint")
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(VISIBLE))
     counted_lines = let(lines, lambda x: F.struct(F.size(x).cast("bigint").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines")))
     counted_words = let(
         words_column(text),
@@ -63,10 +62,10 @@ def measures(text: Column) -> Column:
     return F.struct(
         counted_words.alias("w"),
         counted_lines.alias("l"),
-        F.char_length(F.translate(text, BLANK, "")).cast("bigint").alias("word_chars"),
+        F.char_length(F.regexp_replace(text, BLANK, "")).cast("bigint").alias("word_chars"),
         strip(SYMBOLS).alias("n_symbols"),
         strip(UPPER).alias("n_upper"),
-        strip("!").alias("n_bangs"),
+        strip(BANGS).alias("n_bangs"),
     )
 
 
