@@ -23,7 +23,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without lines that recur across documents; n_chars follows the text."""
-    kept = lines.drop_recurring_lines(docs).withColumn("n_chars", F.when(F.col("__n_removed") > 0, F.char_length("text").cast("bigint")).otherwise(F.col("n_chars")))
+    kept = lines.drop_boilerplate(docs).withColumn("n_chars", F.when(F.col("__n_removed") > 0, F.char_length("text").cast("bigint")).otherwise(F.col("n_chars")))
     return kept.select(*docs.columns)
 
 

@@ -8,9 +8,17 @@ is an instance, its other places being variable too; any other line is a
 template of its own.  A template recurs when its lines lie in at least
 ``MIN_DOCS`` documents (each variant's documents are counted, and added up).
 
-Recurring lines are dropped from every document, except from one in which
-they hold more than ``COPY_SHARE`` of the words: that is a copy of other
-documents and not boilerplate, and near-duplicate removal deals with it.
+``drop_recurring_lines`` is held to the SQL of op9_line_dedup.  Recurring
+lines are dropped from every document, except from one in which they hold
+more than ``COPY_SHARE`` of the words.
+
+``drop_boilerplate`` is the pipeline's stage.  A template is counted over
+classes of copies, and its lines are dropped from every document whatever
+share they hold.  Equal texts are one class, and so are texts linked by a
+5-shingle Jaccard of ``COPY_JACCARD``, as estimated from the ``SKETCH`` least
+hashes of both (exact for sets that small).  Candidates are texts with two
+neighbouring hashes of the ``BANDS`` least in common, each compared with one
+leader; only texts that hold a line of a recurring template are sketched.
 
 Null texts stay null; lines without a word stay; repeated rows are treated
 alike.  DataFrame functions only.
@@ -21,12 +29,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, materialize, only
+from .common import SPACE_CLASS, let, materialize, only
+from .components import connected_components
+from .decontaminate import shingle_hashes
 
 DEPTH = 3
 SIMILARITY = 0.7
 MIN_DOCS = 10
 COPY_SHARE = 0.5
+COPY_JACCARD = 0.75
+SKETCH = 128
+BANDS = 32
 FIELD = "<*>"
 
 
@@ -36,8 +49,8 @@ def masked(line: Column) -> Column:
     return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, "[^ ]*[0-9][^ ]*", FIELD)).otherwise(plain)
 
 
-def _line_rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    rows = only(docs, id_column, text_column).select(F.xxhash64(id_column, text_column).alias("_doc"), F.posexplode(F.split(text_column, "\n")).alias("_pos", "_line"))
+def _line_rows(docs: DataFrame, text_column: str, *key: str) -> DataFrame:
+    rows = only(docs, *dict.fromkeys([*key, text_column])).select(F.xxhash64(*key).alias("_doc"), F.posexplode(F.split(text_column, "\n")).alias("_pos", "_line"))
     return rows.select("_doc", "_pos", masked(F.col("_line")).alias("_m")).where("_m <> ''")
 
 
@@ -71,7 +84,7 @@ def recurring(keyed: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 def drop_recurring_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """``docs`` with recurring lines gone from ``text_column``, and n_lines, n_removed of each row."""
     # written with the masked text: its column is read again only for leaves of several lines
-    keyed = materialize(_keys(_line_rows(docs, id_column, text_column)))
+    keyed = materialize(_keys(_line_rows(docs, text_column, id_column, text_column)))
     gone = recurring(keyed, min_docs)
     keyed = keyed.drop("_m", "_leaf")
     marked = keyed.join(gone.withColumn("_gone", F.lit(True)), ["_h"], "left")
@@ -79,7 +92,60 @@ def drop_recurring_lines(docs: DataFrame, id_column: str = "doc_id", text_column
         F.sum(F.when(F.col("_gone"), F.col("_n")).otherwise(0)).alias("_words_gone"), F.sum("_n").alias("_words"), F.collect_list(F.when(F.col("_gone"), F.col("_pos"))).alias("__line_places")
     )
     per_doc = per_doc.where((F.col("_words_gone") > 0) & (F.col("_words_gone") <= COPY_SHARE * F.col("_words"))).select(F.col("_doc").alias("__line_key"), "__line_places")
-    joined = docs.join(per_doc.hint("shuffle_hash"), F.xxhash64(F.col(id_column), F.col(text_column)) == F.col("__line_key"), "left")
+    return _without(docs, per_doc, text_column, id_column, text_column)
+
+
+def _templates(keyed: DataFrame) -> DataFrame:
+    """_h of every line, its number of words and its _template, a line's _h."""
+    variants = materialize(keyed.groupBy("_leaf", "_h", "_n").agg(F.count_distinct("_doc").alias("docs")))
+    leaves = variants.groupBy("_leaf").agg(F.max(F.struct("docs", "_h")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1")
+    inside = materialize(variants.join(leaves, "_leaf").select("_leaf", "_h", F.col("top._h").alias("_top")))
+    words = keyed.select("_h", "_m").join(inside.select("_h"), "_h", "left_semi").groupBy("_h").agg(F.first("_m").alias("_m"))
+    words = materialize(words.select("_h", F.split("_m", " ").alias("_t")))
+    agree = F.size(F.filter(F.zip_with("_t", "_template", lambda a, b: a == b), lambda x: x))
+    compared = inside.join(words, "_h").join(words.select(F.col("_h").alias("_top"), F.col("_t").alias("_template")), "_top")
+    instances = compared.where(agree >= F.lit(SIMILARITY) * F.size("_t") - 1e-9).select("_h", F.col("_top").alias("_template"))
+    return materialize(variants.select("_h", "_n").join(instances, "_h", "left").select("_h", "_n", F.coalesce("_template", "_h").alias("_template")))
+
+
+def copy_classes(docs: DataFrame, texts: DataFrame, text_column: str = "text") -> DataFrame:
+    """_doc and _class of those of the ``texts`` (_doc, a text's xxhash64) that are copies of another."""
+    one = only(docs, text_column).select(F.xxhash64(text_column).alias("_doc"), F.col(text_column).alias("_text")).join(texts, "_doc", "left_semi")
+    least = one.select("_doc", F.slice(F.sort_array(F.array_distinct(shingle_hashes(F.col("_text")))), 1, SKETCH).alias("_s"))
+    least = materialize(least.where(F.size("_s") > 0).dropDuplicates(["_doc"]))
+    places = F.sequence(F.lit(0), F.least(F.size("_s"), F.lit(BANDS)) - 1)
+    bands = materialize(least.select("_doc", F.explode(F.transform(places, lambda i: F.xxhash64(F.get("_s", i), F.get("_s", i + 1)))).alias("_band")))
+    leads = bands.groupBy("_band").agg(F.min("_doc").alias("_lead"), F.count("*").alias("k")).where("k > 1").drop("k")
+    pairs = bands.join(leads, "_band").where("_doc <> _lead").select("_doc", "_lead").distinct()
+    met = pairs.join(least, "_doc").join(least.select(F.col("_doc").alias("_lead"), F.col("_s").alias("_r")), "_lead")
+    union = F.slice(F.sort_array(F.array_union("_s", "_r")), 1, SKETCH)
+    alike = let(union, lambda u: F.size(F.array_intersect(F.array_intersect(u, F.col("_s")), F.col("_r"))) / F.size(u))
+    edges = materialize(met.where(alike >= COPY_JACCARD).select(F.col("_doc").alias("a"), F.col("_lead").alias("b")))
+    return connected_components(edges).select(F.col("node").alias("_doc"), F.col("root").alias("_class"))
+
+
+def boilerplate(keyed: DataFrame, docs: DataFrame, text_column: str, min_docs: int = MIN_DOCS) -> DataFrame:
+    """_h of the lines whose template lies in enough classes of copies; _doc of ``keyed`` is the text's hash."""
+    templates = _templates(keyed)
+    enough = F.col("k") >= min_docs
+    held = materialize(keyed.select("_h", "_doc").distinct().join(templates, "_h").select("_template", "_n", "_doc").distinct())
+    held = held.join(held.groupBy("_template", "_n").agg(F.count("*").alias("k")).where(enough).drop("k", "_n"), "_template", "left_semi")
+    classes = copy_classes(docs, held.select("_doc").distinct(), text_column)
+    counted = held.join(classes, "_doc", "left").groupBy("_template", "_n").agg(F.count_distinct(F.coalesce("_class", "_doc")).alias("k"))
+    return templates.join(counted.where(enough).select("_template"), "_template", "left_semi").select("_h").distinct()
+
+
+def drop_boilerplate(docs: DataFrame, text_column: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
+    """``docs`` without boilerplate lines in ``text_column``, and n_lines, n_removed of each row."""
+    keyed = materialize(_keys(_line_rows(docs, text_column, text_column)))
+    gone = boilerplate(keyed, docs, text_column, min_docs)
+    places = keyed.select("_doc", "_pos", "_h").join(gone, "_h", "left_semi").groupBy("_doc").agg(F.collect_set("_pos").alias("__line_places"))
+    return _without(docs, places.withColumnRenamed("_doc", "__line_key"), text_column, text_column)
+
+
+def _without(docs: DataFrame, per_doc: DataFrame, text_column: str, *key: str) -> DataFrame:
+    """``docs`` without the lines at __line_places of the rows of __line_key."""
+    joined = docs.join(per_doc.hint("shuffle_hash"), F.xxhash64(*(F.col(f"`{c}`") for c in key)) == F.col("__line_key"), "left")
     lines = F.split(text_column, "\n")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__line_places")), lambda i: F.get(lines, i))
     n_removed = F.coalesce(F.size("__line_places"), F.lit(0))

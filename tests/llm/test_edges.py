@@ -136,3 +136,18 @@ def test_binary_output(spark, docs, none, tmp_path):
     assert rows[3].n_tokens == 1
     huffman.write_store(none, f"file://{tmp_path}/e", path)
     assert huffman.read_store(spark, f"file://{tmp_path}/e").count() == 0
+
+
+def test_boilerplate_goes_whatever_share_it_holds(spark):
+    notice = "All of this notice may be kept by whoever reads it and wants to\nas long as nobody takes away the name of its first author here"
+    rows = [(i, notice + "\n" + " ".join(f"own{chr(97 + i)}{chr(97 + j)}" for j in range(9))) for i in range(12)]
+    copies = [(100 + i, " ".join(f"w{chr(97 + j)}{chr(97 + k)}" for j in range(9) for k in range(9)) + "\nshared line of copies and of nothing else\n" + "v" * (i + 1)) for i in range(12)]
+    got = {r.doc_id: r for r in lines.drop_boilerplate(spark.createDataFrame(rows + copies, "doc_id bigint, text string")).collect()}
+    assert all(got[i]["__n_removed"] == 2 and got[i].text == t.split("\n")[2] for i, t in rows)
+    assert all(got[i]["__n_removed"] == 0 and got[i].text == t for i, t in copies), "near copies of one text are one document"
+
+
+def test_boilerplate_edges(docs, none):
+    got = by_id(lines.drop_boilerplate(docs))
+    assert got[2][0].text is None and got[2][0]["__n_lines"] == 0 and got[1][0].text == LONG and len(got[1]) == 2
+    assert lines.drop_boilerplate(none).count() == 0
