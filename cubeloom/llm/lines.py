@@ -12,7 +12,9 @@ template of its own.  A template recurs when its lines lie in at least
 lines are dropped from every document, except from one in which they hold
 more than ``COPY_SHARE`` of the words.
 
-``drop_boilerplate`` is the pipeline's stage.  A template is counted over
+``drop_boilerplate`` is the pipeline's stage.  A leaf has as many templates as
+its lines need: lines that agree with no template so far form further ones,
+the most frequent first.  A template is counted over
 classes of copies, and its lines are dropped from every document whatever
 share they hold.  Equal texts are one class, and so are texts linked by a
 5-shingle Jaccard of ``COPY_JACCARD``, as estimated from the ``SKETCH`` least
@@ -26,6 +28,8 @@ alike.  DataFrame functions only.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,16 +100,48 @@ def drop_recurring_lines(docs: DataFrame, id_column: str = "doc_id", text_column
 
 
 def _templates(keyed: DataFrame) -> DataFrame:
-    """_h of every line, its number of words and its _template, a line's _h."""
-    variants = materialize(keyed.groupBy("_leaf", "_h", "_n").agg(F.count_distinct("_doc").alias("docs")))
-    leaves = variants.groupBy("_leaf").agg(F.max(F.struct("docs", "_h")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1")
-    inside = materialize(variants.join(leaves, "_leaf").select("_leaf", "_h", F.col("top._h").alias("_top")))
-    words = keyed.select("_h", "_m").join(inside.select("_h"), "_h", "left_semi").groupBy("_h").agg(F.first("_m").alias("_m"))
+    """_h of every line, its number of words and its _template, a line's _h.
+
+    Lines that agree differ in at most m places beyond the leading ones, so of
+    m + 1 segments of those places one is equal.  In each round the lines that
+    are the most frequent of all their segments are templates, every other
+    line joins the most frequent of them that it agrees with, and the rest go
+    on, until no segment is left that holds lines of two documents.
+    """
+    variants = materialize(keyed.groupBy("_leaf", "_h", "_n").agg(F.count_distinct("_doc").alias("docs"), F.min("_doc").alias("_lo"), F.max("_doc").alias("_hi")))
+    across = (F.count("*") > 1) & (F.min("_lo") < F.max("_hi"))
+    several = variants.groupBy("_leaf").agg(across.alias("_across")).where("_across").select("_leaf")
+    open_ = variants.join(several, "_leaf", "left_semi")
+    words = keyed.select("_h", "_m").join(open_.select("_h"), "_h", "left_semi").groupBy("_h").agg(F.first("_m").alias("_m"))
     words = materialize(words.select("_h", F.split("_m", " ").alias("_t")))
-    agree = F.size(F.filter(F.zip_with("_t", "_template", lambda a, b: a == b), lambda x: x))
-    compared = inside.join(words, "_h").join(words.select(F.col("_h").alias("_top"), F.col("_t").alias("_template")), "_top")
-    instances = compared.where(agree >= F.lit(SIMILARITY) * F.size("_t") - 1e-9).select("_h", F.col("_top").alias("_template"))
-    return materialize(variants.select("_h", "_n").join(instances, "_h", "left").select("_h", "_n", F.coalesce("_template", "_h").alias("_template")))
+    differ = F.col("_n") - F.ceil(F.lit(SIMILARITY) * F.col("_n") - 1e-9).cast("int")
+    rest = F.slice("_t", DEPTH + 1, F.greatest(F.col("_n") - DEPTH, F.lit(0)))
+    width = F.greatest(F.floor((F.col("_n") - DEPTH) / (differ + 1)), F.lit(1)).cast("int")
+    # the last segment takes what is left over
+    segment = lambda i: F.when(F.col("_n") - DEPTH <= differ, F.xxhash64("_leaf")).otherwise(
+        F.xxhash64("_leaf", i, F.slice(rest, i * width + 1, F.when(i == differ, F.col("_n")).otherwise(width)))
+    )
+    segments = open_.join(words, "_h").select("_h", "_lo", "_hi", F.struct("docs", "_h").alias("_rank"), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), differ), segment))).alias("_part"))
+    segments = materialize(segments)
+    agree = F.size(F.filter(F.zip_with("_t", "_u", lambda x, y: x == y), lambda x: x))
+    found = []
+    while True:
+        leads = segments.groupBy("_part").agg(F.max("_rank").alias("_lead"), across.alias("_across")).where("_across").drop("_across")
+        met = materialize(segments.join(leads, "_part"))
+        if met.isEmpty():
+            break
+        heads = materialize(met.groupBy("_h").agg(F.min(F.col("_lead") == F.col("_rank")).alias("_first")).where("_first").select("_h"))
+        pairs = met.where("_lead <> _rank").select("_h", F.col("_lead").alias("_lead"), F.col("_lead._h").alias("_l")).distinct().join(heads.withColumnRenamed("_h", "_l"), "_l", "left_semi")
+        fits = pairs.join(words, "_h").join(words.select(F.col("_h").alias("_l"), F.col("_t").alias("_u")), "_l").where(agree >= F.lit(SIMILARITY) * F.size("_t") - 1e-9)
+        joined = fits.groupBy("_h").agg(F.max("_lead").alias("_lead")).select("_h", F.col("_lead._h").alias("_template"))
+        done = materialize(joined.unionByName(heads.select("_h", F.col("_h").alias("_template"))))
+        found.append(done)
+        segments = materialize(met.select("_part", "_h", "_lo", "_hi", "_rank").join(done, "_h", "left_anti"))
+    given = variants.select("_h", "_n")
+    if not found:
+        return materialize(given.withColumn("_template", F.col("_h")))
+    instances = functools.reduce(DataFrame.unionByName, found)
+    return materialize(given.join(instances, "_h", "left").select("_h", "_n", F.coalesce("_template", "_h").alias("_template")))
 
 
 def copy_classes(docs: DataFrame, texts: DataFrame, text_column: str = "text") -> DataFrame:

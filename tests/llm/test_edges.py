@@ -151,3 +151,14 @@ def test_boilerplate_edges(docs, none):
     got = by_id(lines.drop_boilerplate(docs))
     assert got[2][0].text is None and got[2][0]["__n_lines"] == 0 and got[1][0].text == LONG and len(got[1]) == 2
     assert lines.drop_boilerplate(none).count() == 0
+
+
+def test_a_leaf_has_several_templates(spark):
+    name = lambda i: f"name{chr(97 + i)}"
+    own = lambda i: f"\nown{chr(97 + i)} end{chr(98 + i)}"
+    first = [(i, "we are very glad that this page was read by you" + own(i)) for i in range(14)]
+    second = [(50 + i, f"we are very sorry but {name(i)} has left for some days" + own(i)) for i in range(12)]
+    alone = [(99, "we are very far from any of the other sentences here\nend")]
+    got = {r.doc_id: r for r in lines.drop_boilerplate(spark.createDataFrame(first + second + alone, "doc_id bigint, text string")).collect()}
+    assert all(got[i]["__n_removed"] == 1 for i, _ in first + second)
+    assert got[99]["__n_removed"] == 0
