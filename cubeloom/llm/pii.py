@@ -3,7 +3,8 @@
 A value is found by pattern and taken only if it is valid (Luhn sum, octet
 range, calendar date, modulus 97, area rules).  It is a number in a domain of
 its format; a Feistel network keyed by BLAKE2 permutes the smallest power of
-four that holds the domain, and is walked until it lands inside.  So each
+four that holds the domain, and is walked until it lands inside.  A card or IBAN that is not valid is read again
+without its last groups, and a card from its next group on.  So each
 format keeps its shape and its validity, equal values keep equal pseudonyms
 in every document, and different values never meet.
 
@@ -33,9 +34,10 @@ PATTERN = re.compile(
     r"|(?P<phone>(?<![\w+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}(?![0-9A-Za-z]))"
     r"|(?P<ip>(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9]))"
     r"|(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))"
-    r"|(?P<card>(?<![0-9A-Za-z.])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2,3}(?:[ -][0-9]{1,3})?)(?![0-9A-Za-z]|\.[0-9]))"
+    r"|(?P<card>(?<![0-9A-Za-z.])(?:[0-9]{13,19}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}|[0-9]{4}(?:[ -][0-9]{4}){2,3}(?:[ -][0-9]{1,3})?)(?![0-9A-Za-z]|\.[0-9]))"
 )
 LIKELY = re.compile(r"[0-9@]")
+GAP = re.compile(r"[ -]")
 
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _ACCENTED = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþßÿ"
@@ -184,14 +186,19 @@ def pseudonymize_text(text: str, replace) -> tuple[str, list[tuple[int, int, str
     if not LIKELY.search(text):
         return text, []
     spans, parts, at, scan = [], [], 0, 0
+    # a valid card or IBAN may be followed by a short number or word, which its pattern takes for a last group
     while found := PATTERN.search(text, scan):
         kind, value = found.lastgroup, found.group()
         if kind == "email":
             trimmed = value.rstrip(".-")
             value = trimmed
-        new = replace(kind, value)
+        whole = value
+        while (new := replace(kind, value)) is None and kind in ("card", "iban") and (cut := max(value.rfind(" "), value.rfind("-"))) > 0:
+            value = value[:cut]
         if new is None:
-            scan = found.end() if kind in ("card", "secret") else found.start() + 1
+            # a card may begin at a later group
+            group = GAP.search(whole) if kind == "card" else None
+            scan = found.start() + group.end() if group else found.end() if kind in ("card", "secret") else found.start() + 1
             continue
         start = found.start()
         spans.append((start, start + len(value), kind))

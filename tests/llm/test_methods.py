@@ -177,3 +177,17 @@ def test_em_finds_the_junk_class():
     posterior = lambda v: odds + sum(ratio[r][v[r]] for r in range(n))
     assert posterior(clean) > 0 > posterior(junk)
     assert quality.fit([])[0] == 0.0
+
+
+def test_values_followed_by_a_short_group_are_found():
+    new = lambda t: pii.pseudonymize_text(t, lambda kind, value: pii.pseudonym(kind, value, b"k"))
+    card, iban = "4111 1111 1111 1111", "ES91 2100 0418 4502 0005 1332"
+    for text, value in [
+        (f"{card} 123", card), ("4111-1111-1111-1111 12/27", "4111-1111-1111-1111"), (f"2024 {card}.", card), (f"{card} {card[:4]} 5", card), ("3782 822463 10005", "3782 822463 10005"),
+        (f"{iban} EUR", iban), (f"{iban} PAID BY", iban), (iban.replace(" ", "") + " EUR", iban.replace(" ", "")),
+    ]:
+        out, spans = new(text)
+        at = text.index(value)
+        assert [(a, b) for a, b, _ in spans] == [(at, at + len(value))], text
+        assert out[:at] == text[:at] and out[at + len(value) :] == text[at + len(value) :] and out != text
+    assert new("4111 1111 1111 1112 123") == ("4111 1111 1111 1112 123", [])
