@@ -20,7 +20,11 @@ share they hold.  Equal texts are one class, and so are texts linked by a
 5-shingle Jaccard of ``COPY_JACCARD``, as estimated from the ``SKETCH`` least
 hashes of both (exact for sets that small).  Candidates are texts with two
 neighbouring hashes of the ``BANDS`` least in common, each compared with one
-leader; only texts that hold a line of a recurring template are sketched.
+leader; only texts that hold a line of a recurring template are sketched.  A
+template of 20 words recurs with two classes, one of 3 words with three; only
+shorter lines, which meet by chance, need ``MIN_DOCS``.  With ``MIN_DOCS``
+classes or more it goes everywhere; with fewer the class of least hash keeps
+it, so that no passage is lost with its only two texts.
 
 Null texts stay null; lines without a word stay; repeated rows are treated
 alike.  DataFrame functions only.
@@ -44,6 +48,8 @@ COPY_SHARE = 0.5
 COPY_JACCARD = 0.75
 SKETCH = 128
 BANDS = 32
+#: Least words of a line, and the classes of copies that its template must lie in; shorter lines need MIN_DOCS.
+LEAST_CLASSES = ((20, 2), (3, 3))
 FIELD = "<*>"
 
 
@@ -160,22 +166,33 @@ def copy_classes(docs: DataFrame, texts: DataFrame, text_column: str = "text") -
     return connected_components(edges).select(F.col("node").alias("_doc"), F.col("root").alias("_class"))
 
 
+def least_classes(n: Column, min_docs: int = MIN_DOCS) -> Column:
+    """Classes of copies that a template of ``n`` words must lie in."""
+    out = F.lit(min_docs)
+    for words, classes in reversed(LEAST_CLASSES):
+        out = F.when(n >= words, F.least(F.lit(classes), F.lit(min_docs))).otherwise(out)
+    return out
+
+
 def boilerplate(keyed: DataFrame, docs: DataFrame, text_column: str, min_docs: int = MIN_DOCS) -> DataFrame:
-    """_h of the lines whose template lies in enough classes of copies; _doc of ``keyed`` is the text's hash."""
+    """_doc and _pos of the lines to drop; _doc of ``keyed`` is the text's hash."""
     templates = _templates(keyed)
-    enough = F.col("k") >= min_docs
+    enough = F.col("k") >= least_classes(F.col("_n"), min_docs)
     held = materialize(keyed.select("_h", "_doc").distinct().join(templates, "_h").select("_template", "_n", "_doc").distinct())
     held = held.join(held.groupBy("_template", "_n").agg(F.count("*").alias("k")).where(enough).drop("k", "_n"), "_template", "left_semi")
     classes = copy_classes(docs, held.select("_doc").distinct(), text_column)
-    counted = held.join(classes, "_doc", "left").groupBy("_template", "_n").agg(F.count_distinct(F.coalesce("_class", "_doc")).alias("k"))
-    return templates.join(counted.where(enough).select("_template"), "_template", "left_semi").select("_h").distinct()
+    held = materialize(held.join(classes, "_doc", "left").select("_template", "_n", "_doc", F.coalesce("_class", "_doc").alias("_class")))
+    counted = held.groupBy("_template", "_n").agg(F.count_distinct("_class").alias("k"), F.min("_class").alias("_first")).where(enough)
+    counted = materialize(counted.select("_template", F.when(F.col("k") < min_docs, F.col("_first")).alias("_first")))
+    gone = held.join(counted, "_template").where(F.col("_first").isNull() | (F.col("_class") != F.col("_first"))).select("_template", "_doc")
+    drop = templates.join(counted.select("_template"), "_template", "left_semi").select("_h", "_template")
+    return keyed.select("_h", "_doc", "_pos").join(drop, "_h").join(gone, ["_template", "_doc"], "left_semi").select("_doc", "_pos")
 
 
 def drop_boilerplate(docs: DataFrame, text_column: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """``docs`` without boilerplate lines in ``text_column``, and n_lines, n_removed of each row."""
     keyed = materialize(_keys(_line_rows(docs, text_column, text_column)))
-    gone = boilerplate(keyed, docs, text_column, min_docs)
-    places = keyed.select("_doc", "_pos", "_h").join(gone, "_h", "left_semi").groupBy("_doc").agg(F.collect_set("_pos").alias("__line_places"))
+    places = boilerplate(keyed, docs, text_column, min_docs).groupBy("_doc").agg(F.collect_set("_pos").alias("__line_places"))
     return _without(docs, places.withColumnRenamed("_doc", "__line_key"), text_column, text_column)
 
 

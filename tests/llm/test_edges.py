@@ -162,3 +162,15 @@ def test_a_leaf_has_several_templates(spark):
     got = {r.doc_id: r for r in lines.drop_boilerplate(spark.createDataFrame(first + second + alone, "doc_id bigint, text string")).collect()}
     assert all(got[i]["__n_removed"] == 1 for i, _ in first + second)
     assert got[99]["__n_removed"] == 0
+
+
+def test_long_lines_recur_in_few_documents(spark):
+    passage = " ".join(f"said{chr(97 + j)}" for j in range(25))
+    middle, short = "all rights are reserved here", "thank you"
+    own = lambda i: " ".join(f"own{chr(97 + i)}{chr(97 + j)}" for j in range(30))
+    rows = [(i, "\n".join([passage] * (i < 2) + [middle] * (i < 3) + [short] + [own(i)])) for i in range(9)]
+    rows += [(20 + i, " ".join(f"copy{chr(97 + j)}" for j in range(60)) + "\nend" * i) for i in range(2)]
+    got = {r.doc_id: r for r in lines.drop_boilerplate(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert all(got[i].text.endswith("\n".join([short, own(i)])) for i in range(9))
+    assert [sum(line in r.text.split("\n") for r in got.values()) for line in (passage, middle, short)] == [1, 1, 9], "one of its texts keeps it"
+    assert all(got[i]["__n_removed"] == 0 for i in (20, 21)), "near copies keep their lines"
