@@ -6,7 +6,8 @@ document when at least ceil(t n) of them occur there, so any
 k = n - ceil(t n) + 1 of them must include one that occurs: the sketch of an
 item is its k smallest hashes (its bottom-k MinHash), with k taken from the
 size partition, and no contained item is missed at any document length.
-Candidates are verified by exact shingle containment.
+Candidates are verified by exact shingle containment.  The exact join of all
+item shingles is the main path; the sketches prune none of its work.
 
 An item with fewer than five words is one shingle, its whole word sequence,
 and is contained in documents that have the same whole sequence.  Null and
