@@ -1,7 +1,8 @@
 """Operator 2: toxic passages by maximum-scoring segment search.
 
 Every word has a log-odds weight with an informative Dirichlet prior (the
-corpus distribution of its features); features are the word and its stems (its
+distribution of its features in the labelled rows that weights are learnt
+from, not in the whole corpus); features are the word and its stems (its
 first characters), counted once a document and hashed into a table of fixed
 size, and a word takes the weight of its most significant feature.  A linear scan finds all maximal scoring segments of
 a text (Ruzzo and Tompa).  Their scores are calibrated by the extreme-value
