@@ -11,7 +11,7 @@ table, all checkpoints of a block side by side.
 A stored table is a folder: ``blocks`` (a Parquet row a block) and ``code``
 (the length of each id's code).  A null or empty text is the end id alone;
 rows with equal ids keep their own places, ordered by text.  An empty table
-gives an empty store.
+gives an empty store.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -123,17 +123,25 @@ class Decoder:
 
 
 def token_blocks(docs: DataFrame, path: str, end_id: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Blocks of whole documents in ascending order: _part, _before (ids of the part before it), doc ids, lengths, ids."""
+    """Blocks of whole documents in ascending order: _part, _before (ids of the part before it), doc ids, lengths, ids.
+
+    Ids take two bytes where the vocabulary allows it, else four.  A part's last row has no documents but
+    the ``counts`` of its ids, so that nothing is read twice for them.
+    """
     salt = F.xxhash64(text_column)  # deals out the rows of one id
     ordered = only(docs, id_column, text_column).repartitionByRange(F.col(id_column), salt).sortWithinPartitions(F.col(id_column), salt, F.col(text_column))
 
     def run(batches):
         own = encoder(path, by_word=True)
         part, before = TaskContext.get().partitionId(), 0
+        size = max(own.tokenizer.get_vocab_size(), end_id + 1)
+        total = np.zeros(size, np.int64)
         for rows in chunks(batches, text_column, CHUNK):
             ids, starts = own.encode(column_of(rows, text_column))
             n = np.diff(starts) + 1
-            ids = np.insert(ids, starts[1:], np.uint32(end_id)).astype("<u4")
+            total += np.bincount(ids, minlength=size)
+            total[end_id] += len(n)
+            ids = np.insert(ids.astype("<u2" if size <= 1 << 16 else "<u4"), starts[1:], end_id)
             ends = np.cumsum(n)
             first = 0
             while first < len(n):
@@ -148,13 +156,19 @@ def token_blocks(docs: DataFrame, path: str, end_id: int, id_column: str = "doc_
                         pa.ListArray.from_arrays(pa.array([0, last - first], pa.int32()), keys),
                         pa.array([n[first:last]], pa.list_(pa.int64())),
                         pa.array([ids[base : base + count].tobytes()], pa.binary()),
+                        pa.array([None], pa.binary()),
                     ],
-                    names=["_part", "_before", "doc_ids", "lengths", "ids"],
+                    names=names,
                 )
                 before, first = before + count, last
+        used = np.flatnonzero(total)
+        if len(used):
+            counts = np.stack([used, total[used]]).astype("<i8").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([before], pa.int64()), pa.array([None], pa.list_(keys.type)), pa.array([None], pa.list_(pa.int64())), pa.array([None], pa.binary()), pa.array([counts], pa.binary())], names=names)
 
+    names = ["_part", "_before", "doc_ids", "lengths", "ids", "counts"]
     kind = docs.schema[id_column].dataType.simpleString()
-    return ordered.mapInArrow(run, f"_part int, _before bigint, doc_ids array<{kind}>, lengths array<bigint>, ids binary")
+    return ordered.mapInArrow(run, f"_part int, _before bigint, doc_ids array<{kind}>, lengths array<bigint>, ids binary, counts binary")
 
 
 def write_store(docs: DataFrame, out: str, path: str, end_id: int = 1, id_column: str = "doc_id", text_column: str = "text") -> None:
@@ -163,18 +177,14 @@ def write_store(docs: DataFrame, out: str, path: str, end_id: int = 1, id_column
     blocks = materialize(token_blocks(docs, path, end_id, id_column, text_column))
 
     def count(batches):
-        total = np.zeros(0, np.int64)
         for batch in batches:
-            for data in column_of(batch, "ids").to_pylist():
-                seen = np.bincount(np.frombuffer(data, "<u4"))
-                if len(seen) > len(total):
-                    total = np.concatenate([total, np.zeros(len(seen) - len(total), np.int64)])
-                total[: len(seen)] += seen
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
+            for data in column_of(batch, "counts").to_pylist():
+                used, n = np.frombuffer(data, "<i8").reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(n)], names=["id", "n"])
 
     # one row an id of the vocabulary, and one a partition
-    counted = blocks.select("ids").mapInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    counted = blocks.where("counts is not null").select("counts").mapInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    blocks = blocks.where("counts is null")
     sizes = blocks.groupBy("_part").agg(F.sum(F.aggregate("lengths", F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("n")).orderBy("_part").collect()
     part_base, total = {}, 0
     for r in sizes:
@@ -191,7 +201,8 @@ def write_store(docs: DataFrame, out: str, path: str, end_id: int = 1, id_column
         for batch in batches:
             for row in range(batch.num_rows):
                 one = batch.slice(row, 1)
-                ids = np.frombuffer(column_of(one, "ids")[0].as_py(), "<u4")
+                raw = column_of(one, "ids")[0].as_py()
+                ids = np.frombuffer(raw, f"<u{len(raw) // int(np.asarray(column_of(one, 'lengths').flatten()).sum())}")
                 data, checkpoints = encode_bits(ids, lengths, codes)
                 start = bases[column_of(one, "_part")[0].as_py()] + column_of(one, "_before")[0].as_py()
                 yield pa.RecordBatch.from_arrays(

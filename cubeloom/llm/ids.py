@@ -3,11 +3,16 @@
 A byte-level tokenizer splits text before every space that a visible
 character follows, and a word tokenizer drops white space; so a text is cut
 there and the pieces' ids are put end to end, which gives the ids of the
-whole text.  A text that holds a special token's string is encoded whole.
+whole text.  Both kinds of tokenizer also split between a letter or digit and
+an ASCII mark other than the apostrophe, so a piece's closing marks are
+encoded apart from the rest; the rest, when it is one run of Latin letters,
+is one unit of the merge rules and goes to them directly.  A text that holds a special
+token's string is encoded whole.  A null text is an empty one.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 
 import numpy as np
@@ -16,8 +21,27 @@ import pyarrow.compute as pc
 
 from .common import kept
 
-#: Pieces a worker remembers before it starts anew.
+def spread(first: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """first, first + 1, ... (``times`` of them) for every entry, end to end, and where each entry's lie (one more)."""
+    starts = np.concatenate([[0], np.cumsum(times)])
+    total = int(starts[-1])
+    small = np.int32 if max(total, int((first + times).max(initial=0))) < 2**31 else np.int64
+    at = np.repeat((first - starts[:-1]).astype(small), times)
+    at += np.arange(total, dtype=small)
+    return at, starts
+
+
+#: Units a worker remembers; the older half goes when there are more.
 KNOWN = 600_000
+#: ASCII marks but the apostrophe, which may open a contraction.
+MARKS = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) != "'")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level tokenizers write for each byte; printable Latin-1 stands for itself."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    return {**{b: chr(b) for b in printable}, **{b: chr(256 + i) for i, b in enumerate(others)}}
 
 
 class Encoder:
@@ -27,53 +51,69 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges = self.tokenizer.model
         self.by_word = by_word
         self.lowers = by_word and "Lowercase" in str(self.tokenizer.normalizer)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self._forget()
         self.cut = re.compile(r"(?= [^\s])")
-        self.plain = re.compile(r"\S+" if by_word else r" \S+")
-
-    def _forget(self) -> None:
-        self.index: dict[str, int] = {}
-        self.pool = np.zeros(0, np.uint32)
-        self.first = np.zeros(1, np.int64)
-
-    def _joined(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and their number for pieces without inner white space, in one call: told apart by where tokens start."""
-        text = ("\n" if self.by_word else "").join(pieces)
-        found = self.tokenizer.encode(text, add_special_tokens=False)
-        sizes = np.array([len(p) + self.by_word for p in pieces], dtype=np.int64)
-        starts = np.array([a for a, _ in found.offsets], dtype=np.int64)
-        edges = np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)]))
-        return np.array(found.ids, dtype=np.uint32), np.diff(edges)
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode pieces and add them to the store."""
-        plain = [p for p in pieces if self.plain.fullmatch(p)]
-        other = [p for p in pieces if not self.plain.fullmatch(p)]
-        pools, widths = [self.pool], []
-        for at in range(0, len(plain), 4096):
-            ids, n = self._joined(plain[at : at + 4096])
-            pools.append(ids)
-            widths.append(n)
+        # one pre-token that normalization leaves as it is
+        self.letters = re.compile("[a-zß-öø-ÿ]+" if by_word else " ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+        self.bytes = byte_letters()
+        self.new: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
+
+    def _learn(self, units: list[str]) -> None:
+        """Encode units and remember them."""
+        tokenize, letters, table = self.merges.tokenize, self.letters.fullmatch, self.bytes
+        other = []
+        for unit in units:
+            if not letters(unit):
+                other.append(unit)
+                continue
+            plain = unit if self.by_word and unit.isascii() else unit.encode().decode("latin-1").translate(table)
+            self.new[unit] = tuple([t.id for t in tokenize(plain)])
         if other:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)]
-            pools.append(np.array([i for x in found for i in x], dtype=np.uint32))
-            widths.append(np.array([len(x) for x in found], dtype=np.int64))
-        known = len(self.index)
-        self.index.update((p, known + i) for i, p in enumerate(plain + other))
-        self.pool = np.concatenate(pools)
-        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.concatenate(widths))])
-
-    def _lookup(self, pieces: list[str]) -> np.ndarray:
-        """The place in the store of each piece."""
-        if len(self.index) > KNOWN:
-            self._forget()
-        missing = [p for p in pieces if p not in self.index]
+            self.new.update((u, tuple(e.ids)) for u, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)))
+
+    def _lookup(self, units: list[str]) -> list[tuple[int, ...]]:
+        """The ids of each unit."""
+        if len(self.new) > KNOWN // 2:
+            self.old, self.new = self.new, {}
+        new, old = self.new, self.old
+        missing = []
+        for unit in units:
+            if unit not in new:
+                if unit in old:
+                    new[unit] = old[unit]
+                else:
+                    missing.append(unit)
         if missing:
             self._learn(missing)
-        return np.fromiter(map(self.index.__getitem__, pieces), dtype=np.int64, count=len(pieces))
+        return list(map(new.__getitem__, units))
+
+    def _units(self, pieces: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Each piece without its closing marks, and these (empty where the boundary is not sure)."""
+        core = pc.ascii_rtrim(pieces, MARKS)
+        sure = pc.match_substring_regex(core, r"[0-9A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}]$")
+        core = pc.if_else(sure, core, pieces)
+        closed = np.flatnonzero(pc.binary_length(pieces).to_numpy() != pc.binary_length(core).to_numpy())
+        some = zip(pieces.take(pa.array(closed)).to_pylist(), core.take(pa.array(closed)).to_pylist())
+        marks = np.full(len(pieces), "", object)
+        marks[closed] = [p[len(c) :] for p, c in some]
+        return core, pa.array(marks, pieces.type)
+
+    def _pool(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct pieces end to end, and where those of each start (one entry more)."""
+        core, marks = self._units(pieces)
+        core, marks = core.dictionary_encode(), marks.dictionary_encode()
+        units = core.dictionary.to_pylist() + marks.dictionary.to_pylist()
+        found = self._lookup(units)
+        widths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        flat = np.fromiter(itertools.chain.from_iterable(found), dtype=np.uint32, count=int(widths.sum()))
+        first = np.cumsum(widths) - widths
+        both = np.stack([np.asarray(core.indices), np.asarray(marks.indices) + len(core.dictionary)], axis=1).reshape(-1)
+        at, starts = spread(first[both], widths[both])
+        return flat[at], starts[::2]
 
     def _pieces(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """Pieces of all texts, and the number of them in each."""
@@ -105,25 +145,23 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, and where those of each text start (one entry more)."""
-        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        texts = pc.fill_null(texts, "")
+        lower = pc.ascii_lower(texts).cast(pa.large_string())  # before the cast: a cast slice keeps its old offsets
+        texts = texts.cast(pa.large_string())
         whole = np.zeros(len(texts), bool)
         for s in self.special:
-            whole |= np.asarray(pc.match_substring(texts, s, ignore_case=True))
-        plain = pc.if_else(pa.array(whole), pa.scalar("", pa.large_string()), texts)
-        if self.lowers:
-            plain = pc.ascii_lower(plain)  # as the tokenizer would: fewer distinct pieces
+            whole |= np.asarray(pc.match_substring(lower, s.lower()))
+        # in lower case as the tokenizer would have it: fewer distinct pieces
+        plain = lower if self.lowers else texts
+        if whole.any():
+            plain = pc.if_else(pa.array(whole), pa.scalar("", pa.large_string()), plain)
         pieces, n = self._pieces(plain)
         coded = pieces.dictionary_encode()
-        codes = self._lookup(coded.dictionary.to_pylist())[np.asarray(coded.indices)]
-        begin = self.first[codes]
-        times = self.first[codes + 1] - begin
-        total = int(times.sum())
-        small = np.int32 if max(total, len(self.pool)) < 2**31 else np.int64
-        at = np.repeat((begin - (np.cumsum(times) - times)).astype(small), times)
-        at += np.arange(total, dtype=small)
-        ids = self.pool[at]
-        piece_ends = np.concatenate([[0], np.cumsum(times)])
-        starts = piece_ends[np.concatenate([[0], np.cumsum(n)])]
+        pool, first = self._pool(coded.dictionary)
+        codes = np.asarray(coded.indices)
+        at, piece_starts = spread(first[codes], (first[1:] - first[:-1])[codes])
+        ids = pool[at]
+        starts = piece_starts[np.concatenate([[0], np.cumsum(n)])]
         if whole.any():
             parts = [ids[a:b] for a, b in zip(starts[:-1], starts[1:])]
             for i in np.flatnonzero(whole).tolist():
