@@ -6,7 +6,6 @@ Every helper treats a null text as a text without words.
 
 from __future__ import annotations
 
-import os
 import uuid
 
 import numpy as np
@@ -18,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker handles at once.
 CHUNK_BYTES = 8 << 20
+#: Stands for a missing id where ids are whole numbers.
+NO_ID = -(1 << 63)
 #: Separators between words, as a Java and Python character class.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
@@ -28,10 +29,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set to a local one only where none is set."""
+    """The folder that driver and executors share; where none is set, a local one in local mode only."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not where:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
         where = "file://" + tempfile.mkdtemp(prefix="cubeloom-")
@@ -44,17 +47,17 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cubeloom-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
 
 
-def discard(df: DataFrame) -> None:
-    """Remove the files of a table made by ``materialize`` once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {os.path.dirname(f) for f in df.inputFiles()}:
-        if "/cubeloom-" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Remove the files of tables made by ``materialize`` that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.written_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 _kept: tuple | None = None
@@ -166,6 +169,21 @@ def shingle_sets(texts: pa.Array, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(sets) if sets else np.zeros(0, np.uint64)), offsets
 
 
+def column(name: str) -> Column:
+    """A column by its exact name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def only(docs: DataFrame, *columns: str) -> DataFrame:
     """Just these columns; a document table may carry others under any name."""
-    return docs.select(*(F.col(f"`{c}`") for c in columns))
+    return docs.select(*(column(c) for c in columns))
+
+
+def whole_row(docs: DataFrame) -> Column:
+    """All columns in one struct, so that no name can clash with a helper's."""
+    return F.struct(*(column(c) for c in docs.columns))
+
+
+def with_text(docs: DataFrame, text_column: str, text: Column) -> Column:
+    """The struct column ``row`` of ``whole_row`` with another text."""
+    return F.struct(*((text if c == text_column else F.col("row").getField(c)).alias(c) for c in docs.columns))

@@ -83,5 +83,6 @@ def contained_items(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
     """``docs`` without the rows that contain a test item."""
-    dirty = materialize(containments(docs, items, id_column, text_column, **options).select(F.col("_doc").alias("__cubeloom_doc")).distinct())
-    return docs.join(dirty, F.xxhash64(F.col(f"`{id_column}`"), F.col(f"`{text_column}`")) == F.col("__cubeloom_doc"), "left_anti")
+    dirty = materialize(containments(docs, items, id_column, text_column, **options).select("_doc").distinct())
+    rows = docs.select(whole_row(docs).alias("row"), F.xxhash64(column(id_column), column(text_column)).alias("_doc"))
+    return rows.join(dirty, "_doc", "left_anti").select("row.*")

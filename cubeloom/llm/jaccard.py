@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, column_of, materialize, shingle_sets
+from .common import chunks, column, column_of, discard, materialize, shingle_sets, whole_row
 from .components import connected_components
 
 SHINGLE = 5
@@ -312,9 +312,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` with one row of each component, the one of least id; rows without words stay."""
     found = near_duplicates(docs, id_column, text_column)
-    kept = found.groupBy("_group").agg(F.min(F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), F.col("_h").alias("h"))).alias("k")).select("k.id", "k.h").distinct()
-    keyed = docs.withColumn("__cubeloom_h", F.xxhash64(F.col(f"`{text_column}`")))
-    left = keyed.join(kept, keyed[id_column].eqNullSafe(kept["id"]) & (keyed["__cubeloom_h"] == kept["h"]), "left_semi")
-    worded = F.coalesce(F.col(f"`{text_column}`").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    once = left.where(worded).dropDuplicates([id_column, "__cubeloom_h"])
-    return once.unionByName(left.where(~worded)).drop("__cubeloom_h")
+    rows = docs.select(whole_row(docs).alias("row"), column(id_column).alias("id"), F.xxhash64(column(text_column)).alias("h"), column(text_column).alias("text"))
+    kept = found.groupBy("_group").agg(F.min(F.struct(column(id_column).isNull().alias("none"), column(id_column).alias("id"), F.col("_h").alias("h"))).alias("k")).select("k.id", "k.h").distinct()
+    left = rows.alias("r").join(kept.alias("k"), F.col("r.id").eqNullSafe(F.col("k.id")) & F.col("r.h").eqNullSafe(F.col("k.h")), "left_semi")
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    once = left.where(worded).dropDuplicates(["id", "h"])
+    return once.unionByName(left.where(~worded)).select("row.*")

@@ -2,32 +2,31 @@
 
 A line's tokens are its words; a token with a digit is a variable field and
 becomes ``<*>``.  The tree's levels are the number of tokens and the leading
-``DEPTH`` tokens; a leaf's most frequent line is its template, and a line of
-the leaf whose tokens agree with it at ``SIMILARITY`` of the places or more
-is an instance, its other places being variable too; any other line is a
-template of its own.  A template recurs when its lines lie in at least
-``MIN_DOCS`` documents (each variant's documents are counted, and added up).
-
-``drop_recurring_lines`` is held to the SQL of op9_line_dedup.  Recurring
-lines are dropped from every document, except from one in which they hold
-more than ``COPY_SHARE`` of the words.
-
-``drop_boilerplate`` is the pipeline's stage.  A leaf has as many templates as
-its lines need: lines that agree with no template so far form further ones,
-the most frequent first.  A template is counted over
-classes of copies, and its lines are dropped from every document whatever
-share they hold.  Equal texts are one class, and so are texts linked by a
-5-shingle Jaccard of ``COPY_JACCARD``, as estimated from the ``SKETCH`` least
-hashes of both (exact for sets that small).  Candidates are texts with two
-neighbouring hashes of the ``BANDS`` least in common, each compared with one
-leader; only texts that hold a line of a recurring template are sketched.  A
-template of 20 words recurs with two classes, one of 3 words with three; only
-shorter lines, which meet by chance, need ``MIN_DOCS``.  With ``MIN_DOCS``
-classes or more it goes everywhere; with fewer the class of least hash keeps
-it, so that no passage is lost with its only two texts.
-
-Null texts stay null; lines without a word stay; repeated rows are treated
-alike.  DataFrame functions only.
+``DEPTH`` tokens.  A leaf has as many templates as its lines need: lines that
+agree with a template at ``SIMILARITY`` of the places or more are its
+instances, their other places being variable too, and lines that agree with
+no template so far form further ones, the most frequent first.
+
+A template recurs when its instances, taken together, lie in enough distinct
+documents: two for 20 words or more, three for 3 words or more, ``MIN_DOCS``
+for shorter lines, which meet by chance.  Its lines are dropped from every
+document but the first (the least id), so that no passage is lost.
+
+With ``copies`` a template is counted over classes of copies instead, and the
+class of least hash keeps it, so that the only text of a class and its copies
+is left whole for a near-duplicate operator.  Equal texts are one class, and so
+are texts linked by a 5-shingle Jaccard of ``COPY_JACCARD``, as estimated from
+the ``SKETCH`` least hashes of both (exact for sets that small).  Candidates
+are texts with two neighbouring hashes of the ``BANDS`` least in common, each
+compared with one leader; only texts that hold a line of a recurring template
+are sketched.
+
+Null texts stay null and have no lines; lines without a word stay; equal rows
+are treated alike; rows without an id are one document; rows that share an id
+are one document with several texts; an empty table gives an empty one.  Ids
+are whole numbers.  Ties between lines of equal frequency go by a hash.  Other
+columns may have any name.  DataFrame functions only; joins are by shuffle at
+every size, so that the plan does not change as the tables grow.
 """
 
 from __future__ import annotations
@@ -37,171 +36,165 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, let, materialize, only
+from .common import NO_ID, SPACE_CLASS, column, discard, let, materialize, only, whole_row, with_text
 from .components import connected_components
 from .decontaminate import shingle_hashes
 
 DEPTH = 3
 SIMILARITY = 0.7
 MIN_DOCS = 10
-COPY_SHARE = 0.5
 COPY_JACCARD = 0.75
 SKETCH = 128
 BANDS = 32
-#: Least words of a line, and the classes of copies that its template must lie in; shorter lines need MIN_DOCS.
-LEAST_CLASSES = ((20, 2), (3, 3))
+#: Least words of a line, and the documents (or classes of copies) that its template must lie in; shorter lines need MIN_DOCS.
+LEAST_DOCS = ((20, 2), (3, 3))
 FIELD = "<*>"
 
 
-def masked(line: Column) -> Column:
-    """Words joined by one space, tokens with a digit as a field."""
-    plain = F.trim(F.regexp_replace(line, SPACE_CLASS + "+", " "))
-    return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, "[^ ]*[0-9][^ ]*", FIELD)).otherwise(plain)
+def masked(lines: DataFrame) -> DataFrame:
+    """``lines`` with _m for _line: words joined by one space, tokens with a digit as a field."""
+    line = F.col("_line")
+    odd = line.contains("  ") | line.startswith(" ") | line.endswith(" ") | line.rlike(r"[\x09-\x0D]")
+    plain = lines.withColumn("_line", F.when(odd, F.trim(F.regexp_replace(line, SPACE_CLASS + "+", " "))).otherwise(line))
+    return plain.withColumn("_m", F.when(line.rlike("[0-9]"), F.regexp_replace(line, "[^ ]*[0-9][^ ]*", FIELD)).otherwise(line)).drop("_line").where("_m <> ''")
 
 
-def _line_rows(docs: DataFrame, text_column: str, *key: str) -> DataFrame:
-    rows = only(docs, *dict.fromkeys([*key, text_column])).select(F.xxhash64(*key).alias("_doc"), F.posexplode(F.split(text_column, "\n")).alias("_pos", "_line"))
-    return rows.select("_doc", "_pos", masked(F.col("_line")).alias("_m")).where("_m <> ''")
-
-
-def _keys(rows: DataFrame) -> DataFrame:
+def keyed_lines(docs: DataFrame, id_column: str, text_column: str, copies: bool) -> DataFrame:
+    """Every line with a word: _id, _t (its text's hash), _u (its unit), _pos, _m, _n words, _leaf, and _h, 60 bits of its MD5."""
+    text = column(text_column)
+    rows = only(docs, *dict.fromkeys([id_column, text_column])).select(row_id(id_column).alias("_id"), F.xxhash64(text).alias("_t"), F.posexplode(F.split(text, "\n")).alias("_pos", "_line"))
     n = F.octet_length("_m") - F.octet_length(F.replace("_m", F.lit(" "), F.lit(""))) + 1
-    return rows.select("*", n.cast("int").alias("_n")).select(
-        "*", F.xxhash64("_n", F.substring_index("_m", " ", DEPTH)).alias("_leaf"), F.md5("_m").alias("_h")
+    lines = masked(rows).withColumn("_n", n.cast("int"))
+    h = F.conv(F.substring(F.md5("_m"), 1, 15), 16, 10).cast("bigint")
+    return lines.select(
+        "_id", "_t", F.col("_t" if copies else "_id").alias("_u"), "_pos", "_n", F.xxhash64("_n", F.substring_index("_m", " ", DEPTH)).alias("_leaf"), h.alias("_h"), "_m"
     )
 
 
-def recurring(keyed: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """_h of the lines of recurring templates."""
-    variants = keyed.groupBy("_leaf", "_h", "_doc").agg(F.lit(1).alias("one")).groupBy("_leaf", "_h").agg(F.count("*").alias("docs"))
-    variants = materialize(variants)
-    leaves = variants.groupBy("_leaf").agg(F.sum("docs").alias("total"), F.max(F.struct("docs", "_h")).alias("top"), F.count("*").alias("kinds")).where(F.col("total") >= min_docs)
-    inside = materialize(variants.join(leaves, "_leaf").select("_leaf", "_h", "docs", "kinds", F.col("top._h").alias("_top")))
-    # only leaves with several lines need the tokens; each variant's text travels once
-    several = inside.where("kinds > 1").select("_leaf", "_h")
-    words = keyed.select("_leaf", "_h", "_m").join(several, ["_leaf", "_h"], "left_semi").groupBy("_h").agg(F.first("_m").alias("_m"))
-    words = materialize(words.select("_h", F.split("_m", " ").alias("_t")))
-    of_template = words.select(F.col("_h").alias("_top"), F.col("_t").alias("_template"))
-    agree = F.size(F.filter(F.zip_with("_t", "_template", lambda a, b: a == b), lambda x: x))
-    compared = inside.where("kinds > 1").join(words, ["_h"]).join(of_template, "_top")
-    judged = compared.select("_leaf", "_h", "docs", (agree >= F.lit(SIMILARITY) * F.size("_t") - 1e-9).alias("_instance"))
-    alone = inside.where("kinds = 1").select("_leaf", "_h", "docs", F.lit(True).alias("_instance"))
-    judged = materialize(judged.unionByName(alone))
-    full = judged.where("_instance").groupBy("_leaf").agg(F.sum("docs").alias("total")).where(F.col("total") >= min_docs).select("_leaf")
-    return judged.where("_instance").join(full, "_leaf", "left_semi").select("_h").unionByName(judged.where(~F.col("_instance") & (F.col("docs") >= min_docs)).select("_h")).distinct()
-
-
-def drop_recurring_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
-    """``docs`` with recurring lines gone from ``text_column``, and n_lines, n_removed of each row."""
-    # written with the masked text: its column is read again only for leaves of several lines
-    keyed = materialize(_keys(_line_rows(docs, text_column, id_column, text_column)))
-    gone = recurring(keyed, min_docs)
-    keyed = keyed.drop("_m", "_leaf")
-    marked = keyed.join(gone.withColumn("_gone", F.lit(True)), ["_h"], "left")
-    per_doc = marked.dropDuplicates(["_doc", "_pos"]).groupBy("_doc").agg(
-        F.sum(F.when(F.col("_gone"), F.col("_n")).otherwise(0)).alias("_words_gone"), F.sum("_n").alias("_words"), F.collect_list(F.when(F.col("_gone"), F.col("_pos"))).alias("__line_places")
-    )
-    per_doc = per_doc.where((F.col("_words_gone") > 0) & (F.col("_words_gone") <= COPY_SHARE * F.col("_words"))).select(F.col("_doc").alias("__line_key"), "__line_places")
-    return _without(docs, per_doc, text_column, id_column, text_column)
+def row_id(id_column: str) -> Column:
+    return F.coalesce(column(id_column).cast("bigint"), F.lit(NO_ID))
+
 
+LINE = ["_leaf", "_h"]
 
-def _templates(keyed: DataFrame) -> DataFrame:
-    """_h of every line, its number of words and its _template, a line's _h.
+
+def templates(keyed: DataFrame, variants: DataFrame) -> DataFrame:
+    """_leaf, _h and _template (a line's _h) of the lines that share a leaf with another line of another unit.
 
     Lines that agree differ in at most m places beyond the leading ones, so of
     m + 1 segments of those places one is equal.  In each round the lines that
     are the most frequent of all their segments are templates, every other
     line joins the most frequent of them that it agrees with, and the rest go
-    on, until no segment is left that holds lines of two documents.
+    on, until no segment is left that holds lines of two units.
     """
-    variants = materialize(keyed.groupBy("_leaf", "_h", "_n").agg(F.count_distinct("_doc").alias("docs"), F.min("_doc").alias("_lo"), F.max("_doc").alias("_hi")))
     across = (F.count("*") > 1) & (F.min("_lo") < F.max("_hi"))
-    several = variants.groupBy("_leaf").agg(across.alias("_across")).where("_across").select("_leaf")
-    open_ = variants.join(several, "_leaf", "left_semi")
-    words = keyed.select("_h", "_m").join(open_.select("_h"), "_h", "left_semi").groupBy("_h").agg(F.first("_m").alias("_m"))
-    words = materialize(words.select("_h", F.split("_m", " ").alias("_t")))
+    several = materialize(variants.where(F.col("_n") > DEPTH).groupBy("_leaf").agg(across.alias("_across")).where("_across").select("_leaf"))
+    open_ = materialize(variants.join(several.hint("merge"), "_leaf", "left_semi"))
+    # each line's words are taken from one document; a line stands there more than once at times
+    held = keyed.select(*LINE, F.col("_u").alias("_lo"), "_m").join(open_.hint("merge"), [*LINE, "_lo"]).dropDuplicates([*LINE, "_lo"])
+    words = materialize(held.select(*LINE, "_n", "docs", "_lo", "_hi", F.split("_m", " ").alias("_w")))
     differ = F.col("_n") - F.ceil(F.lit(SIMILARITY) * F.col("_n") - 1e-9).cast("int")
-    rest = F.slice("_t", DEPTH + 1, F.greatest(F.col("_n") - DEPTH, F.lit(0)))
+    rest = F.slice("_w", DEPTH + 1, F.greatest(F.col("_n") - DEPTH, F.lit(0)))
     width = F.greatest(F.floor((F.col("_n") - DEPTH) / (differ + 1)), F.lit(1)).cast("int")
     # the last segment takes what is left over
     segment = lambda i: F.when(F.col("_n") - DEPTH <= differ, F.xxhash64("_leaf")).otherwise(
         F.xxhash64("_leaf", i, F.slice(rest, i * width + 1, F.when(i == differ, F.col("_n")).otherwise(width)))
     )
-    segments = open_.join(words, "_h").select("_h", "_lo", "_hi", F.struct("docs", "_h").alias("_rank"), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), differ), segment))).alias("_part"))
-    segments = materialize(segments)
-    agree = F.size(F.filter(F.zip_with("_t", "_u", lambda x, y: x == y), lambda x: x))
+    parts = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), differ), segment)))
+    segments = materialize(words.select(*LINE, "_lo", "_hi", F.struct("docs", "_h").alias("_rank"), parts.alias("_part")))
+    agree = F.size(F.filter(F.zip_with("_w", "_v", lambda x, y: x == y), lambda x: x))
+    texts = words.select(*LINE, "_w")
     found = []
     while True:
-        leads = segments.groupBy("_part").agg(F.max("_rank").alias("_lead"), across.alias("_across")).where("_across").drop("_across")
-        met = materialize(segments.join(leads, "_part"))
+        leads = materialize(segments.groupBy("_part").agg(F.max("_rank").alias("_lead"), across.alias("_across")).where("_across").drop("_across"))
+        met = materialize(segments.join(leads.hint("merge"), "_part"))
+        discard(segments, leads)
         if met.isEmpty():
+            discard(met)
             break
-        heads = materialize(met.groupBy("_h").agg(F.min(F.col("_lead") == F.col("_rank")).alias("_first")).where("_first").select("_h"))
-        pairs = met.where("_lead <> _rank").select("_h", F.col("_lead").alias("_lead"), F.col("_lead._h").alias("_l")).distinct().join(heads.withColumnRenamed("_h", "_l"), "_l", "left_semi")
-        fits = pairs.join(words, "_h").join(words.select(F.col("_h").alias("_l"), F.col("_t").alias("_u")), "_l").where(agree >= F.lit(SIMILARITY) * F.size("_t") - 1e-9)
-        joined = fits.groupBy("_h").agg(F.max("_lead").alias("_lead")).select("_h", F.col("_lead._h").alias("_template"))
-        done = materialize(joined.unionByName(heads.select("_h", F.col("_h").alias("_template"))))
+        heads = materialize(met.groupBy(*LINE).agg(F.min(F.col("_lead") == F.col("_rank")).alias("_first")).where("_first").select(*LINE))
+        led = heads.select("_leaf", F.col("_h").alias("_l"))
+        pairs = met.where("_lead <> _rank").select(*LINE, "_lead", F.col("_lead._h").alias("_l")).distinct().join(led.hint("merge"), ["_leaf", "_l"], "left_semi")
+        fits = pairs.join(texts.hint("merge"), LINE).join(texts.select("_leaf", F.col("_h").alias("_l"), F.col("_w").alias("_v")).hint("merge"), ["_leaf", "_l"])
+        fits = materialize(fits.where(agree >= F.lit(SIMILARITY) * F.size("_w") - 1e-9).select(*LINE, "_lead"))
+        joined = fits.groupBy(*LINE).agg(F.max("_lead").alias("_lead")).select(*LINE, F.col("_lead._h").alias("_template"))
+        done = materialize(joined.unionByName(heads.select(*LINE, F.col("_h").alias("_template"))))
+        discard(heads, fits)
         found.append(done)
-        segments = materialize(met.select("_part", "_h", "_lo", "_hi", "_rank").join(done, "_h", "left_anti"))
-    given = variants.select("_h", "_n")
-    if not found:
-        return materialize(given.withColumn("_template", F.col("_h")))
-    instances = functools.reduce(DataFrame.unionByName, found)
-    return materialize(given.join(instances, "_h", "left").select("_h", "_n", F.coalesce("_template", "_h").alias("_template")))
+        segments = materialize(met.select("_part", *LINE, "_lo", "_hi", "_rank").join(done.hint("merge"), LINE, "left_anti"))
+        discard(met)
+    discard(several, open_, words)
+    return functools.reduce(DataFrame.unionByName, found) if found else variants.limit(0).select(*LINE, F.col("_h").alias("_template"))
 
 
-def copy_classes(docs: DataFrame, texts: DataFrame, text_column: str = "text") -> DataFrame:
-    """_doc and _class of those of the ``texts`` (_doc, a text's xxhash64) that are copies of another."""
-    one = only(docs, text_column).select(F.xxhash64(text_column).alias("_doc"), F.col(text_column).alias("_text")).join(texts, "_doc", "left_semi")
-    least = one.select("_doc", F.slice(F.sort_array(F.array_distinct(shingle_hashes(F.col("_text")))), 1, SKETCH).alias("_s"))
-    least = materialize(least.where(F.size("_s") > 0).dropDuplicates(["_doc"]))
-    places = F.sequence(F.lit(0), F.least(F.size("_s"), F.lit(BANDS)) - 1)
-    bands = materialize(least.select("_doc", F.explode(F.transform(places, lambda i: F.xxhash64(F.get("_s", i), F.get("_s", i + 1)))).alias("_band")))
-    leads = bands.groupBy("_band").agg(F.min("_doc").alias("_lead"), F.count("*").alias("k")).where("k > 1").drop("k")
-    pairs = bands.join(leads, "_band").where("_doc <> _lead").select("_doc", "_lead").distinct()
-    met = pairs.join(least, "_doc").join(least.select(F.col("_doc").alias("_lead"), F.col("_s").alias("_r")), "_lead")
-    union = F.slice(F.sort_array(F.array_union("_s", "_r")), 1, SKETCH)
-    alike = let(union, lambda u: F.size(F.array_intersect(F.array_intersect(u, F.col("_s")), F.col("_r"))) / F.size(u))
-    edges = materialize(met.where(alike >= COPY_JACCARD).select(F.col("_doc").alias("a"), F.col("_lead").alias("b")))
-    return connected_components(edges).select(F.col("node").alias("_doc"), F.col("root").alias("_class"))
-
-
-def least_classes(n: Column, min_docs: int = MIN_DOCS) -> Column:
-    """Classes of copies that a template of ``n`` words must lie in."""
+def least_docs(n: Column, min_docs: int = MIN_DOCS) -> Column:
+    """Documents, or classes of copies, that a template of ``n`` words must lie in."""
     out = F.lit(min_docs)
-    for words, classes in reversed(LEAST_CLASSES):
-        out = F.when(n >= words, F.least(F.lit(classes), F.lit(min_docs))).otherwise(out)
+    for words, docs in reversed(LEAST_DOCS):
+        out = F.when(n >= words, F.least(F.lit(docs), F.lit(min_docs))).otherwise(out)
     return out
 
 
-def boilerplate(keyed: DataFrame, docs: DataFrame, text_column: str, min_docs: int = MIN_DOCS) -> DataFrame:
-    """_doc and _pos of the lines to drop; _doc of ``keyed`` is the text's hash."""
-    templates = _templates(keyed)
-    enough = F.col("k") >= least_classes(F.col("_n"), min_docs)
-    held = materialize(keyed.select("_h", "_doc").distinct().join(templates, "_h").select("_template", "_n", "_doc").distinct())
-    held = held.join(held.groupBy("_template", "_n").agg(F.count("*").alias("k")).where(enough).drop("k", "_n"), "_template", "left_semi")
-    classes = copy_classes(docs, held.select("_doc").distinct(), text_column)
-    held = materialize(held.join(classes, "_doc", "left").select("_template", "_n", "_doc", F.coalesce("_class", "_doc").alias("_class")))
-    counted = held.groupBy("_template", "_n").agg(F.count_distinct("_class").alias("k"), F.min("_class").alias("_first")).where(enough)
-    counted = materialize(counted.select("_template", F.when(F.col("k") < min_docs, F.col("_first")).alias("_first")))
-    gone = held.join(counted, "_template").where(F.col("_first").isNull() | (F.col("_class") != F.col("_first"))).select("_template", "_doc")
-    drop = templates.join(counted.select("_template"), "_template", "left_semi").select("_h", "_template")
-    return keyed.select("_h", "_doc", "_pos").join(drop, "_h").join(gone, ["_template", "_doc"], "left_semi").select("_doc", "_pos")
-
-
-def drop_boilerplate(docs: DataFrame, text_column: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
-    """``docs`` without boilerplate lines in ``text_column``, and n_lines, n_removed of each row."""
-    keyed = materialize(_keys(_line_rows(docs, text_column, text_column)))
-    places = boilerplate(keyed, docs, text_column, min_docs).groupBy("_doc").agg(F.collect_set("_pos").alias("__line_places"))
-    return _without(docs, places.withColumnRenamed("_doc", "__line_key"), text_column, text_column)
-
-
-def _without(docs: DataFrame, per_doc: DataFrame, text_column: str, *key: str) -> DataFrame:
-    """``docs`` without the lines at __line_places of the rows of __line_key."""
-    joined = docs.join(per_doc.hint("shuffle_hash"), F.xxhash64(*(F.col(f"`{c}`") for c in key)) == F.col("__line_key"), "left")
-    lines = F.split(text_column, "\n")
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__line_places")), lambda i: F.get(lines, i))
-    n_removed = F.coalesce(F.size("__line_places"), F.lit(0))
-    n_removed = F.when(F.col("__line_places").isNull(), 0).otherwise(n_removed).cast("bigint")
-    own = [F.when(F.col("__line_places").isNull(), F.col(f"`{c}`")).otherwise(F.array_join(kept, "\n")).alias(c) if c == text_column else F.col(f"`{c}`") for c in docs.columns]
-    return joined.select(*own, F.coalesce(F.size(lines), F.lit(0)).cast("bigint").alias("__n_lines"), n_removed.alias("__n_removed"))
+def copy_classes(docs: DataFrame, texts: DataFrame, text_column: str = "text") -> DataFrame:
+    """_u and _class of those of the ``texts`` (_u, a text's xxhash64) that are copies of another."""
+    text = column(text_column)
+    one = only(docs, text_column).select(F.xxhash64(text).alias("_u"), text.alias("_text")).join(texts.hint("merge"), "_u", "left_semi")
+    least = one.select("_u", F.slice(F.sort_array(F.array_distinct(shingle_hashes(F.col("_text")))), 1, SKETCH).alias("_s"))
+    least = materialize(least.where(F.size("_s") > 0).dropDuplicates(["_u"]))
+    places = F.sequence(F.lit(0), F.least(F.size("_s"), F.lit(BANDS)) - 1)
+    bands = materialize(least.select("_u", F.explode(F.transform(places, lambda i: F.xxhash64(F.get("_s", i), F.get("_s", i + 1)))).alias("_band")))
+    leads = materialize(bands.groupBy("_band").agg(F.min("_u").alias("_lead"), F.count("*").alias("k")).where("k > 1").drop("k"))
+    pairs = materialize(bands.join(leads.hint("merge"), "_band").where("_u <> _lead").select("_u", "_lead").distinct())
+    discard(bands, leads)
+    met = pairs.join(least.hint("merge"), "_u").join(least.select(F.col("_u").alias("_lead"), F.col("_s").alias("_r")).hint("merge"), "_lead")
+    union = F.slice(F.sort_array(F.array_union("_s", "_r")), 1, SKETCH)
+    alike = let(union, lambda u: F.size(F.array_intersect(F.array_intersect(u, F.col("_s")), F.col("_r"))) / F.size(u))
+    edges = materialize(met.where(alike >= COPY_JACCARD).select(F.col("_u").alias("a"), F.col("_lead").alias("b")))
+    discard(pairs, least)
+    return connected_components(edges).select(F.col("node").alias("_u"), F.col("root").alias("_class"))
+
+
+def recurring(keyed: DataFrame, docs: DataFrame, text_column: str, copies: bool, min_docs: int = MIN_DOCS) -> DataFrame:
+    """_id, _t and _pos of the lines to drop."""
+    pairs = materialize(keyed.select(*LINE, "_n", "_u").distinct())
+    variants = materialize(pairs.groupBy(*LINE, "_n").agg(F.count("*").alias("docs"), F.min("_u").alias("_lo"), F.max("_u").alias("_hi")))
+    shared = templates(keyed, variants)
+    lines = materialize(variants.join(shared.hint("merge"), LINE, "left").select(*LINE, "_n", "docs", "_lo", "_hi", F.coalesce("_template", "_h").alias("_template")))
+    discard(variants)
+    # units are counted one by one only where the sum of the lines' counts leaves it open
+    key, enough = ["_leaf", "_template"], least_docs(F.col("_n"), min_docs)
+    sums = lines.groupBy(*key, "_n").agg(F.max("docs").alias("most"), F.sum("docs").alias("sum"), (F.min("_lo") < F.max("_hi")).alias("two"), F.min("_lo").alias("_first")).where(F.col("sum") >= enough)
+    sums = materialize(sums.withColumn("sure", (F.col("most") >= enough) | ((enough <= 2) & F.col("two"))))
+    unsure = lines.join(sums.where("not sure").select(*key).hint("merge"), key, "left_semi").select(*LINE, "_template")
+    counted = pairs.select(*LINE, "_u").join(materialize(unsure).hint("merge"), LINE).select(*key, "_u").distinct().groupBy(*key).agg(F.count("*").alias("k"))
+    kept = sums.where("sure").select(*key, "_n", "_first").unionByName(sums.where("not sure").join(counted.hint("merge"), key).where(F.col("k") >= enough).select(*key, "_n", "_first"))
+    kept = materialize(kept)
+    discard(sums)
+    gone = materialize(lines.select(*LINE, "_template").join(kept.hint("merge"), key))
+    discard(lines, kept)
+    places = keyed.select("_id", "_t", "_u", "_pos", *LINE)
+    if not copies:
+        return places.join(gone.select(*LINE, "_first").hint("merge"), LINE).where("_u <> _first").select("_id", "_t", "_pos")
+    held = materialize(pairs.select(*LINE, "_u").join(gone.hint("merge"), LINE).select(*key, "_n", "_u").distinct())
+    classes = materialize(copy_classes(docs, held.select("_u").distinct(), text_column))
+    held = materialize(held.join(classes.hint("merge"), "_u", "left").select(*key, "_n", F.coalesce("_class", "_u").alias("_class")).distinct())
+    firsts = materialize(held.groupBy(*key, "_n").agg(F.count("*").alias("k"), F.min("_class").alias("_first")).where(F.col("k") >= enough).select(*key, "_first"))
+    drop = materialize(gone.select(*LINE, "_template").join(firsts.hint("merge"), key).select(*LINE, "_first"))
+    found = places.join(drop.hint("merge"), LINE).join(classes.hint("merge"), "_u", "left")
+    return found.where(F.coalesce("_class", "_u") != F.col("_first")).select("_id", "_t", "_pos")
+
+
+def drop_recurring_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_docs: int = MIN_DOCS, copies: bool = False) -> DataFrame:
+    """``row`` (a struct of the columns of ``docs``, recurring lines gone from the text), n_lines and n_removed of each row."""
+    # written with the masked text: its column is read again only for leaves of several lines
+    keyed = materialize(keyed_lines(docs, id_column, text_column, copies))
+    places = recurring(keyed, docs, text_column, copies, min_docs).groupBy("_id", "_t").agg(F.collect_set("_pos").alias("_places"))
+    text = column(text_column)
+    rows = docs.select(whole_row(docs).alias("row"), text.alias("_text"), row_id(id_column).alias("_id"), F.xxhash64(text).alias("_t"))
+    joined = rows.join(places.hint("shuffle_hash"), ["_id", "_t"], "left")
+    lines = F.split("_text", "\n")
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_places")), lambda i: F.get(lines, i))
+    text_left = F.when(F.col("_places").isNull(), F.col("_text")).otherwise(F.array_join(kept, "\n"))
+    removed = F.when(F.col("_places").isNull(), 0).otherwise(F.size("_places")).cast("bigint")
+    n_lines = F.when(F.col("_text").isNull(), 0).otherwise(F.size(lines)).cast("bigint")
+    return joined.select(with_text(docs, text_column, text_left).alias("row"), n_lines.alias("n_lines"), removed.alias("n_removed"))

@@ -32,7 +32,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).select("doc_id", (toxicity.fold_of(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"))
+    return toxicity.score(docs, model).select("row.doc_id", (toxicity.fold_of(F.col("row.doc_id")) == 0).alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +66,7 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = lines.drop_recurring_lines(table(spark, sf_dir, "documents"))
-    return kept.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
+    return kept.select("row.doc_id", "n_lines", "n_removed", F.sha2("row.text", 256).alias("kept_sha256"))
 
 
 def op10_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,20 +93,41 @@ shared AS (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN b USING (s)
 SELECT doc_id, item_id, n_shingles, n_shared FROM shared JOIN n USING (item_id) WHERE 100 * n_shared >= 75 * n_shingles
 """
 
+def _template_rounds(rounds: int) -> str:
+    """The rounds in which lines find their template, written out; none is left to find after so many on the tables of the SQL check."""
+    out = []
+    for k in range(rounds):
+        out.append(f"""
+leads{k} AS MATERIALIZED (SELECT part, max((docs, h)) AS lead FROM s{k} GROUP BY 1 HAVING count(*) > 1 AND min(lo) < max(hi)),
+met{k} AS MATERIALIZED (SELECT s{k}.*, lead FROM s{k} JOIN leads{k} USING (part)),
+heads{k} AS MATERIALIZED (SELECT leaf, h FROM met{k} GROUP BY 1, 2 HAVING bool_and(lead = (docs, h))),
+pairs{k} AS (SELECT DISTINCT a.leaf, a.h, a.lead, b.h AS l FROM met{k} a JOIN heads{k} b ON a.leaf = b.leaf AND a.lead[2] = b.h WHERE a.h <> b.h),
+fits{k} AS (SELECT p.leaf, p.h, p.lead FROM pairs{k} p JOIN open x ON x.leaf = p.leaf AND x.h = p.h JOIN open y ON y.leaf = p.leaf AND y.h = p.l
+  WHERE len(list_filter(range(1, len(x.t) + 1), lambda i: x.t[i] = y.t[i])) >= {lines.SIMILARITY} * len(x.t) - 1e-9),
+done{k} AS MATERIALIZED (SELECT leaf, h, max(lead)[2] AS template FROM fits{k} GROUP BY 1, 2 UNION ALL SELECT leaf, h, h FROM heads{k}),
+s{k + 1} AS MATERIALIZED (SELECT part, leaf, h, docs, lo, hi FROM met{k} ANTI JOIN done{k} USING (leaf, h)),""")
+    return "".join(out) + "\nfound AS (" + " UNION ALL ".join(f"SELECT * FROM done{k}" for k in range(rounds)) + ")"
+
+
+_NEED = f"CASE {' '.join(f'WHEN n >= {words} THEN {docs}' for words, docs in lines.LEAST_DOCS)} ELSE {lines.MIN_DOCS} END"
+
 OP9_SQL = rf"""
 WITH l AS (
-  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL),
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL),
 m0 AS (SELECT *, trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS p FROM l),
-m AS (SELECT doc_id, pos, line, regexp_replace(p, '[^ ]*[0-9][^ ]*', '<*>', 'g') AS m FROM m0 WHERE p <> ''),
-k AS (SELECT *, string_split(m, ' ') AS t, len(string_split(m, ' ')) AS n, md5(m) AS h FROM m),
-leafed AS (SELECT *, concat(n, ' ', array_to_string(t[1:{lines.DEPTH}], ' ')) AS leaf FROM k),
-variants AS (SELECT leaf, h, any_value(t) AS t, count(DISTINCT doc_id) AS docs FROM leafed GROUP BY 1, 2),
-top AS (SELECT leaf, arg_max(t, (docs, h)) AS template FROM variants GROUP BY 1),
-judged AS (SELECT leaf, h, docs, len(list_filter(range(1, len(t) + 1), lambda i: t[i] = template[i])) >= {lines.SIMILARITY} * len(t) - 1e-9 AS instance FROM variants JOIN top USING (leaf)),
-full_leaves AS (SELECT leaf FROM judged WHERE instance GROUP BY 1 HAVING sum(docs) >= {lines.MIN_DOCS}),
-gone AS (SELECT h FROM judged WHERE instance AND leaf IN (SELECT leaf FROM full_leaves) UNION SELECT h FROM judged WHERE NOT instance AND docs >= {lines.MIN_DOCS}),
-marks AS (SELECT doc_id, pos, n, h IN (SELECT h FROM gone) AS gone FROM leafed),
-per_doc AS (SELECT doc_id, list(pos) FILTER (gone) AS places FROM marks GROUP BY 1 HAVING sum(CASE WHEN gone THEN n ELSE 0 END) > 0 AND sum(CASE WHEN gone THEN n ELSE 0 END) <= {lines.COPY_SHARE} * sum(n))
+m AS (SELECT doc_id, pos, regexp_replace(p, '[^ ]*[0-9][^ ]*', '<*>', 'g') AS m FROM m0 WHERE p <> ''),
+k AS (SELECT doc_id, pos, string_split(m, ' ') AS t, len(string_split(m, ' ')) AS n, ('0x' || md5(m)[1:15])::BIGINT AS h FROM m),
+leafed AS MATERIALIZED (SELECT *, concat(n, ' ', array_to_string(t[1:{lines.DEPTH}], ' ')) AS leaf FROM k),
+variants AS MATERIALIZED (SELECT leaf, h, n, any_value(t) AS t, count(DISTINCT doc_id) AS docs, min(doc_id) AS lo, max(doc_id) AS hi FROM leafed GROUP BY 1, 2, 3),
+open AS MATERIALIZED (SELECT *, (n - ceil({lines.SIMILARITY} * n - 1e-9))::INT AS differ FROM variants
+  WHERE n > {lines.DEPTH} AND leaf IN (SELECT leaf FROM variants GROUP BY 1 HAVING count(*) > 1 AND min(lo) < max(hi))),
+wide AS (SELECT *, greatest(floor((n - {lines.DEPTH}) / (differ + 1)), 1)::INT AS width FROM open),
+s0 AS MATERIALIZED (SELECT unnest(list_distinct(CASE WHEN n - {lines.DEPTH} <= differ THEN [leaf] ELSE list_transform(range(0, differ + 1),
+    lambda i: concat(leaf, chr(10), i, chr(10), array_to_string(t[{lines.DEPTH} + i * width + 1:CASE WHEN i = differ THEN n ELSE {lines.DEPTH} + (i + 1) * width END], ' '))) END)) AS part, leaf, h, docs, lo, hi FROM wide),
+{_template_rounds(8)},
+named AS (SELECT l.doc_id, l.pos, l.n, l.leaf, coalesce(template, l.h) AS template FROM leafed l LEFT JOIN found USING (leaf, h)),
+counted AS (SELECT leaf, template, min(doc_id) AS lead FROM named GROUP BY leaf, template, n HAVING count(DISTINCT doc_id) >= {_NEED}),
+per_doc AS (SELECT doc_id, list(pos) AS places FROM named JOIN counted USING (leaf, template) WHERE doc_id <> lead GROUP BY 1)
 SELECT doc_id, coalesce(len(string_split(text, chr(10))), 0)::BIGINT AS n_lines, coalesce(len(places), 0)::BIGINT AS n_removed,
   sha256(CASE WHEN places IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(1, len(string_split(text, chr(10))) + 1), lambda i: NOT list_contains(places, i)), lambda i: string_split(text, chr(10))[i]), chr(10)) END) AS kept_sha256
 FROM documents LEFT JOIN per_doc USING (doc_id)

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, column_of, gram_hashes, materialize, mix, split_words, word_hashes
+from .common import NO_ID, chunks, column_of, gram_hashes, materialize, mix, split_words, word_hashes
 
 WINDOW = 35
 GRAM = 3
@@ -41,7 +41,6 @@ CHUNK = 8 << 20
 FREQUENT = 1 << 16
 CANDIDATE = 8
 HELD_BYTES = 24 << 20
-NO_ID = -(1 << 63)
 
 
 def frequent_grams(docs: DataFrame) -> np.ndarray:

@@ -13,7 +13,11 @@ probability by a logistic fit on labelled rows that the weights have not seen.
 Bounds: labels are learnt from at most ``MAX_LABELLED`` rows a class, the
 lowest by hash of their id; the model is three arrays of ``FEATURES`` numbers.
 Null and empty texts have no segments and take the score of no evidence.
-Repeated labels of a document count once, as toxic if any says so.
+Repeated labels of a document count once, as toxic if any says so; equal texts
+take equal scores.  Ties of two features go to the word itself, then to its
+shorter stem.  Very long texts are scanned in linear time.  With no labelled
+row of a class nothing is learnt from, every score is that of no evidence; an
+empty table gives an empty result.  Other columns may have any name.
 """
 
 from __future__ import annotations
@@ -28,8 +32,9 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import chunks, column_of, kept, only, split_words
+from .common import chunks, column, column_of, discard, kept, materialize, only, split_words, whole_row
 
 #: Labelled rows learnt from, of each class; documented bound.
 MAX_LABELLED = 40_000
@@ -41,7 +46,7 @@ PRIOR_MASS = 20.0
 #: A feature counts when the root of its log-likelihood ratio is this high.
 SIGNIFICANT = 5.0
 #: Words whose weights a worker remembers.
-KNOWN_WORDS = 200_000
+KNOWN_WORDS = 400_000
 #: Part of the labelled rows that only calibrate.
 CALIBRATE_OF = 3
 
@@ -51,10 +56,39 @@ def fold_of(doc_id) -> object:
     return F.crc32(doc_id.cast("string")) % 5
 
 
-def features_of(word: str) -> list[int]:
-    """Feature table entries of a word: itself, and its stems."""
-    names = {"=" + word, *(word[:n] for n in STEMS if len(word) >= n)}
-    return [xxhash.xxh3_64_intdigest(x) % FEATURES for x in names]
+def feature_arrays(words: list[str]):
+    """Feature table entries of many words, as (places of the words, entries): the words themselves, and their stems of each length."""
+    digest = xxhash.xxh3_64_intdigest
+    some = [i for i, w in enumerate(words) if w]
+    yield np.array(some, np.int64), np.fromiter((digest("=" + words[i]) for i in some), dtype=np.uint64, count=len(some)) % np.uint64(FEATURES)
+    for n in STEMS:
+        stems: dict[str, int] = {}  # many words share a stem
+        at = [i for i in some if len(words[i]) >= n]
+        code = np.fromiter((stems.setdefault(words[i][:n], len(stems)) for i in at), dtype=np.int64, count=len(at))
+        hashed = np.fromiter(map(digest, stems), dtype=np.uint64, count=len(stems)) % np.uint64(FEATURES)
+        yield np.array(at, np.int64), hashed[code]
+
+
+class _Known:
+    """Weights of words met before; the older half goes when there are more than ``KNOWN_WORDS``."""
+
+    def __init__(self):
+        self.new: dict[str, float] = {}
+        self.old: dict[str, float] = {}
+
+    def values(self, words: list[str], learn):
+        if len(self.new) > KNOWN_WORDS // 2:
+            self.old, self.new = self.new, {}
+        new, old = self.new, self.old
+        missing = []
+        for word in words:
+            if word not in new:
+                if word in old:
+                    new[word] = old[word]
+                else:
+                    missing.append(word)
+        new.update(zip(missing, learn(missing)))
+        return map(new.__getitem__, words)
 
 
 def _clean(words: pa.Array) -> tuple[list[str], np.ndarray]:
@@ -77,21 +111,17 @@ class Model:
 
     def word_weights(self, words: list[str]) -> np.ndarray:
         """Weights of distinct words; a worker remembers those of ``KNOWN_WORDS`` words."""
-        known = kept(("toxicity", self.stamp), dict)
-        if len(known) > KNOWN_WORDS:
-            known.clear()
-        out = np.full(len(words), self.base)
-        for i, word in enumerate(words):
-            found = known.get(word)
-            if found is None:
-                if not word:
-                    continue
-                best = max(features_of(word), key=self.certainty.__getitem__)
-                found = float(self.weight[best]) if self.certainty[best] >= SIGNIFICANT else self.base
-                if len(known) <= KNOWN_WORDS:
-                    known[word] = found
-            out[i] = found
-        return out
+        known = kept(("toxicity", self.stamp), _Known)
+        return np.fromiter(known.values(words, self._learn), dtype=np.float64, count=len(words))
+
+    def _learn(self, words: list[str]) -> list[float]:
+        """Each word's weight: that of its most significant feature, the word itself before a shorter stem."""
+        best, sure = np.full(len(words), self.base), np.full(len(words), np.nextafter(SIGNIFICANT, 0.0))
+        for at, feature in feature_arrays(words):
+            certainty = self.certainty[feature]
+            better = certainty > sure[at]
+            best[at[better]], sure[at[better]] = self.weight[feature[better]], certainty[better]
+        return best.tolist()
 
     #: Weight of a word that says nothing: passages end where such words pile up.
     base: float = -0.25
@@ -156,20 +186,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     seen = {r["y"]: r["count"] for r in rates}
     sample = labelled_sample(labels, id_column, label_column)
     # at most 2 * MAX_LABELLED rows of three numbers: the broadcast side has a fixed bound
-    rows = only(docs, id_column, text_column).join(F.broadcast(sample), id_column)
+    keys = sample.select(column(id_column).alias("_id"), "_y", "_part")
+    texts = docs.select(column(id_column).alias("_id"), column(text_column).alias("text"))
+    rows = materialize(texts.join(F.broadcast(keys), "_id").select("text", "_y", "_part"))
 
     def count(batches):
         table = np.zeros((2, FEATURES), np.int32)
         n = np.zeros(2, np.int64)
-        for part in chunks(batches, text_column):
+        for part in chunks(batches, "text"):
             y, group = (np.asarray(column_of(part, c)) for c in ("_y", "_part"))
-            words, starts = split_words(column_of(part, text_column))
+            words, starts = split_words(column_of(part, "text"))
             distinct, codes = _clean(words)
             owner = np.repeat(np.arange(len(y)), np.diff(starts))
-            listed = [features_of(w) if w else [] for w in distinct]
-            width = np.array([len(x) for x in listed], dtype=np.int64)
+            listed = list(feature_arrays(distinct))
+            place, entry = (np.concatenate([x[k] for x in listed]).astype(np.int64) for k in (0, 1))
+            width = np.bincount(place, minlength=len(distinct))
             first = np.concatenate([[0], np.cumsum(width)])
-            flat = np.fromiter((i for x in listed for i in x), dtype=np.int64, count=int(first[-1]))
+            flat = entry[np.argsort(place, kind="stable")]
             # each word of each document once, then each feature of each document once
             pairs = np.unique(owner * max(len(distinct), 1) + codes)
             pairs = pairs[(group != 0)[pairs // max(len(distinct), 1)]]
@@ -196,20 +229,29 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     if min(n) == 0:
         return model
 
-    shared = spark.sparkContext.broadcast(model)
-
-    def measure(batches):
-        for part in chunks(batches, text_column):
-            tops, lengths = [], []
-            for w in _weights_by_text(shared.value, column_of(part, text_column)):
-                found = shared.value.segments(w)
-                tops.append([float(s) for _, _, s in found if s > 0.5])
-                lengths.append(len(w))
-            yield pa.RecordBatch.from_arrays([column_of(part, "_y").cast(pa.int32()), pa.array(lengths, pa.int64()), pa.array(tops, pa.list_(pa.float64()))], names=["y", "n", "scores"])
-
-    # at most 2 * MAX_LABELLED / CALIBRATE_OF rows, a list of scores each
-    measured = rows.where("_part = 0").mapInArrow(measure, "y int, n bigint, scores array<double>").toArrow()
-    _calibrate(model, np.asarray(measured.column("y")), np.asarray(measured.column("n")), measured.column("scores").to_pylist(), seen)
+    calibration = rows.where("_part = 0")
+
+    def measured(model: Model) -> tuple[np.ndarray, ...]:
+        """Class, words, best segment and evidence of each of at most 2 * MAX_LABELLED / CALIBRATE_OF rows, whatever their length."""
+        shared = spark.sparkContext.broadcast(model)
+
+        def measure(batches):
+            for part in chunks(batches, "text"):
+                found, n = [], []
+                for w in _weights_by_text(shared.value, column_of(part, "text")):
+                    segments = shared.value.segments(w)
+                    found.append((max((s for *_, s in segments), default=0.0), shared.value.evidence(segments, len(w))))
+                    n.append(len(w))
+                best, evidence = (np.array([x[k] for x in found], dtype=np.float64) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([column_of(part, "_y").cast(pa.int32()), pa.array(n, pa.int64()), pa.array(best), pa.array(evidence)], names=["y", "n", "best", "evidence"])
+
+        out = calibration.mapInArrow(measure, "y int, n bigint, best double, evidence double").toArrow()
+        return tuple(np.asarray(out.column(c)) for c in ("y", "n", "best", "evidence"))
+
+    _extreme_values(model, *measured(model)[:3])
+    y, _, _, evidence = measured(model)
+    _logistic(model, y, evidence, seen)
+    discard(rows)
     return model
 
 
@@ -228,9 +270,8 @@ def _weights(table: np.ndarray, n: np.ndarray) -> Model:
     return Model(weight=np.clip(weight, -2.0, 6.0).astype(np.float32), certainty=np.sqrt(2 * np.maximum(ratio, 0)).astype(np.float32))
 
 
-def _calibrate(model: Model, y, n, scores, seen) -> None:
-    """lambda and K from the best segments of clean rows (Gumbel moments), then the logistic fit."""
-    best = np.array([max(s, default=0.0) for s in scores])
+def _extreme_values(model: Model, y, n, best) -> None:
+    """lambda and K from the best segments of clean rows (Gumbel moments)."""
     clean = (y == 0) & (n > 0)
     if clean.sum() >= 10 and best[clean].std() > 0:
         spread = best[clean].std()
@@ -239,7 +280,11 @@ def _calibrate(model: Model, y, n, scores, seen) -> None:
         model.k = float(math.exp(model.decay * centre.mean() - 0.5772156649))
         model.k = min(max(model.k, 1e-6), 1.0)
         model.decay = min(max(model.decay, 0.05), 5.0)
-    x = np.array([math.log1p(model.evidence([(0, 0, v) for v in s], int(m))) for s, m in zip(scores, n)])
+
+
+def _logistic(model: Model, y, evidence, seen) -> None:
+    """The probability of a toxic label by the log of the evidence."""
+    x = np.log1p(evidence)
     # the sample is dealt by class: each class counts as often as among all labelled rows
     share = {label: (seen.get(label, 0) / max((y == label).sum(), 1)) for label in (0, 1)}
     weight = np.array([share[int(v)] for v in y])
@@ -257,24 +302,25 @@ def _calibrate(model: Model, y, n, scores, seen) -> None:
     model.bias, model.slope = float(a), float(b)
 
 
-def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """score, predicted and the passages (first word, end word, score) of every row."""
+def score(docs: DataFrame, model: Model, text_column: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``row`` (a struct of the columns ``keep``), score, predicted and the passages (first word, end word, score) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(whole_row(only(docs, *keep)).alias("row"), column(text_column).alias("text"))
 
     def run(batches):
-        for part in chunks(batches, text_column):
+        for part in chunks(batches, "text"):
             scores, spans = [], []
-            for w in _weights_by_text(shared.value, column_of(part, text_column)):
+            for w in _weights_by_text(shared.value, column_of(part, "text")):
                 found = shared.value.segments(w)
                 scores.append(shared.value.probability(shared.value.evidence(found, len(w))))
                 chance = max(math.log(max(len(w), 1) * shared.value.k + 1e-12), 0.0)
                 spans.append([{"start": a, "end": b, "score": float(s)} for a, b, s in found if shared.value.decay * s > chance])
             p = np.array(scores, dtype=np.float64)
             yield pa.RecordBatch.from_arrays(
-                [column_of(part, c) for c in names] + [pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])))],
-                names=[*names, "score", "predicted", "passages"],
+                [column_of(part, "row"), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])))],
+                names=["row", "score", "predicted", "passages"],
             )
 
-    names = [id_column, *(c for c in keep if c != id_column)]
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    return only(docs, *dict.fromkeys([*names, text_column])).mapInArrow(run, f"{fields}, score double, predicted int, passages array<struct<start: bigint, end: bigint, score: double>>")
+    span = T.StructType().add("start", "bigint").add("end", "bigint").add("score", "double")
+    schema = T.StructType().add("row", rows.schema["row"].dataType).add("score", "double").add("predicted", "int").add("passages", T.ArrayType(span))
+    return rows.mapInArrow(run, schema)
