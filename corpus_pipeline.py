@@ -1,7 +1,10 @@
 """From raw documents to packed training sequences, in five written stages.
 
 Each stage works on all that its predecessor kept, and all but the last return
-the columns of ``documents``.
+the columns of ``documents``, whatever others come along and however they are
+named.  A table without rows gives one without rows at every stage; null and
+empty texts are clean, have no lines and no near duplicates, and are packed as
+one closing mark each; equal rows are judged alike, and one of them stays.
 """
 
 from __future__ import annotations
@@ -18,23 +21,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are likelier clean than toxic."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.score(docs, model, keep=tuple(docs.columns))
-    return scored.where("predicted = 0").select(*docs.columns)
+    return scored.where("predicted = 0").select("row.*")
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without lines that recur across documents; n_chars follows the text."""
-    kept = lines.drop_boilerplate(docs).withColumn("n_chars", F.when(F.col("__n_removed") > 0, F.char_length("text").cast("bigint")).otherwise(F.col("n_chars")))
-    return kept.select(*docs.columns)
+    kept = lines.drop_recurring_lines(docs, copies=True)
+    old = lambda c: F.col("row").getField(c)
+    count = F.when(F.col("n_removed") > 0, F.char_length(old("text")).cast(docs.schema["n_chars"].dataType)).otherwise(old("n_chars"))
+    return kept.select(*((count if c == "n_chars" else old(c)).alias(c) for c in docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least id of each group of near duplicates."""
-    return jaccard.one_of_each(docs).select(*docs.columns)
+    return jaccard.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item."""
-    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +55,7 @@ STAGES = [
     ("best-fit packing", pack),
 ]
 
-#: The first stage learns a classifier, which SQL cannot express; tests hold the stages against brute force.
+#: The first stage learns a classifier, which SQL cannot express; ``tests/llm/test_pipeline.py`` runs every stage.
 ORACLE_SQL = None
 
 

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, lower_ascii, materialize, only, words_column
+from .common import column, let, lower_ascii, materialize, only, whole_row, words_column
 
 SHINGLE = 5
 THRESHOLD = 0.75

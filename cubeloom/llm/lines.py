@@ -12,9 +12,10 @@ documents: two for 20 words or more, three for 3 words or more, ``MIN_DOCS``
 for shorter lines, which meet by chance.  Its lines are dropped from every
 document but the first (the least id), so that no passage is lost.
 
-With ``copies`` a template is counted over classes of copies instead, and the
-class of least hash keeps it, so that the only text of a class and its copies
-is left whole for a near-duplicate operator.  Equal texts are one class, and so
+With ``copies`` a template is counted over classes of copies instead, so that a
+text and its copies are left whole for a near-duplicate operator.  Lines of
+``MIN_DOCS`` classes or more are dropped everywhere; below that the class of
+least hash keeps them.  Equal texts are one class, and so
 are texts linked by a 5-shingle Jaccard of ``COPY_JACCARD``, as estimated from
 the ``SKETCH`` least hashes of both (exact for sets that small).  Candidates
 are texts with two neighbouring hashes of the ``BANDS`` least in common, each
@@ -178,10 +179,11 @@ def recurring(keyed: DataFrame, docs: DataFrame, text_column: str, copies: bool,
     held = materialize(pairs.select(*LINE, "_u").join(gone.hint("merge"), LINE).select(*key, "_n", "_u").distinct())
     classes = materialize(copy_classes(docs, held.select("_u").distinct(), text_column))
     held = materialize(held.join(classes.hint("merge"), "_u", "left").select(*key, "_n", F.coalesce("_class", "_u").alias("_class")).distinct())
-    firsts = materialize(held.groupBy(*key, "_n").agg(F.count("*").alias("k"), F.min("_class").alias("_first")).where(F.col("k") >= enough).select(*key, "_first"))
+    counts = held.groupBy(*key, "_n").agg(F.count("*").alias("k"), F.min("_class").alias("_first")).where(F.col("k") >= enough)
+    firsts = materialize(counts.select(*key, F.when(F.col("k") < min_docs, F.col("_first")).alias("_first")))
     drop = materialize(gone.select(*LINE, "_template").join(firsts.hint("merge"), key).select(*LINE, "_first"))
     found = places.join(drop.hint("merge"), LINE).join(classes.hint("merge"), "_u", "left")
-    return found.where(F.coalesce("_class", "_u") != F.col("_first")).select("_id", "_t", "_pos")
+    return found.where(~F.coalesce("_class", "_u").eqNullSafe(F.col("_first"))).select("_id", "_t", "_pos")
 
 
 def drop_recurring_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_docs: int = MIN_DOCS, copies: bool = False) -> DataFrame:

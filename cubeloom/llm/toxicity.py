@@ -321,6 +321,6 @@ def score(docs: DataFrame, model: Model, text_column: str = "text", keep: tuple[
                 names=["row", "score", "predicted", "passages"],
             )
 
-    span = T.StructType().add("start", "bigint").add("end", "bigint").add("score", "double")
-    schema = T.StructType().add("row", rows.schema["row"].dataType).add("score", "double").add("predicted", "int").add("passages", T.ArrayType(span))
+    span = T.StructType().add("start", T.LongType()).add("end", T.LongType()).add("score", T.DoubleType())
+    schema = T.StructType().add("row", rows.schema["row"].dataType).add("score", T.DoubleType()).add("predicted", T.IntegerType()).add("passages", T.ArrayType(span))
     return rows.mapInArrow(run, schema)

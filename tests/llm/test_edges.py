@@ -47,9 +47,10 @@ def test_token_counts(docs, none):
 def test_toxicity(spark, docs, none):
     labels = spark.createDataFrame([(1, 1), (1, 0), (5, 0), (None, 1), (6, None)], "doc_id bigint, toxic int")
     model = toxicity.fit(docs, labels)
-    got = by_id(toxicity.score(docs, model, keep=tuple(docs.columns[:5])))
-    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for rs in got.values() for r in rs)
-    assert len(got[1]) == 2 and got[2][0].text is None
+    got = toxicity.score(docs, model, keep=tuple(docs.columns)).collect()
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
+    assert sorted(map(str, (r.row.score for r in got))) == sorted(str(r[5]) for r in ROWS), "another column named score is left as it is"
+    assert sum(r.row.doc_id == 1 for r in got) == 2 and all(r.row.text is None for r in got if r.row.doc_id == 2)
     empty = toxicity.fit(none, labels.limit(0))
     assert toxicity.score(none, empty).count() == 0
 
@@ -109,19 +110,30 @@ def test_jaccard(docs, none):
     assert jaccard.near_duplicates(none).count() == 0
 
 
+def line_rows(df):
+    """The documents of a line dedup by id, with n_lines and n_removed."""
+    out = {}
+    for r in df.select("row.*", "n_lines", "n_removed").collect():
+        out.setdefault(r.doc_id, []).append(r)
+    return out
+
+
 def test_lines(docs, none, spark):
     rows = [(i, f"own {chr(97 + i)} line here and more of it\nCopyright notice number {i} of all\nend {chr(97 + i)}{chr(98 + i)} of this text") for i in range(12)]
     own = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("n_chars", F.lit(1)).withColumn("__places", F.lit(0))
-    got = {r.doc_id: r for r in lines.drop_recurring_lines(own).collect()}
-    assert all("Copyright" not in r.text and r["__n_removed"] == 1 and r["__n_lines"] == 3 for r in got.values())
-    got = by_id(lines.drop_recurring_lines(docs))
-    assert got[2][0].text is None and got[2][0]["__n_lines"] == 0 and got[1][0].text == LONG and len(got[1]) == 2
-    assert lines.drop_recurring_lines(none).count() == 0
+    got = line_rows(lines.drop_recurring_lines(own))
+    assert all(("Copyright" in got[i][0].text) == (i == 0) and got[i][0].n_removed == (i > 0) and got[i][0].n_lines == 3 for i, _ in rows), "the first keeps the notice"
+    for copies in (False, True):
+        got = line_rows(lines.drop_recurring_lines(docs, copies=copies))
+        assert got[2][0].text is None and got[2][0].n_lines == 0 and got[1][0].text == LONG and len(got[1]) == 2
+        assert lines.drop_recurring_lines(none, copies=copies).count() == 0
 
 
-def test_copies_keep_their_lines(spark):
-    same = spark.createDataFrame([(i, "first line of it\nsecond line of it") for i in range(20)], "doc_id bigint, text string")
-    assert all(r["__n_removed"] == 0 for r in lines.drop_recurring_lines(same).collect())
+@pytest.mark.parametrize("copies", [False, True])
+def test_a_template_of_one_document_stays(spark, copies):
+    alone = [(1, "\n".join(f"the value of this field is given as name{chr(97 + i)}" for i in range(12)) + "\nmy own end"), (2, "some other words that nobody else has")]
+    got = line_rows(lines.drop_recurring_lines(spark.createDataFrame(alone, "doc_id bigint, text string"), copies=copies))
+    assert all(r[0].n_removed == 0 for r in got.values())
 
 
 def test_binary_output(spark, docs, none, tmp_path):
@@ -142,15 +154,9 @@ def test_boilerplate_goes_whatever_share_it_holds(spark):
     notice = "All of this notice may be kept by whoever reads it and wants to\nas long as nobody takes away the name of its first author here"
     rows = [(i, notice + "\n" + " ".join(f"own{chr(97 + i)}{chr(97 + j)}" for j in range(9))) for i in range(12)]
     copies = [(100 + i, " ".join(f"w{chr(97 + j)}{chr(97 + k)}" for j in range(9) for k in range(9)) + "\nshared line of copies and of nothing else\n" + "v" * (i + 1)) for i in range(12)]
-    got = {r.doc_id: r for r in lines.drop_boilerplate(spark.createDataFrame(rows + copies, "doc_id bigint, text string")).collect()}
-    assert all(got[i]["__n_removed"] == 2 and got[i].text == t.split("\n")[2] for i, t in rows)
-    assert all(got[i]["__n_removed"] == 0 and got[i].text == t for i, t in copies), "near copies of one text are one document"
-
-
-def test_boilerplate_edges(docs, none):
-    got = by_id(lines.drop_boilerplate(docs))
-    assert got[2][0].text is None and got[2][0]["__n_lines"] == 0 and got[1][0].text == LONG and len(got[1]) == 2
-    assert lines.drop_boilerplate(none).count() == 0
+    got = {i: r[0] for i, r in line_rows(lines.drop_recurring_lines(spark.createDataFrame(rows + copies, "doc_id bigint, text string"), copies=True)).items()}
+    assert all(got[i].n_removed == 2 and got[i].text == t.split("\n")[2] for i, t in rows)
+    assert all(got[i].n_removed == 0 and got[i].text == t for i, t in copies), "near copies of one text are one document"
 
 
 def test_a_leaf_has_several_templates(spark):
@@ -159,9 +165,9 @@ def test_a_leaf_has_several_templates(spark):
     first = [(i, "we are very glad that this page was read by you" + own(i)) for i in range(14)]
     second = [(50 + i, f"we are very sorry but {name(i)} has left for some days" + own(i)) for i in range(12)]
     alone = [(99, "we are very far from any of the other sentences here\nend")]
-    got = {r.doc_id: r for r in lines.drop_boilerplate(spark.createDataFrame(first + second + alone, "doc_id bigint, text string")).collect()}
-    assert all(got[i]["__n_removed"] == 1 for i, _ in first + second)
-    assert got[99]["__n_removed"] == 0
+    got = {i: r[0] for i, r in line_rows(lines.drop_recurring_lines(spark.createDataFrame(first + second + alone, "doc_id bigint, text string"), copies=True)).items()}
+    assert all(got[i].n_removed == 1 for i, _ in first + second)
+    assert got[99].n_removed == 0
 
 
 def test_long_lines_recur_in_few_documents(spark):
@@ -170,7 +176,7 @@ def test_long_lines_recur_in_few_documents(spark):
     own = lambda i: " ".join(f"own{chr(97 + i)}{chr(97 + j)}" for j in range(30))
     rows = [(i, "\n".join([passage] * (i < 2) + [middle] * (i < 3) + [short] + [own(i)])) for i in range(9)]
     rows += [(20 + i, " ".join(f"copy{chr(97 + j)}" for j in range(60)) + "\nend" * i) for i in range(2)]
-    got = {r.doc_id: r for r in lines.drop_boilerplate(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    got = {i: r[0] for i, r in line_rows(lines.drop_recurring_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), copies=True)).items()}
     assert all(got[i].text.endswith("\n".join([short, own(i)])) for i in range(9))
     assert [sum(line in r.text.split("\n") for r in got.values()) for line in (passage, middle, short)] == [1, 1, 9], "one of its texts keeps it"
-    assert all(got[i]["__n_removed"] == 0 for i in (20, 21)), "near copies keep their lines"
+    assert all(got[i].n_removed == 0 for i in (20, 21)), "near copies keep their lines"
