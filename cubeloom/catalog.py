@@ -161,7 +161,7 @@ on_cube("examples", lambda c: X.examples(c, M, SC, [("split", "is_not_empty")]),
 on_cube("execution_artifact", lambda c: X.execution_artifact(c, 42), "SELECT e.execution_id, config_id, query_id, model, dataset, prediction, error, arg_min(scorer, eval_id) AS scorer, round(arg_min(coalesce(score, -1), eval_id), 6) AS score FROM executions e JOIN queries USING (query_id) JOIN evaluations USING (execution_id) WHERE e.execution_id = 42 GROUP BY ALL")
 on_cube("diagnostics", lambda c: X.diagnostics(c, M, SC),
         f"""{ALL}, x AS (SELECT score, unnest([['ecr', coalesce(nullif(metrics->>'$."ECR@1"', ''), '(missing)')], ['output_mode', coalesce(metrics->>'$.output_mode', '(missing)')], ['error_state', CASE WHEN coalesce(error, '') = '' THEN 'ok' ELSE 'error' END],
-        ['response_pattern', CASE WHEN coalesce(error, '') <> '' THEN 'error' WHEN trim(raw_response) = '' THEN 'empty' WHEN raw_response LIKE 'Final Answer%' THEN 'bare_final_answer_line' WHEN raw_response LIKE 'print(%' THEN 'prints_final_answer' ELSE 'other' END]]) AS p FROM a)
+        ['response_pattern', CASE WHEN coalesce(error, '') <> '' THEN 'execution_error' WHEN NOT regexp_matches(raw_response, '\\S') THEN 'empty_response' WHEN raw_response LIKE 'Final Answer%' THEN 'bare_final_answer_line' WHEN raw_response LIKE 'print(%' THEN 'prints_final_answer' WHEN contains(raw_response, '```py') THEN 'python_fenced_block' WHEN trim(prediction) <> '' THEN 'has_prediction' ELSE 'unclassified' END]]) AS p FROM a)
         SELECT p[1] AS histogram, p[2] AS bucket, count(*) AS n, round(avg(score), 6) AS avg_score FROM x GROUP BY ALL""")
 on_cube("plan_delete", lambda c: X.plan_delete(c, [M], [2], [("dataset", "=", "src3")]), f"SELECT count(DISTINCT e.execution_id) AS n_executions, count(eval_id) AS n_evaluations, count(DISTINCT query_id) AS n_queries FROM executions e JOIN queries USING (query_id) LEFT JOIN evaluations v ON v.execution_id = e.execution_id WHERE model = '{M}' AND config_id = 2 AND dataset = 'src3'")
 on_cube("recent", X.recent, "SELECT execution_id, config_id, query_id, model FROM executions ORDER BY created_at DESC, execution_id DESC LIMIT 20")
@@ -181,10 +181,11 @@ on_cube("did", lambda c: effect.did(_lift(c)).select("canonical_id", "predicate_
 on_cube("did_given_reference", lambda c: effect.did(_lift(c), {"lang": "en"}).where("predicate_name = 'lang'").select("canonical_id", "predicate_value", "did"), f"{_LIFT} SELECT canonical_id, predicate_value, round(lift - max(CASE WHEN predicate_value = 'en' THEN lift END) OVER (PARTITION BY canonical_id), 6) AS did FROM lift WHERE predicate_name = 'lang'")
 on_cube("rank_effects", lambda c: effect.rank(_lift(c), sort_by="lift", top_k=6, min_effect=0.01, require_sign="positive").select("canonical_id", "predicate_name", "predicate_value", "lift"), f"{_LIFT} SELECT canonical_id, predicate_name, predicate_value, round(lift, 6) AS lift FROM lift WHERE {_NO_N} AND lift > 0 AND abs(lift) >= 0.01 ORDER BY lift DESC, canonical_id, predicate_name, predicate_value LIMIT 6")
 on_cube("rank_pair_gate", lambda c: effect.rank(_lift(c), min_lift_in_pair=0.02).select("canonical_id", "predicate_name", "predicate_value", "lift"), f"{_LIFT}, w AS (SELECT *, max(lift) OVER (PARTITION BY canonical_id, predicate_name) AS t FROM lift) SELECT canonical_id, predicate_name, predicate_value, round(lift, 6) AS lift FROM w WHERE {_NO_N} AND t > 0.02")
-on_cube("feature_profile", lambda c: effect.feature_profile(effect.did(_lift(c))).drop("top_predicate"),
-        f"""{_DID}, f AS (SELECT * FROM dd WHERE {_NO_N}), g AS (SELECT canonical_id, avg(lift) AS mean_lift, max(lift) AS max_lift, min(lift) AS min_lift, count(*) FILTER (lift >= 0.05) AS n_up, count(*) FILTER (lift <= -0.05) AS n_down, count(*) AS n_cells, max(abs(did)) AS max_abs_did FROM f GROUP BY 1)
-        SELECT canonical_id, round(mean_lift, 6) AS mean_lift, round(max_lift, 6) AS max_lift, round(min_lift, 6) AS min_lift, n_up, n_down, n_cells, round(max_abs_did, 6) AS max_abs_did,
-        CASE WHEN n_up > 0 AND n_down > 0 THEN 'mixed' WHEN coalesce(max_abs_did, 0) > 0.05 THEN 'selective' WHEN n_up = n_cells OR n_down = n_cells THEN 'broad' ELSE 'null' END AS label FROM g""")
+on_cube("feature_profile", lambda c: effect.feature_profile(effect.did(_lift(c)).where("predicate_name in ('lang', 'is_long', 'quality')")),
+        f"""{_DID}, r AS (SELECT *, row_number() OVER (PARTITION BY canonical_id, predicate_name ORDER BY coalesce(abs(did), 0) DESC, predicate_value) AS r FROM dd WHERE predicate_name IN ('lang', 'is_long', 'quality')), f AS (SELECT * FROM r WHERE r = 1),
+        g AS (SELECT canonical_id, max(did) FILTER (predicate_name = 'lang') AS did_lang, max(did) FILTER (predicate_name = 'is_long') AS did_is_long, max(did) FILTER (predicate_name = 'quality') AS did_quality, max(abs(did)) AS max_abs_did, avg(did) AS breadth_mean, count(*) FILTER (did >= 0.01) AS up, count(*) FILTER (did <= -0.01) AS down FROM f GROUP BY 1)
+        SELECT canonical_id, round(did_lang, 6) AS did_lang, round(did_is_long, 6) AS did_is_long, round(did_quality, 6) AS did_quality, 0::BIGINT AS n_sig_slices, round(max_abs_did, 6) AS max_abs_did, round(breadth_mean, 6) AS breadth_mean,
+        CASE WHEN up + down = 0 THEN 'null' WHEN up > 0 AND down > 0 THEN 'mixed' WHEN up + down <= 2 THEN 'selective' ELSE 'broad' END AS classification FROM g""")
 on_cube("predicate_overlap", lambda c: effect.predicate_overlap(c, 0.2), "p AS (SELECT DISTINCT * FROM predicates), z AS (SELECT name, value, count(*) AS k FROM p GROUP BY ALL), j AS (SELECT a.name AS name_a, a.value AS value_a, b.name AS name_b, b.value AS value_b, count(*) AS n_shared FROM p a JOIN p b ON a.query_id = b.query_id AND a.name < b.name GROUP BY ALL) SELECT name_a, value_a, name_b, value_b, n_shared, round(n_shared / (x.k + y.k - n_shared), 6) AS jaccard FROM j JOIN z x ON x.name = name_a AND x.value = value_a JOIN z y ON y.name = name_b AND y.value = value_b WHERE n_shared / (x.k + y.k - n_shared) >= 0.2")
 on_cube("predicate_kinds", effect.predicate_kinds, "SELECT name, CASE WHEN bool_and(try_cast(value AS DOUBLE) IS NOT NULL) THEN 'numeric' ELSE 'categorical' END AS kind, count(DISTINCT value) AS n_values FROM predicates GROUP BY 1")
 on_cube("paired_bootstrap", lambda c: confidence.attach_ci(_lift(c).where("predicate_name in ('lang', 'is_long')"), c, 1, M, SC).select("canonical_id", "predicate_name", "predicate_value", "lift", "ci_lo", "ci_hi", "p_gt_zero"))
@@ -220,11 +221,18 @@ on_cube("delta_table", _delta, f"{_D} SELECT * FROM d")
 on_cube("delta_predicate_types", lambda c: adaptive.predicate_types(_delta(c).join(adaptive.predicate_table(c, ["n_chars"]), "query_id"), ["lang", "n_chars"]), "SELECT * FROM (VALUES ('lang', 'categorical'), ('n_chars', 'numerical')) AS t(name, type)")
 _CELLS = f"{_D}, l AS (SELECT primitive_id, delta, unnest(['lang', 'is_long']) AS predicate_name, unnest([lang, is_long]) AS predicate_value FROM d), tt AS (SELECT primitive_id, count(*) AS n_total FROM d GROUP BY 1), cells AS MATERIALIZED (SELECT primitive_id, predicate_name, predicate_value, count(*) AS n, avg(delta) AS mean, stddev_samp(delta) AS std, any_value(n_total) AS n_total FROM l JOIN tt USING (primitive_id) WHERE predicate_value <> '' GROUP BY ALL)"
 on_cube("summarize_cells", lambda c: adaptive.summarize_cells(_delta(c), _NAMES), f"{_CELLS} SELECT primitive_id, predicate_name, predicate_value, n, round(mean, 6) AS mean, round(std, 6) AS std, round(CASE WHEN n > 1 THEN std / sqrt(n) ELSE 'inf'::DOUBLE END, 6) AS se, round(n / n_total, 6) AS coverage FROM cells")
-on_cube("classify_primitives", lambda c: adaptive.classify_primitives(adaptive.summarize_cells(_delta(c), _NAMES)),
-        f"""{_CELLS}, f AS (SELECT primitive_id, n >= 30 AS sure, n >= 30 AND mean - 1.96 * std / sqrt(n) > 0 AND mean >= 0.05 AS up, n >= 30 AND mean + 1.96 * std / sqrt(n) < 0 AND mean <= -0.05 AS down FROM cells),
-        g AS (SELECT primitive_id, count(*) FILTER (sure) AS n_sure, count(*) FILTER (up) AS n_up, count(*) FILTER (down) AS n_down FROM f GROUP BY 1)
-        SELECT *, CASE WHEN n_sure = 0 THEN 'undetermined' WHEN n_up > 0 AND n_down > 0 THEN 'gated' WHEN n_up > 0 AND n_up < n_sure THEN 'gated' WHEN n_up > 0 THEN 'always_on' WHEN n_down > 0 THEN 'always_off' ELSE 'undetermined' END AS kind FROM g""")
-on_cube("pick_target_cells", lambda c: adaptive.pick_target_cells(adaptive.summarize_cells(_delta(c), _NAMES), min_n=1000).select("primitive_id", "predicate_name", "predicate_value", "n", "priority"), f"{_CELLS} SELECT primitive_id, predicate_name, predicate_value, n, round(abs(mean) + std / sqrt(n), 6) AS priority FROM cells ORDER BY round(abs(mean) + std / sqrt(n), 12) DESC, 1, 2, 3 LIMIT 10")
+_SLOPES = "x AS (SELECT primitive_id, n_chars::DOUBLE AS x, delta AS y FROM d JOIN queries USING (query_id)), g AS (SELECT primitive_id, count(*) AS n, regr_sxx(y, x) AS sxx, regr_sxy(y, x) AS sxy, regr_syy(y, x) AS syy FROM x GROUP BY 1)"
+_slopes = lambda c: adaptive.regressions(adaptive.build_delta_table(c, 1, M, SC, ["n_chars"]), "n_chars")
+# a two-sided p below 0.05 is a z beyond 1.959964
+on_cube("classify_primitives", lambda c: adaptive.classify_primitives(_delta(c), adaptive.summarize_cells(_delta(c), _NAMES), _slopes(c)),
+        f"""{_CELLS}, {_SLOPES}, z AS (SELECT primitive_id, abs(sxy / sxx) / sqrt((syy - sxy * sxy / sxx) / (n - 2) / sxx) > 1.959964 AS bent FROM g WHERE n >= 10 AND sxx > 0),
+        s AS (SELECT primitive_id, bool_or(n >= 50 AND mean > 0.02) AND bool_or(n >= 50 AND mean < -0.02) AS split FROM cells GROUP BY 1), whole AS (SELECT primitive_id, avg(delta) AS m, count(*) AS n FROM d GROUP BY 1)
+        SELECT primitive_id, round(m, 6) AS global_mean, n AS global_n, CASE WHEN n < 30 THEN 'undetermined' WHEN coalesce(split, false) OR coalesce(bent, false) THEN 'gated' WHEN m > 0.02 THEN 'always_on' WHEN m < -0.02 THEN 'always_off' ELSE 'undetermined' END AS kind
+        FROM whole LEFT JOIN s USING (primitive_id) LEFT JOIN z USING (primitive_id)""")
+on_cube("pick_target_cells", lambda c: adaptive.pick_target_cells(adaptive.summarize_cells(_delta(c), _NAMES)),
+        f"""{_CELLS}, grid AS (SELECT * FROM (SELECT DISTINCT primitive_id FROM cells), (SELECT DISTINCT predicate_name, predicate_value FROM cells)),
+        t AS (SELECT primitive_id, predicate_name, predicate_value, coalesce(n, 0) AS n, CASE WHEN n IS NULL THEN 2.0 WHEN n = 1 THEN abs(mean) + 1.0 ELSE abs(mean) + std / sqrt(n) END AS priority FROM grid LEFT JOIN cells USING (primitive_id, predicate_name, predicate_value))
+        SELECT primitive_id, predicate_name, predicate_value, n, round(priority, 6) AS priority FROM t WHERE priority >= 0.01 ORDER BY round(priority, 12) DESC, 1, 2, 3 LIMIT 10""")
 on_cube("regression_on_predicate", lambda c: adaptive.regressions(adaptive.build_delta_table(c, 1, M, SC, ["n_chars"]), "n_chars").select("primitive_id", "n", (F.col("slope") * 1e6).alias("slope_e6"), (F.col("se") * 1e6).alias("se_e6")),
         f"""{_D}, x AS (SELECT primitive_id, n_chars::DOUBLE AS x, delta AS y FROM d JOIN queries USING (query_id)), g AS (SELECT primitive_id, count(*) AS n, regr_sxx(y, x) AS sxx, regr_sxy(y, x) AS sxy, regr_syy(y, x) AS syy FROM x GROUP BY 1)
         SELECT primitive_id, n, round(sxy / sxx * 1e6, 6) AS slope_e6, round(sqrt((syy - sxy * sxy / sxx) / (n - 2) / sxx) * 1e6, 6) AS se_e6 FROM g""")
@@ -240,23 +248,48 @@ on_cube("routing_gain", lambda c: routing.evaluate_routing(routing.fit_routing(_
 on_cube("design_frame", lambda c: design.to_frame(c.spark, design.generate("add_one", base=["f0"], items=["fa", "fb", "fc"])).select("config_id", "label", F.array_join("func_ids", ",").alias("funcs")), "SELECT * FROM (VALUES (1::BIGINT, 'base', 'f0'), (2, 'add:fa', 'f0,fa'), (3, 'add:fb', 'f0,fb'), (4, 'add:fc', 'f0,fc')) AS t(config_id, label, funcs)")
 
 # -- predicates and scalar functions ------------------------------------------
-_BENCH = "lower(coalesce(text, ''))"
-
-
 def _all_predicates(t) -> DataFrame:
-    return P.extract(t("benchmark"), "item_id", {n: f(F.col("text")) for n, f in P.EXTRACTORS.items()} | {"asks_list": F.when(P.matches(F.col("text"), P.TASK_PATTERNS["sql"]["q_asks_list"]), "true").otherwise("false")})
-
-
-_FLAGS = {**P.INTENTS, "is_count": P.COUNT, "asks_list": P.TASK_PATTERNS["sql"]["q_asks_list"]}
-on_tables("question_predicates", _all_predicates,
-          "WITH b AS (SELECT item_id, text, " + _BENCH + " AS t FROM benchmark) "
-          + " UNION ALL ".join(f"SELECT item_id, '{n}' AS name, CASE WHEN regexp_matches(t, '{p}') THEN 'true' ELSE 'false' END AS value FROM b" for n, p in _FLAGS.items())
-          + f" UNION ALL SELECT item_id, 'operation_type', CASE WHEN regexp_matches(t, '{P.COUNT}') THEN 'count' WHEN regexp_matches(t, '{P.INTENTS['has_superlative']}') THEN 'superlative' WHEN regexp_matches(t, '{P.INTENTS['has_arithmetic']}') THEN 'arithmetic' WHEN regexp_matches(t, '{P.INTENTS['has_comparison']}') THEN 'comparison' WHEN regexp_matches(t, '{P.INTENTS['has_aggregation']}') THEN 'aggregation' ELSE 'lookup' END FROM b"
-          + " UNION ALL SELECT item_id, 'question_length', CASE WHEN n < 8 THEN 'short' WHEN n < 16 THEN 'medium' ELSE 'long' END FROM (SELECT item_id, len(list_filter(regexp_split_to_array(text, '[ \t\r\n]+'), lambda w: w <> '')) AS n FROM b)")
+    text = F.col("text")
+    return P.extract(t("benchmark"), "item_id", P.task_predicates("table", text) | P.task_predicates("sql", text, evidence=text, difficulty=F.lit(" Simple")) | P.task_predicates("fact", text) | P.task_predicates("sequential", text, F.lit(2), F.lit(1)))
+
+
+# Fixed values, written out for the other engine.
+_SQL_WORDS = {
+    "has_aggregation": "total|sum|average|mean|count|how many|number of|all|every|combined|altogether",
+    "has_superlative": "most|least|highest|lowest|best|worst|largest|smallest|greatest|fewest|maximum|minimum|top|bottom|longest|shortest|oldest|newest|first|last",
+    "has_comparison": r"(more|less|greater|fewer|higher|lower|better|worse|bigger|smaller|longer|shorter|older|newer|earlier|later)\s+than",
+    "has_temporal": r"before|after|during|between|year|month|day|date|season|century|decade|when|january|february|march|april|may|june|july|august|september|october|november|december|\d{4}",
+    "has_negation": "not|no|never|neither|none|nobody|nothing|nowhere|nor|without|didn''t|doesn''t|don''t|wasn''t|weren''t|isn''t|aren''t|hasn''t|haven''t|hadn''t|won''t|wouldn''t|couldn''t|shouldn''t",
+    "has_arithmetic": "difference|subtract|add|multiply|divide|ratio|percent|percentage|how much more|how much less|how many more|how many fewer",
+    "has_filter": r"(which|where|who|what)\b.*\b(with|in|at|from|for|on|during|after|before)",
+    "is_count": "how many",
+    "q_asks_count": "how many|count|number of|total number",
+    "q_asks_max_min": "highest|lowest|most|least|maximum|minimum|greatest|smallest|top|best|worst|largest|biggest|fewest",
+    "q_asks_ratio": "percentage|percent|ratio|proportion|share|rate|fraction",
+    "q_asks_list": "list|name all|show all|give me all|find all|what are the",
+    "q_asks_comparison": "more than|less than|greater than|higher than|lower than|at least|at most|between.*and|exceed|above|below",
+    "q_asks_distinct": r"different|unique|distinct|types?\s+of|kinds?\s+of|categories\s+of",
+    "q_asks_temporal": "born|before|after|since|until|during|older|younger|earliest|latest|recent",
+    "has_numeric_claim": r"\d+\.?\d*",
+    "has_reference": "those|that|these|them|they|it|its|their|the same|which one|which ones|above|previous|mentioned",
+}
+_is = lambda name: rf"regexp_matches(text, '(?i)\b({_SQL_WORDS[name]})\b')"
+_yes = lambda name: f"CASE WHEN {_is(name)} THEN 'yes' ELSE 'no' END"
+_OPERATION = f"CASE WHEN {_is('is_count')} THEN 'count' WHEN {_is('has_superlative')} THEN 'superlative' WHEN {_is('has_arithmetic')} THEN 'arithmetic' WHEN {_is('has_comparison')} THEN 'comparison' WHEN {_is('has_aggregation')} THEN 'aggregation' ELSE 'lookup' END"
+_LENGTH = r"len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> ''))"
+_BASE = {n: _yes(n) for n in list(_SQL_WORDS)[:8]} | {"operation_type": _OPERATION, "question_length": f"{_LENGTH}::VARCHAR"}
+_ALL = _BASE | {n: _yes(n) for n in _SQL_WORDS if n.startswith("q_asks_")}
+_ALL |= {"has_evidence": "CASE WHEN trim(text) <> '' THEN 'yes' ELSE 'no' END", "difficulty": "'simple'", "long_question": f"CASE WHEN {_LENGTH} >= 30 THEN 'yes' ELSE 'no' END"}
+_ALL |= {f"tabfact_{n}": v for n, v in _BASE.items()} | {"tabfact_statement_length": f"{_LENGTH}::VARCHAR", "tabfact_has_numeric_claim": _yes("has_numeric_claim")}
+_ALL |= {f"sqa_{n}": v for n, v in _BASE.items()} | {"sqa_position": "'2'", "sqa_n_history": "'1'", "sqa_has_reference": _yes("has_reference")}
+_ALL["sqa_operation_type"] = f"CASE WHEN {_OPERATION} = 'lookup' AND {_is('has_reference')} THEN 'follow_up' ELSE {_OPERATION} END"
+on_tables("question_predicates", _all_predicates, " UNION ALL ".join(f"SELECT item_id, '{n}' AS name, {v} AS value FROM benchmark" for n, v in _ALL.items()))
 on_tables("normalize_answer", lambda t: t("benchmark").select("item_id", S.normalize_answer(F.col("text")).alias("answer")), r"SELECT item_id, array_to_string(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[!-/:-@\[-`{-~]', '', 'g'), '[ \t\r\n]+'), lambda w: w NOT IN ('', 'a', 'an', 'the')), ' ') AS answer FROM benchmark")
 on_tables("text_preview", lambda t: t("documents").select("doc_id", S.preview(F.col("text"), 60).alias("preview")), "SELECT doc_id, CASE WHEN length(text) > 60 THEN left(text, 60) || '...' ELSE text END AS preview FROM documents")
 on_tables("split_answers", lambda t: t("part").select("p_partkey", F.array_join(S.split_answers(F.concat_ws(",", "p_name", "p_brand")), "/").alias("answers")), "SELECT p_partkey, array_to_string(list_filter(list_transform(string_split(concat_ws(',', p_name, p_brand), ','), lambda x: trim(x)), lambda x: x <> ''), '/') AS answers FROM part")
-on_tables("sql_error_kinds", lambda t: t("events").select("event_id", S.sql_error_kind(F.when(F.col("event_type") == "error", "no such column: x").when(F.col("event_type") == "click", "near x: syntax error").otherwise("")).alias("kind")), "SELECT event_id, CASE event_type WHEN 'error' THEN 'missing_column' WHEN 'click' THEN 'syntax' ELSE 'none' END AS kind FROM events")
+_MESSAGES = ["no such table: x", "No such column: y", "ambiguous column name: z", "near q: syntax error", "Timeout of 30 s", "database is locked"]
+on_tables("sql_error_kinds", lambda t: t("events").select("event_id", S.sql_error_kind(F.get(F.array(*map(F.lit, _MESSAGES)), (F.col("event_id") % 7).cast("int"))).alias("kind")),
+          "SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'table_not_found' WHEN 1 THEN 'column_not_found' WHEN 2 THEN 'ambiguous_column' WHEN 3 THEN 'syntax_error' WHEN 4 THEN 'timeout' WHEN 5 THEN 'execution_error' END AS kind FROM events")
 on_tables("trigram_similarity", lambda t: t("nation").alias("a").join(t("nation").alias("b"), F.col("a.n_regionkey") == F.col("b.n_regionkey")).select(F.col("a.n_nationkey").alias("x"), F.col("b.n_nationkey").alias("y"), S.trigram_similarity(F.col("a.n_name"), F.col("b.n_name")).alias("similarity")),
           "WITH g AS (SELECT n_nationkey, n_regionkey, list_distinct(list_transform(range(1, length('  ' || n_name || ' ') - 1), lambda i: substr('  ' || lower(n_name) || ' ', i, 3))) AS t FROM nation) SELECT a.n_nationkey AS x, b.n_nationkey AS y, round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))), 6) AS similarity FROM g a JOIN g b USING (n_regionkey)")
 on_tables("hash_line_table", lambda t: t("benchmark").select("item_id", R.hash_lines(F.translate("text", ",", "#")).alias("t")).select("item_id", F.size("t.header").alias("n_cols"), F.size("t.rows").alias("n_rows")), "WITH l AS (SELECT item_id, list_filter(string_split(replace(text, ',', '#'), chr(10)), lambda x: trim(x) <> '') AS l FROM benchmark) SELECT item_id, len(string_split(l[1], '#'))::INT AS n_cols, (len(l) - 1)::INT AS n_rows FROM l")
@@ -271,8 +304,8 @@ _NATION = "WITH r AS (SELECT n_regionkey, list_sort(list([lpad(n_nationkey::VARC
 on_tables("table_markdown", lambda t: _nation_table(t).select("n_regionkey", R.markdown(F.col("t")).alias("md")), _NATION + "SELECT n_regionkey, '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || array_to_string(list_transform(r, lambda x: '| ' || x[1] || ' | ' || x[2] || ' |'), chr(10)) AS md FROM r")
 on_tables("table_csv", lambda t: _nation_table(t).select("n_regionkey", R.csv(F.col("t")).alias("csv")), _NATION + "SELECT n_regionkey, 'key,name' || chr(10) || array_to_string(list_transform(r, lambda x: x[1] || ',' || x[2]), chr(10)) AS csv FROM r")
 on_tables("table_html", lambda t: _nation_table(t).select("n_regionkey", R.html(F.col("t")).alias("html")), _NATION + "SELECT n_regionkey, '<table><tr><th>key</th><th>name</th></tr>' || array_to_string(list_transform(r, lambda x: '<tr><td>' || x[1] || '</td><td>' || x[2] || '</td></tr>'), '') || '</table>' AS html FROM r")
-on_tables("table_structure", lambda t: _nation_table(t).select("n_regionkey", *(c.alias(n) for n, c in P.table_structure(F.col("t.rows"), F.col("t.header")).items())), _NATION + "SELECT n_regionkey, len(r)::INT AS n_rows, 2 AS n_cols, 1 AS n_numeric_cols, 'true' AS has_numeric_cols, CASE WHEN 2 / len(r) > 0.5 THEN 'wide' WHEN 2 / len(r) < 0.1 THEN 'tall' ELSE 'square' END AS t_shape FROM r")
-on_tables("table_annotate_types", lambda t: _nation_table(t).select("n_regionkey", F.array_join(R.annotate_types(F.col("t"))["header"], ",").alias("header")), "SELECT DISTINCT n_regionkey, 'key (integer),name (text)' AS header FROM nation")
+on_tables("table_structure", lambda t: _nation_table(t).select("n_regionkey", *(c.alias(n) for n, c in P.table_structure(F.col("t.rows"), F.col("t.header")).items())), _NATION + "SELECT n_regionkey, len(r)::INT AS n_rows, 2 AS n_cols, 1 AS n_numeric_cols, 'yes' AS has_numeric_cols, CASE WHEN 2 / len(r) > 0.5 THEN 'wide' WHEN 2 / len(r) < 0.1 THEN 'tall' ELSE 'balanced' END AS t_shape FROM r")
+on_tables("table_annotate_types", lambda t: _nation_table(t).select("n_regionkey", F.array_join(R.annotate_types(F.col("t"))["header"], ",").alias("header")), "SELECT DISTINCT n_regionkey, 'key (int),name (str)' AS header FROM nation")
 
 # -- scorers ------------------------------------------------------------------
 _GOLD = "SELECT e.execution_id, prediction, CAST(doc_id % 10 AS VARCHAR) AS gold, raw_response FROM executions e WHERE model = 'alpha' AND config_id = 2"

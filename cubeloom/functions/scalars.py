@@ -30,15 +30,18 @@ def split_answers(text: Column) -> Column:
     return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
 
 
-def response_pattern(response: Column, error: Column) -> Column:
-    """What a response looks like, by the first test that holds."""
+def response_pattern(response: Column, error: Column, prediction: Column | None = None) -> Column:
+    """What a response looks like, by the first test that holds; the labels are fixed values."""
+    raw = F.coalesce(response, F.lit(""))
+    has_prediction = F.lit(False) if prediction is None else F.trim(F.coalesce(prediction, F.lit(""))) != ""
     return (
-        F.when(F.coalesce(error, F.lit("")) != "", "error")
-        .when(F.trim(F.coalesce(response, F.lit(""))) == "", "empty")
-        .when(response.rlike(r"(?m)^[ \t]*Final Answer[ \t]*:"), "bare_final_answer_line")
-        .when(response.rlike(r"print\(.*Final Answer"), "prints_final_answer")
-        .when(response.contains("```"), "code_block")
-        .otherwise("other")
+        F.when(F.coalesce(error, F.lit("")) != "", "execution_error")
+        .when(~raw.rlike(r"\S"), "empty_response")
+        .when(raw.rlike(r"(?m)^\s*Final Answer\s*:"), "bare_final_answer_line")
+        .when(raw.contains("print(") & raw.contains("Final Answer:"), "prints_final_answer")
+        .when(raw.contains("```py"), "python_fenced_block")
+        .when(has_prediction, "has_prediction")
+        .otherwise("unclassified")
     )
 
 
@@ -52,15 +55,16 @@ def sql_text(text: Column) -> Column:
 
 
 def sql_error_kind(message: Column) -> Column:
-    m = F.lower(F.coalesce(message, F.lit("")))
+    """The kind of a database error, by the first phrase found; null without one.  Phrases and labels are fixed values."""
+    m = F.lower(message)
     return (
-        F.when(m == "", "none")
-        .when(m.contains("no such table"), "missing_table")
-        .when(m.contains("no such column"), "missing_column")
-        .when(m.contains("syntax error"), "syntax")
-        .when(m.contains("ambiguous"), "ambiguous_column")
-        .when(m.contains("timeout") | m.contains("interrupted"), "timeout")
-        .otherwise("other")
+        F.when(m.isNull(), None)
+        .when(m.contains("no such table"), "table_not_found")
+        .when(m.contains("no such column"), "column_not_found")
+        .when(m.contains("ambiguous column"), "ambiguous_column")
+        .when(m.contains("syntax error"), "syntax_error")
+        .when(m.contains("timeout"), "timeout")
+        .otherwise("execution_error")
     )
 
 
@@ -79,14 +83,18 @@ def number_text(value: Column) -> Column:
     return F.regexp_replace(value, "[,$%£€]", "").try_cast("double")
 
 
+#: What a date holds.
+DATE = r"(?i)\d{4}[-/]\d{1,2}[-/]\d{1,2}|\d{1,2}[-/]\d{1,2}[-/]\d{2,4}|Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
+
+
 def column_type(values: Column) -> Column:
-    """integer, float, date or text, by the first 20 values that are not empty."""
+    """int, float, date or str, by the first 20 values that are not empty."""
     head = F.slice(F.filter(values, lambda v: F.trim(v) != ""), 1, 20)
-    clean = lambda v: F.regexp_replace(F.trim(v), "[,$%£€]", "")
-    share = lambda pattern: F.try_divide(F.size(F.filter(head, lambda v: clean(v).rlike(pattern))), F.size(head))
+    clean = lambda v: F.regexp_replace(F.trim(v), "[,$%]", "")
+    share = lambda test: F.try_divide(F.size(F.filter(head, test)), F.size(head))
     return (
-        F.when(share(r"^[-+]?[0-9]+$") > 0.7, "integer")
-        .when(share(r"^[-+]?([0-9]+([.][0-9]*)?|[.][0-9]+)$") > 0.7, "float")
-        .when(share(r"^[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}$|^[0-9]{1,2}[-/][0-9]{1,2}[-/][0-9]{2,4}$") > 0.5, "date")
-        .otherwise("text")
+        F.when(share(lambda v: clean(v).rlike(r"^-*[0-9]+$")) > 0.7, "int")
+        .when(share(lambda v: clean(v).try_cast("double").isNotNull()) > 0.7, "float")
+        .when(share(lambda v: v.rlike(DATE)) > 0.5, "date")
+        .otherwise("str")
     )

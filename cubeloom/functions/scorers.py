@@ -41,9 +41,19 @@ def fact_accuracy(prediction: Column, gold: Column) -> Column:
     return F.coalesce((verdict(prediction) == gold).cast("double"), F.lit(0.0))
 
 
+def denotation_value(value: Column) -> Column:
+    """An answer in lower case, without outer marks, thousands separators and extra spaces; numbers in one form."""
+    bare = F.regexp_replace(F.lower(F.trim(value)), r"""^[.,;:!?"']+|[.,;:!?"']+$""", "")
+    text = F.regexp_replace(F.regexp_replace(bare, r"(?U)\s+", " "), ",", "")
+    number = F.when(text.rlike(r"^ *[-+]?([0-9]+([.][0-9]*)?|[.][0-9]+)(e[-+]?[0-9]+)? *$"), text.try_cast("double"))
+    # whole numbers beyond 2^63 keep the form of a double
+    whole = (number == F.floor(number)) & (F.abs(number) < float(1 << 63))
+    return F.when(whole, number.try_cast("bigint").cast("string")).when(number.isNotNull(), number.cast("string")).otherwise(text)
+
+
 def denotation(prediction: Column, gold: Column) -> Column:
     """Sets of normalized answers are equal, split or whole."""
-    tidy = lambda a: F.array_sort(F.array_distinct(F.transform(a, lambda x: F.regexp_replace(F.lower(F.trim(x)), "[,]", ""))))
+    tidy = lambda a: F.array_sort(F.array_distinct(F.transform(a, denotation_value)))
     return ((tidy(split_answers(prediction)) == tidy(split_answers(gold))) | (tidy(F.array(prediction)) == tidy(F.array(gold)))).cast("double")
 
 

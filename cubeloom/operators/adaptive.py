@@ -70,30 +70,41 @@ def normal_p(z: Column) -> Column:
     return poly * F.exp(-x * x)
 
 
-def classify_primitives(cells: DataFrame, min_n: int = 30, effect: float = 0.05, z: float = 1.96) -> DataFrame:
-    """always_on, always_off, gated or undetermined, by the cells with enough rows."""
-    sure = (F.col("n") >= min_n) & F.col("se").isNotNull()
-    up = sure & (F.col("mean") - z * F.col("se") > 0) & (F.col("mean") >= effect)
-    down = sure & (F.col("mean") + z * F.col("se") < 0) & (F.col("mean") <= -effect)
-    seen = cells.groupBy("primitive_id").agg(F.count_if(sure).alias("n_sure"), F.count_if(up).alias("n_up"), F.count_if(down).alias("n_down"))
+def classify_primitives(deltas: DataFrame, cells: DataFrame, slopes: DataFrame | None = None, min_n: int = 30, effect: float = 0.02, gated_min_n: int = 50, slope_p: float = 0.05) -> DataFrame:
+    """always_on, always_off, gated or undetermined.
+
+    Under ``min_n`` rows an edit is undetermined.  It is gated when cells of
+    ``gated_min_n`` rows or more lie beyond the effect on both sides, or when
+    a slope (of ``regressions``) is significant; else its mean over all rows
+    decides.
+    """
+    whole = deltas.groupBy("primitive_id").agg(F.avg("delta").alias("global_mean"), F.count("delta").alias("global_n"))
+    sure = F.col("n") >= gated_min_n
+    signs = cells.groupBy("primitive_id").agg((F.bool_or(sure & (F.col("mean") > effect)) & F.bool_or(sure & (F.col("mean") < -effect))).alias("_split"))
+    out = whole.join(signs, "primitive_id", "left")
+    sloped = F.lit(False)
+    if slopes is not None:
+        bent = slopes.groupBy("primitive_id").agg(F.min(normal_p(F.try_divide("slope", "se"))).alias("_p"))
+        out, sloped = out.join(bent, "primitive_id", "left"), F.coalesce(F.col("_p") < slope_p, F.lit(False))
     kind = (
-        F.when(F.col("n_sure") == 0, "undetermined")
-        .when((F.col("n_up") > 0) & (F.col("n_down") > 0), "gated")
-        .when((F.col("n_up") > 0) & (F.col("n_up") < F.col("n_sure")), "gated")
-        .when(F.col("n_up") > 0, "always_on")
-        .when(F.col("n_down") > 0, "always_off")
+        F.when(F.col("global_n") < min_n, "undetermined")
+        .when(F.coalesce("_split", F.lit(False)) | sloped, "gated")
+        .when(F.col("global_mean") > effect, "always_on")
+        .when(F.col("global_mean") < -effect, "always_off")
         .otherwise("undetermined")
     )
-    return seen.withColumn("kind", kind)
+    return out.select("primitive_id", "global_mean", "global_n", kind.alias("kind"))
 
 
-def pick_target_cells(cells: DataFrame, top_k: int = 10, weight: float = 1.0, unseen_bonus: float = 2.0, min_n: int = 30) -> DataFrame:
-    """The cells most worth running: large mean, uncertain mean, or unseen."""
+def pick_target_cells(cells: DataFrame, top_k: int = 10, weight: float = 1.0, unseen_bonus: float = 2.0, min_priority: float = 0.01) -> DataFrame:
+    """The cells most worth running: large mean, uncertain mean (1 where no deviation is known), or unseen."""
+    # edits, and values of predicates: both short lists of an experiment's design
     grid = cells.select("primitive_id").distinct().join(cells.select("predicate_name", "predicate_value").distinct())
     stats = grid.join(cells, ["primitive_id", "predicate_name", "predicate_value"], "left")
-    finite = F.when(F.col("se") < math.inf, F.col("se"))
-    priority = F.when(F.col("n").isNull(), F.lit(unseen_bonus)).otherwise(F.abs("mean") + weight * F.coalesce(finite, F.lit(unseen_bonus)))
-    return stats.where(F.coalesce("n", F.lit(0)) < min_n * 10).select("primitive_id", "predicate_name", "predicate_value", F.coalesce("n", F.lit(0)).alias("n"), priority.alias("priority")).orderBy(F.desc("priority"), "primitive_id", "predicate_name", "predicate_value").limit(top_k)
+    known = F.coalesce(F.when(F.col("se") < math.inf, F.col("se")), F.lit(1.0))
+    priority = F.when(F.col("n").isNull(), F.lit(unseen_bonus)).otherwise(F.abs("mean") + weight * known)
+    scored = stats.select("primitive_id", "predicate_name", "predicate_value", F.coalesce("n", F.lit(0)).alias("n"), priority.alias("priority"))
+    return scored.where(F.col("priority") >= min_priority).orderBy(F.desc("priority"), "primitive_id", "predicate_name", "predicate_value").limit(top_k)
 
 
 def seeded_order(seed: int, *columns: str) -> Column:
@@ -164,7 +175,7 @@ def make_analyzer(base: int, model: str, scorer: str, names: list[str], configs:
         cells = summarize_cells(deltas, names)
         targets = pick_target_cells(cells, top_k)
         plan = targeted_plan(cube, targets, model, configs, per_cell, seed)
-        return {"deltas": deltas, "cells": cells, "classes": classify_primitives(cells), "targets": targets, "plan": None if plan.isEmpty() else plan}
+        return {"deltas": deltas, "cells": cells, "classes": classify_primitives(deltas, cells), "targets": targets, "plan": None if plan.isEmpty() else plan}
 
     return analyze
 

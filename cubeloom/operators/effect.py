@@ -95,25 +95,25 @@ def rank(
     return out if top_k is None else out.limit(top_k)
 
 
-def feature_profile(effects: DataFrame, threshold: float = 0.05) -> DataFrame:
-    """One row a feature: its strongest did by predicate, the extremes of lift, and a label.
+def feature_profile(effects: DataFrame, threshold: float = 0.01, confidence_threshold: float = 0.8) -> DataFrame:
+    """One row a feature: the strongest did of each predicate (did_<predicate>, and p_gt_zero_<predicate> where known), and a label.
 
-    ``selective`` when a did passes the threshold, ``broad`` when every lift
-    does with one sign, ``mixed`` when lifts pass with both, else ``null``.
+    A did counts from ``threshold`` on.  Without one the label is ``null``,
+    with both signs ``mixed``, else ``selective`` up to two predicates and
+    ``broad`` beyond.
     """
-    pair = Window.partitionBy("canonical_id", "predicate_name").orderBy(F.desc(F.abs(F.coalesce("did", F.lit(0.0))) > 0), F.desc(F.abs("did")), "predicate_value")
-    lead = effects.withColumn("_at", F.row_number().over(pair)).where("_at = 1")
-    strongest = lead.groupBy("canonical_id").agg(F.max(F.abs("did")).alias("max_abs_did"), F.max_by("predicate_name", F.abs("did")).alias("top_predicate"))
-    lifts = effects.groupBy("canonical_id").agg(
-        F.avg("lift").alias("mean_lift"), F.max("lift").alias("max_lift"), F.min("lift").alias("min_lift"), F.count_if(F.col("lift") >= threshold).alias("n_up"), F.count_if(F.col("lift") <= -threshold).alias("n_down"), F.count("*").alias("n_cells")
-    )
-    label = (
-        F.when((F.col("n_up") > 0) & (F.col("n_down") > 0), "mixed")
-        .when(F.coalesce("max_abs_did", F.lit(0.0)) > threshold, "selective")
-        .when((F.col("n_up") == F.col("n_cells")) | (F.col("n_down") == F.col("n_cells")), "broad")
-        .otherwise("null")
-    )
-    return lifts.join(strongest, "canonical_id").withColumn("label", label)
+    known = "p_gt_zero" in effects.columns
+    order = F.struct(-F.coalesce(F.abs("did"), F.lit(0.0)), F.col("did").isNull(), "predicate_value")
+    strongest = F.min_by(F.struct("did", *(["p_gt_zero"] if known else [])), order)
+    slots = effects.groupBy("canonical_id", "predicate_name").agg(strongest.alias("s")).select("canonical_id", "predicate_name", "s.*")
+    names = sorted(r[0] for r in slots.select("predicate_name").distinct().collect())  # the names of a cube's predicates
+    did, big = F.col("did"), F.coalesce(F.abs("did") >= threshold, F.lit(False))
+    at = lambda n, c: F.max(F.when(F.col("predicate_name") == n, F.col(c)))
+    wide = [at(n, "did").alias(f"did_{n}") for n in names] + [at(n, "p_gt_zero").alias(f"p_gt_zero_{n}") for n in names if known]
+    found = F.count_if(F.col("p_gt_zero") >= confidence_threshold) if known else F.lit(0).cast("bigint")
+    counts = [found.alias("n_sig_slices"), F.max(F.abs(did)).alias("max_abs_did"), F.avg(did).alias("breadth_mean"), F.count_if(big & (did > 0)).alias("_up"), F.count_if(big & (did < 0)).alias("_down")]
+    label = F.when(F.col("_up") + F.col("_down") == 0, "null").when((F.col("_up") > 0) & (F.col("_down") > 0), "mixed").when(F.col("_up") + F.col("_down") <= 2, "selective").otherwise("broad")
+    return slots.groupBy("canonical_id").agg(*wide, *counts).withColumn("classification", label).drop("_up", "_down")
 
 
 def predicate_overlap(cube: Cube, threshold: float = 0.95) -> DataFrame:

@@ -146,7 +146,7 @@ def diagnostics(cube: Cube, model: str, scorer: str, config_id: int | None = Non
         rows = rows.where(F.col("config_id") == config_id)
     ecr, mode = F.get_json_object("metrics", "$['ECR@1']"), F.get_json_object("metrics", "$.output_mode")
     state = F.when(no_error(), "ok").otherwise("error")
-    pairs = F.array(*(F.struct(F.lit(k).alias("histogram"), bucket(c).alias("bucket")) for k, c in {"ecr": ecr, "output_mode": mode, "error_state": state, "response_pattern": response_pattern(F.col("raw_response"), F.col("error"))}.items()))
+    pairs = F.array(*(F.struct(F.lit(k).alias("histogram"), bucket(c).alias("bucket")) for k, c in {"ecr": ecr, "output_mode": mode, "error_state": state, "response_pattern": response_pattern(preview(F.col("raw_response")), F.col("error"), F.col("prediction"))}.items()))
     return rows.select("score", F.explode(pairs).alias("x")).groupBy("x.histogram", "x.bucket").agg(F.count("*").alias("n"), F.avg("score").alias("avg_score"))
 
 

@@ -97,7 +97,7 @@ def test_bootstrap_needs_two_pairs():
 
 def test_profile_is_selective(cube):
     row = next(r for r in effect.feature_profile(lifts(cube)).collect() if r.canonical_id == "feat_a")
-    assert row.label == "selective" and row.max_abs_did > 0.5
+    assert row.classification == "selective" and row.max_abs_did > 0.5
 
 
 def test_overlap_of_a_copied_predicate(cube, spark):

@@ -23,6 +23,9 @@ def test_answers(spark):
 def test_denotation_ignores_commas_in_numbers(spark):
     assert one(spark, G.denotation(F.lit("1,234"), F.lit("1234"))) == 1.0
     assert one(spark, G.denotation(F.lit("b|a"), F.lit("a|b"))) == 1.0
+    assert one(spark, G.denotation(F.lit(" 1.0. "), F.lit("1"))) == 1.0
+    assert one(spark, G.denotation(F.lit('"New  York"'), F.lit("new york"))) == 1.0
+    assert one(spark, G.denotation(F.lit("1.5"), F.lit("1"))) == 0.0
 
 
 def test_scores(spark):
@@ -61,9 +64,9 @@ def test_prune_and_filter(spark):
 
 
 def test_types(spark):
-    assert one(spark, S.column_type(F.array(*map(F.lit, ["1", "2", "$3,000"])))) == "integer"
-    assert one(spark, S.column_type(F.array(*map(F.lit, ["1.5", "2", "x"])))) == "text"
-    assert one(spark, S.column_type(F.array(*map(F.lit, ["2020-01-02", "x"])))) == "text"
+    assert one(spark, S.column_type(F.array(*map(F.lit, ["1", "2", "$3,000"])))) == "int"
+    assert one(spark, S.column_type(F.array(*map(F.lit, ["1.5", "2", "x"])))) == "str"
+    assert one(spark, S.column_type(F.array(*map(F.lit, ["2020-01-02", "x"])))) == "str"
     assert one(spark, S.response_pattern(F.lit("print('Final Answer: 3')"), F.lit(None).cast("string"))) == "prints_final_answer"
 
 
@@ -86,6 +89,11 @@ def test_designs():
 
 
 def test_classify(spark):
-    rows = [("up", "p", "a", 50, 0.5, 0.1, 0.01), ("gate", "p", "a", 50, 0.5, 0.1, 0.01), ("gate", "p", "b", 50, -0.5, 0.1, 0.01), ("few", "p", "a", 5, 0.5, 0.1, 0.01)]
-    cells = spark.createDataFrame(rows, "primitive_id string, predicate_name string, predicate_value string, n bigint, mean double, std double, se double")
-    assert {r.primitive_id: r.kind for r in adaptive.classify_primitives(cells).collect()} == {"up": "always_on", "gate": "gated", "few": "undetermined"}
+    kinds = {"up": [("a", 0.5)], "gate": [("a", 0.5), ("b", -0.4)], "small": [("a", 0.01)], "down": [("a", -0.5)]}
+    rows = [(k, d) for k, cells in kinds.items() for _, d in cells for _ in range(50)] + [("few", 0.5)] * 5
+    deltas = spark.createDataFrame(rows, "primitive_id string, delta double")
+    cells = spark.createDataFrame([(k, "p", v, 50, d) for k, c in kinds.items() for v, d in c], "primitive_id string, predicate_name string, predicate_value string, n bigint, mean double")
+    want = {"up": "always_on", "gate": "gated", "small": "undetermined", "down": "always_off", "few": "undetermined"}
+    assert {r.primitive_id: r.kind for r in adaptive.classify_primitives(deltas, cells).collect()} == want
+    slopes = spark.createDataFrame([("up", 0.5, 0.1), ("down", 0.1, 0.1)], "primitive_id string, slope double, se double")
+    assert {r.primitive_id: r.kind for r in adaptive.classify_primitives(deltas, cells, slopes).collect()} == want | {"up": "gated"}
