@@ -104,7 +104,8 @@ def templates(keyed: DataFrame, variants: DataFrame) -> DataFrame:
     parts = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), differ), segment)))
     segments = materialize(words.select(*LINE, "_lo", "_hi", F.struct("docs", "_h").alias("_rank"), parts.alias("_part")))
     agree = F.size(F.filter(F.zip_with("_w", "_v", lambda x, y: x == y), lambda x: x))
-    texts = words.select(*LINE, "_w")
+    texts = materialize(words.select(*LINE, "_w"))
+    discard(words)
     found = []
     while True:
         leads = materialize(segments.groupBy("_part").agg(F.max("_rank").alias("_lead"), across.alias("_across")).where("_across").drop("_across"))
@@ -124,7 +125,11 @@ def templates(keyed: DataFrame, variants: DataFrame) -> DataFrame:
         found.append(done)
         segments = materialize(met.select("_part", *LINE, "_lo", "_hi", "_rank").join(done.hint("merge"), LINE, "left_anti"))
         discard(met)
-    discard(several, open_, words)
+        # only the words of lines that are still in question travel, fewer in each round
+        left = materialize(texts.join(segments.select(*LINE).distinct().hint("merge"), LINE, "left_semi"))
+        discard(texts)
+        texts = left
+    discard(several, open_, texts)
     return functools.reduce(DataFrame.unionByName, found) if found else variants.limit(0).select(*LINE, F.col("_h").alias("_template"))
 
 
