@@ -83,43 +83,51 @@ def canonical(lengths: np.ndarray) -> np.ndarray:
 
 def encode_bits(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[bytes, np.ndarray]:
     """The bits of all ids, and the bit offset of every checkpoint."""
-    n = lengths[ids].astype(np.int32)
+    n = lengths.astype(np.uint8)[ids]
     ends = np.cumsum(n, dtype=np.int64)
     total = int(ends[-1]) if len(ends) else 0
-    # the bits after each bit in its code; a block is far below 2 ** 31 bits but for one enormous document
-    place = np.int32 if total < 2**31 else np.int64
-    back = np.repeat(ends.astype(place), n)
-    back -= np.arange(1, total + 1, dtype=place)
-    bits = np.repeat(codes[ids].astype(np.uint32), n)
-    bits >>= back.astype(np.uint32)
-    bits &= np.uint32(1)
-    return np.packbits(bits.astype(np.uint8)).tobytes(), (ends - n)[::CHECKPOINT]
+    starts = ends - n
+    # a code of at most 32 bits lies in the 64 bits from the 32-bit word of its first bit on; codes share no bit, so sums put them together
+    word = starts >> 5
+    window = codes.astype(np.uint64)[ids] << (np.uint64(64) - n - (starts & 31).astype(np.uint64))
+    words = np.zeros(total // 32 + 2, np.uint64)
+    first = np.flatnonzero(np.diff(word, prepend=-1))
+    if len(first):
+        words[word[first]] = np.add.reduceat(window >> np.uint64(32), first)
+        words[word[first] + 1] += np.add.reduceat(window & np.uint64(0xFFFFFFFF), first)
+    return words.astype(">u4").tobytes()[: (total + 7) // 8], starts[::CHECKPOINT]
 
 
 class Decoder:
     def __init__(self, lengths: np.ndarray, longest: int = LONGEST):
         codes = canonical(lengths)
         self.longest = longest
-        self.symbol, self.width = np.zeros(1 << longest, np.uint32), np.zeros(1 << longest, np.uint8)
         used = np.flatnonzero(lengths)
         used = used[np.lexsort((used, lengths[used]))]
+        # an id and, in the low five bits, the length of its code
+        if longest > 31 or len(lengths) > 1 << 27:
+            raise ValueError("codes or ids are too long for the table")
+        self.table = np.zeros(1 << longest, np.uint32)
         span = (1 << (longest - lengths[used])).astype(np.int64)
-        filled = int(span.sum())
-        self.symbol[:filled] = np.repeat(used, span)
-        self.width[:filled] = np.repeat(lengths[used], span)
+        self.table[: int(span.sum())] = np.repeat((used << 5 | lengths[used]).astype(np.uint32), span)
         assert not len(used) or int(codes[used[0]]) == 0
 
     def decode(self, data: bytes, checkpoints: np.ndarray, count: int) -> np.ndarray:
         raw = np.frombuffer(data + b"\0\0\0\0", np.uint8).astype(np.uint32)
         words = (raw[:-3] << 24) | (raw[1:-2] << 16) | (raw[2:-1] << 8) | raw[3:]
-        out = np.zeros((len(checkpoints), CHECKPOINT), np.uint32)
-        at = np.asarray(checkpoints, dtype=np.int64).copy()
-        last = len(words) * 8 - 1
+        out = np.zeros((CHECKPOINT, len(checkpoints)), np.uint32)
+        at = np.array(checkpoints, dtype=np.int64)
+        last, low, shift = len(words) * 8 - 1, np.uint32(31), np.uint32(32 - self.longest)
         for step in range(min(CHECKPOINT, count)):
-            peek = (words[at >> 3] << (at & 7).astype(np.uint32)) >> np.uint32(32 - self.longest)
-            out[:, step] = self.symbol[peek]
-            at = np.minimum(at + self.width[peek], last)
-        return out.reshape(-1)[:count]
+            peek = words[at >> 3]
+            peek <<= (at & 7).astype(np.uint32)
+            peek >>= shift
+            entry = self.table[peek]
+            out[step] = entry
+            entry &= low
+            at += entry
+            np.minimum(at, last, out=at)
+        return (out >> np.uint32(5)).T.reshape(-1)[:count]
 
 
 def token_blocks(docs: DataFrame, path: str, end_id: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

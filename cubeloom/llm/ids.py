@@ -7,13 +7,15 @@ whole text.  Both kinds of tokenizer also split between a letter or digit and
 an ASCII mark other than the apostrophe, so a piece's closing marks are
 encoded apart from the rest; the rest, when it is one run of Latin letters,
 is one unit of the merge rules and goes to them directly.  A text that holds a special
-token's string is encoded whole.  A null text is an empty one.
+token's string is encoded whole.  A null text is an empty one.  Ids are kept as
+bytes, two each where the vocabulary allows it, and put end to end by Arrow's
+take of binary values.
 """
 
 from __future__ import annotations
 
-import itertools
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,15 @@ KNOWN = 600_000
 MARKS = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) != "'")
 
 
+def joined(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a large binary or string array end to end, and where each value's lie (one more)."""
+    _, ends, data = values.buffers()
+    if not len(values):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    starts = np.frombuffer(ends, np.int64)[values.offset : values.offset + len(values) + 1]
+    return np.frombuffer(data, np.uint8)[: starts[-1]] if data else np.zeros(0, np.uint8), starts
+
+
 def byte_letters() -> dict[int, str]:
     """The letter that byte-level tokenizers write for each byte; printable Latin-1 stands for itself."""
     printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -59,61 +70,60 @@ class Encoder:
         # one pre-token that normalization leaves as it is
         self.letters = re.compile("[a-zß-öø-ÿ]+" if by_word else " ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
         self.bytes = byte_letters()
-        self.new: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+        # ids as bytes
+        self.kind = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _learn(self, units: list[str]) -> None:
         """Encode units and remember them."""
-        tokenize, letters, table = self.merges.tokenize, self.letters.fullmatch, self.bytes
+        tokenize, letters, table, kind = self.merges.tokenize, self.letters.fullmatch, self.bytes, self.kind
         other = []
         for unit in units:
             if not letters(unit):
                 other.append(unit)
                 continue
             plain = unit if self.by_word and unit.isascii() else unit.encode().decode("latin-1").translate(table)
-            self.new[unit] = tuple([t.id for t in tokenize(plain)])
+            self.new[unit] = array(kind, [t.id for t in tokenize(plain)]).tobytes()
         if other:
-            self.new.update((u, tuple(e.ids)) for u, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)))
+            self.new.update((u, array(kind, e.ids).tobytes()) for u, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)))
 
-    def _lookup(self, units: list[str]) -> list[tuple[int, ...]]:
+    def _lookup(self, units: list[str]) -> list[bytes]:
         """The ids of each unit."""
         if len(self.new) > KNOWN // 2:
             self.old, self.new = self.new, {}
         new, old = self.new, self.old
-        missing = []
-        for unit in units:
-            if unit not in new:
-                if unit in old:
-                    new[unit] = old[unit]
-                else:
-                    missing.append(unit)
-        if missing:
-            self._learn(missing)
-        return list(map(new.__getitem__, units))
+        found = list(map(new.get, units))
+        away = [i for i, ids in enumerate(found) if ids is None]
+        if away:
+            asked = [units[i] for i in away]
+            before = [(unit, old[unit]) for unit in asked if unit in old]
+            new.update(before)
+            self._learn([unit for unit in asked if unit not in old] if before else asked)
+            for i, unit in zip(away, asked):
+                found[i] = new[unit]
+        return found
 
     def _units(self, pieces: pa.Array) -> tuple[pa.Array, pa.Array]:
         """Each piece without its closing marks, and these (empty where the boundary is not sure)."""
         core = pc.ascii_rtrim(pieces, MARKS)
         sure = pc.match_substring_regex(core, r"[0-9A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}]$")
         core = pc.if_else(sure, core, pieces)
-        closed = np.flatnonzero(pc.binary_length(pieces).to_numpy() != pc.binary_length(core).to_numpy())
-        some = zip(pieces.take(pa.array(closed)).to_pylist(), core.take(pa.array(closed)).to_pylist())
-        marks = np.full(len(pieces), "", object)
-        marks[closed] = [p[len(c) :] for p, c in some]
-        return core, pa.array(marks, pieces.type)
-
-    def _pool(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of distinct pieces end to end, and where those of each start (one entry more)."""
+        data, starts = joined(pieces)
+        n = np.asarray(pc.binary_length(core))
+        at, ends = spread(starts[:-1] + n, np.diff(starts) - n)
+        return core, pa.Array.from_buffers(pieces.type, len(pieces), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data[at])])
+
+    def _pool(self, pieces: pa.Array) -> pa.Array:
+        """The ids of distinct pieces, as bytes."""
         core, marks = self._units(pieces)
         core, marks = core.dictionary_encode(), marks.dictionary_encode()
-        units = core.dictionary.to_pylist() + marks.dictionary.to_pylist()
-        found = self._lookup(units)
-        widths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        flat = np.fromiter(itertools.chain.from_iterable(found), dtype=np.uint32, count=int(widths.sum()))
-        first = np.cumsum(widths) - widths
+        # marks may be units too: each is looked up once
+        strings = [part.dictionary.to_numpy(zero_copy_only=False).tolist() for part in (core, marks)]  # far quicker than to_pylist
+        units = pa.array(self._lookup(strings[0]) + self._lookup(strings[1]), pa.large_binary())
         both = np.stack([np.asarray(core.indices), np.asarray(marks.indices) + len(core.dictionary)], axis=1).reshape(-1)
-        at, starts = spread(first[both], widths[both])
-        return flat[at], starts[::2]
+        data, starts = joined(units.take(pa.array(both)))
+        return pa.Array.from_buffers(units.type, len(pieces), [None, pa.py_buffer(starts[::2].copy()), pa.py_buffer(data)])
 
     def _pieces(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """Pieces of all texts, and the number of them in each."""
@@ -157,15 +167,13 @@ class Encoder:
             plain = pc.if_else(pa.array(whole), pa.scalar("", pa.large_string()), plain)
         pieces, n = self._pieces(plain)
         coded = pieces.dictionary_encode()
-        pool, first = self._pool(coded.dictionary)
-        codes = np.asarray(coded.indices)
-        at, piece_starts = spread(first[codes], (first[1:] - first[:-1])[codes])
-        ids = pool[at]
-        starts = piece_starts[np.concatenate([[0], np.cumsum(n)])]
+        data, piece_starts = joined(self._pool(coded.dictionary).take(coded.indices))
+        ids = data.view(self.kind)
+        starts = piece_starts[np.concatenate([[0], np.cumsum(n)])] // ids.itemsize
         if whole.any():
             parts = [ids[a:b] for a, b in zip(starts[:-1], starts[1:])]
             for i in np.flatnonzero(whole).tolist():
-                parts[i] = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, dtype=np.uint32)
+                parts[i] = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, dtype=ids.dtype)
             ids = np.concatenate(parts)
             starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
         return ids, starts
