@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, huffman, jaccard, lines, packing, pii, quality, substrings, tokens, toxicity
+from . import decontaminate, divergence, huffman, jaccard, lines, maintenance, mixing, packing, pii, quality, substrings, tokens, toxicity
 from .common import shared_dir, table
 
 #: The key of the registered query only; a caller gives its own.
@@ -75,6 +75,29 @@ def op10_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.read_store(spark, out)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op13_view_maintenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = lambda name: table(spark, sf_dir, name)
+    cents = lambda c: F.floor(100 * F.col(c) + 0.5)
+    named = lambda prefix, *ids: maintenance.intervals(F.concat(F.lit(prefix), *ids))
+    regions = read("nation").select(F.col("n_nationkey").alias("nation_id"), F.col("n_regionkey").alias("region"))
+    lines = read("sale_lines").dropna(subset=["sale_id", "vendor_id", "amount"]).select(
+        "sale_id", "vendor_id", "item_id", (cents("amount") * (100 - cents("discount"))).alias("revenue"),
+        *named("l", F.col("sale_id").cast("string"), F.lit(":"), F.col("line_no").cast("string")),
+    )
+    sales = read("sales").dropna(subset=["sale_id", "client_id", "sold_at"]).select("sale_id", "client_id", F.unix_date(F.to_date("sold_at")).cast("long").alias("part"), *named("s", F.col("sale_id").cast("string")))
+    clients = read("clients").dropna(subset=["client_id"]).join(regions, "nation_id").select("client_id", "region", *named("c", F.col("client_id").cast("string")))
+    vendors = read("vendors").dropna(subset=["vendor_id"]).join(regions, "nation_id").select("vendor_id", "region")
+    return maintenance.maintain(lines, sales, clients, vendors)
+
+
 _WORDS = r"list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _LOWER = "translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -156,9 +179,58 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(other)
 """
 
 
+OP11_SQL = rf"""
+WITH d AS MATERIALIZED (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r, {_LOWER.format(text="coalesce(text, '')")} AS text FROM documents),
+t AS MATERIALIZED (SELECT lang, source, r, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS MATERIALIZED (SELECT lang, term, count(*) AS c FROM t GROUP BY 1, 2 HAVING count(DISTINCT r) >= {divergence.MIN_DOCS}),
+v AS MATERIALIZED (SELECT lang, coalesce(v, 0) AS v, coalesce(n, 0) AS n FROM (SELECT DISTINCT lang FROM d) LEFT JOIN (SELECT lang, count(*) AS v, sum(c) AS n FROM kept GROUP BY 1) USING (lang)),
+g AS MATERIALIZED (SELECT DISTINCT lang, source FROM d),
+c AS MATERIALIZED (SELECT lang, source, term, count(*) AS c FROM t SEMI JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+n AS MATERIALIZED (SELECT lang, source, coalesce(n, 0) AS n FROM g LEFT JOIN (SELECT lang, source, sum(c) AS n FROM c GROUP BY 1, 2) USING (lang, source)),
+p AS MATERIALIZED (SELECT n.lang, n.source, k.term, coalesce(c.c, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(c.c, 0) + 2)) // (n.n + 2 * v.v) AS p, 1 + (1000000000::HUGEINT * (k.c + 2)) // (v.n + 2 * v.v) AS q
+  FROM n JOIN v USING (lang) JOIN kept k ON k.lang = n.lang LEFT JOIN c ON c.lang = n.lang AND c.source = n.source AND c.term = k.term),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+every AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (((p - q) * (p - q)) // (p + q))::BIGINT FROM p WHERE c > 0 AND p > q)
+SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM every QUALIFY part = 'pair' OR rank <= {divergence.TOP}
+"""
+
+_UNIT = mixing.UNIT
+
+OP12_SQL = rf"""
+WITH d AS MATERIALIZED (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM d GROUP BY 1),
+x AS (SELECT *, (sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER before, 0))::HUGEINT AS left_size, (sum(w) OVER () - coalesce(sum(w) OVER before, 0))::HUGEINT AS left_w
+  FROM s WINDOW before AS (ORDER BY source_size * (10 // w), source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+y AS (SELECT *, 3 * source_size * left_w <= w * left_size AS capped FROM x),
+z AS (SELECT y.*, l.left_size AS a, l.left_w AS b FROM y LEFT JOIN (SELECT left_size, left_w FROM y WHERE NOT capped ORDER BY left_w DESC LIMIT 1) l ON true),
+p AS MATERIALIZED (SELECT source, source_size, CASE WHEN capped THEN (3 * source_size)::DOUBLE ELSE (w * a)::DOUBLE / b::DOUBLE END AS target,
+  CASE WHEN capped THEN 3 * {_UNIT}::HUGEINT ELSE (w * {_UNIT}::HUGEINT * a) // (b * source_size) END AS copies, ('0x' || md5('mix:' || coalesce(source, chr(10)))[1:7])::BIGINT * 8 AS shift FROM z),
+i AS (SELECT d.*, source_size, target, copies, shift, row_number() OVER (PARTITION BY d.source ORDER BY size, doc_id) - 1 AS i FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, size, source_size, target, (size * ((shift + (i + 1) * copies) // {_UNIT} - (shift + i * copies) // {_UNIT}))::BIGINT AS taken FROM i
+"""
+
+
+def _born_and_dead(name: str) -> str:
+    shift = "lambda u, k: CASE WHEN u % 2 = 1 THEN xor(3988292384, u >> 1) ELSE u >> 1 END"
+    h = f"list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({name}, ''), lambda c: ascii(c)::BIGINT)), lambda x, y: list_reduce(list_prepend(xor(x, y), range(8)), {shift}))"
+    return f"(SELECT CASE WHEN h % 7 < (h // 7) % 7 THEN [h % 7, (h // 7) % 7] ELSE [-1, 7] END FROM (SELECT xor({h}, 4294967295) AS h))"
+
+
+OP13_SQL = f"""
+WITH c AS MATERIALIZED (SELECT client_id, n_regionkey AS region, {_born_and_dead("concat('c', client_id)")} AS life FROM clients JOIN nation ON nation_id = n_nationkey WHERE client_id IS NOT NULL AND n_regionkey IS NOT NULL),
+s AS MATERIALIZED (SELECT sale_id, client_id, (sold_at::DATE - DATE '1970-01-01')::BIGINT AS part, {_born_and_dead("concat('s', sale_id)")} AS life FROM sales WHERE sold_at IS NOT NULL AND sale_id IS NOT NULL),
+l AS MATERIALIZED (SELECT sale_id, vendor_id, item_id, floor(100 * amount + 0.5)::BIGINT * (100 - floor(100 * discount + 0.5)::BIGINT) AS revenue, CASE WHEN line_no IS NULL THEN [-1, 7] ELSE {_born_and_dead("concat('l', sale_id, ':', line_no)")} END AS life FROM sale_lines WHERE amount IS NOT NULL AND sale_id IS NOT NULL),
+v AS (SELECT vendor_id, n_regionkey AS region FROM vendors JOIN nation ON nation_id = n_nationkey),
+j AS MATERIALIZED (SELECT region, part, client_id, item_id, revenue, greatest(c.life[1], s.life[1], l.life[1]) AS born, least(c.life[2], s.life[2], l.life[2]) AS dead FROM l JOIN s USING (sale_id) JOIN c USING (client_id) JOIN v USING (vendor_id, region))
+SELECT b::INT AS batch, region, part, count(*) AS n_lines, sum(revenue)::BIGINT AS revenue, min(revenue) AS min_revenue, count(DISTINCT client_id) AS n_clients, count(DISTINCT item_id) AS n_items
+FROM j JOIN range(7) r(b) ON born <= b AND b < dead GROUP BY 1, 2, 3
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontamination": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op8_ngram_jaccard": OP8_SQL, "op9_line_dedup": OP9_SQL}
+    return {"op6_decontamination": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op8_ngram_jaccard": OP8_SQL, "op9_line_dedup": OP9_SQL, "op11_source_divergence": OP11_SQL, "op12_mix_sources": OP12_SQL, "op13_view_maintenance": OP13_SQL}
