@@ -16,13 +16,13 @@ from .functions import predicates as P
 from .functions import scalars as S
 from .functions import scorers as G
 from .functions import tables as R
-from .operators import adaptive, compare, confidence, design, effect, inventory, resolve, retrieval, routing
+from .operators import adaptive, compare, confidence, design, effect, inventory, resolve, retrieval, routing, search
 from .plans import explorer as X
 from .plans import projection
 from .plans.cube import Cube, projected
 from .plans.pipeline import Pipeline
 from .plans.query import ExecutionQuery
-from .sources import benchmarks
+from .sources import benchmarks, scratch
 from .streaming import monitor
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -188,7 +188,44 @@ on_cube("feature_profile", lambda c: effect.feature_profile(effect.did(_lift(c))
         CASE WHEN up + down = 0 THEN 'null' WHEN up > 0 AND down > 0 THEN 'mixed' WHEN up + down <= 2 THEN 'selective' ELSE 'broad' END AS classification FROM g""")
 on_cube("predicate_overlap", lambda c: effect.predicate_overlap(c, 0.2), "p AS (SELECT DISTINCT * FROM predicates), z AS (SELECT name, value, count(*) AS k FROM p GROUP BY ALL), j AS (SELECT a.name AS name_a, a.value AS value_a, b.name AS name_b, b.value AS value_b, count(*) AS n_shared FROM p a JOIN p b ON a.query_id = b.query_id AND a.name < b.name GROUP BY ALL) SELECT name_a, value_a, name_b, value_b, n_shared, round(n_shared / (x.k + y.k - n_shared), 6) AS jaccard FROM j JOIN z x ON x.name = name_a AND x.value = value_a JOIN z y ON y.name = name_b AND y.value = value_b WHERE n_shared / (x.k + y.k - n_shared) >= 0.2")
 on_cube("predicate_kinds", effect.predicate_kinds, "SELECT name, CASE WHEN bool_and(try_cast(value AS DOUBLE) IS NOT NULL) THEN 'numeric' ELSE 'categorical' END AS kind, count(DISTINCT value) AS n_values FROM predicates GROUP BY 1")
-on_cube("paired_bootstrap", lambda c: confidence.attach_ci(_lift(c).where("predicate_name in ('lang', 'is_long')"), c, 1, M, SC).select("canonical_id", "predicate_name", "predicate_value", "lift", "ci_lo", "ci_hi", "p_gt_zero"))
+def _replicated(keys: str, rows: str, resamples: int, level: float) -> str:
+    """Replicates by the same hash: weights of every unit and resample, then a difference of weighted means for each."""
+    mean = lambda arm: f"sum(value * w) FILTER (arm = {arm}) / nullif(sum(w) FILTER (arm = {arm}), 0)"
+    lo, hi = (1 - level) / 2, (1 + level) / 2
+    return f"""r AS MATERIALIZED ({rows}), u AS MATERIALIZED (SELECT unit, b, {confidence.weight_sql("unit", "b::UBIGINT")} AS w FROM (SELECT DISTINCT unit FROM r), range({resamples}) t(b)),
+        m AS MATERIALIZED (SELECT {keys}, b, {mean(1)} - {mean(0)} AS d FROM r JOIN u USING (unit) GROUP BY ALL), k AS (SELECT {keys} FROM r GROUP BY ALL HAVING count(*) FILTER (arm = 0) >= 2 AND count(*) FILTER (arm = 1) >= 2),
+        ci AS (SELECT {keys}, round(quantile_cont(d, {lo:.6f}), 6) AS ci_lo, round(quantile_cont(d, {hi:.6f}), 6) AS ci_hi, round(avg((d > 0)::INT), 6) AS p_gt_zero FROM m JOIN k USING ({keys}) WHERE d IS NOT NULL GROUP BY ALL)"""
+
+
+def _unit(named: str) -> str:
+    return f"('0x' || md5({named})[1:8])::UBIGINT AS unit"
+
+
+_K3 = "canonical_id, predicate_name, predicate_value"
+_TARGETS = "s t JOIN configs c USING (config_id) JOIN predicates p USING (query_id)"
+
+
+def _paired(names: str) -> str:
+    arm = "SELECT canonical_id, name AS predicate_name, value AS predicate_value, {} AS arm, {} , {} AS value FROM {} JOIN s b USING (query_id) WHERE b.config_id = 1 AND kind = 'add_one_feature' AND name IN ({})"
+    return " UNION ALL ".join(arm.format(a, _unit("query_id"), v, _TARGETS, names) for a, v in ((1, "t.score"), (0, "b.score")))
+
+
+def _apart(names: str) -> str:
+    return f"""SELECT canonical_id, name, value, 1, {_unit("concat('1:', query_id)")}, t.score FROM {_TARGETS} WHERE kind = 'add_one_feature' AND name IN ({names})
+        UNION ALL SELECT x.canonical_id, name, value, 0, {_unit("concat('0:', query_id)")}, score FROM s JOIN predicates p USING (query_id) JOIN (SELECT DISTINCT c.canonical_id, p.name, p.value FROM {_TARGETS} WHERE kind = 'add_one_feature') x USING (name, value) WHERE config_id = 1 AND name IN ({names})"""
+
+
+_LIFTS2 = "predicate_name in ('lang', 'is_long')"
+on_cube("paired_bootstrap", lambda c: confidence.attach_ci(_lift(c).where(_LIFTS2), c, 1, M, SC, resamples=100).select(*confidence.KEYS, "lift", "ci_lo", "ci_hi", "p_gt_zero"),
+        f"""{_LIFT}, {_replicated(_K3, _paired("'lang', 'is_long'"), 100, 0.95)} SELECT {_K3}, round(lift, 6) AS lift, ci_lo, ci_hi, p_gt_zero FROM lift LEFT JOIN ci USING ({_K3}) WHERE {_LIFTS2}""")
+_HELD = f"SELECT {_K3}, has::INT AS arm, {_unit('''concat(has::INT, ':', config_id)''')}, m AS value FROM h"
+on_cube("marginal_bootstrap", lambda c: confidence.attach_ci(effect.lift_marginal(c, M, SC, "bucket"), c, 1, M, SC, resamples=100, method="marginal").select(*confidence.KEYS, "lift", "ci_lo", "ci_hi", "p_gt_zero"),
+        f"""{MEANS}, h AS MATERIALIZED (SELECT f.canonical_id, pm.*, EXISTS (FROM config_features k WHERE k.config_id = pm.config_id AND k.feature_id = f.feature_id) AS has FROM pm, features f WHERE predicate_name = 'bucket'),
+        {_replicated(_K3, _HELD, 100, 0.95)},
+        lift AS (SELECT {_K3}, avg(m) FILTER (has) - avg(m) FILTER (NOT has) AS lift FROM h GROUP BY ALL HAVING count(*) FILTER (has) > 0 AND count(*) FILTER (NOT has) > 0)
+        SELECT {_K3}, round(lift, 6) AS lift, ci_lo, ci_hi, p_gt_zero FROM lift LEFT JOIN ci USING ({_K3})""")
+on_cube("mixed_bootstrap", lambda c: confidence.with_interval(confidence.replicates(confidence.paired_arms(c, 1, M, SC).where("predicate_name = 'lang'").unionByName(confidence.unpaired_arms(c, 1, M, SC).where("predicate_name = 'is_long'")), confidence.KEYS, 100), 0.8),
+        f"""{ONE}, {_replicated(_K3, _paired("'lang'") + " UNION ALL " + _apart("'is_long'"), 100, 0.8)} SELECT * FROM ci""")
 
 
 def _deltas_for_bootstrap(c: Cube) -> DataFrame:
@@ -197,11 +234,10 @@ def _deltas_for_bootstrap(c: Cube) -> DataFrame:
     return rows.where("config_id = 2").join(base, "query_id").select("predicate_value", "query_id", (F.col("score") - F.col("b")).alias("delta"))
 
 
+_DELTAS = "FROM s t JOIN s b USING (query_id) JOIN predicates p USING (query_id) WHERE t.config_id = 2 AND b.config_id = 1 AND p.name = 'is_long'"
+_DELTA_ROWS = f"SELECT p.value AS predicate_value, 1 AS arm, {_unit('query_id')}, t.score - b.score AS value {_DELTAS} UNION ALL SELECT p.value, 0, {_unit('query_id')}, 0 {_DELTAS}"
 on_cube("hashed_bootstrap", lambda c: confidence.hashed_bootstrap(_deltas_for_bootstrap(c), ["predicate_value"], resamples=40),
-        f"""{ONE}, d AS MATERIALIZED (SELECT p.value AS predicate_value, t.query_id, t.score - b.score AS delta, row_number() OVER (PARTITION BY p.value ORDER BY t.query_id) - 1 AS i FROM s t JOIN s b USING (query_id) JOIN predicates p USING (query_id) WHERE t.config_id = 2 AND b.config_id = 1 AND p.name = 'is_long'),
-        z AS (SELECT predicate_value, count(*) AS n FROM d GROUP BY 1), k AS (SELECT predicate_value, n, b.range AS b, k.range AS k FROM z, range(40) b, range(100000) k WHERE k.range < n),
-        m AS (SELECT k.predicate_value, b, avg(delta) AS m FROM k JOIN d ON d.predicate_value = k.predicate_value AND d.i = ('0x' || substr(md5(concat(b, ':', k)), 1, 8))::UBIGINT % n GROUP BY ALL)
-        SELECT predicate_value, round(quantile_cont(m, 0.05), 6) AS ci_lo, round(quantile_cont(m, 0.95), 6) AS ci_hi, round(avg((m > 0)::INT), 6) AS p_gt_zero FROM m GROUP BY 1""")
+        f"{ONE}, {_replicated('predicate_value', _DELTA_ROWS, 40, 0.9)} SELECT * FROM ci")
 _QUERIES["pipeline_effects"] = lambda spark, sf: rounded(Pipeline(projected(spark, sf)).source(M, SC).scope(1).effect().filter(min_effect=0.01).rank("lift", 10).run().select("canonical_id", "predicate_name", "predicate_value", "lift", "did"))
 _SQL["pipeline_effects"] = f"{CTES}, {_DID} SELECT canonical_id, predicate_name, predicate_value, round(lift, 6) AS lift, round(did, 6) AS did FROM dd WHERE {_NO_N} AND abs(lift) >= 0.01 ORDER BY lift DESC, canonical_id, predicate_name, predicate_value LIMIT 10"
 
@@ -331,12 +367,20 @@ on_cube("failed_predictions", lambda c: benchmarks.failed_predictions([c], SC),
 on_tables("score_rouge_l", lambda t: t("benchmark").select("item_id", G.rouge_l(F.col("text"), F.reverse(F.col("text"))).alias("score")))
 
 # -- retrieval, windows and sources -------------------------------------------
-on_tables("bm25", lambda t: retrieval.bm25(t("documents").select("doc_id", "text"), t("benchmark").select(F.col("item_id").alias("query_id"), "text")).select("query_id", "doc_id", "rank"),
-          """WITH tk AS MATERIALIZED (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '') AS t FROM documents), z AS (SELECT count(*) AS nd, avg(len(t)) AS al FROM tk),
+_BM25 = """WITH tk AS MATERIALIZED (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '') AS t FROM documents), z AS (SELECT count(*) AS nd, avg(len(t)) AS al FROM tk),
           q AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS term FROM benchmark),
           p AS (SELECT term, doc_id, l, count(*) AS tf FROM (SELECT doc_id, len(t) AS l, unnest(t) AS term FROM tk) WHERE term IN (SELECT term FROM q) GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
           s AS (SELECT query_id, doc_id, round(sum(ln(1 + (nd - df + 0.5) / (df + 0.5)) * tf * 1.9 / (tf + 0.9 * (1 - 0.4 + 0.4 * l / al))), 6) AS score FROM q JOIN p USING (term) JOIN f USING (term), z GROUP BY ALL),
-          r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) SELECT query_id, doc_id, rank::INT AS rank FROM r WHERE rank <= 7""")
+          r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) SELECT query_id, doc_id, rank::INT AS rank FROM r WHERE rank <= 7"""
+on_tables("bm25", lambda t: retrieval.bm25(t("documents").select("doc_id", "text"), t("benchmark").select(F.col("item_id").alias("query_id"), "text")).select("query_id", "doc_id", "rank"), _BM25)
+
+
+def _by_index(t) -> DataFrame:
+    corpus = t("documents").select("doc_id", "text")
+    return search.build(corpus, scratch.fresh_path(corpus.sparkSession, "index")).search(t("benchmark").select(F.col("item_id").alias("query_id"), "text"), keep=scratch.written).select("query_id", "doc_id", "rank")
+
+
+on_tables("bm25_index", _by_index, _BM25)
 on_tables("knn", lambda t: retrieval.knn(t("embeddings"), t("embeddings").where("vec_id % 100 = 0")).select("probe", "neighbour", "rank"),
           "WITH s AS (SELECT p.vec_id AS probe, v.vec_id AS neighbour, round(list_sum(list_transform(range(1, len(p.embedding) + 1), lambda i: p.embedding[i]::DOUBLE * v.embedding[i]::DOUBLE)), 6) AS score FROM embeddings p, embeddings v WHERE p.vec_id % 100 = 0 AND p.vec_id <> v.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY score DESC, neighbour) AS rank FROM s) SELECT probe, neighbour, rank::INT AS rank FROM r WHERE rank <= 3")
 on_tables("example_mmr", lambda t: retrieval.sample_examples(t("embeddings"), t("embeddings").where("vec_id % 100 = 0")))

@@ -7,31 +7,23 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-K1, B = 0.9, 0.4
+from . import search
 
-
-def terms(text: Column) -> Column:
-    """Lower-case ASCII letter and digit runs."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda t: t != "")
-
-
-def bm25(corpus: DataFrame, queries: DataFrame, k: int = 7, k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, doc_id, score, rank): Lucene-style idf, no stemming.
+def bm25(corpus: DataFrame, queries: DataFrame, k: int = 7, k1: float = search.K1, b: float = search.B) -> DataFrame:
+    """(query_id, doc_id, score, rank): Lucene-style idf, no stemming, by one scan of the texts.
 
     ``corpus`` has doc_id and text, ``queries`` query_id and text; every row of
-    the queries is asked.  Only postings of asked terms are scored.
+    the queries is asked.  Terms are counted where a text is read, and only
+    postings of asked terms go further.  ``search.build`` is for many searches.
     """
-    tokens = corpus.select("doc_id", terms(F.col("text")).alias("t"))
-    lengths = tokens.select("doc_id", F.size("t").alias("length"))
-    totals = lengths.agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_length"))
-    asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    postings = tokens.select("doc_id", F.size("t").alias("length"), F.explode("t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("term", "doc_id", "length").agg(F.count("*").alias("tf"))
+    counts = search.term_counts(corpus)
+    asked = search.asked_terms(queries)
+    wanted = asked.select("term").distinct()
+    postings = counts.join(wanted, "term", "left_semi")
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = postings.join(df, "term").join(F.broadcast(totals))
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))
-    scores = weighted.select("term", "doc_id", part.alias("part")).join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))
-    scores = scores.withColumn("score", F.round("score", 6))
+    totals = search.corpus_totals(corpus, counts)
+    weighed = search.weigh(postings.join(df, "term"), totals, k1, b).select("term", "doc_id", "part")
+    scores = weighed.join(asked, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

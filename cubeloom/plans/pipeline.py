@@ -98,7 +98,7 @@ class Pipeline:
 
     def _confidence(self, rows, level, resamples, seed) -> DataFrame:
         scope = dict(dict(self.params)["source"]) | dict(dict(self.params)["scope"])
-        return ci.attach_ci(rows, self.cube, scope["base"], scope["model"], scope["scorer"], level, resamples, seed)
+        return ci.attach_ci(rows, self.cube, scope["base"], scope["model"], scope["scorer"], level, resamples, seed, dict(dict(self.params)["effect"])["method"])
 
     def _filter(self, rows, **gates) -> DataFrame:
         return effect.rank(rows, **gates)
