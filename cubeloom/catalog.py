@@ -7,6 +7,7 @@ to six places on both sides.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -167,6 +168,24 @@ on_cube("plan_delete", lambda c: X.plan_delete(c, [M], [2], [("dataset", "=", "s
 on_cube("recent", X.recent, "SELECT execution_id, config_id, query_id, model FROM executions ORDER BY created_at DESC, execution_id DESC LIMIT 20")
 on_cube("recent_errors", X.errors, "SELECT execution_id, config_id, query_id, model, error FROM executions WHERE coalesce(error, '') <> '' ORDER BY created_at DESC, execution_id DESC LIMIT 20")
 
+# -- fields below the queries' meta -------------------------------------------
+_META = "SELECT query_id, meta->>'$.doc.\"odd key\"' AS odd, (meta->>'$.doc.n_chars')::DOUBLE AS size, meta->>'$.flag' AS flag, json_exists(meta, '$.answer') AS has_answer FROM queries"
+on_cube("slice_by_meta", lambda c: X.slice_scores(c, M, SC, ["query.meta.doc.odd key", "split"], [("query.meta.doc.n_chars", ">", 800), ("query.meta.flag", "=", True), ("query.meta.answer", "is_not_empty")], limit=None),
+        f"""{ONE}, m AS ({_META}) SELECT config_id, odd AS query_meta_doc_odd_key, CASE WHEN coalesce(split, '') = '' THEN '(no split)' ELSE split END AS split, count(*) AS n, round(avg(score), 6) AS avg_score, count(*) FILTER (score = 1) AS n_correct, count(*) FILTER (score = 0) AS n_wrong
+        FROM s JOIN m USING (query_id) JOIN queries USING (query_id) WHERE size > 800 AND flag = 'true' AND has_answer GROUP BY ALL""")
+_OPS = {
+    "eq": (("query.meta.answer", "eq", 3), "meta->>'$.answer' = '3'"), "=": (("query.query_id", "=", "17"), "query_id = '17'"), "ne": (("query.meta.gold_answer", "ne", "g1"), "meta->>'$.gold_answer' <> 'g1'"), "!=": (("dataset", "!=", "src1"), "dataset <> 'src1'"),
+    "in": (("query.meta.answer", "in", [1, 2]), "meta->>'$.answer' IN ('1', '2')"), "in_nothing": (("dataset", "in", []), "false"), "<": (("query.meta.doc.n_chars", "<", 700), "(meta->>'$.doc.n_chars')::DOUBLE < 700"),
+    "<=": (("score", "<=", 0), "score <= 0"), ">": (("predicate.n_chars", ">", 1200), "query_id IN (SELECT query_id FROM predicates WHERE name = 'n_chars' AND value::DOUBLE > 1200)"), ">=": (("score", ">=", 1), "score >= 1"),
+    "is_empty": (("query.meta.gold_answer", "is_empty"), "coalesce(meta->>'$.gold_answer', '') = ''"), "is_not_empty": (("split", "is_not_empty"), "coalesce(split, '') <> ''"),
+}
+on_cube("filter_operators", lambda c: functools.reduce(DataFrame.unionByName, (X.scored(c, M, SC, [f]).agg(F.lit(name).alias("filter"), F.count("*").alias("n"), F.avg("score").alias("avg_score")) for name, (f, _) in _OPS.items())),
+        f"{ONE} " + " UNION ALL ".join(f"SELECT '{name}' AS filter, count(*) AS n, round(avg(score), 6) AS avg_score FROM s JOIN queries USING (query_id) WHERE {where}" for name, (_, where) in _OPS.items()))
+_GOLD = " ".join(f"WHEN {cond}json_exists(meta, '{p}') THEN CASE WHEN json_type(meta, '{p}') <> 'NULL' THEN meta->>'{p}' END" for cond, p in [("json_type(meta, '$._raw') = 'OBJECT' AND ", f"$._raw.{k}") for k in ("answers", "answer", "gold", "gold_answer")] + [("", f"$.{k}") for k in ("gold_answer", "gold_answers", "answer", "answers", "label")])
+on_cube("gold_answers", lambda c: c.query.select("query_id", X.gold_answer(F.col("meta")).alias("gold"), F.get_json_object(X.compact_meta(F.col("meta")), "$.answer").alias("answer"), X.meta_value(X.compact_meta(F.col("meta")), "_raw").alias("raw")), f"SELECT query_id, CASE {_GOLD} END AS gold, meta->>'$.answer' AS answer, NULL::VARCHAR AS raw FROM queries")
+on_cube("dataset_scope_rows", lambda c: X.dataset_scope(c, True, M, SC, compat=True), f"{ONE} SELECT dataset, CASE WHEN coalesce(split, '') = '' THEN '(no split)' ELSE split END AS split, count(*) AS n_rows, count(DISTINCT query_id) AS n_queries FROM queries JOIN s USING (query_id) GROUP BY ALL")
+on_cube("query_meta_fields", lambda c: X.meta_fields(c.query.select(X.compact_meta(F.col("meta")).alias("meta")), "meta").select("key", "n_rows"), "SELECT key, count(*) AS n_rows FROM (SELECT unnest(json_keys(meta)) AS key FROM queries) WHERE key <> '_raw' GROUP BY 1")
+
 # -- effects ------------------------------------------------------------------
 _LIFT = f"{MEANS}, lift AS MATERIALIZED (SELECT c.canonical_id, t.predicate_name, t.predicate_value, t.m AS target_mean, b.m AS base_mean, t.m - b.m AS lift, t.n AS n_target, coalesce(b.n, 0) AS n_base FROM pm t JOIN configs c USING (config_id) LEFT JOIN pm b ON b.config_id = 1 AND b.predicate_name = t.predicate_name AND b.predicate_value = t.predicate_value WHERE c.kind = 'add_one_feature')"
 _DID = f"{_LIFT}, ref AS (SELECT predicate_name, min(predicate_value) AS reference FROM lift GROUP BY 1 HAVING count(DISTINCT predicate_value) = 2), dd AS MATERIALIZED (SELECT l.*, reference, lift - max(CASE WHEN predicate_value = reference THEN lift END) OVER (PARTITION BY canonical_id, l.predicate_name) AS did FROM lift l LEFT JOIN ref USING (predicate_name))"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,9 +13,16 @@ from ..functions.scalars import bucket, preview, response_pattern
 from .cube import Cube, no_error
 
 
+#: Longer names of the plain fields.
+ALIASES = {
+    "query.dataset": "dataset", "query.split": "split", "benchmark.split": "split", "query.query_id": "query_id", "config.config_id": "config_id", "ev.score": "score", "evaluation.score": "score",
+    "execution.error": "error",
+}
+
+
 @dataclass(frozen=True)
 class Field:
-    """dataset, split, qtype, query_id, config_id, score, error, or predicate.<name>."""
+    """dataset, split, qtype, query_id, config_id, score, error, ``query.meta.<path>`` or ``predicate.<name>``."""
 
     name: str
 
@@ -23,31 +32,81 @@ class Field:
     def predicate(self) -> str | None:
         return self.name.removeprefix("predicate.") if self.name.startswith("predicate.") else None
 
+    @property
+    def meta(self) -> str | None:
+        """The path below the query's meta, keys joined by dots."""
+        return self.name.removeprefix("query.meta.") if self.name.startswith("query.meta.") else None
+
     @property
     def column_name(self) -> str:
-        return f"_p_{self.predicate}" if self.predicate else self.name
+        if self.predicate:
+            return f"_p_{self.predicate}"
+        return f"_m_{self.meta}" if self.meta else ALIASES.get(self.name, self.name)
 
     @property
     def column(self) -> Column:
-        if not self.predicate and self.name not in self.PLAIN:
+        if not self.predicate and not self.meta and self.column_name not in self.PLAIN:
             raise ValueError(f"unknown field {self.name!r}")
-        return F.col(f"`{self.column_name}`")
+        return F.col("`" + self.column_name.replace("`", "``") + "`")
 
 
 def meta_path(keys: list[str]) -> str:
-    """A JSON path; keys that are no identifiers are quoted."""
-    return "$" + "".join(f".{k}" if k.isidentifier() else f"['{k}']" for k in keys)
+    """A JSON path; keys that are no identifiers are quoted, by a mark that they don't hold."""
+    out = "$"
+    for k in keys:
+        if not k or ("'" in k and '"' in k):
+            raise ValueError(f"no path leads to the key {k!r}")
+        mark = '"' if "'" in k else "'"
+        out += f".{k}" if re.fullmatch("[A-Za-z_][A-Za-z0-9_]*", k) else f"[{mark}{k}{mark}]"
+    return out
+
+
+def meta_value(meta: Column, path: str, kind: str = "string") -> Column:
+    """What a JSON text has at a path that is chosen at run time; a JSON null and a missing key are both null, but for kind ``variant``."""
+    return F.try_variant_get(F.try_parse_json(meta), meta_path(path.split(".")), kind)
+
+
+# Where a reference answer is looked for, first among the raw item's keys, then among the meta's own.
+RAW_GOLD = ("answers", "answer", "gold", "gold_answer")
+META_GOLD = ("gold_answer", "gold_answers", "answer", "answers", "label")
+
+
+def gold_answer(meta: Column) -> Column:
+    """The reference answer as text: the first key that is *there*, even if its value is null."""
+    v = F.try_parse_json(meta)
+    at = lambda path: F.try_variant_get(v, path, "variant")
+    is_object = F.coalesce(F.schema_of_variant(at("$._raw")).startswith("OBJECT"), F.lit(False))
+    chain = None
+    for path, allowed in [(f"$._raw.{k}", is_object) for k in RAW_GOLD] + [(f"$.{k}", F.lit(True)) for k in META_GOLD]:
+        there = allowed & at(path).isNotNull()
+        chain = F.when(there, at(path).cast("string")) if chain is None else chain.when(there, at(path).cast("string"))
+    return chain
+
+
+def compact_meta(meta: Column) -> Column:
+    """The meta as JSON text without the raw item; '{}' where it is no object."""
+    fields = F.try_variant_get(F.try_parse_json(meta), "$", "map<string,variant>")
+    return F.coalesce(F.to_json(F.map_filter(fields, lambda k, v: k != "_raw")), F.lit("{}"))
+
+
+def _equal(field: str, c: Column, value) -> Column:
+    """Values below meta are text: truth values by their names, numbers by their value."""
+    if not Field(field).meta:
+        return c == value
+    if isinstance(value, bool):
+        return c == str(value).lower()
+    return c.try_cast("double") == float(value) if isinstance(value, (int, float)) else c == value
 
 
 def filter_column(field: str, op: str, value=None) -> Column:
     """One filter; comparisons with a number read the field as a number and drop what is none."""
     c = Field(field).column
     if op in ("=", "eq"):
-        return c == value
+        return _equal(field, c, value)
     if op in ("!=", "ne"):
-        return c != value
+        return ~_equal(field, c, value)
     if op == "in":
-        return c.isin(list(value)) if value else F.lit(False)
+        return functools.reduce(lambda a, b: a | b, (_equal(field, c, v) for v in value)) if value else F.lit(False)
     if op == "is_empty":
         return F.coalesce(c.cast("string"), F.lit("")) == ""
     if op == "is_not_empty":
@@ -60,7 +119,13 @@ def filter_column(field: str, op: str, value=None) -> Column:
 
 def dimension(field: str) -> Column:
     c = Field(field).column
-    return F.when(F.coalesce(c, F.lit("")) == "", "(no split)").otherwise(c) if field == "split" else c
+    return F.when(F.coalesce(c, F.lit("")) == "", "(no split)").otherwise(c) if Field(field).column_name == "split" else c
+
+
+def query_columns(cube: Cube, fields: list[str]) -> DataFrame:
+    """The queries' plain fields, and a column for each meta path that the fields name."""
+    paths = sorted({Field(f).meta for f in fields if Field(f).meta})
+    return cube.query.select("query_id", "dataset", "split", "qtype", "lang", *(meta_value(F.col("meta"), p).alias(f"_m_{p}") for p in paths))
 
 
 def with_predicates(rows: DataFrame, cube: Cube, fields: list[str]) -> DataFrame:
@@ -77,8 +142,8 @@ def scored(cube: Cube, model: str, scorer: str, filters=(), fields=(), clean: bo
     rows = cube.all_scores(model, scorer)
     if clean:
         rows = rows.where(no_error() & F.col("score").isNotNull())
-    rows = rows.join(cube.query.select("query_id", "dataset", "split", "qtype", "lang"), "query_id")
-    rows = with_predicates(rows, cube, [*fields, *(f for f, *_ in filters)])
+    named = [*fields, *(f for f, *_ in filters)]
+    rows = with_predicates(rows.join(query_columns(cube, named), "query_id"), cube, named)
     for f in filters:
         rows = rows.where(filter_column(*f))
     return rows
@@ -87,7 +152,7 @@ def scored(cube: Cube, model: str, scorer: str, filters=(), fields=(), clean: bo
 def slice_scores(cube: Cube, model: str, scorer: str, group_by: list[str], filters=(), config_ids: list[int] | None = None, base: int | None = None, limit: int | None = 500) -> DataFrame:
     """n, mean, ones and zeros of each configuration and group, and the difference from the base in the same group."""
     rows = scored(cube, model, scorer, filters, group_by)
-    names = [f.replace(".", "_") for f in group_by]
+    names = [re.sub(r"\W", "_", f) for f in group_by]
     if config_ids is not None:
         rows = rows.where(F.col("config_id").isin([*config_ids, *([base] if base is not None else [])]))
     out = rows.groupBy("config_id", *(dimension(f).alias(n) for f, n in zip(group_by, names))).agg(
@@ -170,20 +235,22 @@ def meta_fields(rows: DataFrame, column: str) -> DataFrame:
     return pairs.groupBy("key").agg(F.count("*").alias("n_rows"), F.slice(F.array_sort(F.collect_set(F.left("value", F.lit(80)))), 1, 8).alias("samples"))
 
 
-def dataset_scope(cube: Cube, only_with_results: bool = False) -> DataFrame:
-    """Queries by dataset and split; optionally those with a score."""
+def dataset_scope(cube: Cube, only_with_results: bool = False, model: str | None = None, scorer: str | None = None, compat: bool = False) -> DataFrame:
+    """Queries by dataset and split; optionally those with a score.  ``compat`` counts a row for each score as well, as ``n_rows``."""
     q = cube.query
     if only_with_results:
-        q = q.join(cube.query_scores().select("query_id").distinct(), "query_id", "left_semi")
-    return q.groupBy("dataset", dimension("split").alias("split")).agg(F.count("*").alias("n_queries"))
+        scores = cube.query_scores(model, scorer).select("query_id")
+        q = q.join(scores, "query_id") if compat else q.join(scores, "query_id", "left_semi")
+    by = q.groupBy("dataset", dimension("split").alias("split"))
+    return by.agg(F.count("*").alias("n_rows"), F.count_distinct("query_id").alias("n_queries")) if compat else by.agg(F.count("*").alias("n_queries"))
 
 
 def plan_delete(cube: Cube, models: list[str] = (), config_ids: list[int] = (), filters=()) -> DataFrame:
     """What a deletion would take; nothing is deleted, and at least one filter is required."""
     if not (models or config_ids or filters):
         raise ValueError("a deletion needs a filter")
-    rows = cube.execution.join(cube.query.select("query_id", "dataset", "split", "qtype", "lang"), "query_id")
-    rows = with_predicates(rows, cube, [f for f, *_ in filters])
+    named = [f for f, *_ in filters]
+    rows = with_predicates(cube.execution.join(query_columns(cube, named), "query_id"), cube, named)
     if models:
         rows = rows.where(F.col("model").isin(list(models)))
     if config_ids:

@@ -32,7 +32,10 @@ SELECT * FROM (VALUES
 QUERIES = """
 SELECT CAST(doc_id AS VARCHAR(20)) AS query_id, source AS dataset, text AS content, lang, n_chars,
  CASE doc_id % 5 WHEN 0 THEN 'train' WHEN 1 THEN 'dev' WHEN 2 THEN 'test' WHEN 3 THEN '' END AS split,
- CASE WHEN doc_id % 3 = 0 THEN 'Counting' WHEN doc_id % 3 = 1 THEN 'Causal' ELSE 'Lookup' END AS qtype, doc_id
+ CASE WHEN doc_id % 3 = 0 THEN 'Counting' WHEN doc_id % 3 = 1 THEN 'Causal' ELSE 'Lookup' END AS qtype, doc_id,
+ CONCAT('{{"doc":{{"n_chars":', CAST(COALESCE(n_chars, 0) AS VARCHAR(20)), ',"odd key":"', COALESCE(source, ''), '"}}', CASE doc_id % 4 WHEN 0 THEN ',"gold_answer":null' WHEN 1 THEN ',"gold_answer":"g1"' ELSE '' END,
+  CASE doc_id % 3 WHEN 0 THEN ',"_raw":{{"answers":["x","y"]}}' WHEN 1 THEN ',"_raw":{{"note":1}}' ELSE '' END, CASE WHEN doc_id % 8 < 7 THEN CONCAT(',"answer":', CAST(doc_id % 10 AS VARCHAR(20))) ELSE '' END,
+  ',"flag":', CASE WHEN doc_id % 2 = 0 THEN 'true' ELSE 'false' END, '}}') AS meta
 FROM {documents}"""
 
 PREDICATES = """
