@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .functions import predicates as P
 from .functions import scalars as S
 from .functions import scorers as G
+from .functions import sql_structure
 from .functions import tables as R
 from .operators import adaptive, compare, confidence, design, effect, inventory, resolve, retrieval, routing, search
 from .plans import explorer as X
@@ -409,6 +410,33 @@ on_tables("conversation_history", lambda t: benchmarks.with_history(t("conversat
 on_tables("reservoir", lambda t: benchmarks.reservoir(t("orders").select("o_orderkey"), 50, "o_orderkey", 3), "SELECT o_orderkey FROM (SELECT o_orderkey FROM orders ORDER BY md5('3:' || o_orderkey), o_orderkey LIMIT 50) ORDER BY 1")
 on_tables("query_ids", lambda t: t("benchmark").select("item_id", benchmarks.query_key(F.lit("bench"), F.lit("c"), F.col("text")).alias("query_id")), "SELECT item_id, substr(sha256('bench:c:' || trim(text, ' ')), 1, 16) AS query_id FROM benchmark")
 
+# -- structure of SQL text, on statements that each part's key and size make -----
+_STATEMENT = """CONCAT('SELECT ', CASE WHEN p_partkey % 5 = 0 THEN 'DISTINCT ' ELSE '' END, SUBSTRING('t.c1, t.c2, t.c3, t.c4, t.c5, t.c6, t.c7', 1, CAST(4 + 6 * (p_partkey % 7) AS INT)), CASE WHEN p_partkey % 3 = 0 THEN ', count(*)' ELSE '' END,
+ ' FROM tab', CAST(p_partkey % 4 AS VARCHAR(20)), ' AS t', CASE WHEN p_size % 3 >= 1 THEN ' JOIN "odd join" u1 ON t.id = u1.id' ELSE '' END, CASE WHEN p_size % 3 = 2 THEN ' LEFT JOIN more ON t.id = more.id' ELSE '' END,
+ CASE p_partkey % 4 WHEN 1 THEN ' WHERE t.a = 1' WHEN 2 THEN ' WHERE t.a LIKE ''%or not (select%'' AND t.b BETWEEN 1 AND 2 AND t.c IS NOT NULL' WHEN 3 THEN ' WHERE t.a IN (SELECT b FROM v WHERE c IN (SELECT d FROM w))' ELSE '' END,
+ CASE p_size % 5 WHEN 0 THEN ' GROUP BY t.a HAVING count(*) > 1' WHEN 1 THEN ' ORDER BY t.a LIMIT 5' WHEN 2 THEN ' UNION SELECT 1' WHEN 3 THEN ' -- union (comment' ELSE ')' END)"""
+_PLANTED = {
+    "has_join": "s % 3 >= 1", "has_subquery": "k % 4 = 3", "has_nested_subquery": "k % 4 = 3", "has_union": "s % 5 = 2", "has_limit": "s % 5 = 1", "has_distinct": "k % 5 = 0", "has_where": "k % 4 > 0", "has_group_by": "s % 5 = 0",
+    "has_having": "s % 5 = 0", "has_order_by": "s % 5 = 1", "has_aggregation": "k % 3 = 0 OR s % 5 = 0", "has_like": "k % 4 = 2", "has_between": "k % 4 = 2", "has_in": "k % 4 = 3", "multi_join": "s % 3 = 2",
+    "multi_table": "1 + s % 3 + CASE WHEN k % 4 = 3 THEN 2 ELSE 0 END >= 3", "many_conditions": "k % 4 = 2", "wide_select": "k % 7 + 1 + CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END >= 5", "has_string_op": "k % 4 = 2", "has_null_check": "k % 4 = 2", "has_not": "k % 4 = 2",
+}
+
+
+def _statements(t) -> DataFrame:
+    return t("part").select("p_partkey", sql_structure.walked(F.expr(_STATEMENT)).alias("w"))
+
+
+def _sql_flags(t) -> DataFrame:
+    yes = F.array_compact(F.array(*(F.when(c == "yes", F.lit(n)) for n, c in sql_structure.flags(F.col("w"), "").items())))
+    return _statements(t).select("p_partkey", F.array_join(F.array_sort(yes), ",").alias("flags"))
+
+
+on_tables("sql_structure_flags", _sql_flags, f"""WITH x AS (SELECT p_partkey AS k, p_size AS s FROM part) SELECT k AS p_partkey, CASE WHEN s % 5 = 4 THEN '' ELSE array_to_string(list_sort(list_filter([{", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in _PLANTED.items())}], lambda v: v IS NOT NULL)), ',') END AS flags FROM x""")
+on_tables("sql_structure_names", lambda t: _statements(t).select("p_partkey", F.array_join(sql_structure.tables_of(F.col("w")), ",").alias("tables"), F.array_join(F.array_sort(F.transform(F.map_entries(sql_structure.aliases_of(F.col("w"))), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",").alias("aliases"), F.size(sql_structure.columns_of(F.col("w"))).alias("n_columns")),
+          """WITH x AS (SELECT p_partkey AS k, p_size AS s FROM part) SELECT k AS p_partkey, CASE WHEN s % 5 = 4 THEN '' ELSE array_to_string(list_sort(list_filter([concat('tab', k % 4), CASE WHEN s % 3 >= 1 THEN 'odd join' END, CASE WHEN s % 3 = 2 THEN 'more' END, CASE WHEN k % 4 = 3 THEN 'v' END, CASE WHEN k % 4 = 3 THEN 'w' END], lambda v: v IS NOT NULL)), ',') END AS tables,
+          CASE WHEN s % 5 = 4 THEN '' ELSE concat('t=tab', k % 4, CASE WHEN s % 3 >= 1 THEN ',u1=odd join' ELSE '' END) END AS aliases,
+          CASE WHEN s % 5 = 4 THEN 0 ELSE (k % 7 + 1 + CASE s % 3 WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 3 END + CASE k % 4 WHEN 0 THEN CASE WHEN s % 5 < 2 THEN 1 ELSE 0 END WHEN 2 THEN 3 ELSE 1 END) END::INT AS n_columns FROM x""")
+
 # -- monitoring ---------------------------------------------------------------
 _QUERIES["monitor_overall"] = lambda spark, sf: rounded(monitor.overall(monitor.events(spark, sf)).select("n", "avg_score", at("first_at"), at("last_at")))
 _SQL["monitor_overall"] = "SELECT count(*) AS n, round(avg(value), 6) AS avg_score, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_at, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_at FROM events"
