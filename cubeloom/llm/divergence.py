@@ -31,7 +31,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -102,15 +101,16 @@ def _f(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (p - q) ** 2 // (p + q)
 
 
-def _tile(rows: pd.DataFrame) -> pd.DataFrame:
+def _tile(rows: pa.Table) -> pa.Table:
     """For the pairs of groups of one tile: what its terms in both groups change beyond what each changes alone."""
-    sources, at = np.unique(rows["source"].to_numpy(dtype=object), return_inverse=True)
-    terms, line = np.unique(rows["term"].to_numpy(dtype=object), return_inverse=True)
+    numbers = lambda name: np.asarray(rows.column(name), np.int64)
+    order = lambda name: np.unique(np.asarray(rows.column(name).to_pylist(), dtype=object), return_inverse=True)
+    (sources, at), (terms, line), tile = order("source"), order("term"), numbers("tile")
     z, side = np.zeros(len(sources), np.int64), np.zeros(len(sources), np.int64)
-    z[at], side[at] = rows["z"], rows["tile"]
+    z[at], side[at] = numbers("z"), tile
     p = np.tile(z, (len(terms), 1))
-    p[line, at] = rows["p"]
-    across = int(rows["tile_a"].iloc[0]) != int(rows["tile_b"].iloc[0])
+    p[line, at] = numbers("p")
+    across = rows.column("tile_a")[0].as_py() != rows.column("tile_b")[0].as_py()
     a_of, b_of, gained = [], [], []
     for g in range(len(sources)):
         others = np.arange(g + 1, len(sources))
@@ -120,7 +120,8 @@ def _tile(rows: pd.DataFrame) -> pd.DataFrame:
         a_of += [sources[g]] * len(others)
         b_of += sources[others].tolist()
         gained += sums.tolist()
-    return pd.DataFrame({"lang": rows["lang"].iloc[0], "a": a_of, "b": b_of, "value": gained})
+    lang = pa.array([rows.column("lang")[0].as_py()] * len(gained), pa.string())
+    return pa.table([lang, pa.array(a_of, pa.string()), pa.array(b_of, pa.string()), pa.array(gained, pa.int64())], names=["lang", "a", "b", "value"])
 
 
 def audit(docs: DataFrame, text_column: str = "text", lang_column: str = "lang", source_column: str = "source", min_docs: int = MIN_DOCS, light: int = LIGHT, top: int = TOP) -> DataFrame:
@@ -177,5 +178,5 @@ def _pair_parts(postings: DataFrame, groups: DataFrame, light: int) -> DataFrame
     )
     heavy = heavy.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     heavy = heavy.select("lang", "source", "term", "p", "z", "tile", "block", F.least("tile", "with").alias("tile_a"), F.greatest("tile", "with").alias("tile_b"))
-    dense = heavy.groupBy("lang", "block", "tile_a", "tile_b").applyInPandas(_tile, "lang string, a string, b string, value long")
+    dense = heavy.groupBy("lang", "block", "tile_a", "tile_b").applyInArrow(_tile, "lang string, a string, b string, value long")
     return bare.unionByName(alone).unionByName(sparse).unionByName(dense)
