@@ -24,7 +24,7 @@ from .plans import projection
 from .plans.cube import Cube, projected
 from .plans.pipeline import Pipeline
 from .plans.query import ExecutionQuery
-from .sources import benchmarks, scratch
+from .sources import benchmarks, databases, numbered, scratch
 from .streaming import monitor
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -437,6 +437,64 @@ on_tables("sql_structure_names", lambda t: _statements(t).select("p_partkey", F.
           CASE WHEN s % 5 = 4 THEN '' ELSE concat('t=tab', k % 4, CASE WHEN s % 3 >= 1 THEN ',u1=odd join' ELSE '' END) END AS aliases,
           CASE WHEN s % 5 = 4 THEN 0 ELSE (k % 7 + 1 + CASE s % 3 WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 3 END + CASE k % 4 WHEN 0 THEN CASE WHEN s % 5 < 2 THEN 1 ELSE 0 END WHEN 2 THEN 3 ELSE 1 END) END::INT AS n_columns FROM x""")
 
+# -- databases, numbered lines and readers, on files that Spark makes of the tables -----
+_DATABASES = {"trade": ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"), "shop": ("clicks", "sales", "sale_lines", "clients", "client_changes", "vendors", "items", "stamps"), "corpus": ("documents", "benchmark", "labels", "conversations", "pages")}
+_KEYS = [("trade", a, f"{p}_{k}", b, f"{q}_{k}") for a, p, k, b, q in (("nation", "n", "regionkey", "region", "r"), ("orders", "o", "custkey", "customer", "c"), ("lineitem", "l", "orderkey", "orders", "o"), ("lineitem", "l", "partkey", "part", "p"), ("lineitem", "l", "suppkey", "supplier", "s"))] + [
+    ("trade", "customer", "c_nationkey", "nation", "n_nationkey"), ("trade", "supplier", "s_nationkey", "nation", "n_nationkey"), ("shop", "sales", "client_id", "clients", "client_id"), ("shop", "sale_lines", "sale_id", "sales", "sale_id"), ("corpus", "labels", "doc_id", "documents", "doc_id"),
+]
+
+
+def _dbs(t) -> databases.Databases:
+    first = t("region")
+    return databases.from_tables(first.sparkSession, {db: {name: first if name == "region" else t(name) for name in names} for db, names in _DATABASES.items()}, _KEYS)
+
+
+_DB_COLUMNS = "c AS MATERIALIZED (SELECT CASE " + " ".join(f"WHEN table_name IN ({', '.join(repr(n) for n in names)}) THEN '{db}'" for db, names in _DATABASES.items()) + " END AS db, table_name, column_name, column_index, data_type FROM duckdb_columns() WHERE NOT internal)"
+_DB_SIZES = "z AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT '{db}' AS db, '{n}' AS table_name, count(*) AS n FROM {n}" for db, names in _DATABASES.items() for n in names) + ")"
+_DB_KEYS = "k AS (SELECT * FROM (VALUES " + ", ".join(f"('{db}', {sum(x[0] == db for x in _KEYS)})" for db in _DATABASES) + ") AS t(db, n_keys))"
+_DB_TESTS = {
+    "complex_schema": "n_tables >= 10", "deep_schema": "n_columns >= 55", "fk_rich": "n_keys >= n_tables", "data_large": "n_rows >= 100000", "giant_table": "most >= 50000", "wide_tables": "n_columns >= 8 * n_tables", "has_date_col": "dates > 0", "has_real_col": "reals >= 2",
+    "text_heavy": "2 * texts >= n_columns", "has_special_cols": "false", "many_tables": "n_tables >= 8", "ambiguous_cols": "n_names < n_columns", "col_has_space": "false", "col_has_hyphen": "false",
+}
+on_tables("database_flags", lambda t: databases.flags(_dbs(t)), f"""WITH {_DB_COLUMNS}, {_DB_SIZES}, {_DB_KEYS},
+    a AS (SELECT db, count(*) AS n_columns, count(DISTINCT lower(column_name)) AS n_names, count(*) FILTER (data_type = 'TIMESTAMP' OR regexp_matches(lower(column_name), 'date|time|year|month|day|created|updated|born|opened|closed|start|end')) AS dates, count(*) FILTER (data_type IN ('DOUBLE', 'FLOAT')) AS reals, count(*) FILTER (data_type = 'VARCHAR') AS texts FROM c WHERE db IS NOT NULL GROUP BY 1),
+    b AS (SELECT db, count(*) AS n_tables, sum(n) AS n_rows, max(n) AS most FROM z GROUP BY 1)
+    SELECT db, {", ".join(f"CASE WHEN {test} THEN 'yes' ELSE 'no' END AS {name}" for name, test in _DB_TESTS.items())} FROM a JOIN b USING (db) JOIN k USING (db)""")
+on_tables("database_schema_text", lambda t: databases.schema_text(_dbs(t)), f"""WITH {_DB_COLUMNS}, b AS (SELECT db, table_name, 'CREATE TABLE `' || table_name || '` (' || chr(10) || string_agg('    `' || column_name || '` ' || data_type, ',' || chr(10) ORDER BY column_index) || chr(10) || ');' AS block FROM c WHERE db IS NOT NULL GROUP BY db, table_name)
+    SELECT db, string_agg(block, chr(10) || chr(10) ORDER BY table_name) AS schema FROM b GROUP BY 1""")
+on_tables("database_neighbours", lambda t: databases.neighbours(_dbs(t), t("region").limit(0).sparkSession.createDataFrame([("trade", "Orders"), ("shop", "clients"), ("corpus", "none")], "db string, table string")), "SELECT * FROM (VALUES ('trade', 'orders'), ('trade', 'customer'), ('trade', 'lineitem'), ('shop', 'clients'), ('shop', 'sales')) AS t(db, \"table\")")
+
+
+def _stored(rows: DataFrame, key: str, text: bool = False) -> str:
+    """Rows as JSON lines, or as text, in files that follow the key's order."""
+    path = scratch.fresh_path(rows.sparkSession, "lines")
+    ordered = rows.repartitionByRange(5, key).sortWithinPartitions(key)
+    (ordered.select(F.col(key).cast("string")).write.text if text else ordered.write.json)(path)
+    return path
+
+
+on_tables("numbered_lines", lambda t: numbered.numbered_lines(t("orders").sparkSession, _stored(t("orders").select("o_orderkey"), "o_orderkey", text=True), across=True).select(F.col("value").cast("long").alias("o_orderkey"), "line"), "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS line FROM orders")
+_BENCH_ROWS = """SELECT p_partkey AS id, CASE p_size % 4 WHEN 0 THEN 'FactChecking' WHEN 1 THEN 'DataAnalysis' WHEN 2 THEN 'Visualization' ELSE 'NumericalReasoning' END AS qtype, p_type AS qsubtype, CONCAT('what is ', p_brand, '?') AS question, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_name END AS answer,
+ CASE WHEN p_partkey % 2 = 0 THEN 'DP' ELSE 'TCoT' END AS instruction_type, CONCAT('Final Answer: no', CHR(10), 'Final Answer: ', p_brand) AS response, CONCAT('About ', p_name) AS instruction"""
+
+
+def _bench_file(t) -> tuple:
+    rows = t("part")
+    made = rows.sparkSession.sql(_BENCH_ROWS.replace("{", "{{").replace("}", "}}") + " FROM {part}", part=rows).withColumn("table", F.struct(F.array(F.lit("c")).alias("columns"), F.array(F.array("question")).alias("data")))
+    return rows.sparkSession, _stored(made, "id")
+
+
+_BENCH = f"WITH b AS (SELECT *, row_number() OVER (ORDER BY id) AS line FROM ({_BENCH_ROWS} FROM part))"
+_KEY16 = "substr(sha256({}), 1, 16)"
+_at = lambda df, *names: df.select("query_id", *(F.get_json_object("meta", f"$.{n}").alias(n) for n in names))
+on_tables("read_table_bench", lambda t: _at(benchmarks.read_table_bench(*_bench_file(t), instruction_types=("TCoT",)), "gold_answer", "qtype", "source_line"),
+          f"""{_BENCH} SELECT {_KEY16.format("concat('tablebench:test:main:', instruction_type, ':', line, ':', id, ':', question)")} AS query_id, coalesce(answer, split_part(question, ' ', 3)[:-2]) AS gold_answer, qtype, line::VARCHAR AS source_line FROM b WHERE instruction_type = 'TCoT' AND qtype <> 'Visualization'""")
+on_tables("read_verbatim_prompts", lambda t: _at(benchmarks.read_verbatim_prompts(*_bench_file(t), variant="PoT", plots=True), "instruction", "variant", "source_line"),
+          f"""{_BENCH} SELECT {_KEY16.format("concat('tablebench_repro:test:PoT:', line, ':', id, ':PoT::', question)")} AS query_id, instruction, 'PoT' AS variant, line::VARCHAR AS source_line FROM b""")
+on_tables("read_hierarchical", lambda t: _at(benchmarks.read_hierarchical(*_bench_file(t)), "gold_answer", "aggregation", "_raw.table_content"),
+          f"""{_BENCH} SELECT {_KEY16.format("concat('hitab:dev:', line - 1, ':', question)")} AS query_id, answer AS gold_answer, 'none' AS aggregation, '{{}}' AS "_raw.table_content" FROM b""")
+on_tables("read_multi_hop", lambda t: _at(benchmarks.read_multi_hop(*_bench_file(t)), "answer", "source_id"), f"""{_BENCH} SELECT {_KEY16.format("concat('hotpotqa_context:dev:', id, ':', question)")} AS query_id, answer, id::VARCHAR AS source_id FROM b""")
+
 # -- monitoring ---------------------------------------------------------------
 _QUERIES["monitor_overall"] = lambda spark, sf: rounded(monitor.overall(monitor.events(spark, sf)).select("n", "avg_score", at("first_at"), at("last_at")))
 _SQL["monitor_overall"] = "SELECT count(*) AS n, round(avg(value), 6) AS avg_score, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_at, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_at FROM events"

@@ -110,6 +110,13 @@ def table_answer(qtype: Column, qsubtype: Column, prediction: Column, gold: Colu
     return F.when(qsubtype.isin("CorrelationAnalysis", "TrendForecasting", "StatisticalAnalysis"), close_number(prediction, gold)).when(qtype.isin("FactChecking", "NumericalReasoning"), exact_match(prediction, gold)).otherwise(rouge_l(prediction, gold))
 
 
+def final_answer(text: Column) -> Column:
+    """The last ``Final Answer:`` of a response up to the end of its line, since responses restate the rule first; '' without one."""
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?i)Final Answer\s*[:：]\s*([^\n]+)"), F.lit(1))
+    bare = F.regexp_replace(F.trim(F.try_element_at(found, F.lit(-1))), r"(?i)^\s*(?:Final\s+Answer|Final|Answer)\s*[:：]\s*", "")
+    return F.coalesce(F.trim(bare), F.lit(""))
+
+
 def same_rows(left, right):
     """Whether two query results are equal as multisets: one row with the numbers of rows on either side only."""
     a, b = left.exceptAll(right), right.exceptAll(left)

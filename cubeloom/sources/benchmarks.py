@@ -87,3 +87,115 @@ def failed_predictions(cubes: list, scorer: str) -> DataFrame:
         rows = cube.all_scores(scorer=scorer).where((F.col("score") == 0) & (F.coalesce(F.trim("prediction"), F.lit("")) != "")).select("query_id", "model", sql_text(F.col("prediction")).alias("wrong"))
         out = rows if out is None else out.unionByName(rows)
     return out.groupBy("query_id", "wrong").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("model")), ",").alias("models"))
+
+
+# -- readers that need a line's number, a nested table or a database -----------
+
+# The kinds of question that are answered in text, and the kind that asks for a plot.
+TEXT_QTYPES = ("FactChecking", "NumericalReasoning", "DataAnalysis")
+PLOT_QTYPE = "Visualization"
+VARIANTS = ("DP", "TCoT", "SCoT", "PoT")
+
+
+def numbered_json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """JSON lines with their line number as ``source_line``, going on through the files of a folder; the schema is inferred where none is given."""
+    from .numbered import numbered_lines
+
+    shape = schema or spark.read.json(path).schema
+    lines = numbered_lines(spark, path, across=True).where(F.trim("value") != "")
+    return lines.select(F.col("line").alias("source_line"), F.from_json("value", shape).alias("j")).select("source_line", "j.*")
+
+
+def _table_of(rows: DataFrame) -> Column:
+    """header, rows and name of a table given as columns and data, in JSON or as a struct."""
+    table = rows["table"] if dict(rows.dtypes)["table"].startswith("struct") else F.from_json(rows["table"], "columns array<string>, data array<array<string>>")
+    return F.struct(table["columns"].alias("header"), table["data"].alias("rows"), _optional(rows, "chart_type")[0].alias("name"))
+
+
+def read_table_bench(spark: SparkSession, path: str, split: str = "test", revision: str | None = None, instruction_types: tuple[str, ...] | None = None, plots: bool = False) -> DataFrame:
+    """Questions over tables by kind; the line is part of a question's identity, as the file repeats some.  Without an answer the response's final answer is gold."""
+    from ..functions.scorers import final_answer
+
+    rows = numbered_json(spark, path)
+    rows = rows.where(F.col("qtype").isin(*TEXT_QTYPES, *([PLOT_QTYPE] if plots else [])))
+    wanted = [t.strip() for t in instruction_types or () if t.strip()]
+    if wanted:
+        rows = rows.where(F.col("instruction_type").isin(wanted))
+    kind, response = (F.coalesce(_optional(rows, c)[0], F.lit("")) for c in ("instruction_type", "response"))
+    gold = F.coalesce(_optional(rows, "answer")[0].cast("string"), final_answer(response), F.lit(""))
+    line = F.col("source_line").cast("string")
+    meta = {"gold_answer": gold, "qtype": F.col("qtype"), "qsubtype": F.col("qsubtype"), "instruction_type": kind, "split": F.lit(split), "dataset_revision": F.lit(revision or "main"), "source_line": F.col("source_line"), "_raw": F.struct(F.col("id").alias("id"), _table_of(rows).alias("table"))}
+    return as_queries(rows, "tablebench", F.col("question"), F.concat_ws(":", F.lit(split), F.lit(revision or "main"), kind, line, F.col("id").cast("string")), meta)
+
+
+def read_verbatim_prompts(spark: SparkSession, path: str, variant: str = "TCoT", split: str = "test", revision: str | None = None, plots: bool = False) -> DataFrame:
+    """Questions with the prompt that the benchmark wrote for a variant."""
+    if variant not in VARIANTS:
+        raise ValueError(f"a variant is one of {', '.join(VARIANTS)}")
+    rows = numbered_json(spark, path)
+    rows = rows.where(F.col("qtype").isin(*TEXT_QTYPES, *([PLOT_QTYPE] if plots else [])))
+    line = F.col("source_line").cast("string")
+    meta = {
+        "gold_answer": F.col("answer"), "qtype": F.col("qtype"), "qsubtype": F.col("qsubtype"), "chart_type": F.coalesce(_optional(rows, "chart_type")[0], F.lit("")), "instruction_type": F.coalesce(_optional(rows, "instruction_type")[0], F.lit(variant)),
+        "split": F.lit(split), "variant": F.lit(variant), "dataset_revision": F.lit(revision or "main"), "instruction": F.col("instruction"), "source_line": F.col("source_line"), "_raw": F.struct(F.col("id").alias("id"), F.col("table").alias("table")),
+    }
+    context = F.concat_ws(":", F.lit(split), *([F.lit(revision)] if revision else []), F.lit(variant), line, F.col("id").cast("string"))
+    keyed = as_queries(rows.withColumn("_q", F.col("question")).withColumn("question", F.concat(F.lit(f"{variant}::"), F.col("question"))), "tablebench_repro", F.col("question"), context, meta)
+    return keyed.withColumn("content", F.expr(f"substring(content, {len(variant) + 3})"))
+
+
+def literal_json(text: Column) -> Column:
+    """Python literals of strings, numbers, lists and dictionaries as JSON text: quotes, None, True and False outside strings are put right."""
+
+    def one(piece: Column) -> Column:
+        inner = F.substr(piece, F.lit(2), F.length(piece) - 2)
+        quoted = F.concat(F.lit('"'), F.replace(F.replace(inner, F.lit("\\'"), F.lit("'")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+        bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(piece, r"\bNone\b", "null"), r"\bTrue\b", "true"), r"\bFalse\b", "false")
+        return F.when(piece.startswith("'"), quoted).when(piece.startswith('"'), piece).otherwise(bare)
+
+    pieces = F.regexp_extract_all(text, F.lit(r"""'(?:[^'\\]|\\.)*+'|"(?:[^"\\]|\\.)*+"|[^'"]++"""), F.lit(0))
+    return F.array_join(F.transform(pieces, one), "")
+
+
+def read_hierarchical(spark: SparkSession, path: str, split: str = "dev") -> DataFrame:
+    """Questions over tables with merged headers; nested fields come as Python literals or as JSON text."""
+    rows = numbered_json(spark, path)
+    parsed = lambda c: F.coalesce(literal_json(_optional(rows, c)[0].cast("string")), F.lit("{}"))
+    plain = lambda c, default: F.coalesce(_optional(rows, c)[0].cast("string"), F.lit(default))
+    raw = F.struct(F.col("question"), F.col("answer").cast("string").alias("answer"), parsed("table_content").alias("table_content"), parsed("linked_cells").alias("linked_cells"), plain("aggregation", "none").alias("aggregation"))
+    meta = {"gold_answer": F.col("answer").cast("string"), "split": F.lit(split), "table_id": plain("table_id", ""), "table_source": plain("table_source", ""), "aggregation": plain("aggregation", "none"), "_raw": raw}
+    return as_queries(rows, "hitab", F.col("question"), F.concat_ws(":", F.lit(split), (F.col("source_line") - 1).cast("string")), meta)
+
+
+def read_claims(spark: SparkSession, path: str, split: str = "test", hops: int = 3, seed: int = 1, n: int | None = None) -> DataFrame:
+    """Claims with the titles that support them; for test and train only those of so many hops, the first n in an order that the seed decides."""
+    rows = spark.read.option("multiLine", True).json(path)
+    chosen = split.lower() in ("test", "train")
+    rows = rows.where(F.col("num_hops") == hops) if chosen else rows
+    source = first_text(*_optional(rows, "uid"), *_optional(rows, "hpqa_id"))
+    rows = rows.withColumn("_source", source).where(F.coalesce(F.trim("claim"), F.lit("")) != "")
+    if n is not None:
+        order = F.md5(F.concat_ws(":", F.lit(str(0 if split.lower() == "train" else seed)), "_source", "claim"))
+        rows = rows.orderBy(order, "_source").limit(n) if chosen else rows.limit(n)
+    meta = {"split": F.lit(split), "source_id": F.col("_source"), "supporting_facts": F.col("supporting_facts"), "label": F.col("label"), "num_hops": F.col("num_hops")}
+    made = as_queries(rows.withColumn("_uid", _optional(rows, "uid")[0].cast("string")), "hover_context", F.col("claim"), F.concat_ws(":", F.lit(split), "_source"), meta)
+    return made.withColumn("query_id", F.coalesce(F.when(F.get_json_object("meta", "$.source_id").isNotNull() & F.lit("uid" in rows.columns), F.get_json_object("meta", "$.source_id")), "query_id"))
+
+
+def read_sql_questions(spark: SparkSession, path: str, schemas: DataFrame, dataset: str = "bird", split: str = "dev") -> DataFrame:
+    """Questions for databases (a JSON array) with the reference SQL and the schema of their database; ``schemas`` is ``databases.schema_text``."""
+    rows = spark.read.option("multiLine", True).json(path)
+    text = lambda *names: F.coalesce(first_text(*_optional(rows, *names)), F.lit(""))
+    rows = rows.withColumns({"_sql": text("SQL", "query"), "_level": text("difficulty"), "_hint": text("evidence"), "_qid": first_text(*_optional(rows, "question_id"))})
+    rows = rows.withColumn("_qid", F.coalesce("_qid", F.substring(F.md5(F.concat_ws(":", "question", "_sql")), 1, 8)))
+    rows = rows.join(schemas.select(F.col("db").alias("db_id"), "schema"), "db_id", "left")
+    meta = {"db_id": F.col("db_id"), "gold_sql": F.col("_sql"), "difficulty": F.col("_level"), "evidence": F.col("_hint"), "split": F.lit(split), "_raw": F.struct(F.col("_qid").alias("question_id"), F.coalesce("schema", F.lit("")).alias("schema"))}
+    return as_queries(rows, dataset, F.col("question"), F.concat_ws(":", F.lit(split), "db_id", "_qid"), meta)
+
+
+def read_multi_hop(spark: SparkSession, path: str, split: str = "dev") -> DataFrame:
+    """Multi-hop questions with their passages; rows without an answer are kept, those without a question are not."""
+    rows = spark.read.json(path)
+    keep = {k: _optional(rows, k)[0] for k in ("context", "answer", "supporting_facts", "level", "type")}
+    source = first_text(*_optional(rows, "id", "_id"))
+    return as_queries(rows.withColumn("_source", source), "hotpotqa_context", F.col("question"), F.concat_ws(":", F.lit(split), "_source"), {"split": F.lit(split), "source_id": source, **keep})
