@@ -45,7 +45,7 @@ from .common import discard, materialize
 #: Revenues that a group's buffer keeps.
 K = 16
 #: Parts of a group that are cut down to a buffer's length before they meet.
-SALTS = 16
+SALTS = 4
 GROUP = ("region", "part")
 
 
