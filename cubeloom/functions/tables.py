@@ -61,22 +61,88 @@ def annotate_types(table: Column, question: Column | None = None) -> Column:
     return F.struct(kinds.alias("header"), table["rows"].alias("rows"))
 
 
-def _relevance(row: Column, question: Column) -> Column:
-    return F.size(F.array_intersect(_words(F.array_join(row, " ")), _words(question)))
+def _let(value: Column, body) -> Column:
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _relevance(row: Column, asked: Column) -> Column:
+    """3 for each cell of more than two characters that stands in the question, and 1 for each distinct word that both have."""
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    cells = F.transform(row, lambda c: F.trim(low(c)))
+    exact = F.size(F.filter(cells, lambda c: (F.char_length(c) > 2) & asked["text"].contains(c)))
+    return exact * 3 + F.size(F.array_intersect(_all_words(F.array_join(F.transform(row, low), " ")), asked["words"]))
+
+
+def _all_words(text: Column) -> Column:
+    """Distinct runs of letters, digits and underscores of any script."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?U)\w+"), F.lit(0)))
+
+
+def _by_relevance(rows: Column, question: Column) -> Column:
+    """Places of the rows, the most relevant first, ties in order."""
+    low = F.lower(F.coalesce(question, F.lit("")))
+    asked = F.struct(low.alias("text"), _all_words(low).alias("words"))
+    ranked = _let(asked, lambda q: F.array_sort(F.transform(rows, lambda r, i: F.struct((-_relevance(r, q)).alias("s"), i.alias("i")))))
+    return F.transform(ranked, lambda x: x["i"])
+
+
+STRATEGIES = ("relevance", "head", "sample")
 
 
 @transform("filter_rows")
-def filter_rows(table: Column, question: Column, most: int = 100) -> Column:
-    """The rows with most words of the question, in their order."""
-    ranked = F.array_sort(F.transform(table["rows"], lambda r, i: F.struct((-_relevance(r, question)).alias("s"), i.alias("i"))))
-    keep = F.array_sort(F.transform(F.slice(ranked, 1, most), lambda x: x["i"]))
-    return F.struct(table["header"].alias("header"), F.transform(keep, lambda i: F.get(table["rows"], i)).alias("rows"))
+def filter_rows(table: Column, question: Column, most: int = 100, strategy: str = "relevance") -> Column:
+    """At most so many rows, in their order: the most relevant, the first, or the least by a hash of their cells."""
+    if strategy not in STRATEGIES:
+        raise ValueError(f"a strategy is one of {', '.join(STRATEGIES)}")
+    rows = table["rows"]
+    if strategy == "head":
+        kept = F.slice(rows, 1, most)
+    else:
+        hashed = F.transform(F.array_sort(F.transform(rows, lambda r, i: F.struct(F.xxhash64(r).alias("s"), i.alias("i")))), lambda x: x["i"])
+        places = F.array_sort(F.slice(_by_relevance(rows, question) if strategy == "relevance" else hashed, 1, most))
+        kept = F.transform(places, lambda i: F.get(rows, i))
+    return F.struct(table["header"].alias("header"), F.when(F.size(rows) <= most, rows).otherwise(kept).alias("rows"))
 
 
 @transform("sort_rows")
-def sort_rows(table: Column, question: Column) -> Column:
-    ranked = F.array_sort(F.transform(table["rows"], lambda r, i: F.struct((-_relevance(r, question)).alias("s"), i.alias("i"))))
-    return F.struct(table["header"].alias("header"), F.transform(ranked, lambda x: F.get(table["rows"], x["i"])).alias("rows"))
+def sort_rows(table: Column, question: Column, by_relevance: bool = True) -> Column:
+    rows = table["rows"]
+    return F.struct(table["header"].alias("header"), (F.transform(_by_relevance(rows, question), lambda i: F.get(rows, i)) if by_relevance else rows).alias("rows"))
+
+
+def _number(text: Column) -> Column:
+    """A cell as a number once marks are gone, null when it is none."""
+    bare = F.trim(F.regexp_replace(text, "[,$£€%]", ""))
+    return F.when(bare.rlike(r"^[-+]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][-+]?[0-9]+)?$"), bare.try_cast("double"))
+
+
+def column_summary(name: Column, kind: Column, n_unique: Column, n_total: Column, low: Column, high: Column, numbers: Column, few: Column) -> Column:
+    """One column of a summary: its kind, and its range, its values up to five, or how many there are."""
+    number = lambda x: F.when(kind == "int", x.cast("long").cast("string")).otherwise(x.cast("string"))
+    unique = F.concat(n_unique.cast("string"), F.lit(" unique"))
+    listed = lambda values: F.concat(n_unique.cast("string"), F.lit(" values: "), F.array_join(values, ", "))
+    ranged = F.concat(F.lit("range "), number(low), F.lit("–"), number(high), F.lit(", "), unique)
+    numeric = F.when(low.isNull(), F.concat(F.lit("str, "), unique)).otherwise(F.concat(kind, F.lit(", "), F.when(n_unique <= 5, listed(F.array_sort(F.array_distinct(F.transform(numbers, number))))).otherwise(ranged)))
+    text = F.concat(F.lit("str, "), F.when(n_unique <= 5, listed(few)).when(n_unique == n_total, "all unique").otherwise(unique))
+    body = F.when(n_total == 0, "empty").when(kind.isin("int", "float"), numeric).when(kind == "date", F.concat(F.lit("date, "), unique)).otherwise(text)
+    return F.concat(name, F.lit(" ("), body, F.lit(")"))
+
+
+def column_stats(table: Column) -> Column:
+    """What the columns of a table hold, as one line; '' for a table without columns or rows."""
+
+    def one(name: Column, i: Column) -> Column:
+        values = F.filter(F.transform(table["rows"], lambda r: F.trim(F.coalesce(F.get(r, i), F.lit("")))), lambda v: v != "")
+
+        def told(v: Column) -> Column:
+            numbers = F.filter(F.transform(v, _number), lambda x: x.isNotNull())
+            distinct = F.array_distinct(v)
+            return column_summary(name, column_type(v), F.size(distinct), F.size(v), F.array_min(numbers), F.array_max(numbers), numbers, F.array_sort(distinct))
+
+        return _let(values, told)
+
+    parts = F.concat(F.lit("Columns: "), F.array_join(F.transform(table["header"], one), "; "))
+    return F.when((F.size(table["header"]) > 0) & (F.size(table["rows"]) > 0), parts).otherwise("")
 
 
 def markdown(table: Column) -> Column:
