@@ -13,16 +13,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import hints, profile, sql_structure
 from .functions import predicates as P
 from .functions import scalars as S
 from .functions import scorers as G
-from .functions import sql_structure
 from .functions import tables as R
-from .operators import adaptive, compare, confidence, design, effect, inventory, resolve, retrieval, routing, search
+from .operators import adaptive, compare, confidence, design, effect, inventory, names, resolve, retrieval, routing, search
 from .plans import explorer as X
 from .plans import projection
 from .plans.cube import Cube, projected
-from .plans.pipeline import Pipeline
+from .plans.pipeline import Pipeline, feature_predicate_table
 from .plans.query import ExecutionQuery
 from .sources import benchmarks, databases, numbered, scratch
 from .streaming import monitor
@@ -495,6 +495,69 @@ on_tables("read_hierarchical", lambda t: _at(benchmarks.read_hierarchical(*_benc
           f"""{_BENCH} SELECT {_KEY16.format("concat('hitab:dev:', line - 1, ':', question)")} AS query_id, answer AS gold_answer, 'none' AS aggregation, '{{}}' AS "_raw.table_content" FROM b""")
 on_tables("read_multi_hop", lambda t: _at(benchmarks.read_multi_hop(*_bench_file(t)), "answer", "source_id"), f"""{_BENCH} SELECT {_KEY16.format("concat('hotpotqa_context:dev:', id, ':', question)")} AS query_id, answer, id::VARCHAR AS source_id FROM b""")
 
+# -- larger tables, profiles, hints, close names ------------------------------
+_COLS = ["name", "type", "size", "price"]
+
+
+def _part_table(t) -> DataFrame:
+    cells = F.array("p_name", "p_type", F.col("p_size").cast("string"), F.concat(F.lit("$"), F.col("p_retailprice").cast("string")))
+    rows = t("part").groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("p_partkey", cells.alias("c")))).alias("rows"))
+    return rows.select("p_brand", F.struct(F.array(*map(F.lit, _COLS)).alias("header"), F.transform("rows", lambda r: r["c"]).alias("rows")).alias("t"))
+
+
+_STAT = """concat('{0} (', CASE WHEN count(DISTINCT {1}) <= 5 THEN concat('str, ', count(DISTINCT {1}), ' values: ', string_agg(DISTINCT {1}, ', ' ORDER BY {1})) WHEN count(DISTINCT {1}) = count({1}) THEN 'str, all unique' ELSE concat('str, ', count(DISTINCT {1}), ' unique') END, ')')"""
+_NUMBERS = """concat('{0} ({2}, ', CASE WHEN count(DISTINCT {1}) <= 5 THEN concat(count(DISTINCT {1}), ' values: ', string_agg(DISTINCT {1}::VARCHAR, ', ' ORDER BY {1}::VARCHAR)) ELSE concat('range ', min({1}), '–', max({1}), ', ', count(DISTINCT {1}), ' unique') END, ')')"""
+on_tables("table_column_stats", lambda t: _part_table(t).select("p_brand", R.column_stats(F.col("t")).alias("summary")),
+          f"SELECT p_brand, concat('Columns: ', {_STAT.format('name', 'p_name')}, '; ', {_STAT.format('type', 'p_type')}, '; ', {_NUMBERS.format('size', 'p_size', 'int')}, '; ', {_NUMBERS.format('price', 'p_retailprice', 'float')}) AS summary FROM part GROUP BY 1")
+_ASKED = "Which small or large green thing of size 12 or 37, type economy or promo, is cheap?"
+_SCORED = f"""WITH x AS (SELECT p_brand, p_partkey, [p_name, p_type, p_size::VARCHAR, '$' || p_retailprice::VARCHAR] AS c FROM part), s AS (SELECT *, 3 * len(list_filter(c, lambda v: length(trim(v)) > 2 AND contains(lower('{_ASKED}'), lower(trim(v)))))
+    + len(list_intersect(list_distinct(regexp_extract_all(lower(array_to_string(c, ' ')), '\\w+')), list_distinct(regexp_extract_all(lower('{_ASKED}'), '\\w+')))) AS score FROM x),
+    r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY score DESC, p_partkey) AS r FROM s)"""
+_names = lambda c: F.array_join(F.transform(c["rows"], lambda r: F.concat(r[0], F.lit("/"), r[3])), ",")
+_SHOWN = "concat(c[1], '/', c[4])"
+on_tables("table_filter_rows", lambda t: _part_table(t).select("p_brand", _names(R.filter_rows(F.col("t"), F.lit(_ASKED), 7)).alias("kept"), _names(R.filter_rows(F.col("t"), F.lit(_ASKED), 3, "head")).alias("head")),
+          f"{_SCORED} SELECT p_brand, string_agg({_SHOWN}, ',' ORDER BY p_partkey) FILTER (r <= 7) AS kept, array_to_string(list({_SHOWN} ORDER BY p_partkey)[1:3], ',') AS head FROM r GROUP BY 1")
+on_tables("table_sort_rows", lambda t: _part_table(t).select("p_brand", _names(R.sort_rows(F.col("t"), F.lit(_ASKED))).alias("rows")), f"{_SCORED} SELECT p_brand, string_agg({_SHOWN}, ',' ORDER BY r) AS rows FROM r GROUP BY 1")
+on_tables("column_profile", lambda t: profile.profile(t("orders").select("o_orderkey", "o_orderstatus", F.concat(F.lit("$"), F.format_number("o_totalprice", 2)).alias("o_totalprice"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_orderdate"), "o_orderpriority", F.lit("").alias("nothing")), "o_orderkey").select("column", "kind", "n", "n_unique", "summary"),
+          """WITH o AS (SELECT *, round(o_totalprice, 2) AS p, strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders) SELECT 'o_orderkey' AS "column", 'int' AS kind, count(*) AS n, count(DISTINCT o_orderkey) AS n_unique, concat('o_orderkey (int, range ', min(o_orderkey), '–', max(o_orderkey), ', ', count(DISTINCT o_orderkey), ' unique)') AS summary FROM o
+          UNION ALL SELECT 'o_orderstatus', 'str', count(*), count(DISTINCT o_orderstatus), concat('o_orderstatus (str, ', count(DISTINCT o_orderstatus), ' values: ', string_agg(DISTINCT o_orderstatus, ', ' ORDER BY o_orderstatus), ')') FROM o
+          UNION ALL SELECT 'o_totalprice', 'float', count(*), count(DISTINCT p), concat('o_totalprice (float, range ', min(p), '–', max(p), ', ', count(DISTINCT p), ' unique)') FROM o
+          UNION ALL SELECT 'o_orderdate', 'date', count(*), count(DISTINCT d), concat('o_orderdate (date, ', count(DISTINCT d), ' unique)') FROM o
+          UNION ALL SELECT 'o_orderpriority', 'str', count(*), count(DISTINCT o_orderpriority), concat('o_orderpriority (str, ', count(DISTINCT o_orderpriority), ' values: ', string_agg(DISTINCT o_orderpriority, ', ' ORDER BY o_orderpriority), ')') FROM o
+          UNION ALL SELECT 'nothing', 'str', 0, 0, 'nothing (empty)'""")
+
+
+def _typed(t) -> DataFrame:
+    rows = t("lineitem").select(F.concat(F.lit("$"), F.format_number("l_extendedprice", 2)).alias("price"), F.concat(F.col("l_linenumber").cast("string"), F.lit("%")).alias("share"), F.when(F.col("l_quantity") > 1, F.col("l_quantity").cast("string")).otherwise("one").alias("mixed"), "l_returnflag")
+    made = profile.typed(rows)
+    kinds = F.array(*(F.struct(F.lit(c).alias("column"), F.lit(k).alias("kind"), F.try_sum(F.col(c).try_cast("double")).alias("total")) for c, k in made.dtypes))
+    return made.agg(kinds.alias("x")).select(F.explode("x").alias("x")).select("x.column", "x.kind", "x.total")
+
+
+on_tables("typed_columns", _typed, """SELECT 'price' AS "column", 'double' AS kind, round(sum(round(l_extendedprice, 2)), 6) AS total FROM lineitem UNION ALL SELECT 'share', 'bigint', sum(l_linenumber)::DOUBLE FROM lineitem
+          UNION ALL SELECT 'mixed', 'string', round(sum(l_quantity) FILTER (l_quantity > 1), 6) FROM lineitem UNION ALL SELECT 'l_returnflag', 'string', NULL""")
+_GRAMS = "list_distinct(list_transform(range(1, greatest(length({0}) - 2, 1) + 1), lambda i: substr(lower({0}), i, 3)))"
+on_tables("close_names", lambda t: names.close_names(t("vendors").select(F.col("name").alias("wanted")), t("clients").select("name", F.col("client_id").alias("position"))).select("wanted", "name", "similarity", "rank"),
+          f"""WITH a AS (SELECT DISTINCT name AS wanted, {_GRAMS.format("name")} AS g FROM vendors WHERE name IS NOT NULL), b AS (SELECT name, min(client_id) AS position, any_value({_GRAMS.format("name")}) AS g FROM clients WHERE name IS NOT NULL GROUP BY 1),
+          j AS (SELECT wanted, name, position, len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))) AS s FROM a, b WHERE lower(wanted) <> lower(name)), r AS (SELECT *, row_number() OVER (PARTITION BY wanted ORDER BY s DESC, position, name) AS rank FROM j WHERE s > 0.1)
+          SELECT wanted, name, round(s, 6) AS similarity, rank::INT AS rank FROM r WHERE rank <= 3""")
+_HINT_SCHEMA = "CREATE TABLE orders (id INT, total REAL, customer_id INT REFERENCES customer(id));\nCREATE TABLE customer (id INT, full_name TEXT);"
+_HINTED = """CASE o_orderkey % 4 WHEN 0 THEN CONCAT('no such table: ', o_orderstatus, 'orders') WHEN 1 THEN 'no such column: c.fullname' WHEN 2 THEN 'ambiguous column name: id' ELSE CONCAT('near "', o_orderpriority, '": syntax error') END"""
+on_tables("error_hints", lambda t: t("orders").select("o_orderkey", hints.error_hint(F.expr(_HINTED), F.lit(_HINT_SCHEMA), F.lit("SELECT c.fullname FROM customer AS c")).alias("hint")),
+          """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN concat('Table ''', o_orderstatus, 'orders'' not found. Similar tables: orders.') WHEN 1 THEN 'Column ''c.fullname'' not found. Similar columns: full_name. Available in c: id, full_name.'
+          WHEN 2 THEN 'Column ''id'' exists in multiple tables: orders, customer. Qualify with table name or alias.' ELSE concat('near "', o_orderpriority, '": syntax error') END AS hint FROM orders""")
+_BOTH = "CASE WHEN p_size % 3 = 0 THEN 'none' WHEN p_size % 3 = 1 THEN CONCAT('Top', 'K_', p_brand) ELSE CONCAT('sum_', p_type) END"
+on_tables("hierarchical_predicates", lambda t: P.seed(t("part").select(F.col("p_partkey").alias("query_id"), "*"), P.hierarchical_predicates(F.col("p_name"), F.expr(_BOTH), F.concat(F.lit("src "), F.when(F.col("p_size") > 25, "WikiPedia").otherwise("NSF table"))), only=["hitab_agg_type", "hitab_table_source", "hitab_question_length"]),
+          """SELECT p_partkey AS query_id, 'hitab_agg_type' AS name, CASE p_size % 3 WHEN 0 THEN 'none' WHEN 1 THEN 'ranking' ELSE CASE WHEN contains(lower(p_type), 'diff') THEN 'comparison' ELSE 'other' END END AS value FROM part UNION ALL SELECT p_partkey, 'hitab_table_source', CASE WHEN p_size > 25 THEN 'wikipedia' ELSE 'statistical_report' END FROM part
+          UNION ALL SELECT p_partkey, 'hitab_question_length', len(list_filter(string_split(p_name, ' '), lambda w: w <> ''))::VARCHAR FROM part""")
+on_tables("bench_predicates", lambda t: P.seed(t("part").select(F.col("p_partkey").alias("query_id"), "*"), P.bench_predicates(F.col("p_name"), F.nullif(F.col("p_type"), F.col("p_type")), F.col("p_brand")), only=["qtype", "qsubtype"]), "SELECT p_partkey AS query_id, 'qtype' AS name, 'unknown' AS value FROM part UNION ALL SELECT p_partkey, 'qsubtype', p_brand FROM part")
+on_cube("per_query_scores", lambda c: inventory.per_query_scores(c, 2, "lang", M, SC), f"{ONE} SELECT value AS predicate_value, query_id, score FROM s JOIN predicates USING (query_id) WHERE config_id = 2 AND name = 'lang'")
+on_cube("samples_per_group", lambda c: inventory.samples_per_group(c.query.select("query_id", "dataset", "split", "doc_id"), ["dataset", "split"], 2, "doc_id").select("group_key", "place", "query_id"),
+        "SELECT concat('dataset=', dataset, '__split=', coalesce(nullif(split, ''), 'unknown')) AS group_key, row_number() OVER (PARTITION BY dataset, coalesce(split, '') ORDER BY doc_id)::INT AS place, query_id FROM queries QUALIFY place <= 2")
+on_cube("feature_predicate_table", lambda c: feature_predicate_table(c, M, SC, base=1, task="table_qa", metric="did", min_effect=0.01, include_unmatched=True, predicates=("lang", "is_long")).select("canonical_id", "predicate_name", "predicate_value", "lift", "did"),
+        f"""{_DID}, y AS (SELECT canonical_id, predicate_name, predicate_value, round(lift, 6) AS lift, round(did, 6) AS did FROM dd JOIN features USING (canonical_id) WHERE task = 'table_qa' AND predicate_name IN ('lang', 'is_long') AND abs(did) >= 0.01)
+        SELECT * FROM y UNION ALL SELECT canonical_id, NULL, NULL, NULL, NULL FROM features WHERE task = 'table_qa' AND canonical_id NOT IN (SELECT canonical_id FROM y)""")
+
 # -- monitoring ---------------------------------------------------------------
 _QUERIES["monitor_overall"] = lambda spark, sf: rounded(monitor.overall(monitor.events(spark, sf)).select("n", "avg_score", at("first_at"), at("last_at")))
 _SQL["monitor_overall"] = "SELECT count(*) AS n, round(avg(value), 6) AS avg_score, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_at, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_at FROM events"

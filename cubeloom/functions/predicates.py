@@ -106,6 +106,31 @@ def task_predicates(task: str, text: Column, position: Column | None = None, n_h
     return {prefix + name: c for name, c in out.items()}
 
 
+# The words that tell an aggregation's kind and a table's source, in the order in which they are looked for.
+AGGREGATIONS = (("argmax_argmin", ("argmax", "argmin")), ("comparison", ("diff", "greater_than")), ("ranking", ("topk", "rank")), ("ratio", ("ratio", "percent")))
+TABLE_SOURCES = (("statistical_report", ("statcan", "nsf")), ("wikipedia", ("totto", "wikipedia", "wiki")))
+
+
+def _first_kind(text: Column, kinds: tuple, empty: str | None = None) -> Column:
+    low = F.lower(F.coalesce(text, F.lit("")))
+    chain = F.when(low.isin("", "none"), empty) if empty else F.when(F.lit(False), F.lit(None).cast("string"))
+    for name, words in kinds:
+        chain = chain.when(low.rlike("|".join(words)), name)
+    return chain.otherwise("other")
+
+
+def hierarchical_predicates(text: Column, aggregation: Column, source: Column, table: dict[str, Column] | None = None, prefix: str = "hitab_") -> dict[str, Column]:
+    """Predicates of a question over a table with merged headers: the question's, the table's (``table_structure``), kind of aggregation and source."""
+    own = {name: f(text) for name, f in EXTRACTORS.items()} | (table or {})
+    own |= {"agg_type": _first_kind(aggregation, AGGREGATIONS, "none"), "table_source": _first_kind(source, TABLE_SOURCES)}
+    return {prefix + name: c for name, c in own.items()}
+
+
+def bench_predicates(text: Column, qtype: Column, qsubtype: Column, table: dict[str, Column] | None = None) -> dict[str, Column]:
+    """Predicates of a table benchmark's question, with the labels that the benchmark gives; their names have no prefix."""
+    return {name: f(text) for name, f in EXTRACTORS.items()} | (table or {}) | {"qtype": F.coalesce(qtype, F.lit("unknown")), "qsubtype": F.coalesce(qsubtype, F.lit("unknown"))}
+
+
 def table_structure(rows: Column, header: Column) -> dict[str, Column]:
     """n_rows, n_cols, numeric columns (over half of the filled cells of the first 50 rows) and shape of a table column."""
     n_rows, n_cols = F.size(rows), F.size(header)
@@ -123,3 +148,10 @@ def extract(frame: DataFrame, key: str, predicates: dict[str, Column]) -> DataFr
     """Rows of the predicate table: (key, name, value)."""
     pairs = F.map_from_arrays(F.array(*map(F.lit, predicates)), F.array(*(c.cast("string") for c in predicates.values())))
     return frame.select(key, F.explode(pairs).alias("name", "value"))
+
+
+def seed(queries: DataFrame, predicates: dict[str, Column], dataset: str | None = None, only: list[str] | None = None) -> DataFrame:
+    """Rows (query_id, name, value) for the predicate table; a value that cannot be told is 'unknown'.  Merge them with ``REPLACE``."""
+    rows = queries if dataset is None else queries.where(F.col("dataset") == dataset)
+    chosen = {n: c for n, c in predicates.items() if only is None or n in only}
+    return extract(rows, "query_id", {n: F.coalesce(c.cast("string"), F.lit("unknown")) for n, c in chosen.items()})

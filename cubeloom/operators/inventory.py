@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.cube import Cube, no_error
@@ -105,3 +105,20 @@ def progress_by_config(cube: Cube, scorer: str, total: int) -> DataFrame:
     return rows.groupBy("config_id", "model").agg(
         F.count("*").alias("done"), F.try_divide(100.0 * F.count("*"), F.lit(total)).alias("pct"), F.count_if(~no_error()).alias("errors"), F.avg("score").alias("avg_score")
     )
+
+
+def per_query_scores(cube: Cube, config_id: int, predicate: str, model: str, scorer: str) -> DataFrame:
+    """``predicate_value, query_id, score`` of one configuration: what a paired comparison is made of.
+
+    One row for each query and value; of several scores the one of the latest execution counts.
+    """
+    rows = cube.all_scores(model, scorer).where((F.col("config_id") == config_id) & F.col("score").isNotNull() & (F.coalesce("error", F.lit("")) == ""))
+    values = cube.predicate.where(F.col("name") == predicate).select("query_id", F.col("value").alias("predicate_value"))
+    return rows.join(values, "query_id").groupBy("predicate_value", "query_id").agg(F.max_by("score", "execution_id").alias("score"))
+
+
+def samples_per_group(rows: DataFrame, group_by: list[str], n: int, order: str) -> DataFrame:
+    """The first n rows of each group, with ``group_key`` and ``place``; empty values are 'unknown', and without fields all rows are one group."""
+    parts = [F.concat(F.lit(f"{g}="), F.coalesce(F.nullif(F.col(f"`{g}`").cast("string"), F.lit("")), F.lit("unknown"))) for g in group_by]
+    keyed = rows.withColumn("group_key", F.concat_ws("__", *parts) if parts else F.lit("all"))
+    return keyed.withColumn("place", F.row_number().over(Window.partitionBy("group_key").orderBy(order))).where(F.col("place") <= n)

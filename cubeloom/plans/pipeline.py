@@ -108,3 +108,29 @@ class Pipeline:
 
     def _render(self, rows, fmt) -> str:
         return report.render([r.asDict() for r in rows.drop("_scope").collect()], fmt)
+
+
+def feature_predicate_table(
+    cube: Cube, model: str, scorer: str, method: str = "simple", metric: str = "lift", base: int | None = None, predicates: tuple[str, ...] | None = None, references: dict[str, str] | None = None, task: str | None = None,
+    include_unmatched: bool = False, confidence: bool = False, resamples: int = ci.RESAMPLES, seed: int = ci.SEED, sort_by: str | None = None, top_k: int | None = None, confidence_min: float | None = None,
+    min_effect: float | None = None, min_lift_in_pair: float | None = None, skip_numeric: bool = True,
+) -> DataFrame:
+    """Features by predicate values, in one call of the pipeline's stages: effects, their confidence, gates, order.
+
+    ``include_unmatched`` adds a row without an effect for each feature of the
+    task that has none.
+    """
+    if method not in ("simple", "marginal"):
+        raise ValueError("method is simple or marginal")
+    if metric not in ("lift", "did"):
+        raise ValueError("metric is lift or did")
+    if method == "simple" and base is None:
+        raise ValueError("the simple method needs a base configuration")
+    features = cube.feature if task is None else cube.feature.where(F.col("task") == task)
+    staged = Pipeline(cube).source(model, scorer).scope(-1 if base is None else base, predicates, None, not skip_numeric).effect(method, tuple(sorted((references or {}).items())))
+    staged = staged.confidence(resamples=resamples, seed=seed) if confidence else staged
+    rows = staged.run().join(features.select("canonical_id"), "canonical_id", "left_semi")
+    rows = effect.rank(rows, sort_by=sort_by, top_k=top_k, confidence_min=confidence_min, min_effect=min_effect, min_lift_in_pair=min_lift_in_pair, metric=metric).drop("_scope")
+    if include_unmatched:
+        rows = rows.unionByName(features.select("canonical_id").distinct().join(rows.select("canonical_id"), "canonical_id", "left_anti"), allowMissingColumns=True)
+    return rows
