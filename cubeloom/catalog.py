@@ -21,7 +21,7 @@ from .functions import tables as R
 from .operators import adaptive, compare, confidence, design, effect, inventory, names, resolve, retrieval, routing, search
 from .plans import explorer as X
 from .plans import projection
-from .plans.cube import Cube, projected
+from .plans.cube import Cube, designed, projected
 from .plans.pipeline import Pipeline, feature_predicate_table
 from .plans.query import ExecutionQuery
 from .sources import benchmarks, databases, numbered, scratch
@@ -48,6 +48,12 @@ def on_cube(name: str, run: Callable[[Cube], DataFrame], sql: str | None = None)
         _SQL[name] = f"{CTES}{', ' if ' AS MATERIALIZED (' in sql.split('SELECT')[0] or sql.split('SELECT')[0].strip() else ''} {sql}"
 
 
+def on_design(name: str, run: Callable[[Cube], DataFrame], sql: str) -> None:
+    """Register a query on the cube of many configurations."""
+    _QUERIES[name] = lambda spark, sf_dir: rounded(run(designed(spark, sf_dir)))
+    _SQL[name] = f"{projection.design_ctes()}{', ' if ' AS (' in sql.split('SELECT')[0] else ''} {sql}"
+
+
 def on_tables(name: str, run: Callable[[Callable[[str], DataFrame]], DataFrame], sql: str | None = None) -> None:
     """Register a query on the plain tables."""
     _QUERIES[name] = lambda spark, sf_dir: rounded(run(lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")))
@@ -72,10 +78,10 @@ on_cube("view_label_effect", lambda c: c.feature_label_effect().groupBy("label_i
 on_cube("view_label_predicate_effect", lambda c: c.feature_label_predicate_effect().where("predicate_name = 'quality'").groupBy("label_id", "predicate_value").agg(F.count("*").alias("n"), F.avg("score").alias("avg_score")),
         "SELECT label_id, value AS predicate_value, count(*) AS n, round(avg(score), 6) AS avg_score FROM evaluations v JOIN executions e USING (execution_id) JOIN config_features USING (config_id) JOIN features USING (feature_id) JOIN predicates p ON p.query_id = e.query_id WHERE name = 'quality' GROUP BY ALL")
 _NODE = "SELECT func_id, params->>'$.parent_id' AS parent_id, {} FROM funcs WHERE func_type = 'insert_node' AND params->>'$.node_type' = '{}'"
-on_cube("view_section", lambda c: c.section_view().select("func_id", "parent_id", "title", "ordinal"), _NODE.format("params->>'$.payload.title' AS title, params->>'$.payload.ordinal' AS ordinal", "section"))
-on_cube("view_rule", lambda c: c.rule_view(), _NODE.format("params->>'$.payload.content' AS content, params->>'$.payload.ordinal' AS ordinal", "rule"))
-on_cube("view_input_field", lambda c: c.input_field_view(), _NODE.format("params->>'$.payload.name' AS name, params->>'$.payload.description' AS description", "input_field"))
-on_cube("view_output_field", lambda c: c.output_field_view(), _NODE.format("params->>'$.payload.name' AS name, params->>'$.payload.description' AS description", "output_field"))
+on_design("view_section", lambda c: c.section_view().select("func_id", "parent_id", "title", "ordinal"), _NODE.format("params->>'$.payload.title' AS title, params->>'$.payload.ordinal' AS ordinal", "section"))
+on_design("view_rule", lambda c: c.rule_view(), _NODE.format("params->>'$.payload.content' AS content, params->>'$.payload.ordinal' AS ordinal", "rule"))
+on_design("view_input_field", lambda c: c.input_field_view(), _NODE.format("params->>'$.payload.name' AS name, params->>'$.payload.description' AS description", "input_field"))
+on_design("view_output_field", lambda c: c.output_field_view(), _NODE.format("params->>'$.payload.name' AS name, params->>'$.payload.description' AS description", "output_field"))
 
 # -- the query builder --------------------------------------------------------
 _IDS = ("execution_id", "config_id", "query_id", "model")
@@ -118,10 +124,10 @@ on_cube("list_phases", lambda c: inventory.list_phases(c).select("phase", "n", a
 on_cube("list_datasets", lambda c: inventory.list_datasets(c).select("dataset", "n_queries", F.array_join(F.transform(F.map_entries("splits"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias("splits")),
         "SELECT dataset, sum(n)::BIGINT AS n_queries, string_agg(concat(split, '=', n), ',' ORDER BY split) AS splits FROM (SELECT dataset, coalesce(split, '') AS split, count(*) AS n FROM queries GROUP BY ALL) GROUP BY 1")
 on_cube("list_predicates", inventory.list_predicates, "SELECT name, count(DISTINCT value) AS n_values, count(DISTINCT query_id) AS n_queries FROM predicates GROUP BY 1")
-on_cube("list_features", lambda c: inventory.list_features(c, "text_qa").select("feature_id", "canonical_id", "task"), "SELECT feature_id, canonical_id, task FROM features WHERE task = 'text_qa'")
-on_cube("list_configs", lambda c: inventory.list_configs(c).select("config_id", "kind", "canonical_id", "n_funcs"), "SELECT config_id, kind, canonical_id, len(string_split(funcs, ','))::INT AS n_funcs FROM configs")
-on_cube("list_configs_features", lambda c: inventory.list_configs_with_features(c).select("config_id", F.array_join("features", ",").alias("features")), "SELECT config_id, coalesce(f, '') AS features FROM configs LEFT JOIN (SELECT config_id, string_agg(canonical_id, ',' ORDER BY feature_id) AS f FROM config_features JOIN features USING (feature_id) GROUP BY 1) USING (config_id)")
-on_cube("list_configs_func_types", inventory.list_configs_with_func_types, "SELECT config_id, func_type, count(*) AS n FROM (SELECT config_id, unnest(string_split(funcs, ',')) AS func_id FROM configs) JOIN funcs USING (func_id) GROUP BY ALL")
+on_design("list_features", lambda c: inventory.list_features(c, "text_qa").select("feature_id", "canonical_id", "task"), "SELECT feature_id, canonical_id, task FROM features WHERE task = 'text_qa'")
+on_design("list_configs", lambda c: inventory.list_configs(c).select("config_id", "kind", "canonical_id", "n_funcs"), "SELECT config_id, kind, canonical_id, len(string_split(funcs, ','))::INT AS n_funcs FROM configs")
+on_design("list_configs_features", lambda c: inventory.list_configs_with_features(c).select("config_id", F.array_join("features", ",").alias("features")), "SELECT config_id, coalesce(f, '') AS features FROM configs LEFT JOIN (SELECT config_id, string_agg(canonical_id, ',' ORDER BY feature_id) AS f FROM config_features JOIN features USING (feature_id) GROUP BY 1) USING (config_id)")
+on_design("list_configs_func_types", inventory.list_configs_with_func_types, "SELECT config_id, func_type, count(*) AS n FROM (SELECT config_id, unnest(string_split(funcs, ',')) AS func_id FROM configs) JOIN funcs USING (func_id) GROUP BY ALL")
 on_cube("configs_detailed", lambda c: X.list_configs_detailed(c, SC).select("config_id", "label", "n_executions", "n_queries", "models", "features", "avg_score", at("first_at")),
         f"""SELECT config_id, coalesce(nullif(features, ''), kind) AS label, n_executions, n_queries, models, features, round(avg_score, 6) AS avg_score, {AT.format("first_at")} FROM configs
         LEFT JOIN (SELECT config_id, count(*) AS n_executions, count(DISTINCT query_id) AS n_queries, string_agg(DISTINCT model, ',' ORDER BY model) AS models, min(created_at) AS first_at FROM executions GROUP BY 1) USING (config_id)
@@ -262,11 +268,15 @@ _QUERIES["pipeline_effects"] = lambda spark, sf: rounded(Pipeline(projected(spar
 _SQL["pipeline_effects"] = f"{CTES}, {_DID} SELECT canonical_id, predicate_name, predicate_value, round(lift, 6) AS lift, round(did, 6) AS did FROM dd WHERE {_NO_N} AND abs(lift) >= 0.01 ORDER BY lift DESC, canonical_id, predicate_name, predicate_value LIMIT 10"
 
 # -- matching of sets ---------------------------------------------------------
-on_cube("find_config_by_features", lambda c: resolve.find_config_by_features(c, ["feat_a", "feat_b"]), "SELECT config_id FROM config_features JOIN features USING (feature_id) GROUP BY 1 HAVING count(*) = 2 AND bool_and(canonical_id IN ('feat_a', 'feat_b'))")
-on_cube("configs_containing_features", resolve.configs_containing_features, "SELECT f.canonical_id, c.config_id FROM features f, configs c WHERE list_has_all(string_split(c.funcs, ','), string_split(f.funcs, ','))")
-on_cube("simple_effect_configs", lambda c: resolve.simple_effect_configs(c, 1), "SELECT * FROM (VALUES ('feat_a', 2::BIGINT, 1), ('feat_b', 3, 1), ('feat_c', 4, 1)) AS t(canonical_id, config_id, way)")
-on_cube("base_like_features", lambda c: resolve.base_like_features(c, 5), "SELECT f.canonical_id FROM features f, configs c WHERE c.config_id = 5 AND list_has_all(string_split(c.funcs, ','), string_split(f.funcs, ','))")
-on_cube("equal_func_sets", lambda c: resolve.same_funcs(c).select("n", "first_config"), "SELECT count(*) AS n, min(config_id) AS first_config FROM configs GROUP BY list_sort(string_split(funcs, ','))")
+on_design("find_config_by_features", lambda c: resolve.find_config_by_features(c, ["feat_3", "feat_5"]), "SELECT config_id FROM config_features JOIN features USING (feature_id) GROUP BY 1 HAVING count(*) = 2 AND bool_and(canonical_id IN ('feat_3', 'feat_5'))")
+on_design("configs_containing_features", resolve.configs_containing_features, "SELECT f.canonical_id, c.config_id FROM features f, configs c WHERE list_has_all(string_split(c.funcs, ','), string_split(f.funcs, ','))")
+on_design("simple_effect_configs", lambda c: resolve.simple_effect_configs(c, 1),
+          """x AS (SELECT config_id, canonical_id, kind, list_sort(list_filter(string_split(funcs, ','), lambda f: f <> 'u1')) AS extra, (SELECT list_sort(list(feature_id)) FROM config_features k WHERE k.config_id = c.config_id) AS ids FROM configs c WHERE config_id <> 1),
+          f AS (SELECT canonical_id AS c, feature_id, list_sort(list_filter(string_split(funcs, ','), lambda f: f <> 'u1')) AS fx FROM features),
+          w AS (SELECT c, config_id, 1 AS way FROM f JOIN x ON ids = [feature_id] UNION ALL SELECT c, config_id, 2 FROM f JOIN x ON kind = 'add_one_feature' AND canonical_id = c UNION ALL SELECT c, config_id, 3 FROM f JOIN x ON fx = extra)
+          SELECT c AS canonical_id, config_id, way FROM w QUALIFY row_number() OVER (PARTITION BY c ORDER BY way, config_id) = 1""")
+on_design("base_like_features", lambda c: resolve.base_like_features(c, 5), "SELECT f.canonical_id FROM features f, configs c WHERE c.config_id = 5 AND list_has_all(string_split(c.funcs, ','), string_split(f.funcs, ','))")
+on_design("equal_func_sets", lambda c: resolve.same_funcs(c).select("n", "first_config"), "SELECT count(*) AS n, min(config_id) AS first_config FROM configs GROUP BY list_sort(string_split(funcs, ','))")
 
 # -- adaptive -----------------------------------------------------------------
 _NAMES = ["lang", "is_long"]

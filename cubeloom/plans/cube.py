@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -119,15 +119,7 @@ def projected(spark: SparkSession, sf_dir: str) -> Cube:
         else:
             safe = sql.replace("{", "{{").replace("}", "}}").replace("{{documents}}", "{documents}").replace("{{labels}}", "{labels}")
             frames[name] = spark.sql(safe, **{k: v for k, v in {"documents": docs, "labels": labels}.items() if "{" + k + "}" in sql})
-    feature_ids = frames["config_features"].groupBy("config_id").agg(F.array_sort(F.collect_list("feature_id")).alias("feature_ids"))
-    config = (
-        frames["configs"]
-        .withColumn("func_ids", F.split("funcs", ","))
-        .join(feature_ids, "config_id", "left")
-        .withColumn("feature_ids", F.coalesce("feature_ids", F.array().cast("array<string>")))
-        .drop("funcs")
-    )
-    feature = frames["features"].withColumn("func_ids", F.split("funcs", ",")).drop("funcs", "label_id")
+    config, feature = _with_sets(frames)
     return Cube(
         func=frames["funcs"],
         query=frames["queries"],
@@ -141,6 +133,29 @@ def projected(spark: SparkSession, sf_dir: str) -> Cube:
     )
 
 
+def _with_sets(frames: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Configurations and features with their sets of ids as arrays."""
+    feature_ids = frames["config_features"].groupBy("config_id").agg(F.array_sort(F.collect_list("feature_id")).alias("feature_ids"))
+    config = frames["configs"].withColumn("func_ids", F.split("funcs", ",")).join(feature_ids, "config_id", "left").withColumn("feature_ids", F.coalesce("feature_ids", F.array().cast("array<string>"))).drop("funcs")
+    return config, frames["features"].withColumn("func_ids", F.split("funcs", ",")).drop("funcs", "label_id")
+
+
+def designed(spark: SparkSession, sf_dir: str) -> Cube:
+    """The cube with many edits, features and configurations instead of a handful; its executions don't belong to them."""
+    frames = {}
+    for name, sql in projection.DESIGN.items():
+        given = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in projection.DESIGN_TABLES[name]}
+        safe = sql.replace("{", "{{").replace("}", "}}")
+        for t in given:
+            safe = safe.replace(f"@{t}", f"{{{t}}}")
+        frames[name] = spark.sql(safe, **given)
+    config, feature = _with_sets(frames)
+    return replace(
+        projected(spark, sf_dir), func=frames["funcs"], config=config, feature=feature, config_feature=frames["config_features"].withColumn("role", F.lit("feature")),
+        label_membership=frames["features"].select("feature_id", "label_id", F.lit("implements").alias("role")),
+    )
+
+
 def _func_rows() -> list[tuple[str, str, str]]:
     import re
 

@@ -85,3 +85,35 @@ def text(name: str, documents: str, labels: str) -> str:
 def ctes() -> str:
     """``WITH`` clause of the projected cube for the oracle."""
     return "WITH " + ",\n".join(f"{name} AS MATERIALIZED ({text(name, 'documents', 'labels')})" for name in ORDER)
+
+
+# -- a design of many edits, features and configurations, over parts, suppliers and customers ----------------
+
+_EDITS = "CONCAT('u', CAST(2 * {0} AS VARCHAR(20)), CASE WHEN {0} % 3 = 0 THEN CONCAT(',u', CAST(2 * {0} + 1 AS VARCHAR(20))) ELSE '' END)"
+_A, _B = "(c_custkey % 10 + 1)", "(c_custkey % 7 + 2)"
+DESIGN = {
+    "funcs": """
+SELECT CONCAT('u', CAST(p_partkey AS VARCHAR(20))) AS func_id, CASE WHEN p_partkey % 5 = 0 THEN 'set_format' ELSE 'insert_node' END AS func_type,
+ CASE p_partkey % 5 WHEN 0 THEN '{"style": "plain"}'
+  WHEN 1 THEN CONCAT('{"node_type": "section", "parent_id": "__root__", "payload": {"title": "', p_name, '", "ordinal": ', CAST(p_size AS VARCHAR(20)), ', "is_system": true}}')
+  WHEN 2 THEN CONCAT('{"node_type": "rule", "parent_id": "u', CAST(p_partkey - 1 AS VARCHAR(20)), '", "payload": {"content": "', p_type, '", "ordinal": ', CAST(p_size AS VARCHAR(20)), '}}')
+  WHEN 3 THEN CONCAT('{"node_type": "input_field", "parent_id": "__root__", "payload": {"name": "', p_brand, '", "description": "', p_name, '"}}')
+  ELSE CONCAT('{"node_type": "output_field", "parent_id": "__root__", "payload": {"name": "', p_brand, '"}}') END AS params
+FROM @part""",
+    "features": f"""
+SELECT CONCAT('h', CAST(s_suppkey AS VARCHAR(20))) AS feature_id, CONCAT('feat_', CAST(s_suppkey AS VARCHAR(20))) AS canonical_id, CASE WHEN s_nationkey % 2 = 0 THEN 'table_qa' ELSE 'text_qa' END AS task, {_EDITS.format("s_suppkey")} AS funcs, CASE WHEN s_acctbal < 5000 THEN 'style' ELSE 'reason' END AS label_id
+FROM @supplier""",
+    "configs": f"""
+SELECT c_custkey AS config_id, CASE WHEN c_custkey % 6 = 0 THEN CONCAT('feat_', CAST({_A} AS VARCHAR(20))) ELSE '' END AS canonical_id,
+ CASE WHEN c_custkey = 1 THEN 'base' WHEN c_custkey % 3 = 0 THEN 'add_one_feature' WHEN c_custkey % 3 = 1 THEN 'coalition' ELSE 'leave_one_out' END AS kind,
+ CASE WHEN c_custkey = 1 THEN 'u1' WHEN c_custkey % 3 = 0 THEN CONCAT('u1,', {_EDITS.format(_A)}) WHEN c_custkey % 3 = 1 AND {_A} <> {_B} THEN CONCAT('u1,', {_EDITS.format(_A)}, ',', {_EDITS.format(_B)}) ELSE CONCAT('u1,', {_EDITS.format(_B)}) END AS funcs
+FROM @customer""",
+    "config_features": f"""
+SELECT c_custkey AS config_id, CONCAT('h', CAST({_A} AS VARCHAR(20))) AS feature_id FROM @customer WHERE c_custkey > 1 AND c_custkey % 3 < 2
+UNION ALL SELECT c_custkey, CONCAT('h', CAST({_B} AS VARCHAR(20))) FROM @customer WHERE c_custkey > 1 AND c_custkey % 3 = 1 AND {_A} <> {_B}""",
+}
+DESIGN_TABLES = {"funcs": ("part",), "features": ("supplier",), "configs": ("customer",), "config_features": ("customer",)}
+
+
+def design_ctes() -> str:
+    return "WITH " + ",\n".join(f"{name} AS MATERIALIZED ({sql.replace('@', '')})" for name, sql in DESIGN.items())
