@@ -306,7 +306,7 @@ on_cube("stratified_sample", lambda c: adaptive.stratified_sample(c.query.select
 on_cube("targeted_plan", lambda c: adaptive.targeted_plan(c, c.spark.createDataFrame([("fa", "lang", "de"), ("fb", "is_long", "true")], "primitive_id string, predicate_name string, predicate_value string"), M, c.spark.createDataFrame([("fa", 2), ("fb", 3)], "primitive_id string, config_id bigint"), 5),
         f"""cells AS (SELECT * FROM (VALUES ('fa', 'lang', 'de', 2::BIGINT), ('fb', 'is_long', 'true', 3)) AS t(primitive_id, predicate_name, predicate_value, config_id)), w AS (SELECT cells.*, query_id FROM cells JOIN predicates p ON p.name = predicate_name AND p.value = predicate_value WHERE NOT EXISTS (FROM executions e WHERE e.config_id = cells.config_id AND e.query_id = p.query_id AND model = '{M}')),
         r AS (SELECT *, row_number() OVER (PARTITION BY primitive_id, predicate_name, predicate_value ORDER BY md5('0:' || query_id), query_id) AS r FROM w) SELECT primitive_id, config_id, predicate_name, predicate_value, query_id FROM r WHERE r <= 5""")
-on_cube("trim_plan", lambda c: adaptive.trim_plan(c.config.select("config_id", (F.col("config_id") * 10).alias("size")), "config_id", "size", 75).select("config_id", "granted"), "b AS (SELECT config_id, config_id * 10 AS size, coalesce(sum(config_id * 10) OVER (ORDER BY config_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM configs) SELECT config_id, least(size, 75 - before)::BIGINT AS granted FROM b WHERE before < 75")
+on_design("trim_plan", lambda c: adaptive.trim_plan(c.config.select("config_id", (F.col("config_id") % 7 + 1).alias("size")), "config_id", "size", 500).select("config_id", "granted"), "b AS (SELECT config_id, config_id % 7 + 1 AS size, coalesce(sum(config_id % 7 + 1) OVER (ORDER BY config_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM configs) SELECT config_id, least(size, 500 - before)::BIGINT AS granted FROM b WHERE before < 500")
 on_cube("cohorts", lambda c: adaptive.cohorts(c, ["lang", "quality"], min_size=5, max_queries=8), "w AS (SELECT query_id, max(value) FILTER (name = 'lang') || '|' || max(value) FILTER (name = 'quality') AS cohort FROM predicates GROUP BY 1), z AS (SELECT cohort FROM w WHERE cohort IS NOT NULL GROUP BY 1 HAVING count(*) >= 5), r AS (SELECT cohort, query_id, row_number() OVER (PARTITION BY cohort ORDER BY md5('0:' || query_id), query_id) AS r FROM w JOIN z USING (cohort)) SELECT cohort, query_id FROM r WHERE r <= 8")
 on_cube("cross_plan", lambda c: adaptive.cross_plan(c.config.select("config_id", F.when(F.col("config_id") % 2 == 0, "en").otherwise("fr").alias("cohort")), adaptive.cohorts(c, ["lang"])), "SELECT cohort, config_id, query_id FROM (SELECT config_id, CASE WHEN config_id % 2 = 0 THEN 'en' ELSE 'fr' END AS cohort FROM configs) JOIN (SELECT value AS cohort, query_id FROM predicates WHERE name = 'lang') USING (cohort)")
 on_cube("routing_oracle_gain", lambda c: routing.oracle_gain(_delta(c)), f"{_D}, b AS (SELECT query_id, max(delta) AS m FROM d GROUP BY 1) SELECT round(avg(greatest(0, m)), 6) AS oracle_gain, count(*) AS n_queries FROM b")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.cube import Cube
+from .prefix import sum_before
 
 
 def predicate_table(cube: Cube, names: list[str], dataset: str | None = None) -> DataFrame:
@@ -138,8 +139,8 @@ def targeted_plan(cube: Cube, cells: DataFrame, model: str, configs: DataFrame,
 
 def trim_plan(plan: DataFrame, order: str, size: str, budget: int) -> DataFrame:
     """Entries in order until their sizes reach the budget; the last is clipped."""
-    before = F.coalesce(F.sum(size).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return plan.withColumn("_before", before).where(F.col("_before") < budget).withColumn("granted", F.least(F.col(size), F.lit(budget) - F.col("_before"))).drop("_before")
+    summed = sum_before(plan, [order], size, "_before")
+    return summed.where(F.col("_before") < budget).withColumn("granted", F.least(F.col(size), F.lit(budget) - F.col("_before"))).drop("_before")
 
 
 def cross_plan(configs: DataFrame, cohorts: DataFrame) -> DataFrame:
@@ -168,14 +169,24 @@ def seed_plan(cube: Cube, configs: DataFrame, stratum: str, per_config: int, see
 
 
 def make_analyzer(base: int, model: str, scorer: str, names: list[str], configs: DataFrame, per_cell: int = 20, top_k: int = 10, seed: int = 0):
-    """A function of a cube: deltas, cells, classes, targets, and the next plan, or None for the plan when all is run."""
+    """A function of a cube: deltas, cells, slopes, classes, targets, and the next plan, or None for the plan when all is run.
+
+    Predicates with many numbers are not cut into cells but have a slope for
+    each edit, which may gate it.
+    """
 
     def analyze(cube: Cube) -> dict[str, DataFrame | None]:
         deltas = build_delta_table(cube, base, model, scorer, names)
-        cells = summarize_cells(deltas, names)
+        kinds = {r["name"]: r["kind"] for r in predicate_types(deltas, names).collect()}
+        numeric = [n for n in names if kinds.get(n) == "numerical"]
+        cells = summarize_cells(deltas, [n for n in names if n not in numeric])
+        slopes = None
+        for n in numeric:
+            one = regressions(deltas, n).withColumn("predicate_name", F.lit(n))
+            slopes = one if slopes is None else slopes.unionByName(one)
         targets = pick_target_cells(cells, top_k)
         plan = targeted_plan(cube, targets, model, configs, per_cell, seed)
-        return {"deltas": deltas, "cells": cells, "classes": classify_primitives(deltas, cells), "targets": targets, "plan": None if plan.isEmpty() else plan}
+        return {"deltas": deltas, "cells": cells, "slopes": slopes, "classes": classify_primitives(deltas, cells, slopes), "targets": targets, "plan": None if plan.isEmpty() else plan}
 
     return analyze
 
