@@ -25,7 +25,7 @@ from .plans.cube import Cube, designed, projected
 from .plans.pipeline import Pipeline, feature_predicate_table
 from .plans.query import ExecutionQuery
 from .sources import benchmarks, databases, numbered, scratch
-from .streaming import monitor
+from .streaming import monitor, scoring
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -144,9 +144,9 @@ on_cube("score_diff", lambda c: compare.score_diff(c, 1, 2, M, SC),
         SELECT (SELECT count(*) FROM x) AS n_a, (SELECT count(*) FROM y) AS n_b, count(*) AS n_shared, round(avg(a), 6) AS avg_a, round(avg(b), 6) AS avg_b, round(avg(b - a), 6) AS avg_delta, count(*) FILTER (b > a) AS n_up, count(*) FILTER (b < a) AS n_down, count(*) FILTER (a = b) AS n_agree FROM j""")
 _J = f"{ONE}, j AS (SELECT t.config_id, query_id, b.score AS base_score, t.score AS target_score FROM s t JOIN s b USING (query_id) WHERE b.config_id = 1 AND t.config_id <> 1)"
 on_cube("flips_many", lambda c: compare.flips(c, 1, [2, 3, 5], M, SC), f"{_J} SELECT config_id AS target_config_id, query_id, base_score, target_score, CASE WHEN target_score > base_score THEN 'up' ELSE 'down' END AS direction FROM j WHERE config_id IN (2, 3, 5) AND base_score <> target_score")
-_SAID = f"(SELECT query_id, max(prediction) FILTER (config_id = 1) AS base_prediction, max(prediction) FILTER (config_id = 2) AS target_prediction FROM executions WHERE model = '{M}' AND config_id IN (1, 2) GROUP BY 1)"
-for _way, _f in (("down", compare.harm_cases), ("up", compare.help_cases)):
-    on_cube(f"{'harm' if _way == 'down' else 'help'}_cases", lambda c, f=_f: f(c, 1, 2, M, SC), f"{_J} SELECT config_id AS target_config_id, query_id, base_score, target_score, '{_way}' AS direction, base_prediction, target_prediction, dataset FROM j JOIN {_SAID} USING (query_id) JOIN queries USING (query_id) WHERE config_id = 2 AND target_score {'<' if _way == 'down' else '>'} base_score")
+_SAID = f"(SELECT query_id, max(prediction) FILTER (config_id = {{0}}) AS base_prediction, max(prediction) FILTER (config_id = {{1}}) AS target_prediction FROM executions WHERE model = '{M}' AND config_id IN ({{0}}, {{1}}) GROUP BY 1)"
+for _way, _f, _b, _t in (("down", compare.harm_cases, 2, 3), ("up", compare.help_cases, 1, 2)):
+    on_cube(f"{'harm' if _way == 'down' else 'help'}_cases", lambda c, f=_f, b=_b, t=_t: f(c, b, t, M, SC), f"{_J.replace('b.config_id = 1 AND t.config_id <> 1', f'b.config_id = {_b} AND t.config_id <> {_b}')} SELECT config_id AS target_config_id, query_id, base_score, target_score, '{_way}' AS direction, base_prediction, target_prediction, dataset FROM j JOIN {_SAID.format(_b, _t)} USING (query_id) JOIN queries USING (query_id) WHERE config_id = {_t} AND target_score {'<' if _way == 'down' else '>'} base_score")
 on_cube("add_one_deltas", lambda c: compare.add_one_deltas(c, 1, M, SC), f"{_J} SELECT c.config_id, canonical_id, count(j.query_id) AS n_shared, round(coalesce(avg(target_score - base_score), 0), 6) AS avg_delta, count(*) FILTER (target_score > base_score) AS n_up, count(*) FILTER (target_score < base_score) AS n_down FROM configs c LEFT JOIN j USING (config_id) WHERE kind = 'add_one_feature' GROUP BY ALL")
 on_cube("feature_effect_ranking", lambda c: compare.feature_effect_ranking(c, M, SC), f"{ALL} SELECT canonical_id, round(avg(score), 6) AS avg_score, count(*) AS n FROM a JOIN config_features USING (config_id) JOIN features USING (feature_id) GROUP BY 1")
 on_cube("predicate_slice", lambda c: compare.predicate_slice(c, M, SC, "lang", [1, 2]), f"{MEANS} SELECT config_id, '{M}' AS model, '{SC}' AS scorer, predicate_name, predicate_value, round(m, 6) AS avg_score, n FROM pm WHERE predicate_name = 'lang' AND config_id IN (1, 2)")
@@ -162,9 +162,9 @@ on_cube("slice_by_predicate", lambda c: X.slice_scores(c, M, SC, ["predicate.is_
         SELECT config_id, predicate_is_long, n, round(m, 6) AS avg_score, n_correct, n_wrong, round(delta, 6) AS delta FROM d WHERE config_id <> 1""")
 on_cube("label_analysis", lambda c: X.label_analysis(c, M, SC, 1), f"{ALL}, r AS (SELECT DISTINCT label_id, config_id, query_id, score FROM a JOIN config_features USING (config_id) JOIN features USING (feature_id)), b AS (SELECT avg(score) AS m FROM a WHERE config_id = 1) SELECT label_id, 'implements' AS role, count(DISTINCT config_id) AS n_configs, count(DISTINCT query_id) AS n_queries, count(*) AS n, round(avg(score), 6) AS avg_score, round(any_value(m), 6) AS base_avg, round(avg(score) - any_value(m), 6) AS delta FROM r, b GROUP BY 1")
 on_cube("compare_configs", lambda c: X.compare_configs(c, 1, 3, M, SC, [("dataset", "!=", "src1"), ("score", ">=", 0)]), f"{ONE} SELECT query_id, dataset, a.score AS base_score, b.score AS target_score, CASE WHEN b.score > a.score THEN 'up' WHEN b.score < a.score THEN 'down' ELSE 'same' END AS direction FROM s a JOIN s b USING (query_id) JOIN queries USING (query_id) WHERE a.config_id = 1 AND b.config_id = 3 AND dataset <> 'src1'")
-_CE = f"{ONE}, j AS (SELECT query_id, dataset, a.score AS base_score, b.score AS target_score, CASE WHEN b.score > a.score THEN 'up' WHEN b.score < a.score THEN 'down' ELSE 'same' END AS direction FROM s a JOIN s b USING (query_id) JOIN queries USING (query_id) WHERE a.config_id = 1 AND b.config_id = 2)"
-on_cube("comparison_examples", lambda c: X.comparison_examples(c, 1, 2, M, SC, "down", 20), f"{_CE} SELECT * FROM j WHERE direction = 'down' ORDER BY query_id LIMIT 20")
-on_cube("comparison_examples_compat", lambda c: X.comparison_examples(c, 1, 2, M, SC, "down", 20, compat=True), f"{_CE} SELECT * FROM (SELECT * FROM j ORDER BY query_id LIMIT 20) WHERE direction = 'down'")
+_CE = f"{ONE}, j AS (SELECT query_id, dataset, a.score AS base_score, b.score AS target_score, CASE WHEN b.score > a.score THEN 'up' WHEN b.score < a.score THEN 'down' ELSE 'same' END AS direction FROM s a JOIN s b USING (query_id) JOIN queries USING (query_id) WHERE a.config_id = 2 AND b.config_id = 3)"
+on_cube("comparison_examples", lambda c: X.comparison_examples(c, 2, 3, M, SC, "down", 20), f"{_CE} SELECT * FROM j WHERE direction = 'down' ORDER BY query_id LIMIT 20")
+on_cube("comparison_examples_compat", lambda c: X.comparison_examples(c, 2, 3, M, SC, "down", 20, compat=True), f"{_CE} SELECT * FROM (SELECT * FROM j ORDER BY query_id LIMIT 20) WHERE direction = 'down'")
 on_cube("examples", lambda c: X.examples(c, M, SC, [("split", "is_not_empty")]), f"{ALL} SELECT config_id, query_id, score, prediction, CASE WHEN length(raw_response) > 80 THEN left(raw_response, 80) || '...' ELSE raw_response END AS response FROM a JOIN queries USING (query_id) WHERE coalesce(split, '') <> '' ORDER BY score NULLS FIRST, config_id, query_id LIMIT 50")
 on_cube("execution_artifact", lambda c: X.execution_artifact(c, 42), "SELECT e.execution_id, config_id, query_id, model, dataset, prediction, error, arg_min(scorer, eval_id) AS scorer, round(arg_min(coalesce(score, -1), eval_id), 6) AS score FROM executions e JOIN queries USING (query_id) JOIN evaluations USING (execution_id) WHERE e.execution_id = 42 GROUP BY ALL")
 on_cube("diagnostics", lambda c: X.diagnostics(c, M, SC),
@@ -377,7 +377,8 @@ on_tables("table_annotate_types", lambda t: _nation_table(t).select("n_regionkey
 _GOLD = "SELECT e.execution_id, prediction, CAST(doc_id % 10 AS VARCHAR) AS gold, raw_response FROM executions e WHERE model = 'alpha' AND config_id = 2"
 _gold = lambda c: c.execution.where("model = 'alpha' and config_id = 2").select("execution_id", "prediction", (F.col("query_id").cast("bigint") % 10).cast("string").alias("gold"), "raw_response")
 on_cube("score_exact_match", lambda c: _gold(c).select("execution_id", G.exact_match(F.col("prediction"), F.col("gold")).alias("score")), f"g AS ({_GOLD}) SELECT execution_id, (prediction = gold)::DOUBLE AS score FROM g")
-on_cube("score_denotation", lambda c: _gold(c).select("execution_id", G.denotation(F.concat_ws("|", "prediction", "gold"), F.concat_ws("|", "gold", "prediction", "gold")).alias("score")), f"g AS ({_GOLD}) SELECT execution_id, 1.0::DOUBLE AS score FROM g")
+on_cube("score_denotation", lambda c: _gold(c).select("execution_id", G.denotation(F.concat("prediction", F.lit(".0, "), F.col("execution_id") % 3), F.concat(F.lit('["'), F.col("execution_id") % 3, F.lit('", "'), F.col("gold"), F.lit('"]'))).alias("score")),
+        f"g AS ({_GOLD}), v AS (SELECT execution_id, list_sort(list_distinct([prediction, (execution_id % 3)::VARCHAR])) AS p, list_sort(list_distinct([(execution_id % 3)::VARCHAR, gold])) AS w FROM g) SELECT execution_id, (p = w)::INT::DOUBLE AS score FROM v")
 on_cube("score_close_number", lambda c: _gold(c).select("execution_id", G.close_number(F.col("prediction"), F.col("gold")).alias("score")), f"g AS ({_GOLD}) SELECT execution_id, (abs(prediction::DOUBLE - gold::DOUBLE) <= 0.1 * abs(gold::DOUBLE))::INT::DOUBLE AS score FROM g")
 on_tables("score_fact", lambda t: t("lineitem").select("l_orderkey", "l_linenumber", G.fact_accuracy(F.when(F.col("l_returnflag") == "R", "Refuted.").when(F.col("l_returnflag") == "A", "yes").otherwise("maybe"), F.when(F.col("l_linestatus") == "F", 1).otherwise(0)).alias("score")), "SELECT l_orderkey, l_linenumber, (CASE l_returnflag WHEN 'R' THEN l_linestatus <> 'F' WHEN 'A' THEN l_linestatus = 'F' ELSE false END)::INT::DOUBLE AS score FROM lineitem")
 on_tables("score_token_f1", lambda t: t("part").select("p_partkey", G.token_f1(F.col("p_name"), F.col("p_type")).alias("f1")),
@@ -391,10 +392,16 @@ def _baskets(t) -> DataFrame:
 _BASKETS = "WITH b AS (SELECT l_orderkey, list(DISTINCT (l_partkey % 5)::VARCHAR) AS found, list(DISTINCT (l_suppkey % 5)::VARCHAR) AS gold FROM lineitem GROUP BY 1) "
 on_tables("score_retrieval", lambda t: _baskets(t).select("l_orderkey", *(c.alias(n) for n, c in G.retrieval(F.col("found"), F.col("gold")).items())), _BASKETS + "SELECT l_orderkey, list_has_all(found, gold)::INT::DOUBLE AS score, round(len(list_intersect(gold, found)) / len(gold), 6) AS recall FROM b")
 on_tables("score_schema_link", lambda t: _baskets(t).select("l_orderkey", *(c.alias(n) for n, c in G.schema_link(F.col("found"), F.col("gold")).items())), _BASKETS + "SELECT l_orderkey, round(h / len(found), 6) AS precision, round(h / len(gold), 6) AS recall, round(CASE WHEN h = 0 THEN 0 ELSE 2 * (h / len(found)) * (h / len(gold)) / (h / len(found) + h / len(gold)) END, 6) AS f1 FROM (SELECT *, len(list_intersect(found, gold)) AS h FROM b)")
-on_tables("score_privacy", lambda t: t("customer").select("c_custkey", *(c.alias(n) for n, c in G.privacy(F.col("c_name"), F.col("c_name"), F.array(F.lit("0001"), F.col("c_mktsegment"))).items())), "SELECT c_custkey, contains(c_name, '0001') OR contains(lower(c_name), lower(c_mktsegment)) AS leaked, (NOT (contains(c_name, '0001') OR contains(lower(c_name), lower(c_mktsegment))))::INT::DOUBLE AS score FROM customer")
+_SAYS = "CASE c_custkey % 3 WHEN 0 THEN CONCAT('The ', LOWER(c_name), '!') WHEN 1 THEN CONCAT(c_name, ' of ', LOWER(c_mktsegment)) ELSE c_mktsegment END"
+on_tables("score_privacy", lambda t: t("customer").select("c_custkey", *(c.alias(n) for n, c in G.privacy(F.expr(_SAYS), F.col("c_name"), F.array(F.lit("0001"), F.col("c_mktsegment"))).items())),
+          f"WITH x AS (SELECT c_custkey, {_SAYS} AS p, c_custkey % 3 = 0 AS same, c_mktsegment FROM customer) SELECT c_custkey, contains(lower(p), '0001') OR contains(lower(p), lower(c_mktsegment)) AS leaked, (same AND NOT (contains(lower(p), '0001') OR contains(lower(p), lower(c_mktsegment))))::INT::DOUBLE AS score FROM x")
 on_tables("score_execution_match", lambda t: G.same_rows(t("nation").select("n_regionkey", "n_name"), t("nation").where("n_regionkey <> 2").select("n_regionkey", "n_name")), "SELECT count(*) FILTER (n_regionkey = 2) AS left_only, 0::BIGINT AS right_only FROM nation")
 on_cube("failed_predictions", lambda c: benchmarks.failed_predictions([c], SC), f"SELECT query_id, prediction AS wrong, count(*) AS n, string_agg(DISTINCT model, ',' ORDER BY model) AS models FROM executions JOIN evaluations USING (execution_id) WHERE scorer = '{SC}' AND score = 0 GROUP BY ALL")
-on_tables("score_rouge_l", lambda t: t("benchmark").select("item_id", G.rouge_l(F.col("text"), F.reverse(F.col("text"))).alias("score")))
+_ROUGE = "CONCAT_WS(' ', p_name, p_type, p_name, CASE WHEN p_partkey % 2 = 0 THEN LOWER(p_type) END)"
+on_tables("score_rouge_l", lambda t: t("part").select("p_partkey", G.rouge_l(F.expr(_ROUGE), F.expr("CONCAT_WS(' ', p_type, SUBSTRING_INDEX(p_name, ' ', -1), p_type, SUBSTRING_INDEX(p_name, ' ', 1))")).alias("score")),
+          f"""WITH x AS (SELECT p_partkey, string_split({_ROUGE}, ' ') AS p, [p_type, split_part(p_name, ' ', 2), p_type, split_part(p_name, ' ', 1)] AS g FROM part),
+          m AS (SELECT *, unnest(range(16)) AS bits FROM x), s AS (SELECT *, list_filter([CASE WHEN bits & 1 > 0 THEN g[1] END, CASE WHEN bits & 2 > 0 THEN g[2] END, CASE WHEN bits & 4 > 0 THEN g[3] END, CASE WHEN bits & 8 > 0 THEN g[4] END], lambda v: v IS NOT NULL) AS sub FROM m),
+          f AS (SELECT p_partkey, any_value(len(p)) AS n, max(len(sub)) AS l FROM s WHERE concat('  ', array_to_string(p, '  '), '  ') LIKE concat('%', array_to_string(list_transform(sub, lambda v: ' ' || v || ' '), '%'), '%') GROUP BY 1) SELECT p_partkey, round(2.0 * l / (n + 4), 6) AS score FROM f""")
 
 # -- retrieval, windows and sources -------------------------------------------
 _BM25 = """WITH tk AS MATERIALIZED (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '') AS t FROM documents), z AS (SELECT count(*) AS nd, avg(len(t)) AS al FROM tk),
@@ -568,6 +575,24 @@ on_cube("feature_predicate_table", lambda c: feature_predicate_table(c, M, SC, b
         f"""{_DID}, y AS (SELECT canonical_id, predicate_name, predicate_value, round(lift, 6) AS lift, round(did, 6) AS did FROM dd JOIN features USING (canonical_id) WHERE task = 'table_qa' AND predicate_name IN ('lang', 'is_long') AND abs(did) >= 0.01)
         SELECT * FROM y UNION ALL SELECT canonical_id, NULL, NULL, NULL, NULL FROM features WHERE task = 'table_qa' AND canonical_id NOT IN (SELECT canonical_id FROM y)""")
 
+on_tables("knn_all", lambda t: retrieval.knn_blocks(t("embeddings").withColumn("text", F.col("embedding")), t("embeddings"), block=128, text="text").select("probe", "neighbour", "rank"),
+          """WITH d AS (SELECT min(vec_id) AS vec_id, embedding FROM embeddings GROUP BY embedding), s AS (SELECT p.vec_id AS probe, v.vec_id AS neighbour, round(list_sum(list_transform(range(1, len(p.embedding) + 1), lambda i: p.embedding[i]::DOUBLE * v.embedding[i]::DOUBLE)), 6) AS score FROM embeddings p, d v WHERE p.vec_id <> v.vec_id),
+          r AS (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY score DESC, neighbour) AS rank FROM s) SELECT probe, neighbour, rank::INT AS rank FROM r WHERE rank <= 3""")
+
+
+def _streamed_scores(c: Cube) -> DataFrame:
+    """Executions arrive in two deliveries that overlap, and each is scored by a run of its own."""
+    rows = c.execution.where("model = 'alpha'").select("execution_id", "config_id", "query_id", "model", "prediction", "error", "created_at")
+    gold = scratch.written(c.query.select("query_id", (F.col("doc_id") % 10).cast("string").alias("gold")))
+    arrived, out, checkpoint = (scratch.fresh_path(c.spark, n) for n in ("arrived", "scores", "scoring"))
+    for delivery in (F.col("config_id") <= 4, F.col("config_id") >= 3):
+        rows.where(delivery).write.mode("append").parquet(arrived)
+        scoring.run_available(scoring.scored(scoring.execution_stream(c.spark, arrived), gold, G.exact_match, "em", "3650 days"), out, checkpoint)
+    return c.spark.read.parquet(out).select("execution_id", "scorer", "score")
+
+
+on_cube("streamed_scores", _streamed_scores, "SELECT execution_id, 'em' AS scorer, CASE WHEN coalesce(error, '') <> '' THEN 0.0 ELSE (prediction = (doc_id % 10)::VARCHAR)::INT END::DOUBLE AS score FROM executions WHERE model = 'alpha'")
+
 # -- monitoring ---------------------------------------------------------------
 _QUERIES["monitor_overall"] = lambda spark, sf: rounded(monitor.overall(monitor.events(spark, sf)).select("n", "avg_score", at("first_at"), at("last_at")))
 _SQL["monitor_overall"] = "SELECT count(*) AS n, round(avg(value), 6) AS avg_score, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_at, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_at FROM events"

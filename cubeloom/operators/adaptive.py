@@ -26,7 +26,7 @@ def build_delta_table(cube: Cube, base: int, model: str, scorer: str, names: lis
     wider = cube.config.where(F.col("config_id") != base).join(F.broadcast(held)).where(F.size(F.array_except("bf", "func_ids")) == 0)
     primitives = wider.select("config_id", F.array_join(F.array_sort(F.array_except("func_ids", "bf")), "+").alias("primitive_id"))
     b = rows.where(F.col("config_id") == base).select("query_id", F.col("score").alias("baseline_score"))
-    out = rows.join(F.broadcast(primitives), "config_id").join(b, "query_id").select("query_id", "primitive_id", "config_id", "baseline_score", F.col("score").alias("primitive_score"), (F.col("score") - F.col("baseline_score")).alias("delta"))
+    out = rows.join(primitives, "config_id").join(b, "query_id").select("query_id", "primitive_id", "config_id", "baseline_score", F.col("score").alias("primitive_score"), (F.col("score") - F.col("baseline_score")).alias("delta"))
     return out.join(predicate_table(cube, names), "query_id", "left") if names else out
 
 
@@ -165,7 +165,7 @@ def cohorts(cube: Cube, names: list[str], min_size: int = 1, max_queries: int |
 def seed_plan(cube: Cube, configs: DataFrame, stratum: str, per_config: int, seed: int = 0) -> DataFrame:
     """(config_id, query_id): the same stratified sample of queries for every configuration."""
     sample = stratified_sample(cube.query.select("query_id", stratum), stratum, "query_id", per_config, seed)
-    return configs.select("config_id").join(F.broadcast(sample.select("query_id")))
+    return configs.select("config_id").join(sample.select("query_id"))
 
 
 def make_analyzer(base: int, model: str, scorer: str, names: list[str], configs: DataFrame, per_cell: int = 20, top_k: int = 10, seed: int = 0):

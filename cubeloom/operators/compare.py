@@ -73,7 +73,7 @@ def add_one_deltas(cube: Cube, base: int, model: str, scorer: str, candidates: l
     who = who.where(~F.col("config_id").isin(list(exclude))) if exclude else who
     rows = cube.query_scores(model, scorer)
     a = rows.where(F.col("config_id") == base).select("query_id", F.col("score").alias("base_score"))
-    paired = rows.join(F.broadcast(who.select("config_id")), "config_id").join(a, "query_id").withColumn("delta", F.col("score") - F.col("base_score"))
+    paired = rows.join(who.select("config_id"), "config_id").join(a, "query_id").withColumn("delta", F.col("score") - F.col("base_score"))
     found = paired.groupBy("config_id").agg(F.count("*").alias("n_shared"), F.avg("delta").alias("avg_delta"), F.count_if(F.col("delta") > 0).alias("n_up"), F.count_if(F.col("delta") < 0).alias("n_down"))
     out = who.select("config_id", "canonical_id").join(found, "config_id", "left")
     return out.select("config_id", "canonical_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_shared", "avg_delta", "n_up", "n_down"))).orderBy(F.desc("avg_delta"), "config_id")

@@ -23,7 +23,7 @@ def lift_simple(cube: Cube, base: int, model: str, scorer: str, configs: DataFra
     value = Window.partitionBy("predicate_name", "predicate_value")
     is_base = F.col("config_id") == base
     means = means.withColumn("base_mean", F.max(F.when(is_base, F.col("avg_score"))).over(value)).withColumn("base_n", F.max(F.when(is_base, F.col("n"))).over(value))
-    out = means.where(~is_base).join(F.broadcast(configs), "config_id")
+    out = means.where(~is_base).join(configs, "config_id")
     return out.select(*KEYS, F.col("avg_score").alias("target_mean"), "base_mean", (F.col("avg_score") - F.col("base_mean")).alias("lift"), F.col("n").alias("n_target"), F.coalesce("base_n", F.lit(0)).alias("n_base"))
 
 
@@ -33,7 +33,7 @@ def lift_marginal(cube: Cube, model: str, scorer: str, predicate: str | None = N
     features = cube.feature.select("feature_id", "canonical_id")
     # configurations and features are small tables; every pair says whether it holds
     members = cube.config.select("config_id", "feature_ids").join(features).select("config_id", "canonical_id", F.array_contains("feature_ids", F.col("feature_id")).alias("has"))
-    rows = means.join(F.broadcast(members), "config_id")
+    rows = means.join(members, "config_id")
     out = rows.groupBy(*KEYS).agg(
         F.avg(F.when(F.col("has"), F.col("avg_score"))).alias("target_mean"),
         F.avg(F.when(~F.col("has"), F.col("avg_score"))).alias("base_mean"),

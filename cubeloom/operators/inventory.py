@@ -71,7 +71,7 @@ def list_configs(cube: Cube) -> DataFrame:
 def list_configs_with_features(cube: Cube) -> DataFrame:
     """Configurations with their features' names, in the order that they are listed in."""
     at = cube.config.select("config_id", F.posexplode_outer("feature_ids").alias("at", "feature_id"))
-    named = at.join(F.broadcast(cube.feature.select("feature_id", "canonical_id")), "feature_id", "left")
+    named = at.join(cube.feature.select("feature_id", "canonical_id"), "feature_id", "left")
     name = F.coalesce("canonical_id", F.when(F.col("feature_id").isNotNull(), F.concat(F.lit("<unknown:"), "feature_id", F.lit(">"))))
     listed = F.array_sort(F.collect_list(F.when(F.col("feature_id").isNotNull(), F.struct("at", name.alias("name")))))
     return named.groupBy("config_id").agg(F.transform(listed, lambda x: x["name"]).alias("features"))
@@ -79,7 +79,7 @@ def list_configs_with_features(cube: Cube) -> DataFrame:
 
 def list_configs_with_func_types(cube: Cube) -> DataFrame:
     """How many funcs of each type a configuration has."""
-    each = cube.config.select("config_id", F.explode("func_ids").alias("func_id")).join(F.broadcast(cube.func.select("func_id", "func_type")), "func_id")
+    each = cube.config.select("config_id", F.explode("func_ids").alias("func_id")).join(cube.func.select("func_id", "func_type"), "func_id")
     return each.groupBy("config_id", "func_type").agg(F.count("*").alias("n"))
 
 

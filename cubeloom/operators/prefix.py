@@ -24,14 +24,14 @@ def _parts(rows: DataFrame, *sums) -> DataFrame:
 
 def _before(size: str):
     """What the partitions before this one have; the window is over one row for each partition."""
-    return F.coalesce(F.sum(size).over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before")
+    return F.coalesce(F.sum(size).over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset")
 
 
 def numbered(df: DataFrame, order: list[str], into: str, start: int = 1) -> DataFrame:
     """``df`` with the place of each row in the order, from ``start``; ties by nothing but chance, and once."""
     rows = _sorted(df, order)
     parts = _parts(rows).select("_part", "_first", _before("_n"))
-    return rows.join(parts, "_part").withColumn(into, (F.lit(start) + F.col("_at") - F.col("_first") + F.col("_before")).cast("long")).drop("_part", "_at", "_first", "_before")
+    return rows.join(parts, "_part").withColumn(into, (F.lit(start) + F.col("_at") - F.col("_first") + F.col("_offset")).cast("long")).drop("_part", "_at", "_first", "_offset")
 
 
 def sum_before(df: DataFrame, order: list[str], size: str, into: str) -> DataFrame:
@@ -39,4 +39,4 @@ def sum_before(df: DataFrame, order: list[str], size: str, into: str) -> DataFra
     rows = _sorted(df, order)
     parts = _parts(rows, F.sum(size).alias("_sum")).select("_part", _before("_sum"))
     own = F.coalesce(F.sum(size).over(Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("_own", own).join(parts, "_part").withColumn(into, F.col("_own") + F.col("_before")).drop("_part", "_at", "_own", "_before")
+    return rows.withColumn("_own", own).join(parts, "_part").withColumn(into, F.col("_own") + F.col("_offset")).drop("_part", "_at", "_own", "_offset")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,6 +63,47 @@ def knn(vectors: DataFrame, probes: DataFrame, k: int = 3) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+BLOCK = 4096
+
+
+def _packed(vectors: DataFrame, block: int, name: str) -> DataFrame:
+    """Blocks of vectors, one row each: their ids, and their numbers end to end as 64-bit floats."""
+    n_blocks = vectors.agg(F.greatest(F.ceil(F.count("*") / block), F.lit(1)).cast("int").alias(f"{name}s"))
+    dealt = vectors.join(n_blocks).withColumn(name, F.pmod(F.xxhash64("vec_id"), F.col(f"{name}s")).cast("int"))
+    return dealt.groupBy(name, f"{name}s").agg(F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))).alias("rows")).select(name, f"{name}s", F.transform("rows", lambda r: r["vec_id"]).alias(f"{name}_ids"), F.flatten(F.transform("rows", lambda r: r["embedding"])).alias(f"{name}_data"))
+
+
+def _best_of(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                part = lambda name: batch.column(batch.schema.get_field_index(name))[i].values.to_numpy(zero_copy_only=False)  # noqa: B023, E731
+                ids, probes = part("b_ids"), part("p_ids")
+                scores = np.round(part("p_data").astype(float).reshape(len(probes), -1) @ part("b_data").astype(float).reshape(len(ids), -1).T, 6)
+                scores[probes[:, None] == ids[None, :]] = -np.inf
+                order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
+                best = np.take_along_axis(scores, order, axis=1).ravel()
+                real = np.isfinite(best)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(probes, order.shape[1])[real]), pa.array(ids[order].ravel()[real]), pa.array(best[real])], names=["probe", "neighbour", "score"])
+
+    return run
+
+
+def knn_blocks(vectors: DataFrame, probes: DataFrame, k: int = 3, block: int = BLOCK, text: str | None = None) -> DataFrame:
+    """Exact nearest vectors of many probes: a matrix product for each pair of blocks, of which the best k of each probe go on.
+
+    ``vectors`` and ``probes`` have vec_id and embedding.  With a ``text``
+    column, equal texts among the vectors count once, under the least id.  A
+    task holds two blocks and their product; ties go by id.
+    """
+    pool = vectors if text is None else vectors.groupBy(text).agg(F.min_by(F.struct("vec_id", "embedding"), "vec_id").alias("v")).select("v.*")
+    against, asked = _packed(pool.select("vec_id", "embedding"), block, "b"), _packed(probes.select("vec_id", "embedding"), block, "p")
+    pairs = asked.join(against.agg(F.max("bs").alias("n"))).select("p", "p_ids", "p_data", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("b"))
+    met = pairs.join(against, "b").select("p_ids", "p_data", "b_ids", "b_data").mapInArrow(_best_of(k), "probe long, neighbour long, score double")
+    order = Window.partitionBy("probe").orderBy(F.desc("score"), "neighbour")
+    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def mmr(candidates: DataFrame, k: int = 3, diversity: float = 0.3) -> DataFrame:
     """Maximal marginal relevance over each probe's candidates (probe, neighbour, score, embedding)."""
 

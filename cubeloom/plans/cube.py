@@ -85,7 +85,7 @@ class Cube:
     def feature_effect(self) -> DataFrame:
         """Evaluations by the features that their configuration names; errors included."""
         named = self.config.select("config_id", F.explode("feature_ids").alias("feature_id"))
-        features = F.broadcast(self.feature.select("feature_id", "canonical_id", "task"))
+        features = self.feature.select("feature_id", "canonical_id", "task")
         q = self.query.select("query_id", "dataset")
         rows = self.all_scores().select("config_id", "query_id", "model", "scorer", "score")
         return rows.join(named, "config_id").join(features, "feature_id").join(q, "query_id")
@@ -94,7 +94,7 @@ class Cube:
         """Evaluations by the labels of the features in the link table; errors included."""
         star = self.config_feature.select("config_id", "feature_id").join(self.feature.select("feature_id", "canonical_id"), "feature_id").join(self.label_membership, "feature_id")
         q = self.query.select("query_id", "dataset", "qtype")
-        return self.all_scores().select("config_id", "query_id", "model", "scorer", "score").join(F.broadcast(star), "config_id").join(q, "query_id")
+        return self.all_scores().select("config_id", "query_id", "model", "scorer", "score").join(star, "config_id").join(q, "query_id")
 
     def feature_label_predicate_effect(self) -> DataFrame:
         p = self.predicate.select("query_id", F.col("name").alias("predicate_name"), F.col("value").alias("predicate_value"))

@@ -86,14 +86,14 @@ class Pipeline:
             rows = effect.lift_simple(cube, base, scope["model"], scope["scorer"], resolve.simple_effect_configs(cube, base).select("config_id", "canonical_id"))
         else:
             rows = effect.lift_marginal(cube, scope["model"], scope["scorer"])
-        rows = rows.join(F.broadcast(resolve.base_like_features(cube, base)), "canonical_id", "left_anti")
+        rows = rows.join(resolve.base_like_features(cube, base), "canonical_id", "left_anti")
         if scope["predicates"]:
             rows = rows.where(F.col("predicate_name").isin(list(scope["predicates"])))
         if scope["features"]:
             rows = rows.where(F.col("canonical_id").isin(list(scope["features"])))
         if not scope["numeric"]:
             numbers = effect.predicate_kinds(cube).where("kind = 'numeric' and n_values > 8").select(F.col("name").alias("predicate_name"))
-            rows = rows.join(F.broadcast(numbers), "predicate_name", "left_anti")
+            rows = rows.join(numbers, "predicate_name", "left_anti")
         return effect.did(rows, dict(references)).withColumn("_scope", F.lit(json.dumps({k: scope[k] for k in ("model", "scorer", "base")})))
 
     def _confidence(self, rows, level, resamples, seed) -> DataFrame:
