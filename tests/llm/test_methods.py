@@ -172,7 +172,7 @@ def test_near_duplicates_equal_brute_force(spark):
 
 def test_em_finds_the_junk_class():
     n = len(quality.RULES)
-    clean, junk = (1,) * n, (-1,) + (1,) * (n - 1)
+    clean, junk = (1,) * n, (-1, -1, -1) + (1,) * (n - 3)  # two rules at least see a defect
     odds, ratio = quality.fit([(clean, 900), (junk, 100)])
     posterior = lambda v: odds + sum(ratio[r][v[r]] for r in range(n))
     assert posterior(clean) > 0 > posterior(junk)
