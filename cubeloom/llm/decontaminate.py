@@ -6,16 +6,21 @@ document when at least ceil(t n) of them occur there, so any
 k = n - ceil(t n) + 1 of them must include one that occurs: the sketch of an
 item is its k smallest hashes (its bottom-k MinHash), with k taken from the
 size partition, and no contained item is missed at any document length.
-Candidates are verified by exact shingle containment.  The exact join of all
-item shingles is the main path; the sketches prune none of its work.
+
+Documents are probed with the sketches only.  The documents that meet a
+sketch, and no others, are read again, and the whole sets of a document and of
+each item that it met are compared: exact shingle containment.
 
 An item with fewer than five words is one shingle, its whole word sequence,
 and is contained in documents that have the same whole sequence.  Null and
 empty texts, and items without words, match nothing.  Rows that share an id
-are one item or document for each distinct text.
+are one item or document for each distinct text.  A share of exactly the
+threshold is contained; of several texts of one id the best counts.  Without
+items or documents nothing is found.  Texts of any length are read whole, one
+row's array at a time; other columns may have any name, and ids any name too.
 
-DataFrame functions only.  The item side is broadcast only when it has at
-most ``BROADCAST_SHINGLES`` shingles; a larger benchmark is joined by shuffle.
+DataFrame functions only.  The sketches are broadcast only when they have at
+most ``BROADCAST_SHINGLES`` hashes; a larger benchmark is joined by shuffle.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, let, lower_ascii, materialize, only, whole_row, words_column
+from .common import column, let, lower_ascii, materialize, whole_row, words_column
 
 SHINGLE = 5
 THRESHOLD = 0.75
@@ -42,35 +47,32 @@ def shingle_hashes(text: Column, n: int = SHINGLE) -> Column:
 
 
 def sketches(items: DataFrame, id_column: str, text_column: str, threshold: float) -> DataFrame:
-    """_item, its id, _n shingles, every _hash, and whether the hash is in the bottom-k sketch."""
+    """item_id, _item, its sorted _set of _n hashes, and _sketch, the least of them."""
     sets = (
-        only(items, id_column, text_column)
-        .select(F.col(id_column).alias("item_id"), F.xxhash64(id_column, text_column).alias("_item"), F.sort_array(F.array_distinct(shingle_hashes(F.col(text_column)))).alias("_set"))
+        items.select(column(id_column).alias("item_id"), F.xxhash64(column(id_column), column(text_column)).alias("_item"), F.sort_array(F.array_distinct(shingle_hashes(column(text_column)))).alias("_set"))
         .where(F.size("_set") > 0)
         .dropDuplicates(["item_id", "_item"])
     )
     n = F.size("_set")
     # the size partition decides the sketch length
-    return sets.select("item_id", "_item", n.alias("_n"), (n - F.ceil(n * F.lit(threshold) - 1e-9).cast("int") + 1).alias("_k"), F.posexplode("_set").alias("_at", "_hash")).withColumn("_sketch", F.col("_at") < F.col("_k"))
+    return sets.select("item_id", "_item", n.alias("_n"), "_set", F.slice("_set", 1, n - F.ceil(n * F.lit(threshold) - 1e-9).cast("int") + 1).alias("_sketch"))
 
 
 def containments(
     docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD
 ) -> DataFrame:
     """One row for each document text (_doc) and item text that it contains: doc_id, item_id, _n and n_shared."""
-    sketch = materialize(sketches(items, item_id, item_text, threshold))
-    small = sketch.count() <= BROADCAST_SHINGLES
-    bound = F.broadcast if small else (lambda x: x)
-    one = only(docs, id_column, text_column).where(F.col(text_column).isNotNull())
-    hashed = one.select(F.col(id_column).alias("doc_id"), F.xxhash64(id_column, text_column).alias("_doc"), F.explode(shingle_hashes(F.col(text_column))).alias("_hash"))
-    # every hash that any sketch or item holds survives the scan; few do
-    wanted = sketch.groupBy("_hash").agg(F.max("_sketch").alias("_sketched"))
-    met = materialize(hashed.join(bound(wanted), "_hash").groupBy("doc_id", "_doc", "_hash").agg(F.max("_sketched").alias("_sketched")))
-    probe = sketch.where("_sketch").select("item_id", "_item", "_n", "_hash")
-    candidates = met.where("_sketched").join(bound(probe), "_hash").select("doc_id", "_doc", "item_id", "_item", "_n").distinct()
-    # exact containment of each candidate: the shared shingles, counted
-    held = met.join(bound(sketch.select("_item", "_hash")), "_hash").groupBy("_doc", "_item").agg(F.count("*").alias("n_shared"))
-    return candidates.join(held, ["_doc", "_item"]).where(F.col("n_shared") >= F.ceil(F.col("_n") * F.lit(threshold) - 1e-9))
+    held = materialize(sketches(items, item_id, item_text, threshold))
+    probe = held.select("_item", F.explode("_sketch").alias("_hash"))
+    bound = F.broadcast if probe.count() <= BROADCAST_SHINGLES else (lambda x: x)
+    named = docs.select(column(id_column).alias("doc_id"), F.xxhash64(column(id_column), column(text_column)).alias("_doc"), column(text_column).alias("_text")).where(F.col("_text").isNotNull())
+    met = named.select("_doc", F.explode(shingle_hashes(F.col("_text"))).alias("_hash")).join(bound(probe.select("_hash").distinct()), "_hash")
+    candidates = materialize(met.distinct().join(bound(probe), "_hash").select("_doc", "_item").distinct())
+    # only documents that met a sketch are read again
+    sets = named.join(candidates.select("_doc").distinct(), "_doc", "left_semi").dropDuplicates(["_doc"]).select("doc_id", "_doc", F.array_distinct(shingle_hashes(F.col("_text"))).alias("_have"))
+    pairs = candidates.join(sets, "_doc").join(held.select("item_id", "_item", "_n", "_set"), "_item")
+    shared = F.size(F.array_intersect("_set", "_have")).cast("bigint")
+    return pairs.select("doc_id", "_doc", "item_id", "_item", "_n", shared.alias("n_shared")).where(F.col("n_shared") >= F.ceil(F.col("_n") * F.lit(threshold) - 1e-9))
 
 
 def contained_items(docs: DataFrame, items: DataFrame, **options) -> DataFrame:

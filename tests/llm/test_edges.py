@@ -92,6 +92,15 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.clean(docs, items.limit(0)).count() == len(ROWS)
 
 
+def test_decontamination_reads_any_names_and_long_texts(spark):
+    long = " ".join(f"v{i}" for i in range(30_000))
+    rows = [(1, long), (2, long[: len(long) // 2]), (3, None), (4, "one two three four five six seven eight")]
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "`a.b` long, `the text` string, item_id string, _hash int")
+    items = spark.createDataFrame([(1, "v29990 v29991 v29992 v29993 v29994 v29995", 5), (2, "two THREE four five six", 5), (3, "one two three four five nine ten eleven twelve thirteen", 5)], "`i.d` long, text string, _doc int")
+    got = {(r.doc_id, r.item_id, r.n_shingles, r.n_shared) for r in decontaminate.contained_items(docs, items, id_column="a.b", text_column="the text", item_id="i.d").collect()}
+    assert got == {(1, 1, 2, 2), (4, 2, 1, 1)}
+
+
 def test_substrings(docs, none):
     got = by_id(substrings.remove_repeats(docs))
     assert [r.n_removed for r in got[1]] == [60, 60] and got[1][0].kept == ""
