@@ -19,7 +19,9 @@ Everything left over between different components is compared exactly.
 Equal sets are one class; a class of any size is one entry of the index.
 Sets without a shingle (null, empty and blank texts) link with nothing.  Fewer
 than five words make one shingle of all of them.  Repeated ids and null ids
-keep a row each; a component's id is its least id that is not null.
+keep a row each; a component's id is its least id that is not null.  A share of
+exactly the threshold links.  An empty table gives no rows; other columns are
+not read; a text of any length is one set of 64-bit hashes.
 """
 
 from __future__ import annotations

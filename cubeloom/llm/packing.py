@@ -11,7 +11,9 @@ within their length in parallel, dealt over ``BLOCKS`` blocks, so a length
 that many pieces share is no hot spot.
 
 A null or empty text is the end token alone.  Repeated rows are pieces of
-their own.
+their own; pieces of equal length are placed by their number in it.  A text of
+any length is cut into pieces; an empty table gives no rows; other columns are
+not read.
 """
 
 from __future__ import annotations

@@ -8,7 +8,10 @@ without its last groups, and a card from its next group on.  So each
 format keeps its shape and its validity, equal values keep equal pseudonyms
 in every document, and different values never meet.
 
-Null texts stay null, with no findings; empty texts stay empty.
+Null texts stay null, with no findings; empty texts stay empty.  Equal rows are
+rewritten alike; of two readings that overlap the first that is valid is taken;
+an empty table gives no rows; texts of any length are scanned whole, and other
+columns are not read.
 """
 
 from __future__ import annotations

@@ -18,7 +18,8 @@ in memory.
 
 Null texts have no words and keep null digests of no words (the empty
 string).  Texts under ``WINDOW`` words keep all.  Repeated rows repeat all
-their windows.  Ids are whole numbers.
+their windows.  Ids are whole numbers.  An empty table gives no rows; other
+columns are not read; a text of any length is one stream of windows.
 """
 
 from __future__ import annotations

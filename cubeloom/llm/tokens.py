@@ -10,7 +10,9 @@ costs ten below the lowest score; such characters become their UTF-8 bytes.
 The text is cut before each space, and each distinct chunk is searched once
 in a worker; the store of known chunks is bounded.
 
-Null and empty texts have no tokens.
+Null and empty texts have no tokens.  Repeated rows are counted each; an empty
+table gives no rows; the table's other columns are not read.  A very long text
+is searched chunk by chunk, in memory that does not grow with it.
 """
 
 from __future__ import annotations
