@@ -310,6 +310,11 @@ on_design("trim_plan", lambda c: adaptive.trim_plan(c.config.select("config_id",
 on_cube("cohorts", lambda c: adaptive.cohorts(c, ["lang", "quality"], min_size=5, max_queries=8), "w AS (SELECT query_id, max(value) FILTER (name = 'lang') || '|' || max(value) FILTER (name = 'quality') AS cohort FROM predicates GROUP BY 1), z AS (SELECT cohort FROM w WHERE cohort IS NOT NULL GROUP BY 1 HAVING count(*) >= 5), r AS (SELECT cohort, query_id, row_number() OVER (PARTITION BY cohort ORDER BY md5('0:' || query_id), query_id) AS r FROM w JOIN z USING (cohort)) SELECT cohort, query_id FROM r WHERE r <= 8")
 on_cube("cross_plan", lambda c: adaptive.cross_plan(c.config.select("config_id", F.when(F.col("config_id") % 2 == 0, "en").otherwise("fr").alias("cohort")), adaptive.cohorts(c, ["lang"])), "SELECT cohort, config_id, query_id FROM (SELECT config_id, CASE WHEN config_id % 2 = 0 THEN 'en' ELSE 'fr' END AS cohort FROM configs) JOIN (SELECT value AS cohort, query_id FROM predicates WHERE name = 'lang') USING (cohort)")
 on_cube("routing_oracle_gain", lambda c: routing.oracle_gain(_delta(c)), f"{_D}, b AS (SELECT query_id, max(delta) AS m FROM d GROUP BY 1) SELECT round(avg(greatest(0, m)), 6) AS oracle_gain, count(*) AS n_queries FROM b")
+_ROUTE = "CASE lang WHEN 'en' THEN 'feat_a' WHEN 'de' THEN 'feat_b' WHEN 'fr' THEN 'no such edit' END"
+on_cube("routes_evaluated", lambda c: routing.evaluate_routes(_delta(c).select("query_id", "lang").distinct().select("query_id", F.expr(_ROUTE).alias("route")), _delta(c)),
+        f"""{_D}, r AS (SELECT DISTINCT query_id, {_ROUTE} AS route FROM d), g AS (SELECT r.query_id, route, coalesce(d.delta, 0) AS delta FROM r LEFT JOIN d ON d.query_id = r.query_id AND d.primitive_id = route), b AS (SELECT query_id, max(delta) AS m FROM d GROUP BY 1), o AS (SELECT avg(greatest(0, m)) AS g, count(*) AS n FROM b),
+        t AS (SELECT avg(delta) AS gain, count(route) AS n_routed, count(*) FILTER (route IS NULL) AS n_base FROM g) SELECT round(gain, 6) AS routing_gain, n_routed, n_base, round(g, 6) AS oracle_gain, n AS n_queries, round(gain / g, 6) AS ratio FROM t, o""")
+on_cube("rank_second", lambda c: effect.rank(_lift(c), sort_by="n_target", sort_secondary=[("lift", True)], top_k=12).select("canonical_id", "predicate_name", "predicate_value", "n_target"), f"{_LIFT} SELECT canonical_id, predicate_name, predicate_value, n_target FROM lift WHERE {_NO_N} ORDER BY n_target DESC, lift, canonical_id, predicate_name, predicate_value LIMIT 12")
 on_cube("routing_gain", lambda c: routing.evaluate_routing(routing.fit_routing(_delta(c), _NAMES, leaf=20), _delta(c)))
 on_cube("design_frame", lambda c: design.to_frame(c.spark, design.generate("add_one", base=["f0"], items=["fa", "fb", "fc"])).select("config_id", "label", F.array_join("func_ids", ",").alias("funcs")), "SELECT * FROM (VALUES (1::BIGINT, 'base', 'f0'), (2, 'add:fa', 'f0,fa'), (3, 'add:fb', 'f0,fb'), (4, 'add:fc', 'f0,fc')) AS t(config_id, label, funcs)")
 
@@ -403,6 +408,17 @@ on_tables("score_rouge_l", lambda t: t("part").select("p_partkey", G.rouge_l(F.e
           m AS (SELECT *, unnest(range(16)) AS bits FROM x), s AS (SELECT *, list_filter([CASE WHEN bits & 1 > 0 THEN g[1] END, CASE WHEN bits & 2 > 0 THEN g[2] END, CASE WHEN bits & 4 > 0 THEN g[3] END, CASE WHEN bits & 8 > 0 THEN g[4] END], lambda v: v IS NOT NULL) AS sub FROM m),
           f AS (SELECT p_partkey, any_value(len(p)) AS n, max(len(sub)) AS l FROM s WHERE concat('  ', array_to_string(p, '  '), '  ') LIKE concat('%', array_to_string(list_transform(sub, lambda v: ' ' || v || ' '), '%'), '%') GROUP BY 1) SELECT p_partkey, round(2.0 * l / (n + 4), 6) AS score FROM f""")
 
+_RIGHT = "CONCAT(CAST(CAST(o_totalprice + CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS DECIMAL(18,1)) AS VARCHAR(30)), ', ', CAST(o_orderkey % 7 AS VARCHAR(20)), '%, ', o_orderstatus)"
+_SAID2 = "CONCAT(CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR(30)), ',0.0', CAST(o_orderkey % 5 AS VARCHAR(20)), CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE CONCAT(' , ', o_orderstatus) END)"
+_HALF = "(floor(CAST(o_totalprice AS DECIMAL(18,2)) * 10 + 0.5) = floor(CAST(o_totalprice + CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS DECIMAL(18,1)) * 10 + 0.5))"
+on_tables("score_answers_match", lambda t: t("orders").select("o_orderkey", G.answers_match(F.expr(_SAID2), F.expr(_RIGHT)).alias("score")),
+          f"SELECT o_orderkey, round(({_HALF}::INT + (o_orderkey % 7 = o_orderkey % 5)::INT + (o_orderkey % 11 <> 0)::INT) / 3.0, 6) AS score FROM orders")
+on_tables("score_answers_near", lambda t: t("orders").select("o_orderkey", G.answers_near(F.expr("CONCAT(CAST(o_orderkey % 100 AS VARCHAR(20)), ', ', o_orderstatus)"), F.expr("CONCAT(CAST(o_custkey % 100 AS VARCHAR(20)), ', F')")).alias("score")),
+          "SELECT o_orderkey, round(((abs(o_orderkey % 100 - o_custkey % 100) <= 0.1 * CASE WHEN o_custkey % 100 = 0 THEN 1 ELSE o_custkey % 100 END)::INT + (o_orderstatus = 'F')::INT) / 2.0, 6) AS score FROM orders")
+_QTYPE, _QSUB = "CASE p_partkey % 4 WHEN 0 THEN 'FactChecking' WHEN 1 THEN 'NumericalReasoning' ELSE 'DataAnalysis' END", "CASE p_partkey % 3 WHEN 0 THEN 'TrendForecasting' WHEN 1 THEN 'ImpactAnalysis' ELSE 'CausalAnalysis' END"
+on_tables("score_table_answer", lambda t: t("part").select("p_partkey", G.table_answer(F.expr(_QTYPE), F.expr(_QSUB), F.expr("CONCAT('The ', p_size, '.')"), F.expr("CAST(CASE WHEN p_partkey % 5 < 2 THEN p_size ELSE p_size + 1 END AS VARCHAR(20))")).alias("score")),
+          f"WITH x AS (SELECT p_partkey, {_QTYPE} AS q, {_QSUB} AS s, p_size AS p, CASE WHEN p_partkey % 5 < 2 THEN p_size ELSE p_size + 1 END AS g FROM part) SELECT p_partkey, CASE WHEN q = 'DataAnalysis' AND s = 'TrendForecasting' THEN abs(p - g) <= 0.1 * g ELSE p = g END::INT::DOUBLE AS score FROM x")
+
 # -- retrieval, windows and sources -------------------------------------------
 _BM25 = """WITH tk AS MATERIALIZED (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '') AS t FROM documents), z AS (SELECT count(*) AS nd, avg(len(t)) AS al FROM tk),
           q AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS term FROM benchmark),
@@ -420,7 +436,13 @@ def _by_index(t) -> DataFrame:
 on_tables("bm25_index", _by_index, _BM25)
 on_tables("knn", lambda t: retrieval.knn(t("embeddings"), t("embeddings").where("vec_id % 100 = 0")).select("probe", "neighbour", "rank"),
           "WITH s AS (SELECT p.vec_id AS probe, v.vec_id AS neighbour, round(list_sum(list_transform(range(1, len(p.embedding) + 1), lambda i: p.embedding[i]::DOUBLE * v.embedding[i]::DOUBLE)), 6) AS score FROM embeddings p, embeddings v WHERE p.vec_id % 100 = 0 AND p.vec_id <> v.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY score DESC, neighbour) AS rank FROM s) SELECT probe, neighbour, rank::INT AS rank FROM r WHERE rank <= 3")
-on_tables("example_mmr", lambda t: retrieval.sample_examples(t("embeddings"), t("embeddings").where("vec_id % 100 = 0")))
+_PROBES = """WITH e AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS l FROM embeddings),
+    c AS MATERIALIZED (SELECT * FROM (SELECT p.vec_id AS probe, e.vec_id AS n, e.v, e.l, round(list_dot_product(p.v, e.v), 6) AS s, row_number() OVER (PARTITION BY p.vec_id ORDER BY round(list_dot_product(p.v, e.v), 6) DESC, e.vec_id) AS r FROM e p, e WHERE p.vec_id % 100 = 0 AND p.vec_id <> e.vec_id) WHERE r <= 30),
+    one AS (SELECT * FROM c WHERE r = 1),
+    two AS (SELECT c.* FROM c JOIN one a USING (probe) WHERE c.n <> a.n QUALIFY row_number() OVER (PARTITION BY probe ORDER BY 0.7 * c.s - 0.3 * list_dot_product(c.v, a.v) / (c.l * a.l) DESC, c.r) = 1),
+    three AS (SELECT c.* FROM c JOIN one a USING (probe) JOIN two b USING (probe) WHERE c.n <> a.n AND c.n <> b.n QUALIFY row_number() OVER (PARTITION BY probe ORDER BY 0.7 * c.s - 0.3 * greatest(list_dot_product(c.v, a.v) / (c.l * a.l), list_dot_product(c.v, b.v) / (c.l * b.l)) DESC, c.r) = 1)
+    SELECT probe, n AS neighbour, 1::INT AS rank FROM one UNION ALL SELECT probe, n, 2 FROM two UNION ALL SELECT probe, n, 3 FROM three"""
+on_tables("example_mmr", lambda t: retrieval.sample_examples(t("embeddings"), t("embeddings").where("vec_id % 100 = 0")), _PROBES)
 on_tables("overlap_similarity", lambda t: t("part").select("p_partkey", retrieval.hybrid(retrieval.overlap_similarity(F.array(F.col("p_size").cast("double"), F.lit(10.0)), F.array(F.lit(20.0), F.col("p_retailprice"))), F.lit(0.5)).alias("score")), "SELECT p_partkey, round(0.5 * (least(p_size, 20) + least(10, p_retailprice)) / (greatest(p_size, 20) + greatest(10, p_retailprice)) + 0.25, 6) AS score FROM part")
 on_tables("random_examples", lambda t: retrieval.random_examples(t("nation").select(F.col("n_nationkey").alias("example_id")), t("region").select(F.col("r_regionkey").alias("query_id")), 3, 5), "WITH r AS (SELECT r_regionkey AS query_id, n_nationkey AS example_id, row_number() OVER (PARTITION BY r_regionkey ORDER BY md5('5:' || r_regionkey || ':' || n_nationkey), n_nationkey) AS rank FROM region, nation) SELECT query_id, example_id, rank::INT AS rank FROM r WHERE rank <= 3")
 on_tables("conversation_history", lambda t: benchmarks.with_history(t("conversations"), "conv_id", "turn", "role", "text").select("conv_id", "turn", F.size("history").alias("n"), F.array_join(F.transform("history", lambda h: h["question"]), ",").alias("roles")), "SELECT c.conv_id, c.turn, count(p.conv_id)::INT AS n, coalesce(string_agg(p.role, ',' ORDER BY p.turn), '') AS roles FROM conversations c LEFT JOIN conversations p ON p.conv_id = c.conv_id AND p.turn < c.turn GROUP BY ALL")

@@ -109,9 +109,68 @@ def close_number(prediction: Column, gold: Column, tolerance: float = 0.1) -> Co
     return F.coalesce(near.cast("double"), exact_match(prediction, gold))
 
 
+# The kinds of analysis that are scored with a tolerance and to the letter, and the form of a number.
+WITH_TOLERANCE = ("CorrelationAnalysis", "TrendForecasting", "StatisticalAnalysis")
+TO_THE_LETTER = ("ImpactAnalysis",)
+NUMBER = r"^-?\d+(\.\d+)?%?$"
+
+
+def _let(value: Column, body) -> Column:
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _decimal(text: Column) -> Column:
+    """A number with twelve places; a percentage is a hundredth of it, to four places, half up."""
+    percent = F.round(F.substr(text, F.lit(1), F.length(text) - 1).try_cast("decimal(30,12)") / 100, 4).cast("decimal(38,12)")
+    return F.when(text.endswith("%"), percent).otherwise(text.try_cast("decimal(38,12)"))
+
+
+def _half_up(value: Column, places: Column) -> Column:
+    return F.signum(value) * F.floor(F.abs(value) * F.pow(F.lit(10), places).cast("decimal(13,0)") + F.lit(0.5).cast("decimal(2,1)"))
+
+
+def _answers(text: Column) -> Column:
+    return F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda x: F.trim(x))
+
+
+def _share_of_answers(gold: Column, prediction: Column, same) -> Column:
+    """The share of the gold answers, parted by commas, that the prediction has at the same place; ``same`` gets both, and all gold answers."""
+
+    def scored(x: Column) -> Column:
+        hits = F.filter(x["g"], lambda g, i: F.coalesce(F.get(x["p"], i).isNotNull() & same(g, F.get(x["p"], i), x["g"]), F.lit(False)))
+        return F.size(hits) / F.size(x["g"])
+
+    return _let(F.struct(_answers(gold).alias("g"), _answers(prediction).alias("p")), scored)
+
+
+def answers_match(prediction: Column, gold: Column) -> Column:
+    """Numbers are equal once rounded, half up, to the fewest places of the gold numbers; percentages as they are; anything else as text."""
+
+    def same(g: Column, p: Column, all_gold: Column) -> Column:
+        plain = F.filter(all_gold, lambda x: x.rlike(NUMBER) & ~x.endswith("%"))
+        places = F.coalesce(F.array_min(F.transform(plain, lambda x: F.length(F.regexp_extract(x, r"\.(\d+)$", 1)))), F.lit(0))
+        number = F.when(g.endswith("%"), _decimal(g) == _decimal(p)).otherwise(_half_up(_decimal(g), places) == _half_up(_decimal(p), places))
+        return F.when(g.rlike(NUMBER), F.coalesce(number, F.lit(False))).otherwise(g == p)
+
+    return _share_of_answers(gold, prediction, same)
+
+
+def answers_near(prediction: Column, gold: Column, tolerance: float = 0.1) -> Column:
+    """Numbers within a share of the gold one (of one, if that is 0); anything else as text."""
+
+    def same(g: Column, p: Column, _: Column) -> Column:
+        a, b = _decimal(g), _decimal(p)
+        near = F.abs(b - a).cast("double") <= F.lit(tolerance) * F.when(a == 0, F.lit(1.0)).otherwise(F.abs(a).cast("double"))
+        return F.when(g.rlike(NUMBER) & p.rlike(NUMBER), F.coalesce(near, F.lit(False))).otherwise(g == p)
+
+    return _share_of_answers(gold, prediction, same)
+
+
 def table_answer(qtype: Column, qsubtype: Column, prediction: Column, gold: Column) -> Column:
-    """The score that a question's type asks for: tolerance, exact match, or ROUGE-L."""
-    return F.when(qsubtype.isin("CorrelationAnalysis", "TrendForecasting", "StatisticalAnalysis"), close_number(prediction, gold)).when(qtype.isin("FactChecking", "NumericalReasoning"), exact_match(prediction, gold)).otherwise(rouge_l(prediction, gold))
+    """The score that a question's kind asks for, over normalized texts: a tolerance, equality, or ROUGE-L."""
+    p, g = normalize_answer(F.coalesce(prediction, F.lit(""))), normalize_answer(F.coalesce(gold, F.lit("")))
+    analysis = F.when(qsubtype.isin(*WITH_TOLERANCE), answers_near(p, g)).when(qsubtype.isin(*TO_THE_LETTER), answers_match(p, g)).otherwise(rouge_l(p, g))
+    return F.when(qtype == "DataAnalysis", analysis).otherwise(answers_match(p, g))
 
 
 def final_answer(text: Column) -> Column:

@@ -63,9 +63,15 @@ def did(effects: DataFrame, references: dict[str, str] | None = None) -> DataFra
 
 def rank(
     effects: DataFrame, sort_by: str | None = None, top_k: int | None = None, confidence_min: float | None = None, min_effect: float | None = None, min_lift_in_pair: float | None = None,
-    require_sign: str | None = None, metric: str = "lift", descending: bool = True,
+    require_sign: str | None = None, metric: str = "lift", descending: bool = True, sort_secondary: str | list | None = None,
 ) -> DataFrame:
-    """Gates in order (confidence, pair maximum, size, sign), then sort, then the first k; undefined values come last."""
+    """Gates in order (confidence, pair maximum, size, sign), then sort, then the first k; undefined values come last.
+
+    ``sort_secondary`` breaks ties: columns, each falling unless it is given as (column, True).
+    """
+    second = [(x, False) if isinstance(x, str) else tuple(x) for x in ([sort_secondary] if isinstance(sort_secondary, str) else sort_secondary or [])]
+    if lost := [c for c, _ in second if c not in effects.columns]:
+        raise ValueError(f"cannot sort by {lost[0]!r}")
     if require_sign not in (None, "positive", "negative"):
         raise ValueError("require_sign is positive or negative")
     if top_k is not None and top_k < 0:
@@ -91,7 +97,7 @@ def rank(
     if sort_by is None:
         out = out.orderBy(*KEYS)
     else:
-        out = out.orderBy(F.col(sort_by).desc_nulls_last() if descending else F.col(sort_by).asc_nulls_last(), *KEYS)
+        out = out.orderBy(F.col(sort_by).desc_nulls_last() if descending else F.col(sort_by).asc_nulls_last(), *(F.col(c).asc_nulls_last() if up else F.col(c).desc_nulls_last() for c, up in second), *KEYS)
     return out if top_k is None else out.limit(top_k)
 
 

@@ -55,15 +55,27 @@ def oracle_gain(deltas: DataFrame) -> DataFrame:
     return best.agg(F.avg(F.greatest(F.lit(0.0), F.col("best"))).alias("oracle_gain"), F.count("*").alias("n_queries"))
 
 
-def evaluate_routing(model: RoutingModel, deltas: DataFrame) -> DataFrame:
-    """Gain by routes, the oracle's gain and their ratio."""
-    queries = deltas.select("query_id", *model.names).dropDuplicates(["query_id"])
-    routes = model.route(queries).select("query_id", "route")
+def evaluate_routes(routes: DataFrame, deltas: DataFrame) -> DataFrame:
+    """Gain by routes (query_id, route; a null route is the base), the oracle's gain, their ratio, and how many queries go to an edit and to the base.
+
+    A query that was not run with its route gains nothing.
+    """
     got = routes.join(deltas.select("query_id", F.col("primitive_id").alias("route"), "delta"), ["query_id", "route"], "left")
-    routed = got.agg(F.avg(F.coalesce("delta", F.lit(0.0))).alias("routing_gain"))
+    routed = got.agg(F.avg(F.coalesce("delta", F.lit(0.0))).alias("routing_gain"), F.count("route").alias("n_routed"), F.count_if(F.col("route").isNull()).alias("n_base"))
     return routed.join(oracle_gain(deltas)).withColumn("ratio", F.try_divide("routing_gain", "oracle_gain"))
 
 
+def selections(routes: DataFrame) -> DataFrame:
+    """How many queries each edit gets; null is the base."""
+    return routes.groupBy("route").agg(F.count("*").alias("n_queries"))
+
+
+def evaluate_routing(model: RoutingModel, deltas: DataFrame) -> DataFrame:
+    """``evaluate_routes`` of a model's routes."""
+    queries = deltas.select("query_id", *model.names).dropDuplicates(["query_id"])
+    return evaluate_routes(model.route(queries).select("query_id", "route"), deltas)
+
+
 def folds(deltas: DataFrame, k: int) -> DataFrame:
     return deltas.withColumn("fold", F.pmod(F.xxhash64("query_id"), F.lit(k)).cast("int"))
 
