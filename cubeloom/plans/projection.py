@@ -90,7 +90,7 @@ def ctes() -> str:
 # -- a design of many edits, features and configurations, over parts, suppliers and customers ----------------
 
 _EDITS = "CONCAT('u', CAST(2 * {0} AS VARCHAR(20)), CASE WHEN {0} % 3 = 0 THEN CONCAT(',u', CAST(2 * {0} + 1 AS VARCHAR(20))) ELSE '' END)"
-_A, _B = "(c_custkey % 10 + 1)", "(c_custkey % 7 + 2)"
+_A, _B = "(c_custkey % 8 + 1)", "(c_custkey % 7 + 2)"
 DESIGN = {
     "funcs": """
 SELECT CONCAT('u', CAST(p_partkey AS VARCHAR(20))) AS func_id, CASE WHEN p_partkey % 5 = 0 THEN 'set_format' ELSE 'insert_node' END AS func_type,

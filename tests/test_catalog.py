@@ -12,6 +12,8 @@ SF = "/root/testdata/sf0.001"
 SOME = [
     "score_diff", "lift_simple", "did", "add_one_deltas", "slice_scores", "slice_by_predicate", "predicate_overlap", "delta_table", "summarize_cells", "view_feature_effect", "query_predicate", "query_has_feature",
     "cohorts", "bm25", "knn", "conversation_history", "stream_daily", "pipeline_effects", "configs_containing_features", "table_markdown", "score_token_f1", "diagnostics", "hashed_bootstrap",
+    "mixed_bootstrap", "marginal_bootstrap", "bm25_index", "slice_by_meta", "filter_operators", "gold_answers", "sql_structure_flags", "sql_structure_names", "database_flags", "numbered_lines", "read_table_bench", "column_profile",
+    "table_filter_rows", "close_names", "error_hints", "simple_effect_configs", "list_configs_features", "trim_plan", "knn_all", "streamed_scores", "score_answers_match", "feature_predicate_table", "harm_cases", "score_denotation",
 ]
 
 
