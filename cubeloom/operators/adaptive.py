@@ -177,9 +177,9 @@ def make_analyzer(base: int, model: str, scorer: str, names: list[str], configs:
 
     def analyze(cube: Cube) -> dict[str, DataFrame | None]:
         deltas = build_delta_table(cube, base, model, scorer, names)
-        kinds = {r["name"]: r["kind"] for r in predicate_types(deltas, names).collect()}
+        kinds = {r["name"]: r["type"] for r in predicate_types(deltas, names).collect()}
         numeric = [n for n in names if kinds.get(n) == "numerical"]
-        cells = summarize_cells(deltas, [n for n in names if n not in numeric])
+        cells = summarize_cells(deltas, [n for n in names if n not in numeric] or names)
         slopes = None
         for n in numeric:
             one = regressions(deltas, n).withColumn("predicate_name", F.lit(n))

@@ -32,3 +32,5 @@ def test_analyzer_plans_the_next_round(spark):
     configs = spark.createDataFrame([("fa", 2), ("fb", 3)], "primitive_id string, config_id bigint")
     out = adaptive.make_analyzer(1, "alpha", "exact", ["lang"], configs, 3)(projected(spark, "/root/testdata/sf0.001"))
     assert out["targets"].count() == 10 and len(adaptive.insights(out["classes"])) == out["classes"].count()
+    out = adaptive.make_analyzer(1, "alpha", "exact", ["lang", "n_chars"], configs, 3)(projected(spark, "/root/testdata/sf0.001"))
+    assert {r.predicate_name for r in out["slopes"].collect()} == {"n_chars"} and {r.predicate_name for r in out["cells"].collect()} == {"lang"}
