@@ -1,7 +1,6 @@
 import pytest
 from pyspark.sql import functions as F
 
-from cubeloom.functions import sql_features as Q
 from cubeloom.prompt import state as P
 
 FUNCS = [
@@ -34,18 +33,3 @@ def test_order_in_sql_is_the_folds(spark):
 def test_render(spark):
     got = P.render_prompts(P.fold(FUNCS), spark.createDataFrame([("a?",)], "question string")).first()
     assert got.user_content == "question: a?" and "verdict" in got.system_prompt
-
-
-def test_sql_features(spark):
-    sql = "SELECT a, b, c, d, e FROM t JOIN u ON t.x = u.x JOIN v ON 1=1 WHERE a IN (SELECT 1) AND b = 2 AND c IS NOT NULL;"
-    row = spark.range(1).select(*(c.alias(n) for n, c in Q.flags(F.lit(sql)).items()), Q.tables_of(F.lit(sql)).alias("t")).first()
-    assert row.wrong_has_join == row.wrong_multi_join == row.wrong_has_subquery == row.wrong_wide_select == row.wrong_multi_table == "yes" and row.wrong_has_union == "no"
-    assert row.t == ["t", "u", "v"]
-    assert Q.parses(spark, "select 1") and not Q.parses(spark, "selec 1 form")
-
-
-def test_sql_hints():
-    ddl = "CREATE TABLE people (id INT, name TEXT, PRIMARY KEY (id));\nCREATE TABLE pets (id INT, owner INT REFERENCES people(id));\nCREATE TABLE cars (id INT);"
-    assert "people" in Q.error_hint("no such table: peple", ddl)
-    assert Q.error_hint("no such column: t.owner", ddl) == "Column owner is in pets."
-    assert "cars" not in Q.focus_schema(ddl, "select * from people") and "pets" in Q.focus_schema(ddl, "select * from people")

@@ -54,3 +54,10 @@ def test_a_long_statement(spark):
     sql = "SELECT a FROM t WHERE x IN (" + ", ".join("'" + "y" * 3000 + "'" for _ in range(30)) + ") /* " + "z" * 20000 + " */"
     r = spark.range(1).select(Q.walked(F.lit(sql)).alias("w")).select(Q.tables_of(F.col("w")).alias("t"), F.size("w").alias("n")).first()
     assert r.t == ["t"] and r.n == 8 + 30 + 29 + 1
+
+
+def test_closing_semicolon_and_many_parts(spark):
+    sql = "SELECT a, b, c, d, e FROM t JOIN u ON t.x = u.x JOIN v ON 1=1 WHERE a IN (SELECT 1) AND b = 2 AND c IS NOT NULL;"
+    row = spark.range(1).select(Q.walked(F.lit(sql)).alias("w")).select(*(c.alias(n) for n, c in Q.flags(F.col("w")).items()), Q.tables_of(F.col("w")).alias("t")).first()
+    assert row.wrong_has_join == row.wrong_multi_join == row.wrong_has_subquery == row.wrong_wide_select == row.wrong_multi_table == row.wrong_many_conditions == "yes" and row.wrong_has_union == "no"
+    assert row.t == ["t", "u", "v"]
