@@ -193,6 +193,9 @@ on_cube("gold_answers", lambda c: c.query.select("query_id", X.gold_answer(F.col
 on_cube("dataset_scope_rows", lambda c: X.dataset_scope(c, True, M, SC, compat=True), f"{ONE} SELECT dataset, CASE WHEN coalesce(split, '') = '' THEN '(no split)' ELSE split END AS split, count(*) AS n_rows, count(DISTINCT query_id) AS n_queries FROM queries JOIN s USING (query_id) GROUP BY ALL")
 on_cube("query_meta_fields", lambda c: X.meta_fields(c.query.select(X.compact_meta(F.col("meta")).alias("meta")), "meta").select("key", "n_rows"), "SELECT key, count(*) AS n_rows FROM (SELECT unnest(json_keys(meta)) AS key FROM queries) WHERE key <> '_raw' GROUP BY 1")
 
+on_cube("base_means", lambda c: X.base_means(c, M, SC, 1, "predicate.lang"), f"{ONE}, b AS (SELECT value, score FROM s JOIN predicates USING (query_id) WHERE config_id = 1 AND name = 'lang') SELECT value, count(*) AS n, round(avg(score), 6) AS avg_score FROM b GROUP BY 1 UNION ALL SELECT '(all)', count(*), round(avg(score), 6) FROM s WHERE config_id = 1")
+on_cube("plan_delete_preview", lambda c: X.plan_delete_preview(c, [M], [2, 3], [("query.meta.flag", "=", True), ("dataset", "!=", "src3")]), f"SELECT execution_id, config_id, e.query_id, model, error FROM executions e JOIN queries q ON q.query_id = e.query_id WHERE model = '{M}' AND config_id IN (2, 3) AND meta->>'$.flag' = 'true' AND dataset <> 'src3' ORDER BY 1 LIMIT 20")
+
 # -- effects ------------------------------------------------------------------
 _LIFT = f"{MEANS}, lift AS MATERIALIZED (SELECT c.canonical_id, t.predicate_name, t.predicate_value, t.m AS target_mean, b.m AS base_mean, t.m - b.m AS lift, t.n AS n_target, coalesce(b.n, 0) AS n_base FROM pm t JOIN configs c USING (config_id) LEFT JOIN pm b ON b.config_id = 1 AND b.predicate_name = t.predicate_name AND b.predicate_value = t.predicate_value WHERE c.kind = 'add_one_feature')"
 _DID = f"{_LIFT}, ref AS (SELECT predicate_name, min(predicate_value) AS reference FROM lift GROUP BY 1 HAVING count(DISTINCT predicate_value) = 2), dd AS MATERIALIZED (SELECT l.*, reference, lift - max(CASE WHEN predicate_value = reference THEN lift END) OVER (PARTITION BY canonical_id, l.predicate_name) AS did FROM lift l LEFT JOIN ref USING (predicate_name))"
@@ -269,6 +272,8 @@ _SQL["pipeline_effects"] = f"{CTES}, {_DID} SELECT canonical_id, predicate_name,
 
 # -- matching of sets ---------------------------------------------------------
 on_design("find_config_by_features", lambda c: resolve.find_config_by_features(c, ["feat_3", "feat_5"]), "SELECT config_id FROM config_features JOIN features USING (feature_id) GROUP BY 1 HAVING count(*) = 2 AND bool_and(canonical_id IN ('feat_3', 'feat_5'))")
+on_design("near_configs", lambda c: resolve.near_configs(c, ["feat_3", "feat_7", "feat_9"], 12),
+          "w AS (SELECT feature_id FROM features WHERE canonical_id IN ('feat_3', 'feat_7', 'feat_9')), g AS (SELECT config_id, count(*) AS held, count(*) FILTER (feature_id IN (SELECT feature_id FROM w)) AS shared FROM config_features GROUP BY 1), d AS (SELECT config_id, 3 - shared AS missing, held - shared AS extra FROM g WHERE shared > 0) SELECT *, row_number() OVER (ORDER BY missing + extra, config_id)::INT AS rank FROM d QUALIFY rank <= 12")
 on_design("configs_containing_features", resolve.configs_containing_features, "SELECT f.canonical_id, c.config_id FROM features f, configs c WHERE list_has_all(string_split(c.funcs, ','), string_split(f.funcs, ','))")
 on_design("simple_effect_configs", lambda c: resolve.simple_effect_configs(c, 1),
           """x AS (SELECT config_id, canonical_id, kind, list_sort(list_filter(string_split(funcs, ','), lambda f: f <> 'u1')) AS extra, (SELECT list_sort(list(feature_id)) FROM config_features k WHERE k.config_id = c.config_id) AS ids FROM configs c WHERE config_id <> 1),

@@ -53,3 +53,29 @@ def simple_effect_configs(cube: Cube, base: int) -> DataFrame:
 def same_funcs(cube: Cube) -> DataFrame:
     """Groups of configurations with equal func multisets."""
     return cube.config.groupBy(config_key(F.col("func_ids")).alias("key")).agg(F.count("*").alias("n"), F.min("config_id").alias("first_config"))
+
+
+def near_configs(cube: Cube, canonical_ids: list[str], k: int = 3) -> DataFrame:
+    """``config_id, missing, extra, rank``: the configurations whose features differ least from these, by wanted features that they lack and others that they have.
+
+    Only configurations that share a feature with the wanted ones are compared.
+    """
+    ids = cube.feature.where(F.col("canonical_id").isin(canonical_ids)).select("feature_id")
+    sizes = cube.config_feature.select("config_id", "feature_id").distinct()
+    shared = sizes.join(ids, "feature_id", "left_semi").groupBy("config_id").agg(F.count("*").alias("shared"))
+    both = sizes.join(shared.select("config_id"), "config_id", "left_semi").groupBy("config_id").agg(F.count("*").alias("held")).join(shared, "config_id")
+    differ = both.select("config_id", (F.lit(len(set(canonical_ids))) - F.col("shared")).alias("missing"), (F.col("held") - F.col("shared")).alias("extra"))
+    nearest = differ.orderBy(F.col("missing") + F.col("extra"), "config_id").limit(k)
+    return nearest.withColumn("rank", F.row_number().over(Window.orderBy(F.col("missing") + F.col("extra"), "config_id")))
+
+
+def config_by_features(cube: Cube, canonical_ids: list[str]) -> int:
+    """The least configuration with exactly these features; else an error that names unknown features or the nearest configurations."""
+    known = {r["canonical_id"] for r in cube.feature.where(F.col("canonical_id").isin(canonical_ids)).select("canonical_id").collect()}
+    if unknown := sorted(set(canonical_ids) - known):
+        raise ValueError(f"no such feature: {', '.join(unknown)}")
+    found = find_config_by_features(cube, canonical_ids).agg(F.min("config_id").alias("c")).first()["c"]
+    if found is None:
+        near = "; ".join(f"{r['config_id']} lacks {r['missing']} and has {r['extra']} more" for r in near_configs(cube, canonical_ids).orderBy("rank").collect())
+        raise ValueError("no configuration has exactly these features" + (f"; nearest: {near}" if near else ""))
+    return found

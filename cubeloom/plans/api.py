@@ -12,6 +12,7 @@ GET = {
     "summary": lambda c, a: {k: rows(v) for k, v in inventory.summary(c).items()},
     "configs": lambda c, a: rows(X.list_configs_detailed(c, a["scorer"])),
     "predicates": lambda c, a: rows(X.predicate_fields(c)),
+    "meta-fields": lambda c, a: rows(X.meta_fields(c.query.select(X.compact_meta(X.F.col("meta")).alias("meta")), "meta")),
     "artifact": lambda c, a: rows(X.execution_artifact(c, int(a["execution_id"]))),
 }
 POST = {
@@ -21,6 +22,7 @@ POST = {
     "compare-examples": lambda c, a: rows(X.comparison_examples(c, a["base"], a["target"], a["model"], a["scorer"], a["direction"], a.get("limit", 50))),
     "diagnostics": lambda c, a: rows(X.diagnostics(c, a["model"], a["scorer"], a.get("config_id"))),
     "feature-labels": lambda c, a: rows(X.label_analysis(c, a["model"], a["scorer"], a["base"])),
+    "plan-delete-preview": lambda c, a: rows(X.plan_delete_preview(c, a.get("models", []), a.get("config_ids", []), [tuple(f) for f in a.get("filters", [])], a.get("limit", 20))),
     "plan-delete": lambda c, a: rows(X.plan_delete(c, a.get("models", []), a.get("config_ids", []), [tuple(f) for f in a.get("filters", [])])),
 }
 

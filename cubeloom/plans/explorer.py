@@ -245,8 +245,13 @@ def dataset_scope(cube: Cube, only_with_results: bool = False, model: str | None
     return by.agg(F.count("*").alias("n_rows"), F.count_distinct("query_id").alias("n_queries")) if compat else by.agg(F.count("*").alias("n_queries"))
 
 
-def plan_delete(cube: Cube, models: list[str] = (), config_ids: list[int] = (), filters=()) -> DataFrame:
-    """What a deletion would take; nothing is deleted, and at least one filter is required."""
+def base_means(cube: Cube, model: str, scorer: str, base: int, field: str) -> DataFrame:
+    """``value, n, avg_score`` of the base by a field's value, and over all as the value '(all)'."""
+    rows = scored(cube, model, scorer, fields=[field]).where(F.col("config_id") == base).select(F.coalesce(dimension(field).cast("string"), F.lit("(none)")).alias("value"), "score")
+    return rows.rollup("value").agg(F.count("*").alias("n"), F.avg("score").alias("avg_score")).select(F.coalesce("value", F.lit("(all)")).alias("value"), "n", "avg_score")
+
+
+def _to_delete(cube: Cube, models: list[str] = (), config_ids: list[int] = (), filters=()) -> DataFrame:
     if not (models or config_ids or filters):
         raise ValueError("a deletion needs a filter")
     named = [f for f, *_ in filters]
@@ -257,10 +262,21 @@ def plan_delete(cube: Cube, models: list[str] = (), config_ids: list[int] = (),
         rows = rows.where(F.col("config_id").isin(list(config_ids)))
     for f in filters:
         rows = rows.where(filter_column(*f))
-    both = rows.select("execution_id", "query_id").join(cube.evaluation.select("execution_id", "eval_id"), "execution_id", "left")
+    return rows
+
+
+def plan_delete(cube: Cube, models: list[str] = (), config_ids: list[int] = (), filters=()) -> DataFrame:
+    """What a deletion would take; nothing is deleted, and at least one filter is required."""
+    rows = _to_delete(cube, models, config_ids, filters).select("execution_id", "query_id")
+    both = rows.join(cube.evaluation.select("execution_id", "eval_id"), "execution_id", "left")
     return both.agg(F.count_distinct("execution_id").alias("n_executions"), F.count("eval_id").alias("n_evaluations"), F.count_distinct("query_id").alias("n_queries"))
 
 
+def plan_delete_preview(cube: Cube, models: list[str] = (), config_ids: list[int] = (), filters=(), limit: int = 20) -> DataFrame:
+    """The first executions that a deletion would take."""
+    return _to_delete(cube, models, config_ids, filters).select("execution_id", "config_id", "query_id", "model", "error").orderBy("execution_id").limit(limit)
+
+
 def recent(cube: Cube, n: int = 20) -> DataFrame:
     return cube.execution.orderBy(F.desc("created_at"), F.desc("execution_id")).select("execution_id", "config_id", "query_id", "model").limit(n)
 

@@ -140,3 +140,13 @@ def test_pipeline_shares_stages_and_renders(cube):
     assert "feat_a" in text and len(p.cache) == 5
     assert p.hashes()["effect"] == p.rank("did").hashes()["effect"]
     assert p.rank("lift").render("html").run().startswith("<!doctype html>")
+
+
+def test_a_missing_configuration_names_its_neighbours(cube):
+    from cubeloom.operators import resolve
+
+    assert resolve.config_by_features(cube, ["feat_a"]) == 2
+    with pytest.raises(ValueError, match="no such feature: nothing"):
+        resolve.config_by_features(cube, ["feat_a", "nothing"])
+    with pytest.raises(ValueError, match="nearest: 2 lacks 1 and has 0 more; 3 lacks 1 and has 0 more"):
+        resolve.config_by_features(cube, ["feat_a", "feat_b"])
