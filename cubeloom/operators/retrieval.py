@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,60 +49,124 @@ def normalized(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / F.sqrt(dot(v, v)))
 
 
-def knn(vectors: DataFrame, probes: DataFrame, k: int = 3) -> DataFrame:
-    """Exact nearest vectors by dot product: a stated probe set against all rows.
-
-    Spark broadcasts the probes while they are below its threshold and joins
-    block by block beyond; the rank filter keeps k rows a probe and task
-    before the shuffle.
+#: Probes of one product; probes and vectors of a task; vectors of one product.
+BLOCK, ASKED, AGAINST, CHUNK = 256, 1 << 15, 1 << 14, 1 << 12
+_NULL = -1e290
+
+
+def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, lengths (-1: null, or with a null number) and the numbers as 64-bit floats end to end, by id."""
+    table = table.sort_by("vec_id")
+    lists = table.column("embedding").combine_chunks()
+    lengths = np.asarray(pc.fill_null(pc.list_value_length(lists), -1), np.int64)
+    flat = lists.flatten()
+    if flat.null_count:
+        of = np.repeat(np.arange(len(lengths)), np.maximum(lengths, 0))
+        holed = np.isin(of, of[np.asarray(pc.is_null(flat))])
+        lengths[np.unique(of[holed])] = -1
+        flat = flat.filter(pa.array(~holed))
+    return np.asarray(table.column("vec_id"), np.int64), lengths, flat.to_numpy(zero_copy_only=False).astype(float)
+
+
+def _products(p: np.ndarray, p_len: np.ndarray, b: np.ndarray, b_len: np.ndarray) -> np.ndarray:
+    """Dot products of two runs of vectors; ``_NULL`` where one is null or the lengths differ, and above all others where one is no number."""
+    if (p_len == p_len[0]).all() and (b_len == p_len[0]).all() and p_len[0] > 0:
+        scores = p.reshape(len(p_len), -1) @ b.reshape(len(b_len), -1).T
+    else:
+        scores = np.full((len(p_len), len(b_len)), _NULL)
+        for w in np.intersect1d(p_len[p_len >= 0], b_len):
+            some = lambda v, n: v[np.repeat(n == w, np.maximum(n, 0))].reshape(int((n == w).sum()), w)  # noqa: B023, E731
+            scores[np.ix_(p_len == w, b_len == w)] = some(p, p_len) @ some(b, b_len).T
+    return scores if np.isfinite(p).all() and np.isfinite(b).all() else np.nan_to_num(scores, nan=-_NULL)
+
+
+def _least(scores: np.ndarray, k: int) -> np.ndarray:
+    """A number for each row that k scores or more reach: the k-th largest of the maxima of groups."""
+    groups = max(64, 2 * k)
+    wide = scores.shape[1] // groups
+    if not wide:
+        return np.full(len(scores), -np.inf)
+    most = scores[:, : groups * wide].reshape(len(scores), groups, wide).max(axis=2)
+    return np.partition(most, groups - k, axis=1)[:, groups - k]
+
+
+def _best_of(k: int, block: int):
+    """The k best of a tile of vectors for each probe of a tile, by score to six places and then by id.
+
+    Vectors come by id, so that one that only equals the k-th best so far is
+    out; few scores reach the bound, and only those are rounded and sorted.
     """
-    pairs = vectors.select(F.col("vec_id").alias("neighbour"), "embedding").crossJoin(probes.select(F.col("vec_id").alias("probe"), F.col("embedding").alias("q")))
-    scored = pairs.where("probe <> neighbour").select("probe", "neighbour", F.round(dot(F.col("q"), F.col("embedding")), 6).alias("score"))
-    order = Window.partitionBy("probe").orderBy(F.desc("score"), "neighbour")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
-BLOCK = 4096
-
-
-def _packed(vectors: DataFrame, block: int, name: str) -> DataFrame:
-    """Blocks of vectors, one row each: their ids, and their numbers end to end as 64-bit floats."""
-    n_blocks = vectors.agg(F.greatest(F.ceil(F.count("*") / block), F.lit(1)).cast("int").alias(f"{name}s"))
-    dealt = vectors.join(n_blocks).withColumn(name, F.pmod(F.xxhash64("vec_id"), F.col(f"{name}s")).cast("int"))
-    return dealt.groupBy(name, f"{name}s").agg(F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))).alias("rows")).select(name, f"{name}s", F.transform("rows", lambda r: r["vec_id"]).alias(f"{name}_ids"), F.flatten(F.transform("rows", lambda r: r["embedding"])).alias(f"{name}_data"))
 
-
-def _best_of(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                part = lambda name: batch.column(batch.schema.get_field_index(name))[i].values.to_numpy(zero_copy_only=False)  # noqa: B023, E731
-                ids, probes = part("b_ids"), part("p_ids")
-                scores = np.round(part("p_data").astype(float).reshape(len(probes), -1) @ part("b_data").astype(float).reshape(len(ids), -1).T, 6)
-                scores[probes[:, None] == ids[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
-                best = np.take_along_axis(scores, order, axis=1).ravel()
-                real = np.isfinite(best)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(probes, order.shape[1])[real]), pa.array(ids[order].ravel()[real]), pa.array(best[real])], names=["probe", "neighbour", "score"])
+    def run(asked: pa.Table, against: pa.Table) -> pa.Table:
+        probes, p_len, p_data = _matrix(asked)
+        ids, b_len, b_data = _matrix(against)
+        p_at, b_at = (np.concatenate([[0], np.cumsum(np.maximum(n, 0))]) for n in (p_len, b_len))
+        out = []
+        for i in range(0, len(probes), block):
+            mine = probes[i : i + block]
+            n = len(mine)
+            best, best_id = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
+            for j in range(0, len(ids), CHUNK):
+                theirs = ids[j : j + CHUNK]
+                scores = _products(p_data[p_at[i] : p_at[i + n]], p_len[i : i + n], b_data[b_at[j] : b_at[j + len(theirs)]], b_len[j : j + CHUNK])
+                first, last = np.searchsorted(theirs, mine), np.searchsorted(theirs, mine, "right")
+                for r in np.flatnonzero(first < last):
+                    scores[r, first[r] : last[r]] = -np.inf
+                reach = np.maximum(_least(scores, k) - 1.1e-6, best[:, -1] + 0.4e-6)
+                row, col = np.nonzero(scores >= reach[:, None])
+                found = scores[row, col]
+                found = np.copysign(np.floor(np.abs(found) * 1e6 + 0.5) / 1e6, found)
+                rows = np.concatenate([np.repeat(np.arange(n), k), row])
+                all_scores, all_ids = np.concatenate([best.ravel(), found]), np.concatenate([best_id.ravel(), theirs[col]])
+                order = np.lexsort((all_ids, -all_scores, rows))
+                starts = np.searchsorted(rows[order], np.arange(n))
+                order = order[(starts[:, None] + np.arange(k)).ravel()]
+                best, best_id = all_scores[order].reshape(n, k), all_ids[order].reshape(n, k)
+            real = np.isfinite(best)
+            out.append((np.repeat(mine, k)[real.ravel()], best_id[real], best[real]))
+        probe, neighbour, score = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        score = np.where(score > -_NULL / 2, np.nan, score)
+        return pa.table({"probe": probe, "neighbour": neighbour, "score": pa.array(score, mask=score < _NULL / 2)})
 
     return run
 
 
 def knn_blocks(vectors: DataFrame, probes: DataFrame, k: int = 3, block: int = BLOCK, text: str | None = None) -> DataFrame:
-    """Exact nearest vectors of many probes: a matrix product for each pair of blocks, of which the best k of each probe go on.
-
-    ``vectors`` and ``probes`` have vec_id and embedding.  With a ``text``
-    column, equal texts among the vectors count once, under the least id.  A
-    task holds two blocks and their product; ties go by id.
+    """Exact nearest vectors of many probes: matrix products of ``block`` probes with some thousand vectors, of which the best k of each probe go on.
+
+    ``vectors`` and ``probes`` have vec_id (a whole number) and embedding.
+    With a ``text`` column, equal texts among the vectors count once, under
+    the least id.  Both sides are dealt into tiles of a fixed size by the hash
+    of the id, and a task meets two tiles, so its memory is bounded; a vector
+    is sent once for each tile of the other side.  Scores have six places and
+    ties go by id; a null vector, or one of another length, has a null score
+    and comes last.
     """
     pool = vectors if text is None else vectors.groupBy(text).agg(F.min_by(F.struct("vec_id", "embedding"), "vec_id").alias("v")).select("v.*")
-    against, asked = _packed(pool.select("vec_id", "embedding"), block, "b"), _packed(probes.select("vec_id", "embedding"), block, "p")
-    pairs = asked.join(against.agg(F.max("bs").alias("n"))).select("p", "p_ids", "p_data", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("b"))
-    met = pairs.join(against, "b").select("p_ids", "p_data", "b_ids", "b_data").mapInArrow(_best_of(k), "probe long, neighbour long, score double")
+    tiles = lambda df, size, name: df.agg(F.greatest(F.ceil(F.count("*") / size), F.lit(1)).cast("int").alias(name))
+    dealt = tiles(vectors, AGAINST, "bs").join(tiles(probes, ASKED, "ps"))
+    own = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = probes.dropna(subset=["vec_id"]).join(dealt).select(own("ps").alias("p"), every("bs").alias("b"), F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("embedding"))
+    against = pool.dropna(subset=["vec_id"]).join(dealt).select(every("ps").alias("p"), own("bs").alias("b"), F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("embedding"))
+    met = asked.groupBy("p", "b").cogroup(against.groupBy("p", "b")).applyInArrow(_best_of(k, block), "probe long, neighbour long, score double")
     order = Window.partitionBy("probe").orderBy(F.desc("score"), "neighbour")
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def knn(vectors: DataFrame, probes: DataFrame, k: int = 3) -> DataFrame:
+    """Exact nearest vectors by dot product: a stated probe set against all rows.
+
+    Spark broadcasts the probes while they are below its threshold and joins
+    block by block beyond; the rank filter keeps k rows a probe and task
+    before the shuffle.
+    """
+    pairs = vectors.select(F.col("vec_id").alias("neighbour"), "embedding").crossJoin(probes.select(F.col("vec_id").alias("probe"), F.col("embedding").alias("q")))
+    scored = pairs.where("probe <> neighbour").select("probe", "neighbour", F.round(dot(F.col("q"), F.col("embedding")), 6).alias("score"))
+    order = Window.partitionBy("probe").orderBy(F.desc("score"), "neighbour")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def mmr(candidates: DataFrame, k: int = 3, diversity: float = 0.3) -> DataFrame:
     """Maximal marginal relevance over each probe's candidates (probe, neighbour, score, embedding)."""
 

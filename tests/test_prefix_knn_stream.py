@@ -34,6 +34,37 @@ def test_knn_in_blocks(spark):
     assert retrieval.knn_blocks(df.limit(0), df, 3).count() == 0
 
 
+def nearest(rows, probe, k):
+    """By plain Python: rows of (id, numbers or None); null scores last, ties by id."""
+    of = dict(rows)[probe]
+    score = lambda v: None if v is None or of is None or len(v) != len(of) else round(sum(map(float.__mul__, of, v)), 6)
+    found = sorted(((score(v) is None, -(score(v) or 0.0), i) for i, v in rows if i != probe))
+    return [i for _, _, i in found[:k]]
+
+
+def odd_vectors(n=180):
+    rng = np.random.default_rng(1)
+    rows = [(i, [1.0, 2.0, 0.5, 1.0] if i % 3 == 0 else rng.normal(size=4).round(3).tolist()) for i in range(n)]
+    return rows[:-4] + [(n - 4, None), (n - 3, [1.0]), (n - 2, [1.0, 2.0]), (n - 1, [])]
+
+
+def ranked(df):
+    got = {}
+    for r in df.collect():
+        got.setdefault(r.probe, []).append((r.rank, r.neighbour))
+    return {p: [i for _, i in sorted(v)] for p, v in got.items()}
+
+
+def test_knn_blocks_by_tiles_sends_a_vector_once_for_each_tile(spark, monkeypatch):
+    for name, size in (("ASKED", 50), ("AGAINST", 40), ("CHUNK", 16)):
+        monkeypatch.setattr(retrieval, name, size)
+    rows = odd_vectors()
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert ranked(retrieval.knn_blocks(df, df, 4, block=2)) == {i: nearest(rows, i, 4) for i, _ in rows}
+    plan = retrieval.knn_blocks(df, df, 4, block=2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan, "pairs of blocks are not rows of a shuffle"
+
+
 def test_streamed_scores_survive_restarts(spark, tmp_path):
     arrived, out, checkpoint = (f"file://{tmp_path}/{n}" for n in ("in", "out", "check"))
     gold = spark.createDataFrame([(f"q{i}", str(i)) for i in range(4)], "query_id string, gold string")
