@@ -155,16 +155,8 @@ def knn_blocks(vectors: DataFrame, probes: DataFrame, k: int = 3, block: int = B
 
 
 def knn(vectors: DataFrame, probes: DataFrame, k: int = 3) -> DataFrame:
-    """Exact nearest vectors by dot product: a stated probe set against all rows.
-
-    Spark broadcasts the probes while they are below its threshold and joins
-    block by block beyond; the rank filter keeps k rows a probe and task
-    before the shuffle.
-    """
-    pairs = vectors.select(F.col("vec_id").alias("neighbour"), "embedding").crossJoin(probes.select(F.col("vec_id").alias("probe"), F.col("embedding").alias("q")))
-    scored = pairs.where("probe <> neighbour").select("probe", "neighbour", F.round(dot(F.col("q"), F.col("embedding")), 6).alias("score"))
-    order = Window.partitionBy("probe").orderBy(F.desc("score"), "neighbour")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    """Exact nearest vectors by dot product: a stated probe set against all rows, by ``knn_blocks``."""
+    return knn_blocks(vectors, probes, k)
 
 
 def mmr(candidates: DataFrame, k: int = 3, diversity: float = 0.3) -> DataFrame:

@@ -84,3 +84,12 @@ def test_streamed_scores_survive_restarts(spark, tmp_path):
     assert run() == [(1, 1.0), (2, 0.0), (3, 0.0), (4, None)], "what is delivered again keeps its first score"
     batch = scoring.scored(spark.read.parquet(arrived).dropDuplicates(["execution_id", "prediction"]), gold, scorers.exact_match, "em")
     assert batch.count() == 4
+
+
+def test_probes_meet_vectors_in_matrix_products(spark):
+    rows = odd_vectors(120)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = retrieval.knn(df, df.where("vec_id % 5 = 0"), 3)
+    assert ranked(found) == {i: nearest(rows, i, 3) for i, _ in rows if i % 5 == 0}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "zip_with" not in plan and "FlatMapCoGroupsInArrow" in plan, "no pair of vectors is a row"
