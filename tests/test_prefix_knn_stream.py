@@ -93,3 +93,12 @@ def test_probes_meet_vectors_in_matrix_products(spark):
     assert ranked(found) == {i: nearest(rows, i, 3) for i, _ in rows if i % 5 == 0}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "zip_with" not in plan and "FlatMapCoGroupsInArrow" in plan, "no pair of vectors is a row"
+
+
+def test_examples_come_from_matrix_products(spark):
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(90, 4)).round(3)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    found = retrieval.sample_examples(df, df.where("vec_id % 30 = 0"), k=2, diversity=0.0)
+    assert ranked(found) == {p: sorted((i for i in range(90) if i != p), key=lambda i: (-round(float(v[p] @ v[i]), 6), i))[:2] for p in (0, 30, 60)}
+    assert "zip_with" not in found._jdf.queryExecution().optimizedPlan().toString()
