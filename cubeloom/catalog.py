@@ -467,7 +467,9 @@ _PLANTED = {
 
 
 def _statements(t) -> DataFrame:
-    return t("part").select("p_partkey", sql_structure.walked(F.expr(_STATEMENT)).alias("w"))
+    # a small file of keys is much work: more tasks than the file has splits
+    part = t("part").select("p_partkey", "p_size")
+    return part.repartition(4 * part.sparkSession.sparkContext.defaultParallelism, "p_partkey").select("p_partkey", sql_structure.walked(F.expr(_STATEMENT)).alias("w"))
 
 
 def _sql_flags(t) -> DataFrame:

@@ -1,7 +1,7 @@
 """The structure of SQL text by its nesting, as Column expressions.
 
 A statement is cut into tokens (strings and comments are one token each), and
-one ``aggregate`` walks over them with a stack of open parentheses.  Each level
+a small walk in Arrow batches keeps a stack of open parentheses.  Each level
 knows whether it is a subquery, the body of a common table, EXISTS, a call or a
 mere group, and in which clause it is.  Flags, tables and aliases are then read
 off the walked tokens, so that words in strings, comments and quoted names, and
@@ -15,10 +15,15 @@ names.
 from __future__ import annotations
 
 import functools
+import itertools
+import re
+import string
 from operator import or_
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, MapType, StringType, StructField, StructType
 
 TOKEN = (
     r"--[^\n]*+|/\*[^*]*+\*++(?:[^/*][^*]*+\*++)*+/|'[^']*+(?:''[^']*+)*+'|" + r'"[^"]*+(?:""[^"]*+)*+"|`[^`]*+`|\[[^\]]*+\]|'
@@ -40,7 +45,6 @@ FLAGS = (
     "has_exists", "multi_join", "multi_table", "many_conditions", "wide_select", "has_math", "has_string_op", "has_date_func", "has_null_check", "has_or", "has_not",
 )
 
-_LEVEL = "struct<kind:string,clause:string,at:int,between:boolean,table_next:boolean,alias_next:boolean,table:string>"
 _WALKED = "struct<t:string,k:string,name:string,prev:string,prev_k:string,next:string,i:int,depth:int,queries:int,subqueries:int,clause:string,at:int,where_at:int,having_at:int,logic:boolean,role:string,of:string>"
 
 
@@ -49,84 +53,106 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def tokens(sql: Column) -> Column:
-    """``k`` (w word, q quoted name, s string, n number, o other), ``t`` in lower case, ``name`` as written without quotes; comments go."""
-    found = F.filter(F.regexp_extract_all(F.coalesce(sql, F.lit("")), F.lit(TOKEN), F.lit(0)), lambda t: ~(t.startswith("--") | (t.startswith("/*") & (F.length(t) > 3))))
-    first = lambda t: F.substring(t, 1, 1)
-    long = lambda t: F.length(t) > 1
-    kind = lambda t: (
-        F.when(first(t).rlike("[A-Za-z_]"), "w").when((first(t) == "'") & long(t), "s").when(first(t).isin('"', "`", "[") & long(t), "q").when(first(t).rlike("[0-9]"), "n").otherwise("o")
-    )
-    inner = lambda t: F.substr(t, F.lit(2), F.length(t) - 2)
-    return F.transform(found, lambda t: F.struct(kind(t).alias("k"), F.lower(t).alias("t"), F.when(kind(t) == "q", inner(t)).otherwise(t).alias("name")))
-
-
-def _level(kind: Column, clause: Column, at: Column, table_next: Column) -> Column:
-    no = F.lit(False)
-    return F.struct(kind.alias("kind"), clause.alias("clause"), at.alias("at"), no.alias("between"), table_next.alias("table_next"), no.alias("alias_next"), F.lit(None).cast("string").alias("table")).cast(_LEVEL)
-
-
-def _step(toks: Column, state: Column, i: Column) -> Column:
-    stack, out = state["stack"], state["out"]
-    tok = F.get(toks, i)
-    t, k = tok["t"], tok["k"]
-    none = F.lit("")
-    prev, prev_k, following = F.coalesce(F.get(toks, i - 1)["t"], none), F.coalesce(F.get(toks, i - 1)["k"], none), F.coalesce(F.get(toks, i + 1)["t"], none)
-    top = F.element_at(stack, -1)
-    in_query = top["kind"].isin("root", "sub", "exists", "cte")
-    in_from = (top["clause"] == "from") & (in_query | (top["kind"] == "group"))
-    word = k == "w"
-    opens, closes = t == "(", t == ")"
-
-    # the level after this token, when it stays
-    starts_clause = word & in_query & t.isin("select", "from", "where", "group", "having", "order", "limit", "with", "union", "intersect", "except") & ~((t == "from") & (prev == "distinct")) & ~((t == "group") & (following != "by"))
-    on = word & in_from & t.isin("on", "using")
-    back = in_query & (top["clause"] == "on") & ((word & (t == "join")) | (t == ","))
-    clause = F.when(starts_clause, t).when(on, F.lit("on")).when(back, F.lit("from")).otherwise(top["clause"])
-    at = F.when(starts_clause, i).otherwise(top["at"])
-    name_like = (k == "q") | (word & ~t.isin(*NOT_NAMES))
-    qualifier = following == "."
-    is_table = in_from & top["table_next"] & name_like & ~qualifier & (following != "(")
-    is_alias = in_from & top["alias_next"] & name_like
-    table_next = F.when(starts_clause, t == "from").when(word & (t == "join"), in_from | back).when(t == ",", in_from | back).when(is_table | (name_like & ~qualifier), False).otherwise(top["table_next"] & ((t == ".") | name_like | (t == "lateral")))
-    alias_next = F.when(is_table, True).when(word & (t == "as"), top["alias_next"]).otherwise(False)
-    table = F.when(is_table, tok["name"]).otherwise(top["table"])
-    between = F.when(word & (t == "between"), True).when(word & (t == "and"), False).otherwise(top["between"])
-    stays = F.struct(top["kind"].alias("kind"), clause.alias("clause"), at.alias("at"), between.alias("between"), table_next.alias("table_next"), alias_next.alias("alias_next"), table.alias("table")).cast(_LEVEL)
-
-    query_next = following.isin("select", "with", "values")
-    kind = (
-        F.when(query_next & (prev == "exists"), "exists").when(query_next & prev.isin("as", "materialized") & (top["clause"] == "with"), "cte").when(query_next, "sub")
-        .when(((prev_k == "w") & ~prev.isin(*NOT_NAMES)) | (prev_k == "q"), "call").otherwise("group")
-    )
-    grouped_tables = (kind == "group") & in_from & top["table_next"]
-    opened = _level(kind, F.when(grouped_tables, F.lit("from")).otherwise(none), F.lit(-1), grouped_tables)
-    below = F.slice(stack, 1, F.greatest(F.size(stack) - 1, F.lit(0)))
-    after = F.when(opens, F.concat(below, F.array(stays), F.array(opened))).when(closes, F.when(F.size(stack) > 1, below).otherwise(stack)).otherwise(F.concat(below, F.array(stays)))
-
-    outermost = lambda c: F.coalesce(F.get(F.filter(stack, lambda s: s["clause"] == c), F.lit(0))["at"], F.lit(-1))
-    is_query = lambda s: s["kind"].isin("sub", "exists", "cte")
-    cte_name = in_query & (top["clause"] == "with") & prev.isin("with", "recursive", ",") & name_like
-    walked = F.struct(
-        t.alias("t"), k.alias("k"), tok["name"].alias("name"), prev.alias("prev"), prev_k.alias("prev_k"), following.alias("next"), i.alias("i"), F.size(stack).alias("depth"), F.size(F.filter(stack, is_query)).alias("queries"),
-        F.size(F.filter(stack, lambda s: s["kind"] == "sub")).alias("subqueries"), clause.alias("clause"), at.alias("at"), outermost("where").alias("where_at"), outermost("having").alias("having_at"),
-        (word & t.isin("and", "or") & ~((t == "and") & top["between"])).alias("logic"),
-        F.when(is_table, "table").when(is_alias, "alias").when(cte_name, "cte").when(opens, F.concat(F.lit("open "), kind)).alias("role"), F.when(is_alias, top["table"]).alias("of"),
-    ).cast(_WALKED)
-    bad = state["bad"] | (closes & (F.size(stack) <= 1)) | ((k == "o") & t.isin("'", '"', "`"))
-    return F.struct(after.alias("stack"), F.concat(out, F.array(walked)).alias("out"), bad.alias("bad"))
-
-
-def walked(sql: Column) -> Column:
+_FIELDS = pa.schema([(n, {"int": pa.int32(), "boolean": pa.bool_(), "string": pa.string()}[t]) for n, t in (f.split(":") for f in _WALKED[7:-1].split(","))])
+_SPLIT = re.compile(TOKEN, re.ASCII)
+_CLAUSES = frozenset(("select", "from", "where", "group", "having", "order", "limit", "with", "union", "intersect", "except"))
+_STARTS, _NOT_NAMES, _QUERIES, _INNER = frozenset(STARTS), frozenset(NOT_NAMES), frozenset(("root", "sub", "exists", "cte")), frozenset(("sub", "exists", "cte"))
+_LETTERS, _DIGITS = frozenset(string.ascii_letters + "_"), frozenset(string.digits)
+
+
+def _tokens(sql: str) -> list[tuple[str, str, str]]:
+    """(k, t, name): ``k`` (w word, q quoted name, s string, n number, o other), ``t`` in lower case, ``name`` as written without quotes; comments go."""
+    out = []
+    for t in _SPLIT.findall(sql):
+        first, long = t[0], len(t) > 1
+        if t.startswith("--") or (t.startswith("/*") and len(t) > 3):
+            continue
+        k = "w" if first in _LETTERS else "s" if first == "'" and long else "q" if first in '"`[' and long else "n" if first in _DIGITS else "o"
+        out.append((k, t.lower(), t[1:-1] if k == "q" else t))
+    return out
+
+
+def _walk(sql: str | None) -> list[tuple]:
+    """The tokens of one statement with their place in the nesting, as ``_WALKED``."""
+    toks = _tokens(sql or "")
+    if not toks or toks[0][1] not in _STARTS:
+        return []
+    # a level: kind, clause, at, between, table_next, alias_next, table
+    stack, out, prev, prev_k = [("root", "", -1, False, False, False, None)], [], "", ""
+    for i, (k, t, name) in enumerate(toks):
+        following = toks[i + 1][1] if i + 1 < len(toks) else ""
+        kind, clause, at, between, table_next, alias_next, table = top = stack[-1]
+        word, in_query, opens, closes = k == "w", kind in _QUERIES, t == "(", t == ")"
+        if (closes and len(stack) == 1) or (k == "o" and t in "'\"`"):
+            return []
+        in_from = clause == "from" and (in_query or kind == "group")
+        starts = word and in_query and t in _CLAUSES and not (t == "from" and prev == "distinct") and not (t == "group" and following != "by")
+        back = in_query and clause == "on" and ((word and t == "join") or t == ",")
+        name_like = k == "q" or (word and t not in _NOT_NAMES)
+        is_table = in_from and table_next and name_like and following not in (".", "(")
+        is_alias = in_from and alias_next and name_like
+        is_cte = in_query and clause == "with" and prev in ("with", "recursive", ",") and name_like
+        opened = None
+        if opens:
+            if following in ("select", "with", "values"):
+                opened = "exists" if prev == "exists" else "cte" if prev in ("as", "materialized") and clause == "with" else "sub"
+            else:
+                opened = "call" if prev_k == "q" or (prev_k == "w" and prev not in _NOT_NAMES) else "group"
+
+        now = t if starts else "on" if word and in_from and t in ("on", "using") else "from" if back else clause
+        now_at = i if starts else at
+        if starts:
+            next_table = t == "from"
+        elif (word and t == "join") or t == ",":
+            next_table = in_from or back
+        elif is_table or (name_like and following != "."):
+            next_table = False
+        else:
+            next_table = table_next and (t == "." or name_like or t == "lateral")
+        next_alias = is_table or (word and t == "as" and alias_next)
+        now_between = True if word and t == "between" else False if word and t == "and" else between
+
+        outermost = lambda c: next((level[2] for level in stack if level[1] == c), -1)  # noqa: B023, E731
+        role = "table" if is_table else "alias" if is_alias else "cte" if is_cte else f"open {opened}" if opens else None
+        out.append((
+            t, k, name, prev, prev_k, following, i, len(stack), sum(x[0] in _INNER for x in stack), sum(x[0] == "sub" for x in stack), now, now_at, outermost("where"), outermost("having"),
+            word and t in ("and", "or") and not (t == "and" and between), role, table if is_alias else None,
+        ))
+        if closes:
+            stack.pop()
+        else:
+            stack[-1] = (kind, now, now_at, now_between, next_table, next_alias, name if is_table else table)
+            if opens:
+                tables = opened == "group" and in_from and top[4]
+                stack.append((opened, "from" if tables else "", -1, False, tables, False, None))
+        prev, prev_k = t, k
+    return out if len(stack) == 1 else []
+
+
+def _each(sql: pa.Array, make) -> pa.Array:
+    """``make`` of the distinct texts of a batch, for each row."""
+    coded = sql.dictionary_encode(null_encoding="encode")
+    made = make(coded.dictionary.to_pylist())
+    return made if len(made) == len(sql) else made.take(coded.indices)
+
+
+@F.arrow_udf(ArrayType(StructType([StructField(f.name, {pa.int32(): IntegerType(), pa.bool_(): BooleanType()}.get(f.type, StringType())) for f in _FIELDS])))
+def walked(sql: pa.Array) -> pa.Array:
     """The tokens with their place in the nesting; empty where the text is not well formed."""
 
-    def walk(toks: Column) -> Column:
-        root = F.array(_level(F.lit("root"), F.lit(""), F.lit(-1), F.lit(False)))
-        start = F.struct(root.alias("stack"), F.array().cast(f"array<{_WALKED}>").alias("out"), (~F.coalesce(F.get(toks, F.lit(0))["t"].isin(*STARTS), F.lit(False))).alias("bad"))
-        places = F.when(F.size(toks) > 0, F.sequence(F.lit(0), F.size(toks) - 1)).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(places, start, lambda s, i: _step(toks, s, i), lambda s: F.when(s["bad"] | (F.size(s["stack"]) != 1), F.array().cast(f"array<{_WALKED}>")).otherwise(s["out"]))
+    def make(texts: list[str | None]) -> pa.Array:
+        walks = [_walk(t) for t in texts]
+        columns = list(zip(*itertools.chain.from_iterable(walks))) or [()] * len(_FIELDS)
+        rows = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _FIELDS)], fields=list(_FIELDS))
+        return pa.ListArray.from_arrays(pa.array([0, *itertools.accumulate(map(len, walks))], pa.int32()), rows)
+
+    return _each(sql, make)
+
 
-    return _let(tokens(sql), walk)
+@F.arrow_udf(MapType(StringType(), StringType()))
+def alias_map(sql: pa.Array) -> pa.Array:
+    """``aliases_of`` of a statement's text, without its tokens."""
+    return _each(sql, lambda texts: pa.array([list({x[2].lower(): x[16] for x in _walk(t) if x[15] == "alias" and x[16] is not None}.items()) for t in texts], pa.map_(pa.string(), pa.string())))
 
 
 def flags(walk: Column, prefix: str = "wrong_") -> dict[str, Column]:
@@ -138,8 +164,10 @@ def flags(walk: Column, prefix: str = "wrong_") -> dict[str, Column]:
 
     joins = count(word("join")) + count(lambda x: (x["t"] == ",") & (x["clause"] == "from") & (x["k"] == "o") & (x["role"].isNull()))
     outer = lambda t: F.get(F.array_sort(F.transform(F.filter(walk, lambda x: (x["k"] == "w") & (x["t"] == t) & (x["at"] == x["i"])), lambda x: F.struct(x["queries"], x["i"]))), F.lit(0))["i"]
-    conditions = lambda t, at: F.when(outer(t).isNull(), 0).otherwise(1 + count(lambda x: (x[at] == outer(t)) & x["logic"]))
-    width = F.when(outer("select").isNull(), 0).otherwise(1 + count(lambda x: (x["t"] == ",") & (x["k"] == "o") & (x["clause"] == "select") & (x["at"] == outer("select"))))
+    # the place of the outer clause is found once a row, not once a token
+    after = lambda t, test: _let(F.struct(walk.alias("w"), outer(t).alias("o")), lambda y: F.when(y["o"].isNull(), 0).otherwise(1 + F.size(F.filter(y["w"], lambda x: test(x, y["o"])))))
+    conditions = lambda t, at: after(t, lambda x, o: (x[at] == o) & x["logic"])
+    width = after("select", lambda x, o: (x["t"] == ",") & (x["k"] == "o") & (x["clause"] == "select") & (x["at"] == o))
     operand = lambda x: x["prev_k"].isin("n", "s", "q") | (x["prev"] == ")") | ((x["prev_k"] == "w") & ~x["prev"].isin(*NOT_NAMES))
     math = lambda x: (x["k"] == "o") & x["t"].isin("*", "/", "-") & operand(x) & ~((x["t"] == "*") & x["next"].isin("", ",", ")", "from"))
     null_check = lambda x: (x["k"] == "w") & (x["t"] == "null") & ((x["prev"] == "is") | (x["prev"] == "not"))
@@ -174,10 +202,11 @@ def common_tables_of(walk: Column) -> Column:
 def columns_of(walk: Column) -> Column:
     """Qualified columns, as ``qualifier.name`` in lower case with aliases put back to tables; sorted and distinct."""
 
-    def found(aliases: Column) -> Column:
+    def found(y: Column) -> Column:
+        walk, aliases = y["w"], y["a"]
         after_dot = F.transform(walk, lambda x, i: F.struct(x.alias("x"), F.get(walk, i - 1)["t"].alias("dot"), F.get(walk, i - 2).alias("q")))
         hits = F.filter(after_dot, lambda y: (y["dot"] == ".") & y["x"]["k"].isin("w", "q") & (y["x"]["next"] != ".") & y["q"]["k"].isin("w", "q") & ~(F.coalesce(y["x"]["role"], F.lit("")) == "table"))
         table = lambda y: F.coalesce(F.try_element_at(aliases, F.lower(y["q"]["name"])), y["q"]["name"])
         return F.array_sort(F.array_distinct(F.transform(hits, lambda y: F.lower(F.concat(table(y), F.lit("."), y["x"]["name"])))))
 
-    return _let(aliases_of(walk), found)
+    return _let(F.struct(walk.alias("w"), aliases_of(walk).alias("a")), found)

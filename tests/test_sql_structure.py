@@ -61,3 +61,11 @@ def test_closing_semicolon_and_many_parts(spark):
     row = spark.range(1).select(Q.walked(F.lit(sql)).alias("w")).select(*(c.alias(n) for n, c in Q.flags(F.col("w")).items()), Q.tables_of(F.col("w")).alias("t")).first()
     assert row.wrong_has_join == row.wrong_multi_join == row.wrong_has_subquery == row.wrong_wide_select == row.wrong_multi_table == row.wrong_many_conditions == "yes" and row.wrong_has_union == "no"
     assert row.t == ["t", "u", "v"]
+
+
+def test_a_statement_is_walked_once_a_row(spark):
+    df = spark.range(3).select(F.concat(F.lit("SELECT a FROM t"), F.col("id")).alias("sql")).select(Q.walked(F.col("sql")).alias("w"))
+    names = df.select(Q.tables_of(F.col("w")).alias("t"), Q.columns_of(F.col("w")).alias("c"), *Q.flags(F.col("w"), "").values())
+    plan = names._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "table_next" not in plan, "no fold with a stack of structs is interpreted token by token"
+    assert sorted(r.t for r in names.collect()) == [["t0"], ["t1"], ["t2"]]
