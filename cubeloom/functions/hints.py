@@ -61,11 +61,11 @@ def columns_in(text: Column) -> Column:
 def columns_of(schema: Column, table: Column) -> Column:
     """Columns of a table, or of all tables when it is not there or has none."""
 
-    def found(bs: Column) -> Column:
-        own = F.get(F.filter(bs, lambda b: F.lower(b["name"]) == F.lower(table)), F.lit(0))["body"]
-        return F.when(F.coalesce(F.size(columns_in(own)), F.lit(0)) > 0, columns_in(own)).otherwise(columns_in(schema))
+    def found(x: Column) -> Column:
+        own = F.get(F.filter(x["b"], lambda b: F.lower(b["name"]) == F.lower(x["t"])), F.lit(0))["body"]
+        return _let(columns_in(own), lambda cs: F.when(F.coalesce(F.size(cs), F.lit(0)) > 0, cs).otherwise(columns_in(schema)))
 
-    return _let(blocks(schema), found)
+    return _let(F.struct(blocks(schema).alias("b"), table.alias("t")), found)
 
 
 def error_hint(message: Column, schema: Column, sql: Column | None = None) -> Column:
@@ -77,7 +77,8 @@ def error_hint(message: Column, schema: Column, sql: Column | None = None) -> Co
     missing = named(r"(?i)^no such column:?\s*(.+)")
     qualifier = F.when(missing.contains("."), F.trim(F.regexp_extract(missing, r"^(.*)\.[^.]*$", 1)))
     plain = F.trim(F.element_at(F.split(missing, r"\."), -1))
-    aliases = sql_structure.aliases_of(sql_structure.walked(F.lit(None).cast("string") if sql is None else sql))
+    # only a qualified column needs the statement
+    aliases = F.create_map().cast("map<string,string>") if sql is None else sql_structure.alias_map(F.when(is_column & qualifier.isNotNull(), sql))
     table = F.coalesce(F.try_element_at(aliases, F.lower(qualifier)), qualifier, F.lit(""))
 
     def of_column(columns: Column) -> Column:

@@ -113,3 +113,11 @@ def test_close_names(spark):
         first = {n: i for i, n in reversed(list(enumerate(names)))}
         scored = sorted(((-len(grams(w) & grams(n)) / len(grams(w) | grams(n)), i, n) for n, i in first.items() if n.lower() != w.lower()))
         assert [n for _, n in sorted(got.get(w, []))] == [n for s, _, n in scored[:3] if -s > 0.1]
+
+
+def test_hints_walk_a_statement_once_a_row(spark):
+    df = spark.range(2).select(F.lit("no such column: T1.fullname").alias("m"), F.lit("SELECT T1.fullname FROM people AS T1").alias("q"))
+    found = df.select(hints.error_hint(F.col("m"), F.lit(SCHEMA), F.col("q")).alias("h"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "table_next" not in plan
+    assert {r.h for r in found.collect()} == {"Column 'T1.fullname' not found. Similar columns: full_name. Available in T1: id, full_name, age."}
