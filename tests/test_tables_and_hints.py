@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cubeloom.functions import hints, profile
 from cubeloom.functions import tables as R
+from cubeloom.operators import names as close
 from cubeloom.operators.names import close_names
 
 ROWS = [["Alpha beta", "12", None], ["gamma", "the Beta", "x1"], ["", "7", "delta"], ["Alpha", "12", "12"], ["été", "beta_2", "no"], ["a"]]
@@ -121,3 +122,23 @@ def test_hints_walk_a_statement_once_a_row(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "table_next" not in plan
     assert {r.h for r in found.collect()} == {"Column 'T1.fullname' not found. Similar columns: full_name. Available in T1: id, full_name, age."}
+
+
+def test_close_names_by_tiles_within_scopes(spark, monkeypatch):
+    for name, size in (("WANTED", 7), ("NAMES", 20), ("GROUPS", 4)):
+        monkeypatch.setattr(close, name, size)
+    rng = random.Random(6)
+    make = lambda: "".join(rng.choices("abcAé", k=rng.randint(1, 8)))
+    names, wanted = [(rng.choice("xyz"), make(), rng.randint(0, 9) or None) for _ in range(120)], [(rng.choice("xyw"), make()) for _ in range(30)]
+    found = close_names(spark.createDataFrame(wanted, "s string, wanted string"), spark.createDataFrame(names, "s string, name string, position int"), ["s"], k=2)
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().optimizedPlan().toString(), "no pair of names is a row"
+    got = {}
+    for r in found.collect():
+        got.setdefault((r.s, r.wanted), []).append((r["rank"], r.name, round(r.similarity, 6)))
+    for s, w in set(wanted):
+        first = {}
+        for t, n, p in names:
+            if t == s and n.lower() != w.lower():
+                first[n] = min((q for q in (first.get(n), p) if q is not None), default=None)
+        scored = sorted((-len(grams(w) & grams(n)) / len(grams(w) | grams(n)), -1 if p is None else p, n.encode(), n) for n, p in first.items())
+        assert [x[1:] for x in sorted(got.get((s, w), []))] == [(n, round(-x, 6)) for x, _, _, n in scored[:2] if -x > 0.1]
