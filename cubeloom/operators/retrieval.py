@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -11,12 +13,34 @@ from pyspark.sql import functions as F
 
 from . import search
 
+
+def _k_best(k: int):
+    """The k best (query_id, doc_id, score) of a task for each query, as batches pass by."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch]) if best is None else pa.concat_tables([best, pa.Table.from_batches([batch])])
+            rows = rows.sort_by([("query_id", "ascending"), ("score", "descending"), ("doc_id", "ascending")]).combine_chunks()
+            if rows.num_rows:
+                codes = np.asarray(rows["query_id"].combine_chunks().dictionary_encode("encode").indices)
+                starts = np.flatnonzero(np.diff(codes, prepend=-1))
+                place = np.arange(len(codes)) - np.repeat(starts, np.diff(np.append(starts, len(codes))))
+                best = rows.filter(pa.array(place < k))
+        if best is not None:
+            yield from best.to_batches()
+
+    return run
+
+
 def bm25(corpus: DataFrame, queries: DataFrame, k: int = 7, k1: float = search.K1, b: float = search.B) -> DataFrame:
     """(query_id, doc_id, score, rank): Lucene-style idf, no stemming, by one scan of the texts.
 
     ``corpus`` has doc_id and text, ``queries`` query_id and text; every row of
     the queries is asked.  Terms are counted where a text is read, and only
-    postings of asked terms go further.  ``search.build`` is for many searches.
+    postings of asked terms go further: by document, so that a task has whole
+    scores and hands on its k best a query.  ``search.build`` is for many
+    searches.
     """
     counts = search.term_counts(corpus)
     asked = search.asked_terms(queries)
@@ -24,10 +48,11 @@ def bm25(corpus: DataFrame, queries: DataFrame, k: int = 7, k1: float = search.K
     postings = counts.join(wanted, "term", "left_semi")
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     totals = search.corpus_totals(corpus, counts)
-    weighed = search.weigh(postings.join(df, "term"), totals, k1, b).select("term", "doc_id", "part")
+    weighed = search.weigh(postings.join(df, "term"), totals, k1, b).select("term", "doc_id", "part").repartition("doc_id")
     scores = weighed.join(asked, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
+    best = scores.select("query_id", "doc_id", "score").mapInArrow(_k_best(k), scores.select("query_id", "doc_id", "score").schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def multi_hop(corpus: DataFrame, queries: DataFrame, rewrite, hops: int = 2, k: int = 7) -> DataFrame:

@@ -7,7 +7,7 @@ import re
 import pytest
 
 from cubeloom.functions.stems import stem
-from cubeloom.operators import search
+from cubeloom.operators import retrieval, search
 
 WORDS = [f"w{i}" for i in range(40)]
 
@@ -57,3 +57,17 @@ def test_english_counts_stems_without_stop_words(spark):
 ])
 def test_stems(word, want):
     assert stem(word) == want
+
+
+def test_a_scan_hands_on_the_best_of_each_task(spark, texts, tmp_path):
+    corpus = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    asked = {1: "rare w3", 2: "w39 w38 w0", 3: "nothing known", 4: "w7"}
+    spark.createDataFrame([*asked.items(), (5, None)], "query_id long, text string").write.parquet(f"file://{tmp_path}/queries")
+    found = retrieval.bm25(corpus, spark.read.parquet(f"file://{tmp_path}/queries"), 5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.score, r.doc_id))
+    for q, text in asked.items():
+        assert [(s, i) for _, s, i in sorted(got.get(q, []))] == by_hand(texts, text, 5)
+    assert "hashpartitioning(query_id" in plan and "hashpartitioning(query_id#" not in plan.split("MapInArrow", 1)[1], "scores of all documents are not shuffled by query"
