@@ -10,6 +10,8 @@ from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import scratch
+
 
 @dataclass
 class RoutingModel:
@@ -36,8 +38,8 @@ class RoutingModel:
 
 
 def fit_routing(deltas: DataFrame, categorical: list[str], numeric: list[str] = (), depth: int = 3, leaf: int = 50) -> RoutingModel:
-    """One tree a primitive over one-hot categories and numbers."""
-    trees = {}
+    """One tree a primitive over one-hot categories and numbers; the deltas are written once, not found anew by each pass of each tree."""
+    trees, deltas = {}, scratch.written(deltas.select("primitive_id", "delta", *categorical, *numeric))
     for primitive in sorted(r["primitive_id"] for r in deltas.select("primitive_id").distinct().collect()):
         rows = deltas.where(F.col("primitive_id") == primitive)
         rows = rows.select("delta", *categorical, *numeric)
