@@ -469,16 +469,23 @@ _PLANTED = {
 def _statements(t) -> DataFrame:
     # a small file of keys is much work: more tasks than the file has splits
     part = t("part").select("p_partkey", "p_size")
-    return part.repartition(4 * part.sparkSession.sparkContext.defaultParallelism, "p_partkey").select("p_partkey", sql_structure.walked(F.expr(_STATEMENT)).alias("w"))
+    return part.repartition(4 * part.sparkSession.sparkContext.defaultParallelism, "p_partkey").select("p_partkey", F.expr(_STATEMENT).alias("sql"))
 
 
 def _sql_flags(t) -> DataFrame:
     yes = F.array_compact(F.array(*(F.when(c == "yes", F.lit(n)) for n, c in sql_structure.flags(F.col("w"), "").items())))
-    return _statements(t).select("p_partkey", F.array_join(F.array_sort(yes), ",").alias("flags"))
+    walked = _statements(t).select("p_partkey", sql_structure.walked(F.col("sql")).alias("w"))
+    return walked.select("p_partkey", F.array_join(F.array_sort(yes), ",").alias("flags"))
+
+
+def _sql_names(t) -> DataFrame:
+    aliases = F.array_sort(F.transform(F.map_entries("n.aliases"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    named = _statements(t).select("p_partkey", sql_structure.names(F.col("sql")).alias("n"))
+    return named.select("p_partkey", F.array_join("n.tables", ",").alias("tables"), F.array_join(aliases, ",").alias("aliases"), F.size("n.columns").alias("n_columns"))
 
 
 on_tables("sql_structure_flags", _sql_flags, f"""WITH x AS (SELECT p_partkey AS k, p_size AS s FROM part) SELECT k AS p_partkey, CASE WHEN s % 5 = 4 THEN '' ELSE array_to_string(list_sort(list_filter([{", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in _PLANTED.items())}], lambda v: v IS NOT NULL)), ',') END AS flags FROM x""")
-on_tables("sql_structure_names", lambda t: _statements(t).select("p_partkey", F.array_join(sql_structure.tables_of(F.col("w")), ",").alias("tables"), F.array_join(F.array_sort(F.transform(F.map_entries(sql_structure.aliases_of(F.col("w"))), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",").alias("aliases"), F.size(sql_structure.columns_of(F.col("w"))).alias("n_columns")),
+on_tables("sql_structure_names", _sql_names,
           """WITH x AS (SELECT p_partkey AS k, p_size AS s FROM part) SELECT k AS p_partkey, CASE WHEN s % 5 = 4 THEN '' ELSE array_to_string(list_sort(list_filter([concat('tab', k % 4), CASE WHEN s % 3 >= 1 THEN 'odd join' END, CASE WHEN s % 3 = 2 THEN 'more' END, CASE WHEN k % 4 = 3 THEN 'v' END, CASE WHEN k % 4 = 3 THEN 'w' END], lambda v: v IS NOT NULL)), ',') END AS tables,
           CASE WHEN s % 5 = 4 THEN '' ELSE concat('t=tab', k % 4, CASE WHEN s % 3 >= 1 THEN ',u1=odd join' ELSE '' END) END AS aliases,
           CASE WHEN s % 5 = 4 THEN 0 ELSE (k % 7 + 1 + CASE s % 3 WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 3 END + CASE k % 4 WHEN 0 THEN CASE WHEN s % 5 < 2 THEN 1 ELSE 0 END WHEN 2 THEN 3 ELSE 1 END) END::INT AS n_columns FROM x""")

@@ -109,5 +109,5 @@ def focus_schema(schema: Column, sql: Column) -> Column:
         kept = F.filter(bs, lambda b: F.array_contains(F.concat(read, targets), F.lower(b["name"])) | F.arrays_overlap(refers(b), read))
         return F.when(F.size(kept) > 0, F.array_join(F.transform(kept, lambda b: b["text"]), "\n")).otherwise(schema)
 
-    tables = F.transform(sql_structure.tables_of(sql_structure.walked(sql)), lambda t: F.lower(t))
+    tables = F.transform(sql_structure.names(sql)["tables"], lambda t: F.lower(t))
     return _let(F.struct(blocks(schema).alias("b"), tables.alias("t")), lambda x: F.when(F.size(x["t"]) > 0, focused(x["b"], x["t"])).otherwise(schema))

@@ -5,7 +5,9 @@ a small walk in Arrow batches keeps a stack of open parentheses.  Each level
 knows whether it is a subquery, the body of a common table, EXISTS, a call or a
 mere group, and in which clause it is.  Flags, tables and aliases are then read
 off the walked tokens, so that words in strings, comments and quoted names, and
-clauses of inner queries, are not mistaken for the statement's own.
+clauses of inner queries, are not mistaken for the statement's own.  Where only
+names are wanted, ``names`` reads them where the walk is made, and no tokens
+travel.
 
 A null or blank text, and one that is not well formed (unbalanced parentheses,
 an open string, no statement word at the start), has every flag 'no' and no
@@ -77,8 +79,9 @@ def _walk(sql: str | None) -> list[tuple]:
     toks = _tokens(sql or "")
     if not toks or toks[0][1] not in _STARTS:
         return []
-    # a level: kind, clause, at, between, table_next, alias_next, table
-    stack, out, prev, prev_k = [("root", "", -1, False, False, False, None)], [], "", ""
+    # a level: kind, clause, at, between, table_next, alias_next, table; beside it what all levels up to it
+    # add up to: queries, subqueries, and of those below it the outermost where and having
+    stack, beside, out, prev, prev_k = [("root", "", -1, False, False, False, None)], [(0, 0, -1, -1)], [], "", ""
     for i, (k, t, name) in enumerate(toks):
         following = toks[i + 1][1] if i + 1 < len(toks) else ""
         kind, clause, at, between, table_next, alias_next, table = top = stack[-1]
@@ -112,19 +115,24 @@ def _walk(sql: str | None) -> list[tuple]:
         next_alias = is_table or (word and t == "as" and alias_next)
         now_between = True if word and t == "between" else False if word and t == "and" else between
 
-        outermost = lambda c: next((level[2] for level in stack if level[1] == c), -1)  # noqa: B023, E731
+        queries, subqueries, where_at, having_at = beside[-1]
+        where_at = at if where_at < 0 and clause == "where" else where_at
+        having_at = at if having_at < 0 and clause == "having" else having_at
         role = "table" if is_table else "alias" if is_alias else "cte" if is_cte else f"open {opened}" if opens else None
         out.append((
-            t, k, name, prev, prev_k, following, i, len(stack), sum(x[0] in _INNER for x in stack), sum(x[0] == "sub" for x in stack), now, now_at, outermost("where"), outermost("having"),
+            t, k, name, prev, prev_k, following, i, len(stack), queries, subqueries, now, now_at, where_at, having_at,
             word and t in ("and", "or") and not (t == "and" and between), role, table if is_alias else None,
         ))
         if closes:
             stack.pop()
+            beside.pop()
         else:
             stack[-1] = (kind, now, now_at, now_between, next_table, next_alias, name if is_table else table)
             if opens:
                 tables = opened == "group" and in_from and top[4]
                 stack.append((opened, "from" if tables else "", -1, False, tables, False, None))
+                under = now_at if now == "where" and beside[-1][2] < 0 else beside[-1][2], now_at if now == "having" and beside[-1][3] < 0 else beside[-1][3]
+                beside.append((queries + (opened in _INNER), subqueries + (opened == "sub"), *under))
         prev, prev_k = t, k
     return out if len(stack) == 1 else []
 
@@ -149,10 +157,43 @@ def walked(sql: pa.Array) -> pa.Array:
     return _each(sql, make)
 
 
+_AT = {f.name: i for i, f in enumerate(_FIELDS)}
+_T, _K, _NAME, _NEXT, _ROLE, _OF = (_AT[n] for n in ("t", "k", "name", "next", "role", "of"))
+
+
+def _aliases(walk: list[tuple]) -> dict[str, str]:
+    return {x[_NAME].lower(): x[_OF] for x in walk if x[_ROLE] == "alias" and x[_OF] is not None}
+
+
 @F.arrow_udf(MapType(StringType(), StringType()))
 def alias_map(sql: pa.Array) -> pa.Array:
     """``aliases_of`` of a statement's text, without its tokens."""
-    return _each(sql, lambda texts: pa.array([list({x[2].lower(): x[16] for x in _walk(t) if x[15] == "alias" and x[16] is not None}.items()) for t in texts], pa.map_(pa.string(), pa.string())))
+    return _each(sql, lambda texts: pa.array([list(_aliases(_walk(t)).items()) for t in texts], pa.map_(pa.string(), pa.string())))
+
+
+_NAMES = pa.struct([("tables", pa.list_(pa.string())), ("aliases", pa.map_(pa.string(), pa.string())), ("common_tables", pa.list_(pa.string())), ("columns", pa.list_(pa.string()))])
+
+
+@F.arrow_udf(StructType([StructField(f.name, MapType(StringType(), StringType()) if pa.types.is_map(f.type) else ArrayType(StringType())) for f in _NAMES]))
+def names(sql: pa.Array) -> pa.Array:
+    """``tables_of``, ``aliases_of``, ``common_tables_of`` and ``columns_of`` of a statement's text, without its tokens."""
+
+    def found(text: str | None) -> tuple:
+        walk = _walk(text)
+        aliases = _aliases(walk)
+        named = lambda role: sorted({x[_NAME] for x in walk if x[_ROLE] == role})
+        columns = {
+            f"{aliases.get(q[_NAME].lower(), q[_NAME])}.{x[_NAME]}".lower()
+            for q, dot, x in zip(walk, walk[1:], walk[2:])
+            if dot[_T] == "." and x[_K] in ("w", "q") and x[_NEXT] != "." and q[_K] in ("w", "q") and x[_ROLE] != "table"
+        }
+        return named("table"), list(aliases.items()), named("cte"), sorted(columns)
+
+    def make(texts: list[str | None]) -> pa.Array:
+        columns = zip(*map(found, texts)) if texts else [[]] * len(_NAMES)
+        return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _NAMES)], fields=list(_NAMES))
+
+    return _each(sql, make)
 
 
 def flags(walk: Column, prefix: str = "wrong_") -> dict[str, Column]:
