@@ -71,3 +71,25 @@ def test_a_scan_hands_on_the_best_of_each_task(spark, texts, tmp_path):
     for q, text in asked.items():
         assert [(s, i) for _, s, i in sorted(got.get(q, []))] == by_hand(texts, text, 5)
     assert "hashpartitioning(query_id" in plan and "hashpartitioning(query_id#" not in plan.split("MapInArrow", 1)[1], "scores of all documents are not shuffled by query"
+
+
+def test_postings_are_packed_where_a_block_is_read(spark, tmp_path):
+    texts = [(i, f"common w{i % 5} w{i % 5} only{i}") for i in range(40)] + [(40, None), (41, " .. ")]
+    spark.createDataFrame(texts, "doc_id long, text string").coalesce(1).write.parquet(f"file://{tmp_path}/corpus")
+    index = search.build(spark.read.parquet(f"file://{tmp_path}/corpus"), f"file://{tmp_path}/index", block=10, folders=2)
+    rows = index.table("postings").where("term = 'common' OR term = 'w3'").orderBy("term", "block").collect()
+    assert [(r.term, r.n, len(r.docs)) for r in rows] == [("common", 10, 10)] * 4 + [("w3", 2, 2)] * 4, "one row for each term and block"
+    assert all(list(r.tf) == [2, 2] and list(r.length) == [4, 4] for r in rows[4:])
+    assert index.table("totals").first().asDict() == {"n_docs": 42, "avg_length": 160 / 42}
+    found = index.search(spark.createDataFrame([(1, "w3 only8"), (2, "common")], "query_id long, text string"), k=3)
+    assert [(r.query_id, r.doc_id) for r in found.orderBy("query_id", "rank").collect()] == [(1, 8), (1, 3), (1, 13), (2, 0), (2, 1), (2, 2)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode(docs" not in plan and "FlatMapCoGroupsInArrow" in plan, "no (query, document, term) is a row"
+
+
+def test_words_are_counted_as_they_are_split(spark):
+    import pyarrow as pa
+
+    texts = ["a b", "", None, "c", "-", " d;e ", "É9x", "Ab"]
+    for part in (pa.array(texts), pa.array(texts).slice(3, 4), pa.array(["", None])):
+        assert search._words(part) == len(search._coded(part)[0])
