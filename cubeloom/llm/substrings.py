@@ -137,19 +137,35 @@ def _windows(strings: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray, np
     return words, starts, first, owner[first]
 
 
+def _window_keys(codes: np.ndarray) -> np.ndarray:
+    """A hash of the window that starts at each word, put together from runs of 1, 2, 4, ... words."""
+    run, width, out, done = mix(codes.astype(np.uint64) + np.uint64(1)), 1, None, 0
+    while True:
+        if WINDOW & width:
+            out = run if out is None else mix(out[: len(out) - width] * np.uint64(3) + run[done:][: len(out) - width])
+            done += width
+        if done == WINDOW:
+            return out
+        run, width = mix(run[:-width] * np.uint64(3) + run[width:]), 2 * width
+
+
 def repeated_windows(strings: list[bytes], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """String and place of each window that is met twice or more; a string counts ``weights`` times."""
     words, starts, first, owner = _windows(strings)
     if not len(first):
         return first, first
     codes = np.asarray(words.dictionary_encode().indices).astype(np.int64)
-    keys = gram_hashes(mix(codes.astype(np.uint64) + np.uint64(1)), WINDOW)[first]
+    keys = _window_keys(codes)[first]
     order = np.argsort(keys, kind="stable")
     first, keys, owner = first[order], keys[order], owner[order]
     equal = keys[1:] == keys[:-1]
     same = equal.copy()
+    # words are compared only where neighbours have one hash
+    near = np.flatnonzero(equal)
+    a, b, alike = first[near], first[near + 1], np.ones(len(near), bool)
     for i in range(WINDOW):
-        same &= codes[first[1:] + i] == codes[first[:-1] + i]
+        alike &= codes[a + i] == codes[b + i]
+    same[near] = alike
     for key in np.unique(keys[1:][equal & ~same]):  # different windows under one hash: sort those by their words
         a, b = np.searchsorted(keys, key, side="left"), np.searchsorted(keys, key, side="right")
         rows = codes[first[a:b, None] + np.arange(WINDOW)]
@@ -318,6 +334,9 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     packed = one.mapInArrow(_pack(frequent), "minimiser bigint, packed binary, places binary")
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * one.rdd.getNumPartitions())
     counted = packed.repartition(buckets, "minimiser").sortWithinPartitions("minimiser").mapInArrow(lambda b: _joined(_count(b)), "id bigint, h bigint, a bigint, b bigint")
-    ranges = materialize(counted).groupBy("id", "h").agg(F.collect_set(F.struct("a", "b")).alias("r")).select("id", "h", F.col("r.a").alias("a"), F.col("r.b").alias("b"))
+    found = materialize(counted)
+    # Spark deletes a shuffle's files when the driver collects it: before the texts are shuffled, not after
+    spark.sparkContext._jvm.System.gc()
+    ranges = found.groupBy("id", "h").agg(F.collect_set(F.struct("a", "b")).alias("r")).select("id", "h", F.col("r.a").alias("a"), F.col("r.b").alias("b"))
     cut = one.join(ranges, ["id", "h"], "left").select("id", "h", "text", "a", "b").mapInArrow(_cut, "id bigint, h bigint, n_words bigint, n_removed bigint, kept string")
     return cut.select(F.when(F.col("id") != NO_ID, F.col("id")).cast(kind).alias(id_column), "n_words", "n_removed", "kept")

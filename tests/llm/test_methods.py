@@ -191,3 +191,20 @@ def test_values_followed_by_a_short_group_are_found():
         assert [(a, b) for a, b, _ in spans] == [(at, at + len(value))], text
         assert out[:at] == text[:at] and out[at + len(value) :] == text[at + len(value) :] and out != text
     assert new("4111 1111 1111 1112 123") == ("4111 1111 1111 1112 123", [])
+
+
+def test_windows_are_hashed_in_few_steps_and_compared_where_hashes_meet(monkeypatch):
+    rng = np.random.default_rng(4)
+    passage = [f"p{i}" for i in range(40)]
+    texts = [[f"w{x}" for x in rng.integers(0, 50, 60)] + (passage if i % 3 == 0 else []) for i in range(12)]
+    strings, weights = [" ".join([*t, ""]).encode() for t in texts], np.ones(12, np.int64)
+    want = [(i, 60 + j) for i in range(0, 12, 3) for j in range(40 - substrings.WINDOW + 1)]
+    mixed = []
+    real = substrings.mix
+    monkeypatch.setattr(substrings, "mix", lambda x: mixed.append(len(x)) or real(x))
+    found = substrings.repeated_windows(strings, weights)
+    assert list(zip(*(x.tolist() for x in found))) == want
+    assert 0 < sum(mixed) < 9 * sum(map(len, texts)), "a window is put together from runs that double"
+    # windows of one hash are told apart by their words
+    monkeypatch.setattr(substrings, "_window_keys", lambda codes: np.zeros(len(codes) - substrings.WINDOW + 1, np.uint64))
+    assert list(zip(*(x.tolist() for x in substrings.repeated_windows(strings, weights)))) == want
