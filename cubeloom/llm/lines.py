@@ -55,15 +55,21 @@ FIELD = "<*>"
 def masked(lines: DataFrame) -> DataFrame:
     """``lines`` with _m for _line: words joined by one space, tokens with a digit as a field."""
     line = F.col("_line")
-    odd = line.contains("  ") | line.startswith(" ") | line.endswith(" ") | line.rlike(r"[\x09-\x0D]")
-    plain = lines.withColumn("_line", F.when(odd, F.trim(F.regexp_replace(line, SPACE_CLASS + "+", " "))).otherwise(line))
-    return plain.withColumn("_m", F.when(line.rlike("[0-9]"), F.regexp_replace(line, "[^ ]*[0-9][^ ]*", FIELD)).otherwise(line)).drop("_line").where("_m <> ''")
+    # lines without a word go by the line as it was read: a filter on _m would be pushed below and mask every line again
+    some = lines.where(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")) != "")
+    # most lines stay as they are, which one look at their characters tells
+    odd = line.contains("  ") | line.startswith(" ") | line.endswith(" ") | line.rlike(r"[\x09-\x0D0-9]")
+    spaced = F.trim(F.regexp_replace(line, SPACE_CLASS + "+", " "))
+    return some.select("*", F.when(odd, F.regexp_replace(spaced, "[^ ]*[0-9][^ ]*", FIELD)).otherwise(line).alias("_m")).drop("_line")
+
 
 
 def keyed_lines(docs: DataFrame, id_column: str, text_column: str, copies: bool) -> DataFrame:
     """Every line with a word: _id, _t (its text's hash), _u (its unit), _pos, _m, _n words, _leaf, and _h, 60 bits of its MD5."""
     text = column(text_column)
-    rows = only(docs, *dict.fromkeys([id_column, text_column])).select(row_id(id_column).alias("_id"), F.xxhash64(text).alias("_t"), F.posexplode(F.split(text, "\n")).alias("_pos", "_line"))
+    # hashed before the lines are dealt out, once a text
+    texts = only(docs, *dict.fromkeys([id_column, text_column])).select(row_id(id_column).alias("_id"), F.xxhash64(text).alias("_t"), text.alias("_text"))
+    rows = texts.select("_id", "_t", F.posexplode(F.split("_text", "\n")).alias("_pos", "_line"))
     n = F.octet_length("_m") - F.octet_length(F.replace("_m", F.lit(" "), F.lit(""))) + 1
     lines = masked(rows).withColumn("_n", n.cast("int"))
     h = F.conv(F.substring(F.md5("_m"), 1, 15), 16, 10).cast("bigint")
@@ -93,13 +99,13 @@ def templates(keyed: DataFrame, variants: DataFrame) -> DataFrame:
     open_ = materialize(variants.join(several.hint("merge"), "_leaf", "left_semi"))
     # each line's words are taken from one document; a line stands there more than once at times
     held = keyed.select(*LINE, F.col("_u").alias("_lo"), "_m").join(open_.hint("merge"), [*LINE, "_lo"]).dropDuplicates([*LINE, "_lo"])
-    words = materialize(held.select(*LINE, "_n", "docs", "_lo", "_hi", F.split("_m", " ").alias("_w")))
     differ = F.col("_n") - F.ceil(F.lit(SIMILARITY) * F.col("_n") - 1e-9).cast("int")
-    rest = F.slice("_w", DEPTH + 1, F.greatest(F.col("_n") - DEPTH, F.lit(0)))
     width = F.greatest(F.floor((F.col("_n") - DEPTH) / (differ + 1)), F.lit(1)).cast("int")
-    # the last segment takes what is left over
+    words = materialize(held.select(*LINE, "_n", "docs", "_lo", "_hi", F.split("_m", " ").alias("_w"), differ.alias("_differ"), width.alias("_width")))
+    differ, width = F.col("_differ"), F.col("_width")
+    # the last segment takes what is left over; each is cut from the words directly, a copy of them all a segment would cost their square
     segment = lambda i: F.when(F.col("_n") - DEPTH <= differ, F.xxhash64("_leaf")).otherwise(
-        F.xxhash64("_leaf", i, F.slice(rest, i * width + 1, F.when(i == differ, F.col("_n")).otherwise(width)))
+        F.xxhash64("_leaf", i, F.slice("_w", DEPTH + i * width + 1, F.when(i == differ, F.col("_n")).otherwise(width)))
     )
     parts = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), differ), segment)))
     segments = materialize(words.select(*LINE, "_lo", "_hi", F.struct("docs", "_h").alias("_rank"), parts.alias("_part")))
@@ -199,9 +205,9 @@ def drop_recurring_lines(docs: DataFrame, id_column: str = "doc_id", text_column
     text = column(text_column)
     rows = docs.select(whole_row(docs).alias("row"), text.alias("_text"), row_id(id_column).alias("_id"), F.xxhash64(text).alias("_t"))
     joined = rows.join(places.hint("shuffle_hash"), ["_id", "_t"], "left")
-    lines = F.split("_text", "\n")
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_places")), lambda i: F.get(lines, i))
+    # split once a text: inside the lambda it would be split anew for every line that stays
+    kept = let(F.split("_text", "\n"), lambda lines: F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_places")), lambda i: F.get(lines, i)))
     text_left = F.when(F.col("_places").isNull(), F.col("_text")).otherwise(F.array_join(kept, "\n"))
     removed = F.when(F.col("_places").isNull(), 0).otherwise(F.size("_places")).cast("bigint")
-    n_lines = F.when(F.col("_text").isNull(), 0).otherwise(F.size(lines)).cast("bigint")
+    n_lines = F.when(F.col("_text").isNull(), 0).otherwise(F.octet_length("_text") - F.octet_length(F.replace("_text", F.lit("\n"), F.lit(""))) + 1).cast("bigint")
     return joined.select(with_text(docs, text_column, text_left).alias("row"), n_lines.alias("n_lines"), removed.alias("n_removed"))

@@ -189,3 +189,16 @@ def test_long_lines_recur_in_few_documents(spark):
     assert all(got[i].text.endswith("\n".join([short, own(i)])) for i in range(9))
     assert [sum(line in r.text.split("\n") for r in got.values()) for line in (passage, middle, short)] == [1, 1, 9], "one of its texts keeps it"
     assert all(got[i].n_removed == 0 for i in (20, 21)), "near copies keep their lines"
+
+
+def test_lines_are_masked_and_split_once(spark, capsys):
+    odd = {"a  b": "a b", "\ta b1 \r": "a <*>", " x1y  2 z ": "<*> <*> z", "plain line": "plain line", " \t\x0b\x0c\r": None, "": None, "7": "<*>", "a\x0bb": "a b", "ends ": "ends", " ": " "}
+    docs = spark.createDataFrame([(i, line) for i, line in enumerate(odd)], "doc_id bigint, text string")
+    keyed = lines.keyed_lines(docs, "doc_id", "text", False)
+    assert {r._id: (r._m, r._n) for r in keyed.collect()} == {i: (m, len(m.split(" "))) for i, m in enumerate(odd.values()) if m is not None}
+    capsys.readouterr()
+    keyed.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("regexp_replace(") == 2, "the filter does not mask every line once more"
+    lines.drop_recurring_lines(docs).select("row.text", "n_lines").explain()
+    assert capsys.readouterr().out.count("split(") == 1, "no split within the lambda over the lines"
