@@ -52,6 +52,17 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
+def materialize_and_free(df: DataFrame) -> DataFrame:
+    """``materialize``, with the shuffles of the write deleted as it ends, not when the driver happens to collect them."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key)
+    conf.set(key, "true")
+    try:
+        return materialize(df)
+    finally:
+        conf.set(key, before)
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove the files of tables made by ``materialize`` that nothing reads any more."""
     for df in tables:

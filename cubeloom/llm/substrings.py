@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, chunks, column_of, gram_hashes, materialize, mix, split_words, word_hashes
+from .common import NO_ID, chunks, column_of, gram_hashes, materialize_and_free, mix, split_words, word_hashes
 
 WINDOW = 35
 GRAM = 3
@@ -334,9 +334,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     packed = one.mapInArrow(_pack(frequent), "minimiser bigint, packed binary, places binary")
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * one.rdd.getNumPartitions())
     counted = packed.repartition(buckets, "minimiser").sortWithinPartitions("minimiser").mapInArrow(lambda b: _joined(_count(b)), "id bigint, h bigint, a bigint, b bigint")
-    found = materialize(counted)
-    # Spark deletes a shuffle's files when the driver collects it: before the texts are shuffled, not after
-    spark.sparkContext._jvm.System.gc()
+    found = materialize_and_free(counted)
     ranges = found.groupBy("id", "h").agg(F.collect_set(F.struct("a", "b")).alias("r")).select("id", "h", F.col("r.a").alias("a"), F.col("r.b").alias("b"))
     cut = one.join(ranges, ["id", "h"], "left").select("id", "h", "text", "a", "b").mapInArrow(_cut, "id bigint, h bigint, n_words bigint, n_removed bigint, kept string")
     return cut.select(F.when(F.col("id") != NO_ID, F.col("id")).cast(kind).alias(id_column), "n_words", "n_removed", "kept")

@@ -208,3 +208,19 @@ def test_windows_are_hashed_in_few_steps_and_compared_where_hashes_meet(monkeypa
     # windows of one hash are told apart by their words
     monkeypatch.setattr(substrings, "_window_keys", lambda codes: np.zeros(len(codes) - substrings.WINDOW + 1, np.uint64))
     assert list(zip(*(x.tolist() for x in substrings.repeated_windows(strings, weights)))) == want
+
+
+def test_window_shuffle_is_freed_before_the_texts_travel(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "frequent_grams", lambda docs: np.zeros(0, np.uint64))
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text), (2, text + " end"), (3, "short")], "doc_id bigint, text string")
+
+    def files():
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for i in range(found.length()) if (name := found.apply(i).getName()).startswith("shuffle_")}
+
+    before, key = files(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key)
+    kept = substrings.remove_repeats(docs)
+    assert not files() - before and spark.conf.get(key) == was
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in kept.collect()} == {1: (60, 60, ""), 2: (61, 60, "end"), 3: (1, 0, "short")}
