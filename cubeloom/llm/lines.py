@@ -50,6 +50,9 @@ BANDS = 32
 #: Least words of a line, and the documents (or classes of copies) that its template must lie in; shorter lines need MIN_DOCS.
 LEAST_DOCS = ((20, 2), (3, 3))
 FIELD = "<*>"
+#: A leaf of at most so many lines and words finds its templates in one row.
+LEAF_LINES = 1000
+LEAF_WORDS = 1 << 18
 
 
 def masked(lines: DataFrame) -> DataFrame:
@@ -85,7 +88,20 @@ def row_id(id_column: str) -> Column:
 LINE = ["_leaf", "_h"]
 
 
-def templates(keyed: DataFrame, variants: DataFrame) -> DataFrame:
+def segments(words: Column, leaf: Column, differ: Column) -> Column:
+    """Hashes of the ``differ`` + 1 segments of a line's words beyond the leading ones; one for the whole leaf if there are fewer words than that."""
+    n = F.size(words)
+    width = F.greatest(F.floor((n - DEPTH) / (differ + 1)), F.lit(1)).cast("int")
+    # the last segment takes what is left over; each is cut from the words directly, a copy of them all a segment would cost their square
+    segment = lambda i: F.xxhash64(leaf, i, F.slice(words, DEPTH + i * width + 1, F.when(i == differ, n).otherwise(width)))
+    return F.when(n - DEPTH <= differ, F.array(F.xxhash64(leaf))).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(0), differ), segment)))
+
+
+def agree(w: Column, v: Column) -> Column:
+    return F.size(F.filter(F.zip_with(w, v, lambda x, y: x == y), lambda x: x)) >= F.lit(SIMILARITY) * F.size(w) - 1e-9
+
+
+def templates(keyed: DataFrame, variants: DataFrame, leaf_lines: int = LEAF_LINES, leaf_words: int = LEAF_WORDS) -> DataFrame:
     """_leaf, _h and _template (a line's _h) of the lines that share a leaf with another line of another unit.
 
     Lines that agree differ in at most m places beyond the leading ones, so of
@@ -93,50 +109,92 @@ def templates(keyed: DataFrame, variants: DataFrame) -> DataFrame:
     are the most frequent of all their segments are templates, every other
     line joins the most frequent of them that it agrees with, and the rest go
     on, until no segment is left that holds lines of two units.
+
+    Leaves do not depend on each other.  One of at most ``leaf_lines`` lines
+    and ``leaf_words`` words takes all its rounds in one row, since their
+    number grows with the table; a larger one takes rounds of joins until what
+    is left of it is that small.
     """
     across = (F.count("*") > 1) & (F.min("_lo") < F.max("_hi"))
-    several = materialize(variants.where(F.col("_n") > DEPTH).groupBy("_leaf").agg(across.alias("_across")).where("_across").select("_leaf"))
-    open_ = materialize(variants.join(several.hint("merge"), "_leaf", "left_semi"))
+    small = ((F.count("*") <= leaf_lines) & (F.sum(F.col("_n").cast("bigint")) <= leaf_words)).alias("_small")
+    several = materialize(variants.where(F.col("_n") > DEPTH).groupBy("_leaf").agg(across.alias("_across"), small).where("_across").drop("_across"))
+    open_ = materialize(variants.join(several.hint("merge"), "_leaf"))
     # each line's words are taken from one document; a line stands there more than once at times
     held = keyed.select(*LINE, F.col("_u").alias("_lo"), "_m").join(open_.hint("merge"), [*LINE, "_lo"]).dropDuplicates([*LINE, "_lo"])
     differ = F.col("_n") - F.ceil(F.lit(SIMILARITY) * F.col("_n") - 1e-9).cast("int")
-    width = F.greatest(F.floor((F.col("_n") - DEPTH) / (differ + 1)), F.lit(1)).cast("int")
-    words = materialize(held.select(*LINE, "_n", "docs", "_lo", "_hi", F.split("_m", " ").alias("_w"), differ.alias("_differ"), width.alias("_width")))
-    differ, width = F.col("_differ"), F.col("_width")
-    # the last segment takes what is left over; each is cut from the words directly, a copy of them all a segment would cost their square
-    segment = lambda i: F.when(F.col("_n") - DEPTH <= differ, F.xxhash64("_leaf")).otherwise(
-        F.xxhash64("_leaf", i, F.slice("_w", DEPTH + i * width + 1, F.when(i == differ, F.col("_n")).otherwise(width)))
-    )
-    parts = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), differ), segment)))
-    segments = materialize(words.select(*LINE, "_lo", "_hi", F.struct("docs", "_h").alias("_rank"), parts.alias("_part")))
-    agree = F.size(F.filter(F.zip_with("_w", "_v", lambda x, y: x == y), lambda x: x))
-    texts = materialize(words.select(*LINE, "_w"))
-    discard(words)
-    found = []
-    while True:
-        leads = materialize(segments.groupBy("_part").agg(F.max("_rank").alias("_lead"), across.alias("_across")).where("_across").drop("_across"))
-        met = materialize(segments.join(leads.hint("merge"), "_part"))
-        discard(segments, leads)
-        if met.isEmpty():
-            discard(met)
-            break
+    words = materialize(held.select(*LINE, "_n", "docs", "_lo", "_hi", F.split("_m", " ").alias("_w"), differ.alias("_differ"), "_small"))
+    discard(several, open_)
+    found, written = [], [words]
+    large = lambda lines: lines.where("not _small").drop("_small")
+    while not (texts := large(written[-1])).isEmpty():
+        # a segment without lines of two units never has them again, so those of the lines that are left can be cut anew in each round
+        cut = materialize(texts.select(*LINE, "_lo", "_hi", F.struct("docs", "_h").alias("_rank"), F.explode(segments(F.col("_w"), F.col("_leaf"), F.col("_differ"))).alias("_part")))
+        leads = materialize(cut.groupBy("_part").agg(F.max("_rank").alias("_lead"), across.alias("_across")).where("_across").drop("_across"))
+        met = materialize(cut.join(leads.hint("merge"), "_part").select(*LINE, "_rank", "_lead"))
+        discard(cut, leads)
         heads = materialize(met.groupBy(*LINE).agg(F.min(F.col("_lead") == F.col("_rank")).alias("_first")).where("_first").select(*LINE))
         led = heads.select("_leaf", F.col("_h").alias("_l"))
         pairs = met.where("_lead <> _rank").select(*LINE, "_lead", F.col("_lead._h").alias("_l")).distinct().join(led.hint("merge"), ["_leaf", "_l"], "left_semi")
-        fits = pairs.join(texts.hint("merge"), LINE).join(texts.select("_leaf", F.col("_h").alias("_l"), F.col("_w").alias("_v")).hint("merge"), ["_leaf", "_l"])
-        fits = materialize(fits.where(agree >= F.lit(SIMILARITY) * F.size("_w") - 1e-9).select(*LINE, "_lead"))
+        fits = pairs.join(texts.select(*LINE, "_w").hint("merge"), LINE).join(texts.select("_leaf", F.col("_h").alias("_l"), F.col("_w").alias("_v")).hint("merge"), ["_leaf", "_l"])
+        fits = materialize(fits.where(agree(F.col("_w"), F.col("_v"))).select(*LINE, "_lead"))
         joined = fits.groupBy(*LINE).agg(F.max("_lead").alias("_lead")).select(*LINE, F.col("_lead._h").alias("_template"))
         done = materialize(joined.unionByName(heads.select(*LINE, F.col("_h").alias("_template"))))
         discard(heads, fits)
         found.append(done)
-        segments = materialize(met.select("_part", *LINE, "_lo", "_hi", "_rank").join(done.hint("merge"), LINE, "left_anti"))
+        left = materialize(met.select(*LINE).distinct().join(done.hint("merge"), LINE, "left_anti"))
         discard(met)
         # only the words of lines that are still in question travel, fewer in each round
-        left = materialize(texts.join(segments.select(*LINE).distinct().hint("merge"), LINE, "left_semi"))
-        discard(texts)
-        texts = left
-    discard(several, open_, texts)
-    return functools.reduce(DataFrame.unionByName, found) if found else variants.limit(0).select(*LINE, F.col("_h").alias("_template"))
+        texts = materialize(texts.join(left.hint("merge"), LINE, "left_semi"))
+        discard(left)
+        sizes = materialize(texts.groupBy("_leaf").agg(small))
+        written.append(materialize(texts.join(sizes.hint("merge"), "_leaf")))
+        discard(texts, sizes)
+    ready = functools.reduce(DataFrame.unionByName, [lines.where("_small").drop("_small") for lines in written])
+    found.append(materialize(templates_of_leaves(ready)))
+    discard(*written)
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def templates_of_leaves(lines: DataFrame) -> DataFrame:
+    """What the rounds of ``templates`` find, a leaf being one row; a line is its place in ``_s``, the most frequent first."""
+    line = lambda i: F.get("_s", i)
+    first, rest = lambda part: F.get(part, F.lit(0)), lambda part: F.slice(part, 2, F.size(part))
+    # a line and its template in one number
+    pair = lambda i, lead: F.shiftleft(i.cast("bigint"), 32).bitwiseOR(lead.cast("bigint"))
+    of, lead = lambda p: F.shiftright(p, 32).cast("int"), lambda p: p.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+
+    def across(parts: Column) -> Column:
+        two = lambda p: F.array_min(F.transform(p, lambda i: line(i)["_lo"])) < F.array_max(F.transform(p, lambda i: line(i)["_hi"]))
+        return F.filter(parts, lambda p: (F.size(p) > 1) & two(p))
+
+    def parts(cut: Column) -> Column:
+        """The lines of each segment, from (segment, line) in order."""
+        starts = F.filter(F.sequence(F.lit(0), F.size(cut) - 1), lambda k: (k == 0) | (F.get(cut, k)["part"] != F.get(cut, k - 1)["part"]))
+        return let(starts, lambda s: F.transform(s, lambda k, j: F.transform(F.slice(cut, k + 1, F.coalesce(F.get(s, j + 1), F.size(cut)) - k), lambda x: x["i"])))
+
+    def go_on(state: Column, found: Column) -> Column:
+        left = lambda done: F.transform(state["parts"], lambda p: F.filter(p, lambda i: ~F.array_contains(done, i)))
+        return F.struct(let(F.transform(found, of), lambda done: across(left(done))).alias("parts"), F.concat(state["found"], found).alias("found"))
+
+    def joins(state: Column, heads: Column) -> Column:
+        """Each line that agrees with a head of one of its segments, with the most frequent of these."""
+        led = F.filter(state["parts"], lambda p: F.array_contains(heads, first(p)))
+        met = F.array_distinct(F.flatten(F.transform(led, lambda p: F.transform(rest(p), lambda i: pair(i, first(p))))))
+        fits = F.sort_array(F.filter(met, lambda p: agree(line(of(p))["_w"], line(lead(p))["_w"])))
+        return let(fits, lambda f: F.filter(f, lambda p, k: (k == 0) | (of(p) != of(F.get(f, k - 1)))))
+
+    def round_(state: Column) -> Column:
+        heads = F.array_except(F.transform(state["parts"], first), F.flatten(F.transform(state["parts"], rest)))
+        found = let(heads, lambda heads: F.concat(F.transform(heads, lambda i: pair(i, i)), joins(state, heads)))
+        return let(found, lambda found: go_on(state, found))
+
+    leaves = lines.groupBy("_leaf", "_differ").agg(F.sort_array(F.collect_list(F.struct("docs", "_h", "_lo", "_hi", "_w")), asc=False).alias("_s"))
+    cut = F.transform("_s", lambda x, i: F.transform(segments(x["_w"], F.col("_leaf"), F.col("_differ")), lambda part: F.struct(part.alias("part"), i.alias("i"))))
+    start = F.struct(across(let(F.sort_array(F.flatten(cut)), parts)).alias("parts"), F.array().cast("array<bigint>").alias("found"))
+    # each round finds one template at least
+    end = F.aggregate(F.sequence(F.lit(1), F.size("_s")), start, lambda state, _: F.when(F.size(state["parts"]) > 0, round_(state)).otherwise(state))
+    found = leaves.select("_leaf", F.explode(F.transform(end["found"], lambda p: F.struct(line(of(p))["_h"].alias("_h"), line(lead(p))["_h"].alias("_template")))).alias("_f"))
+    return found.select("_leaf", "_f._h", "_f._template")
 
 
 def least_docs(n: Column, min_docs: int = MIN_DOCS) -> Column:

@@ -1,9 +1,14 @@
 """Null ids and texts, empty texts, repeated rows, empty tables and extra columns, for every operator."""
 
+import collections
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from cubeloom.llm import decontaminate, huffman, jaccard, lines, packing, pii, quality, substrings, tokens, toxicity
+from cubeloom.llm.common import materialize
 from cubeloom.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, length int, key string"
@@ -202,3 +207,59 @@ def test_lines_are_masked_and_split_once(spark, capsys):
     assert plan.count("regexp_replace(") == 2, "the filter does not mask every line once more"
     lines.drop_recurring_lines(docs).select("row.text", "n_lines").explain()
     assert capsys.readouterr().out.count("split(") == 1, "no split within the lambda over the lines"
+
+
+def rounds_by_hand(rows):
+    """Templates of (leaf, h, docs, lo, hi, words) by the rounds of lines.templates."""
+    part_of, alive, found = {}, {}, {}
+    for leaf, h, docs, lo, hi, w in rows:
+        n, differ = len(w), len(w) - math.ceil(lines.SIMILARITY * len(w) - 1e-9)
+        width = max((n - lines.DEPTH) // (differ + 1), 1)
+        cut = [(leaf,)] if n - lines.DEPTH <= differ else [(leaf, i, *w[lines.DEPTH + i * width : n if i == differ else lines.DEPTH + (i + 1) * width]) for i in range(differ + 1)]
+        part_of[leaf, h], alive[leaf, h] = set(cut), ((docs, h), lo, hi, w)
+    while True:
+        parts = collections.defaultdict(list)
+        for x in alive:
+            for p in part_of[x]:
+                parts[p].append(x)
+        parts = {p: xs for p, xs in parts.items() if len(xs) > 1 and min(alive[x][1] for x in xs) < max(alive[x][2] for x in xs)}
+        if not parts:
+            return found
+        leads = collections.defaultdict(set)
+        for xs in parts.values():
+            for x in xs:
+                leads[x].add(max(xs, key=lambda y: alive[y][0]))
+        heads = {x for x in leads if leads[x] == {x}}
+        fits = lambda x, y: sum(a == b for a, b in zip(alive[x][3], alive[y][3])) >= lines.SIMILARITY * len(alive[x][3]) - 1e-9
+        done = {x: x[1] for x in heads}
+        for x in set(leads) - heads:
+            if near := [y for y in leads[x] & heads if fits(x, y)]:
+                done[x] = max(near, key=lambda y: alive[y][0])[1]
+        found |= done
+        alive = {x: alive[x] for x in leads if x not in done}
+
+
+def test_templates_of_leaves_and_of_joins_are_those_of_the_rounds(spark):
+    rng = random.Random(3)
+    texts = [(i, "\n".join("one two six " + " ".join(rng.choices("abcd", [8, 3, 1, 1], k=n)) for n in rng.choices([2, 5, 9], k=5))) for i in range(30)]
+    keyed = lines.keyed_lines(spark.createDataFrame(texts, "doc_id bigint, text string"), "doc_id", "text", False).cache()
+    variants = keyed.groupBy("_leaf", "_h", "_n").agg(F.countDistinct("_u").alias("docs"), F.min("_u").alias("_lo"), F.max("_u").alias("_hi")).cache()
+    held = variants.join(keyed.select("_leaf", "_h", "_m").distinct(), ["_leaf", "_h"])
+    want = rounds_by_hand([(r._leaf, r._h, r.docs, r._lo, r._hi, r._m.split(" ")) for r in held.collect()])
+    assert len(want) > 50 and len(set(want.values())) > 12
+    for most in (0, 12, 1000):
+        got = lines.templates(keyed, variants, leaf_lines=most).collect()
+        assert {(r._leaf, r._h): r._template for r in got} == want and len(got) == len(want), most
+
+
+def test_more_templates_in_a_leaf_are_no_more_tables(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(lines, "materialize", lambda df: written.append(1) or materialize(df))
+    tables = []
+    for k in (2, 14):
+        # all share a segment, none agree: each round finds one template
+        texts = [(i, "one two six same " + " ".join(f"{chr(97 + i)}{chr(97 + j)}" for j in range(9))) for i in range(k)]
+        written.clear()
+        assert line_rows(lines.drop_recurring_lines(spark.createDataFrame(texts, "doc_id bigint, text string"))).keys() == set(range(k))
+        tables.append(len(written))
+    assert tables[0] == tables[1]
