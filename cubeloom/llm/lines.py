@@ -51,8 +51,8 @@ BANDS = 32
 LEAST_DOCS = ((20, 2), (3, 3))
 FIELD = "<*>"
 #: A leaf of at most so many lines and words finds its templates in one row.
-LEAF_LINES = 1000
-LEAF_WORDS = 1 << 18
+LEAF_LINES = 4000
+LEAF_WORDS = 1 << 19
 
 
 def masked(lines: DataFrame) -> DataFrame:
@@ -163,6 +163,9 @@ def templates_of_leaves(lines: DataFrame) -> DataFrame:
     pair = lambda i, lead: F.shiftleft(i.cast("bigint"), 32).bitwiseOR(lead.cast("bigint"))
     of, lead = lambda p: F.shiftright(p, 32).cast("int"), lambda p: p.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
 
+    # whether each line is among some; looked up by place, as lines are asked for once a segment
+    marks = lambda some: F.transform(F.sequence(F.lit(0), F.size("_s") - 1), lambda i: F.array_contains(some, i))
+
     def across(parts: Column) -> Column:
         two = lambda p: F.array_min(F.transform(p, lambda i: line(i)["_lo"])) < F.array_max(F.transform(p, lambda i: line(i)["_hi"]))
         return F.filter(parts, lambda p: (F.size(p) > 1) & two(p))
@@ -173,12 +176,13 @@ def templates_of_leaves(lines: DataFrame) -> DataFrame:
         return let(starts, lambda s: F.transform(s, lambda k, j: F.transform(F.slice(cut, k + 1, F.coalesce(F.get(s, j + 1), F.size(cut)) - k), lambda x: x["i"])))
 
     def go_on(state: Column, found: Column) -> Column:
-        left = lambda done: F.transform(state["parts"], lambda p: F.filter(p, lambda i: ~F.array_contains(done, i)))
-        return F.struct(let(F.transform(found, of), lambda done: across(left(done))).alias("parts"), F.concat(state["found"], found).alias("found"))
+        left = lambda done: F.transform(state["parts"], lambda p: F.filter(p, lambda i: ~F.get(done, i)))
+        done = let(F.transform(found, of), marks)
+        return F.struct(let(done, lambda done: across(left(done))).alias("parts"), F.concat(state["found"], found).alias("found"))
 
     def joins(state: Column, heads: Column) -> Column:
         """Each line that agrees with a head of one of its segments, with the most frequent of these."""
-        led = F.filter(state["parts"], lambda p: F.array_contains(heads, first(p)))
+        led = let(marks(heads), lambda marks: F.filter(state["parts"], lambda p: F.get(marks, first(p))))
         met = F.array_distinct(F.flatten(F.transform(led, lambda p: F.transform(rest(p), lambda i: pair(i, first(p))))))
         fits = F.sort_array(F.filter(met, lambda p: agree(line(of(p))["_w"], line(lead(p))["_w"])))
         return let(fits, lambda f: F.filter(f, lambda p, k: (k == 0) | (of(p) != of(F.get(f, k - 1)))))
@@ -209,8 +213,10 @@ def copy_classes(docs: DataFrame, texts: DataFrame, text_column: str = "text") -
     """_u and _class of those of the ``texts`` (_u, a text's xxhash64) that are copies of another."""
     text = column(text_column)
     one = only(docs, text_column).select(F.xxhash64(text).alias("_u"), text.alias("_text")).join(texts.hint("merge"), "_u", "left_semi")
-    least = one.select("_u", F.slice(F.sort_array(F.array_distinct(shingle_hashes(F.col("_text")))), 1, SKETCH).alias("_s"))
-    least = materialize(least.where(F.size("_s") > 0).dropDuplicates(["_u"]))
+    sketch = F.slice(F.sort_array(F.array_distinct(shingle_hashes(F.col("_text")))), 1, SKETCH)
+    # each text is sketched once; a filter on the sketch before it is written would be pushed below the join and sketch all documents
+    written = materialize(one.dropDuplicates(["_u"]).select("_u", sketch.alias("_s")))
+    least = written.where(F.size("_s") > 0)
     places = F.sequence(F.lit(0), F.least(F.size("_s"), F.lit(BANDS)) - 1)
     bands = materialize(least.select("_u", F.explode(F.transform(places, lambda i: F.xxhash64(F.get("_s", i), F.get("_s", i + 1)))).alias("_band")))
     leads = materialize(bands.groupBy("_band").agg(F.min("_u").alias("_lead"), F.count("*").alias("k")).where("k > 1").drop("k"))
@@ -220,7 +226,7 @@ def copy_classes(docs: DataFrame, texts: DataFrame, text_column: str = "text") -
     union = F.slice(F.sort_array(F.array_union("_s", "_r")), 1, SKETCH)
     alike = let(union, lambda u: F.size(F.array_intersect(F.array_intersect(u, F.col("_s")), F.col("_r"))) / F.size(u))
     edges = materialize(met.where(alike >= COPY_JACCARD).select(F.col("_u").alias("a"), F.col("_lead").alias("b")))
-    discard(pairs, least)
+    discard(pairs, written)
     return connected_components(edges).select(F.col("node").alias("_u"), F.col("root").alias("_class"))
 
 

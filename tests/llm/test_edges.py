@@ -263,3 +263,12 @@ def test_more_templates_in_a_leaf_are_no_more_tables(spark, monkeypatch):
         assert line_rows(lines.drop_recurring_lines(spark.createDataFrame(texts, "doc_id bigint, text string"))).keys() == set(range(k))
         tables.append(len(written))
     assert tables[0] == tables[1]
+
+
+def test_texts_are_sketched_once(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(lines, "materialize", lambda df: plans.append(df) or materialize(df))
+    texts = spark.createDataFrame([(i, " ".join(f"v{j}" for j in range(40)) + " end" * (i % 2)) for i in range(4)] + [(9, None), (10, "")], "doc_id bigint, text string")
+    assert lines.copy_classes(texts, texts.select(F.xxhash64("text").alias("_u")).distinct()).count() == 2
+    plan = plans[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_distinct(") == 1, "no filter sketches the texts before the join"
